@@ -7,10 +7,11 @@ with the probability Jaccard of the two weighted sets. Banding proposes pairs an
 probability Jaccard, at SIMILARITY or more, confirms them.
 
 Copies (the same words in the same order, whatever the case and white space) become one class
-first, by grouped aggregation. In a bucket every class is compared with the bucket's smallest
-class; what these links leave apart is then compared throughout. So a bucket of m near copies
-costs m comparisons, and every pair of classes that shares a bucket is either verified or
-already joined by verified links.
+first, by grouped aggregation. In a bucket every class is compared with one hub, which is then done with; while verified links
+leave a bucket in several parts, another hub of its largest part follows, and after HUB_ROUNDS
+what is still apart is compared throughout. So a bucket of m near copies costs a few times m
+comparisons, and every pair of classes that shares a bucket is either compared or already joined
+by verified links.
 """
 
 from __future__ import annotations
@@ -25,12 +26,18 @@ from pyspark.sql import functions as F
 
 from .common import session, stored
 from .components import components
+from .learn import among
 from .words import GOLDEN, U, WordCache, chunks, hash64, mix, shingles, token_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
-#: A pair at the threshold shares a bucket with probability 1 - (1 - 0.8**6)**30 = 0.9999.
-BANDS, ROWS = 30, 6
+#: A pair at the threshold shares a bucket with probability 1 - (1 - 0.8**5)**22 = 0.9998.
+BANDS, ROWS = 22, 5
+#: Registers (a byte of each) in which a pair must agree before its texts are looked at: 88 are expected
+#: at the threshold, with a deviation of 4.2.
+AGREEING = 58
+#: Rounds in which a bucket is compared with one class of it, before what is left is compared throughout.
+HUB_ROUNDS = 6
 
 
 def words_of(text) -> list[str]:
@@ -93,10 +100,10 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 band = mix(band * GOLDEN + sig.reshape(hi - lo, BANDS, ROWS)[:, :, r])
             band = mix(band + np.arange(BANDS, dtype=U)).view(np.int64)
             rows = [
-                (xxhash.xxh3_128_digest(flat[a:z].tobytes()), list(k)) if z > a else (None, None)
-                for a, z, k in zip(offsets[:-1], offsets[1:], band)
+                (xxhash.xxh3_128_digest(flat[a:z].tobytes()), k, s.tobytes()) if z > a else (None, None, None)
+                for a, z, k, s in zip(offsets[:-1], offsets[1:], band, (sig & U(255)).astype(np.uint8))
             ]
-            yield pd.DataFrame({"doc_id": b.doc_id.iloc[lo:hi].to_numpy(), "copy": [r[0] for r in rows], "bands": [r[1] for r in rows]})
+            yield pd.DataFrame({"doc_id": b.doc_id.iloc[lo:hi].to_numpy(), "copy": [r[0] for r in rows], "bands": [r[1] for r in rows], "registers": [r[2] for r in rows]})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,7 +118,7 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({
                 "id": b.id.iloc[lo:hi].to_numpy(),
                 "elements": [h[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])],
-                "counts": [count[a:z].astype(np.int32).tobytes() for a, z in zip(cut[:-1], cut[1:])],
+                "counts": [count[a:z].astype(np.int32).tobytes() if z - a and count[a:z].max() > 1 else b"" for a, z in zip(cut[:-1], cut[1:])],
             })
 
 
@@ -120,7 +127,7 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = []
         for x, y, ex, cx, ey, cy in zip(b.x, b.y, b.ex, b.cx, b.ey, b.cy):
             ex, ey = np.frombuffer(ex, U), np.frombuffer(ey, U)
-            wx, wy = (1.0 + np.log(np.frombuffer(c, np.int32)) for c in (cx, cy))
+            wx, wy = (1.0 + np.log(np.frombuffer(c, np.int32)) if c else np.ones(len(e)) for c, e in ((cx, ex), (cy, ey)))
             every = np.union1d(ex, ey)
             vx, vy = np.zeros(len(every)), np.zeros(len(every))
             vx[np.searchsorted(every, ex)] = wx
@@ -130,14 +137,22 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        if len(b):
+            x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(len(b), -1) for c in (b.rx, b.ry))
+            yield b.loc[(x == y).sum(axis=1) >= AGREEING, ["x", "y"]]
+
+
+def _links(pairs: DataFrame, docs: DataFrame, registers: DataFrame, name: str) -> DataFrame:
     """The pairs (x, y: ids of class representatives) that the exact similarity confirms."""
-    pairs = stored(pairs, f"{name}_pairs")
-    ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
-    own = docs.select(F.col("doc_id").alias("id"), "text").where("text is not null").join(ids, "id", "left_semi")
+    close = pairs.join(registers.toDF("x", "rx"), "x").join(registers.toDF("y", "ry"), "y")
+    close = stored(close.mapInPandas(_agreeing, "x long, y long"), f"{name}_pairs")
+    ids = close.select(F.col("x").alias("id")).unionByName(close.select(F.col("y").alias("id")))
+    own = docs.select(F.col("doc_id").alias("id"), "text").where("text is not null").where(among("id", ids))
     sets = stored(own.mapInPandas(_sets, "id long, elements binary, counts binary"), f"{name}_sets")
     sets = sets.dropDuplicates(["id"]) if _repeats(sets) else sets
-    both = pairs.join(sets.toDF("x", "ex", "cx"), "x").join(sets.toDF("y", "ey", "cy"), "y")
+    both = close.join(sets.toDF("x", "ex", "cx"), "x").join(sets.toDF("y", "ey", "cy"), "y")
     return stored(both.mapInPandas(_verify, "u long, v long"), f"{name}_links")
 
 
@@ -145,6 +160,33 @@ def _repeats(sets: DataFrame) -> bool:
     return not sets.groupBy("id").count().where("count > 1").isEmpty()
 
 
+def _joined(met: DataFrame, docs: DataFrame, registers: DataFrame) -> DataFrame:
+    """(u, v) links that connect all classes (band, id in ``met``) which verified pairs connect."""
+    hub = met.groupBy("band").agg(F.min("id").alias("hub"))
+    pairs = met.join(hub, "band").where("id > hub").select(F.col("hub").alias("x"), F.col("id").alias("y")).distinct()
+    links = _links(pairs, docs, registers, "hub0")
+    left = met.join(hub, "band").where("id > hub").select("band", "id")
+    for r in range(1, HUB_ROUNDS + 1):
+        label = stored(components(links), f"labels{r}")
+        left = left.join(label, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
+        mixed = left.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
+        left = stored(left.join(mixed, "band", "left_semi"), f"left{r}")
+        if left.isEmpty():
+            return links
+        parts = left.groupBy("band", "label").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id")).alias("first"))
+        hub = parts.groupBy("band").agg(F.max(F.struct("n", "label", "first.id")).alias("top")).select("band", F.col("top.id").alias("hub"), F.col("top.label").alias("part"))
+        met_hub = stored(left.join(hub, "band"), f"hubs{r}")
+        pairs = met_hub.where("label <> part").select(F.least("hub", "id").alias("x"), F.greatest("hub", "id").alias("y")).distinct()
+        links = stored(links.unionByName(_links(pairs, docs, registers, f"hub{r}")), f"links{r}")
+        left = met_hub.where("id <> hub").select("band", "id")
+    label = stored(components(links), "labels")
+    left = stored(left.join(label, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label")), "left")
+    mixed = left.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
+    left = left.join(mixed, "band", "left_semi")
+    cross = left.toDF("band", "a", "la").join(left.toDF("band", "b", "lb"), "band").where("a < b and la <> lb").select(F.col("a").alias("x"), F.col("b").alias("y"))
+    return links.unionByName(_links(cross.distinct(), docs, registers, "cross"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, copies, kept for each distinct id of ``docs`` (doc_id, text; more may be there).
 
@@ -156,42 +198,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     session(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    signed = stored(docs.mapInPandas(_sign, "doc_id long, copy binary, bands array<long>"), "signed")
-    classes = stored(signed.where("copy is not null").groupBy("copy").agg(F.min("doc_id").alias("rep")), "classes")
-    bands = stored(
-        signed.join(classes.withColumnRenamed("rep", "doc_id"), ["copy", "doc_id"], "left_semi")
-        .select(F.col("doc_id").alias("id"), F.explode("bands").alias("band")), "bands",
-    )
-    shared = bands.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top")
-    met = stored(bands.join(shared.select("band", "hub"), "band"), "met")
-
-    hub_pairs = met.where("id > hub").select(F.col("hub").alias("x"), F.col("id").alias("y")).distinct()
-    links = _links(hub_pairs, docs, "hub")
-    label = stored(components(links), "hub_labels")
-
-    labelled = met.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    heads = label.toDF("hub", "hub_label")
-    labelled = labelled.join(heads, "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub"))
-    labelled = stored(labelled.select("band", "id", "label", "hub", "hub_label"), "labelled")
-    odd = labelled.where("label <> hub_label").select("band", F.col("id").alias("a"), F.col("label").alias("la"))
-    rest = labelled.where("id <> hub").select("band", F.col("id").alias("b"), F.col("label").alias("lb"), (F.col("label") != F.col("hub_label")).alias("odd_b"))
-    cross = odd.join(rest, "band").where("la <> lb and (not odd_b or a < b)")
-    cross = cross.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-    more = _links(cross, docs, "cross")
-
-    same = signed.where("copy is not null").join(classes, "copy").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    repeated = same.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi")
-    tied = repeated.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
-    whole = stored(components(label.select(F.col("id").alias("u"), F.col("label").alias("v")).unionByName(more).unionByName(tied)), "labels")
-
-    rep = same.groupBy("u").agg(F.min("v").alias("rep")).withColumnRenamed("u", "doc_id")
-    sizes = same.select("u", "v").distinct().groupBy("v").agg(F.count("*").alias("copies")).withColumnRenamed("v", "rep")
-    ids = signed.select("doc_id").distinct()
-    out = ids.join(rep, "doc_id", "left").join(sizes, "rep", "left").join(whole.withColumnRenamed("id", "rep"), "rep", "left")
-    group = F.coalesce("label", "rep", "doc_id")
-    return out.select(
-        "doc_id", group.alias("class_id"), F.coalesce("copies", F.lit(1).cast("long")).alias("copies"), (F.col("doc_id") == group).alias("kept")
-    )
+    signed = stored(docs.mapInPandas(_sign, "doc_id long, copy binary, bands array<long>, registers binary"), "signed")
+    worded = signed.where("copy is not null")
+    classes = stored(worded.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    own = worded.join(classes.select("copy", F.col("rep").alias("doc_id")), ["copy", "doc_id"], "left_semi")
+    own = stored(own.select(F.col("doc_id").alias("id"), "bands", "registers"), "representatives")
+    bands = own.select("id", F.explode("bands").alias("band"))
+    shared = bands.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band")
+    met = stored(bands.join(shared, "band").select("band", "id").distinct(), "met")
+    registers = own.select("id", "registers").where(among("id", met)).dropDuplicates(["id"])
+    links = _joined(met, docs, stored(registers, "registers"))
+
+    same = worded.select("doc_id", "copy").join(classes, "copy").select("doc_id", "rep", "copies")
+    same = stored(same, "members")
+    tied = same.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
+    whole = stored(components(links.unionByName(tied.select(F.col("hi").alias("u"), F.col("lo").alias("v")))), "final")
+    one = same.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("copies").alias("copies"))
+    blank = signed.where("copy is null").select("doc_id").distinct().join(one.select("doc_id"), "doc_id", "left_anti")
+    group = F.coalesce("label", "rep")
+    out = one.join(whole.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", group.alias("class_id"), "copies", (F.col("doc_id") == group).alias("kept"))
+    return out.unionByName(blank.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("copies"), F.lit(True).alias("kept")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

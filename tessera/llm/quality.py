@@ -20,14 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import remainder, session
+from .learn import labelled, logistic, sampled, training
 from .words import GOLDEN, U, WordCache, chunks, hash64, mix, token_hashes
 
 FEATURES = 1 << 18
 #: Bound of the rows that the SVM is fitted on. The counts behind the ratios have no bound.
 SAMPLE = 8_000
 SMOOTHING, COST, EPOCHS, PULL = 1.0, 1.0, 15, 0.25
-#: Bits of the id filter that spares unlabelled texts the shuffle; more ids only make it let more pass.
-FILTER_BITS = 1 << 24
 
 _CLASSES = ((re.compile(r"[^\W\d_]+"), None), (re.compile(r"\d+"), "0"), (re.compile(r"([^\w\s])\1+"), r"\1"))
 
@@ -129,52 +128,6 @@ def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, seed: int
     return (1 - PULL) * w + PULL * level * (w != 0)  # part of the weight is the ratio's own
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and level of P(y = 1) over x, by Newton steps with a little shrinkage."""
-    theta = np.array([1.0, 0.0])
-    a = np.column_stack([x, np.ones(len(x))])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ theta, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, a.T @ (y - p) - 1e-3 * theta)
-        theta = theta + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(theta[0]), float(theta[1])
-
-
-def training(labels: DataFrame, column: str, base: int, held: int) -> DataFrame:
-    """doc_id and label (0 or 1) of the rows that may teach: their hashed id's remainder is not ``held``.
-
-    Labels other than 0 and 1 are left out; an id with several labels takes the larger.
-    """
-    own = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull())
-    return own.where(remainder("doc_id", base) != held).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
-
-
-def labelled(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """text and label of the rows of ``docs`` that ``train`` names; a bounded filter spares the others the shuffle."""
-    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS))
-    words = train.select(bit.alias("bit")).groupBy(F.expr("shiftright(bit, 5)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("bits"))
-    found = words.toPandas()
-    table = np.zeros(FILTER_BITS // 32, np.int64)
-    table[found.word.to_numpy(np.int64)] = found.bits.to_numpy(np.int64)
-
-    @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
-        at = h.to_numpy(np.int64)
-        return pd.Series((table[at >> 5] >> (at & 31)) & 1 == 1)
-
-    own = docs.select("doc_id", "text").where("doc_id is not null").where(maybe(bit))
-    return own.join(train, "doc_id").select("text", "label")
-
-
-def sampled(docs: DataFrame, train: DataFrame, size: int) -> DataFrame:
-    """text and label of at most ``size`` training rows, those with the smallest hashed ids."""
-    few = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "label")
-
-
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", base: int = 3, held: int = 1) -> tuple:
     """(ratio, weight, slope, level). Without rows of both labels, every score is the smoothed share of ones."""
     session(docs.sparkSession)
