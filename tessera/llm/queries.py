@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality
+from . import bpe, quality, toxicity
 from .common import table
 from .minhash import near_duplicates
 
@@ -25,8 +25,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
 
+def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), 5, 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_nbsvm, op6_minhash_near_dedup, op8_bpe)}
+    return {f.__name__: f for f in (op1_quality_nbsvm, op6_minhash_near_dedup, op8_bpe, op9_toxic_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
