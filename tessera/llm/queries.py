@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, toxicity
+from . import bpe, decontam, quality, toxicity
 from .common import table
 from .minhash import near_duplicates
 
@@ -17,6 +17,10 @@ def op1_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels")), 3, 1)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_nbsvm, op6_minhash_near_dedup, op8_bpe, op9_toxic_segments)}
+    return {f.__name__: f for f in (op1_quality_nbsvm, op2_decontamination, op6_minhash_near_dedup, op8_bpe, op9_toxic_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
