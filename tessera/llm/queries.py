@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontam, quality, toxicity
 from .common import table
+from .metric_join import near_vectors
 from .minhash import near_duplicates
 
 
@@ -21,6 +22,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_nbsvm, op2_decontamination, op6_minhash_near_dedup, op8_bpe, op9_toxic_segments)}
+    return {f.__name__: f for f in (op1_quality_nbsvm, op2_decontamination, op5_metric_range_join, op6_minhash_near_dedup, op8_bpe, op9_toxic_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
