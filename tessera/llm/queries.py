@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, quality, toxicity
-from .common import table
+from . import bpe, decontam, quality, toxicity, warc
+from .common import scratch_path, table
 from .metric_join import near_vectors
 from .minhash import near_duplicates
 
@@ -22,6 +22,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write_archives(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    read = warc.read_archives(spark, files, payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -40,7 +46,7 @@ def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_nbsvm, op2_decontamination, op5_metric_range_join, op6_minhash_near_dedup, op8_bpe, op9_toxic_segments)}
+    return {f.__name__: f for f in (op1_quality_nbsvm, op2_decontamination, op3_warc, op5_metric_range_join, op6_minhash_near_dedup, op8_bpe, op9_toxic_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
