@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontam, quality, toxicity, warc
+from . import bpe, decontam, langid, quality, toxicity, warc
 from .common import scratch_path, table
 from .metric_join import near_vectors
 from .minhash import near_duplicates
@@ -28,6 +29,17 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs)
+    pages = langid.identified(langid.page_rows(table(spark, sf_dir, "pages")), model, True)
+    texts = langid.identified(langid.document_rows(docs), model, False)
+    none = F.lit(None).cast("long")
+    return pages.select(F.col("row").alias("page_id"), none.alias("doc_id"), "lang", "posterior", "text_lang").unionByName(
+        texts.select(none.alias("page_id"), F.col("row").alias("doc_id"), "lang", "posterior", "text_lang")
+    )
+
+
 def op5_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -46,7 +58,7 @@ def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_nbsvm, op2_decontamination, op3_warc, op5_metric_range_join, op6_minhash_near_dedup, op8_bpe, op9_toxic_segments)}
+    return {f.__name__: f for f in (op1_quality_nbsvm, op2_decontamination, op3_warc, op4_language_id, op5_metric_range_join, op6_minhash_near_dedup, op8_bpe, op9_toxic_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
