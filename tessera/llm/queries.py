@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, quality, toxicity, warc
-from .common import scratch_path, table
+from . import bpe, decontam, langid, licenses, quality, toxicity, urls, warc
+from .common import scratch_path, stored, table
 from .metric_join import near_vectors
 from .minhash import near_duplicates
 
@@ -48,6 +48,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
@@ -57,8 +61,15 @@ def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), 5, 0)
 
 
+def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    outcomes = urls.labelled_outcomes(pages, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return urls.judged(pages, stored(outcomes, "outcomes"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_nbsvm, op2_decontamination, op3_warc, op4_language_id, op5_metric_range_join, op6_minhash_near_dedup, op8_bpe, op9_toxic_segments)}
+    every = (op1_quality_nbsvm, op2_decontamination, op3_warc, op4_language_id, op5_metric_range_join, op6_minhash_near_dedup, op7_license_scan, op8_bpe, op9_toxic_segments, op10_url_reputation)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
