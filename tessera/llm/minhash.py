@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import session, stored
-from .components import components
+from .components import components, forest
 from .learn import among
 from .words import GOLDEN, U, WordCache, chunks, hash64, mix, shingles, token_hashes
 
@@ -37,7 +37,9 @@ BANDS, ROWS = 22, 5
 #: at the threshold, with a deviation of 4.2.
 AGREEING = 58
 #: Rounds in which a bucket is compared with one class of it, before what is left is compared throughout.
-HUB_ROUNDS = 6
+HUB_ROUNDS = 2
+#: Rows that a task holds, and rows that pass by them, where a bucket is compared throughout.
+BLOCK, LOAD = 1_024, 16_384
 
 
 def words_of(text) -> list[str]:
@@ -127,12 +129,7 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = []
         for x, y, ex, cx, ey, cy in zip(b.x, b.y, b.ex, b.cx, b.ey, b.cy):
             ex, ey = np.frombuffer(ex, U), np.frombuffer(ey, U)
-            wx, wy = (1.0 + np.log(np.frombuffer(c, np.int32)) if c else np.ones(len(e)) for c, e in ((cx, ex), (cy, ey)))
-            every = np.union1d(ex, ey)
-            vx, vy = np.zeros(len(every)), np.zeros(len(every))
-            vx[np.searchsorted(every, ex)] = wx
-            vy[np.searchsorted(every, ey)] = wy
-            if probability_jaccard(vx, vy) >= SIMILARITY:
+            if _similarity(ex, _weights(ex, cx), ey, _weights(ey, cy)) >= SIMILARITY:
                 found.append((x, y))
         yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
@@ -148,43 +145,143 @@ def _links(pairs: DataFrame, docs: DataFrame, registers: DataFrame, name: str) -
     """The pairs (x, y: ids of class representatives) that the exact similarity confirms."""
     close = pairs.join(registers.toDF("x", "rx"), "x").join(registers.toDF("y", "ry"), "y")
     close = stored(close.mapInPandas(_agreeing, "x long, y long"), f"{name}_pairs")
-    ids = close.select(F.col("x").alias("id")).unionByName(close.select(F.col("y").alias("id")))
-    own = docs.select(F.col("doc_id").alias("id"), "text").where("text is not null").where(among("id", ids))
-    sets = stored(own.mapInPandas(_sets, "id long, elements binary, counts binary"), f"{name}_sets")
-    sets = sets.dropDuplicates(["id"]) if _repeats(sets) else sets
+    sets = _shingle_sets(docs, close.select(F.col("x").alias("id")).unionByName(close.select(F.col("y").alias("id"))), name)
     both = close.join(sets.toDF("x", "ex", "cx"), "x").join(sets.toDF("y", "ey", "cy"), "y")
     return stored(both.mapInPandas(_verify, "u long, v long"), f"{name}_links")
 
 
+def _shingle_sets(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """(id, elements, counts) of the texts whose id is in ``ids``, and of few others."""
+    own = docs.select(F.col("doc_id").alias("id"), "text").where("text is not null").where(among("id", ids))
+    sets = stored(own.mapInPandas(_sets, "id long, elements binary, counts binary"), f"{name}_sets")
+    return sets.dropDuplicates(["id"]) if _repeats(sets) else sets
+
+
 def _repeats(sets: DataFrame) -> bool:
     return not sets.groupBy("id").count().where("count > 1").isEmpty()
 
 
+def _parts(links: DataFrame) -> DataFrame:
+    """(id, label): two steps towards the smallest linked id. Equal labels are connected; unequal ones may be, too."""
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    near = both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("m"))
+    return near.join(near.toDF("m", "label"), "m").select("id", "label")
+
+
+def _unsettled(left: DataFrame, label: DataFrame) -> DataFrame:
+    """(band, id, label) of the buckets that hold several labels."""
+    left = left.join(label, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
+    mixed = left.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
+    return left.join(mixed, "band", "left_semi")
+
+
 def _joined(met: DataFrame, docs: DataFrame, registers: DataFrame) -> DataFrame:
     """(u, v) links that connect all classes (band, id in ``met``) which verified pairs connect."""
     hub = met.groupBy("band").agg(F.min("id").alias("hub"))
-    pairs = met.join(hub, "band").where("id > hub").select(F.col("hub").alias("x"), F.col("id").alias("y")).distinct()
-    links = _links(pairs, docs, registers, "hub0")
-    left = met.join(hub, "band").where("id > hub").select("band", "id")
+    rest = stored(met.join(hub, "band").where("id > hub"), "rest")
+    links = _links(rest.select(F.col("hub").alias("x"), F.col("id").alias("y")).distinct(), docs, registers, "hub0")
+    left = rest.select("band", "id")
     for r in range(1, HUB_ROUNDS + 1):
-        label = stored(components(links), f"labels{r}")
-        left = left.join(label, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
-        mixed = left.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-        left = stored(left.join(mixed, "band", "left_semi"), f"left{r}")
-        if left.isEmpty():
-            return links
+        left = stored(_unsettled(left, _parts(links)), f"left{r}")
         parts = left.groupBy("band", "label").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id")).alias("first"))
         hub = parts.groupBy("band").agg(F.max(F.struct("n", "label", "first.id")).alias("top")).select("band", F.col("top.id").alias("hub"), F.col("top.label").alias("part"))
         met_hub = stored(left.join(hub, "band"), f"hubs{r}")
         pairs = met_hub.where("label <> part").select(F.least("hub", "id").alias("x"), F.greatest("hub", "id").alias("y")).distinct()
-        links = stored(links.unionByName(_links(pairs, docs, registers, f"hub{r}")), f"links{r}")
+        more = _links(pairs, docs, registers, f"hub{r}")
+        links = links.unionByName(more)
         left = met_hub.where("id <> hub").select("band", "id")
-    label = stored(components(links), "labels")
-    left = stored(left.join(label, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label")), "left")
-    mixed = left.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    left = left.join(mixed, "band", "left_semi")
-    cross = left.toDF("band", "a", "la").join(left.toDF("band", "b", "lb"), "band").where("a < b and la <> lb").select(F.col("a").alias("x"), F.col("b").alias("y"))
-    return links.unionByName(_links(cross.distinct(), docs, registers, "cross"))
+        if more.isEmpty():
+            break
+    left = stored(_unsettled(left, stored(components(links), "labels")), "left")
+    return links.unionByName(_rest(left, docs))
+
+
+def _rest(left: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between different labels within the buckets (band, id, label) of ``left``.
+
+    Buckets with the same largest part are one group. Its other rows stay in blocks of BLOCK, and all its rows pass by
+    them in loads of LOAD: no pair becomes a row, and no task holds more than a block.
+    """
+    parts = left.groupBy("band", "label").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top")).select("band", F.col("top.label").alias("key"))
+    rows = stored(left.join(largest, "band").select("key", "id", "label").distinct(), "groups")
+    size = rows.groupBy("key").agg(F.ceil(F.count_if(F.col("label") != F.col("key")) / BLOCK).alias("blocks"), F.ceil(F.count("*") / LOAD).alias("loads"))
+    sets = _shingle_sets(docs, rows.select("id"), "rest")
+    h = lambda salt: F.abs(F.xxhash64("id", F.lit(salt)) % (1 << 30))
+    every = rows.join(size, "key").join(sets, "id")
+    stay = every.where("label <> key").withColumn("block", h(1) % F.col("blocks")).withColumn("load", F.explode(F.expr("sequence(0L, loads - 1)"))).withColumn("guest", F.lit(False))
+    come = every.withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumn("load", h(2) % F.col("loads")).withColumn("guest", F.lit(True))
+    cols = ["key", "block", "load", "guest", "id", "label", "elements", "counts"]
+    units = stay.select(cols).unionByName(come.select(cols)).repartition("key", "block", "load").sortWithinPartitions("key", "block", "load", "guest")
+    return stored(units.mapInPandas(_compare, "u long, v long"), "rest_links")
+
+
+def _weights(element: np.ndarray, counts: bytes) -> np.ndarray:
+    return 1.0 + np.log(np.frombuffer(counts, np.int32)) if counts else np.ones(len(element))
+
+
+def _similarity(ex: np.ndarray, wx: np.ndarray, ey: np.ndarray, wy: np.ndarray) -> float:
+    every = np.union1d(ex, ey)
+    vx, vy = np.zeros(len(every)), np.zeros(len(every))
+    vx[np.searchsorted(every, ex)] = wx
+    vy[np.searchsorted(every, ey)] = wy
+    return probability_jaccard(vx, vy)
+
+
+class _Residents:
+    """A block of sets with an index from element to sets."""
+
+    def __init__(self):
+        self.ids, self.labels, self.sets, self.weights, self.plain = [], [], [], [], []
+        self.ready = False
+
+    def add(self, row) -> None:
+        e = np.frombuffer(row.elements, U)
+        self.ids.append(row.id)
+        self.labels.append(row.label)
+        self.sets.append(e)
+        self.weights.append(_weights(e, row.counts))
+        self.plain.append(not row.counts)
+        self.ready = False
+
+    def partners(self, row) -> list[int]:
+        """Residents of another label whose similarity with the row reaches the threshold."""
+        if not self.ready:
+            flat = np.concatenate(self.sets)
+            order = np.argsort(flat, kind="stable")
+            self.flat, self.owner = flat[order], np.repeat(np.arange(len(self.sets)), [len(s) for s in self.sets])[order]
+            self.size, self.label, self.simple = np.array([len(s) for s in self.sets]), np.array(self.labels), np.array(self.plain)
+            self.ready = True
+        e = np.frombuffer(row.elements, U)
+        lo, hi = np.searchsorted(self.flat, e, "left"), np.searchsorted(self.flat, e, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        shared = np.bincount(self.owner[at], minlength=len(self.sets))
+        share = shared / (self.size + len(e) - shared)
+        other = self.label != row.label
+        if row.counts:
+            sure, open_ = np.zeros(len(shared), bool), other & (shared > 0)
+        else:
+            sure, open_ = other & self.simple & (share >= SIMILARITY), other & ~self.simple & (shared > 0)
+        found = [self.ids[i] for i in np.flatnonzero(sure)]
+        w = _weights(e, row.counts)
+        return found + [self.ids[i] for i in np.flatnonzero(open_) if _similarity(self.sets[i], self.weights[i], e, w) >= SIMILARITY]
+
+
+def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    key, block = None, _Residents()
+    for b in batches:
+        found = []
+        for row in b.itertuples(index=False):
+            k = (row.key, row.block, row.load)
+            if k != key:
+                key, block = k, _Residents()
+            if not row.guest:
+                block.add(row)
+            elif block.ids:
+                found += [(row.id, i) for i in block.partners(row)]
+        links = forest(found)
+        yield pd.DataFrame([(u, v) for u, v in links.items() if u != v], columns=["u", "v"], dtype="int64")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
