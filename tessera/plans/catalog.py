@@ -278,7 +278,7 @@ _GRID = [0.05, 0.3, 0.5, 0.7]
 @query(f"""with recursive {RECORDS}, grid as (select unnest([0.05, 0.3, 0.5, 0.7])::double as "lambda"), sc as (select "lambda", scene_id, sum((match_type = 'tp' and pred_score >= "lambda")::int) as tp, sum((match_type = 'fp' and pred_score >= "lambda")::int) as fp,
       sum((match_type <> 'fp')::int) as gt from records cross join grid group by all)
     select "lambda", sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(gt - tp)::bigint as fn, sum(gt)::bigint as gt, round(sum(fp) / sum(tp + fp), 6) as fp_share, round(avg(case when tp + fp > 0 then fp / (tp + fp) end), 6) as fp_share_scene,
-      round(sum(tp) / sum(gt), 6) as recall, round(avg(case when gt > 0 then tp / gt end), 6) as recall_scene from sc group by lambda""")
+      round(sum(tp) / sum(gt), 6) as recall, round(avg(case when gt > 0 then tp / gt end), 6) as recall_scene from sc group by "lambda" """)
 def operating_readout(spark, sf_dir):
     r = C.operating_readout(records(spark, sf_dir).withColumnRenamed("scene_id", "scene"), _GRID)
     for c in ("fp_share", "fp_share_scene", "recall", "recall_scene"):
@@ -482,3 +482,186 @@ def macro_coverage(spark, sf_dir):
     a = C.strict_macro(by, roster, "class", "cov").select(F.lit("strict").alias("kind"), "n_classes", "n_defined", F.round("macro", 6).alias("macro"))
     b = C.supported_macro(by, roster, "class", "cov").select(F.lit("supported").alias("kind"), F.lit(4).cast("long").alias("n_classes"), "n_defined", F.round("macro", 6).alias("macro"))
     return a.unionByName(b)
+
+
+# ---- audits, names, splits, resampling ----------------------------------------------------------------------------------------
+
+from pyspark.sql import Window  # noqa: E402
+
+from ..functions import names as N  # noqa: E402
+from ..functions import windows as W  # noqa: E402
+from ..operators import audit as A  # noqa: E402
+from ..operators import splits as S  # noqa: E402
+
+
+@query(f"""with {OBJECTS}, k as (select image_id, gx, gy, "class", round_even(glw, 0)::double as kw, round_even(glh, 0)::double as kh, round_even(glt / 0.02, 0)::double as kt from objects where has_gt),
+    good as (select "class", kw, kh, kt from k group by all having count(distinct image_id) between 2 and 50),
+    g as (select k.* from k join good using ("class", kw, kh, kt))
+    select a.image_id as a, b.image_id as b, round_even((b.gx - a.gx) / 4, 0)::double as ox, round_even((b.gy - a.gy) / 4, 0)::double as oy, count(*)::bigint as votes from g a join g b using ("class", kw, kh, kt)
+    where a.image_id < b.image_id group by all having count(*) >= 1""")
+def geometric_hash_votes(spark, sf_dir):
+    return A.geometric_votes(ground_truth(spark, sf_dir), least_votes=1)
+
+
+_CENTROIDS = 'cen as (select image_id, round(avg(gx), 4) as x, round(avg(gy), 4) as y, count(*) as n from objects where has_gt group by image_id having count(*) >= 4)'
+
+
+def centroids(spark, sf_dir) -> DataFrame:
+    g = ground_truth(spark, sf_dir).groupBy("image_id").agg(F.round(F.avg("obb.cx"), 4).alias("x"), F.round(F.avg("obb.cy"), 4).alias("y"), F.count("*").alias("n"))
+    return g.where("n >= 4")
+
+
+@query(f"""with {OBJECTS}, {_CENTROIDS}, c as (select *, floor(x / 16) as i, floor(y / 16) as j from cen)
+    select a.image_id as a, b.image_id as b from c a join c b on abs(a.i - b.i) <= 1 and abs(a.j - b.j) <= 1 and a.image_id < b.image_id where least(a.n, b.n) >= 0.8 * greatest(a.n, b.n)""")
+def centroid_neighbours(spark, sf_dir):
+    return A.centroid_neighbours(centroids(spark, sf_dir))
+
+
+def chip_rows(spark, sf_dir) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return c.selectExpr("c_nationkey as panorama", "c_custkey as chip", "cast((c_custkey * 37) % 4000 as double) as x0", "cast((c_custkey * 91) % 4000 as double) as y0", "cast((c_custkey * 37) % 4000 + 300 as double) as x1", "cast((c_custkey * 91) % 4000 + 300 as double) as y1")
+
+
+@query("""with c as (select c_nationkey as panorama, c_custkey as chip, (c_custkey * 37) % 4000 as x0, (c_custkey * 91) % 4000 as y0 from customer)
+    select a.panorama, a.chip as a, b.chip as b from c a join c b on a.panorama = b.panorama and a.chip < b.chip and a.x0 < b.x0 + 300 and b.x0 < a.x0 + 300 and a.y0 < b.y0 + 300 and b.y0 < a.y0 + 300""")
+def overlapping_windows(spark, sf_dir):
+    return A.overlapping_windows(chip_rows(spark, sf_dir))
+
+
+@query("""with recursive c as (select c_nationkey as panorama, c_custkey as chip, (c_custkey * 37) % 4000 as x0, (c_custkey * 91) % 4000 as y0 from customer),
+    p as (select a.chip as a, b.chip as b from c a join c b on a.panorama = b.panorama and a.chip < b.chip and a.x0 < b.x0 + 300 and b.x0 < a.x0 + 300 and a.y0 < b.y0 + 300 and b.y0 < a.y0 + 300),
+    e as (select a as u, b as v from p union select b, a from p), walk as (select distinct u as chip, u as root from e union select e.v, w.root from walk w join e on e.u = w.chip)
+    select chip, min(root) as component from walk group by chip""")
+def overlap_components(spark, sf_dir):
+    from ..operators.graph import components
+
+    p = A.overlapping_windows(chip_rows(spark, sf_dir))
+    return components(p.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("id").alias("chip"), F.col("label").alias("component"))
+
+
+@query("""with f as (select o_custkey as recording, o_orderkey as frame, (o_orderkey / 7)::bigint as n from orders), l as (select recording, frame, n, lead(frame) over w as b, lead(n) over w as n2 from f window w as (partition by recording order by n, frame))
+    select recording, frame as a, b from l where n2 = n + 1""")
+def adjacent_frames(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    f = o.select(F.col("o_custkey").alias("recording"), F.col("o_orderkey").alias("frame"), F.round(F.col("o_orderkey") / 7).cast("bigint").alias("n"))
+    return A.adjacent(f, "recording", "n", "frame")
+
+
+@query(f"""with {OBJECTS}, s as (select image_id, string_agg("class" || ':' || round_even(glw, 0)::bigint::varchar, '|' order by "class" || ':' || round_even(glw, 0)::bigint::varchar) as items from objects where has_gt group by image_id)
+    select sha256(items) as signature, count(*)::bigint as n, min(image_id) as first_image from s group by items having count(*) > 1""")
+def repeated_annotation_sets(spark, sf_dir):
+    from ..functions.boxes import canonical
+
+    g = ground_truth(spark, sf_dir)
+    item = F.concat_ws(":", "class", F.rint(canonical(F.col("obb"))["w"]).cast("bigint").cast("string"))
+    sets = g.groupBy("image_id").agg(F.array_join(F.array_sort(F.collect_list(item)), "|").alias("items"))
+    return sets.groupBy("items").agg(F.count("*").alias("n"), F.min("image_id").alias("first_image")).where("n > 1").select(F.sha2("items", 256).alias("signature"), "n", "first_image")
+
+
+@query("""with r as (select c_custkey, sha256('tessera' || chr(0) || c_name) as h, c_name, c_mktsegment from customer), o as (select *, row_number() over (partition by c_mktsegment order by h, c_name) as r, count(*) over (partition by c_mktsegment) as n from r)
+    select c_custkey, c_mktsegment, case when r <= floor(n / 2) then 'calibration' else 'eval' end as role from o""")
+def hash_roles(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return S.hash_roles(c, "tessera", "c_name", ["c_mktsegment"]).select("c_custkey", "c_mktsegment", "role")
+
+
+@query("""select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, l_partkey, l_suppkey, regexp_extract(regexp_replace(regexp_replace('a/b/S' || l_orderkey || '__1024__' || l_linenumber || '___0.png', '^.*[/\\\\]', ''), '\\.[^.]*$', ''), '^([^_]+(?:_[^_]+)*?)(?:__\\d+__.*)?$', 1) as scene,
+    case when l_linenumber % 2 = 0 then (l_linenumber * 10)::varchar || 'm_' || (l_suppkey % 90)::varchar || 'deg' else 'unknown' end as condition from lineitem""")
+def scene_and_condition(spark, sf_dir):
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    s = lambda c: F.col(c).cast("string")
+    image = F.concat(F.lit("a/b/S"), s("l_orderkey"), F.lit("__1024__"), s("l_linenumber"), F.lit("___0.png"))
+    frame = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("day_park_"), (F.col("l_linenumber") * 10).cast("string"), F.lit("m_"), (F.col("l_suppkey") % 90).cast("string"), F.lit("c_frame_1"))).otherwise("x_frame_2")
+    return line.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_partkey", "l_suppkey", N.scene_of_crop(image).alias("scene"), N.condition_of(frame).alias("condition"))
+
+
+@query("""select p_partkey, lower(trim(p_type)) as class, split_part(p_name, ' ', 1) as token, nullif(regexp_replace(p_brand, '\\D', '', 'g'), '')::bigint as number from part""")
+def name_normalisation(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select("p_partkey", N.class_name(F.col("p_type")).alias("class"), N.first_token(F.col("p_name")).alias("token"), N.frame_number(F.col("p_brand")).alias("number"))
+
+
+@query("""with p as (select c_custkey as picture, (600 + (c_custkey * 37) % 3000)::int as width, (500 + (c_custkey * 91) % 2500)::int as height from customer),
+    x as (select *, unnest(list_distinct(list_transform(range(0, case when width <= 1024 then 1 else ceil((width - 1024) / 512.0)::int + 1 end), lambda i: least(i * 512, greatest(width - 1024, 0))))) as x0 from p),
+    y as (select *, unnest(list_distinct(list_transform(range(0, case when height <= 1024 then 1 else ceil((height - 1024) / 512.0)::int + 1 end), lambda i: least(i * 512, greatest(height - 1024, 0))))) as y0 from x),
+    s as (select picture, x0, y0, least(1024, width - x0) * least(1024, height - y0) / 1048576.0::double as share from y), b as (select *, max(share) over (partition by picture) as best from s)
+    select picture, x0::int as x0, y0::int as y0, round(share, 6) as share from b where share > 0.6 or (best <= 0.6 and share >= best - 0.01)""")
+def tile_windows(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    p = c.selectExpr("c_custkey as picture", "cast(600 + (c_custkey * 37) % 3000 as int) as width", "cast(500 + (c_custkey * 91) % 2500 as int) as height")
+    return W.tile_windows(p).withColumn("share", F.round("share", 6))
+
+
+@query("""select o_custkey, count(distinct o_orderstatus)::bigint as splits from orders group by o_custkey having count(distinct o_orderstatus) > 1""")
+def leaked_sources(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey"), F.col("o_orderstatus").alias("split"))
+    return A.leaked_sources(o, "o_custkey")
+
+
+@query(f"""with {SCORES}, r as (select *, plw * plh as area, plw / plh as ratio from scores), q as (select quantile_cont(area, 0.25) as a1, quantile_cont(area, 0.5) as a2, quantile_cont(area, 0.75) as a3, quantile_cont(conf, 0.25) as c1, quantile_cont(conf, 0.5) as c2, quantile_cont(conf, 0.75) as c3 from r),
+    l as (select 'size' as dimension, (area > a1)::int + (area > a2)::int + (area > a3)::int as band, score from r, q union all select 'confidence', (conf > c1)::int + (conf > c2)::int + (conf > c3)::int, score from r, q)
+    select dimension, band::int as band, count(*)::bigint as n, round(avg(score), 6) as mean_score, round(quantile_cont(score, 0.5), 6) as median_score from l group by all""")
+def strata_table(spark, sf_dir):
+    p = B.canonical(F.col("pred"))
+    rows = gwd_scores(spark, sf_dir).select("score", "conf", (p["w"] * p["h"]).alias("area"))
+    s = A.strata(rows, {"size": "area", "confidence": "conf"})
+    return s.groupBy("dimension", "band").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.percentile("score", F.lit(0.5)), 6).alias("median_score"))
+
+
+@query(f"""with {SCORES} select "class", round(avg(score), 6) as mean, round(stddev_samp(score), 6) as sd, round(quantile_cont(score, 0.025), 6) as q025, round(quantile_cont(score, 0.5), 6) as q500, round(quantile_cont(score, 0.975), 6) as q975,
+    round(min(score), 6) as low, round(max(score), 6) as high, count(*)::bigint as n, 0::bigint as missing from scores group by "class" """)
+def describe_scores(spark, sf_dir):
+    d = C.describe(gwd_scores(spark, sf_dir), ["class"], "score").drop("mcse")
+    for c in ("mean", "sd", "q025", "q500", "q975", "low", "high"):
+        d = d.withColumn(c, F.round(c, 6))
+    return d
+
+
+@query(f"""with {SCORES}, {HCP}, ev as (select scene, sum((s.score <= h.q)::int) as hits, count(*) as n from scores s join hcp h on s."class" = h."class" where role = 'eval' group by scene),
+    w as (select scene, draw, ('0x' || substr(sha256('boot:' || draw || ':' || scene), 1, 8))::bigint / 4294967296.0::double as u, hits, n from ev, (select unnest(range(0, 20)) as draw)),
+    m as (select *, (u >= 0.36787944117144233)::int + (u >= 0.7357588823428847)::int + (u >= 0.9196986029286058)::int + (u >= 0.9810118431238462)::int + (u >= 0.9963401531726563)::int + (u >= 0.9994058151824183)::int as mult from w),
+    d as (select draw, sum(mult * hits)::double / sum(mult * n) as v from m group by draw)
+    select round(quantile_cont(v, 0.025), 6) as low, round(quantile_cont(v, 0.975), 6) as high, count(*)::bigint as n, 'complete' as status from d""")
+def bootstrap_interval(spark, sf_dir):
+    s = gwd_scores(spark, sf_dir)
+    q = T.class_thresholds(s.where("role = 'cal'"), 0.1, "hcp").withColumnRenamed("q_hat", "q")
+    scenes = C.covered(s.where("role = 'eval'"), q, ["class"]).groupBy("scene").agg(F.sum(F.col("covered").cast("bigint")).alias("hits"), F.count("*").alias("n"))
+    w = S.hash_weights(scenes, 20, "boot", "scene")
+    d = w.groupBy("draw").agg((F.sum(F.col("mult") * F.col("hits")) / F.sum(F.col("mult") * F.col("n"))).alias("value"))
+    r = S.interval(d, [])
+    return r.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "n", "status")
+
+
+@query()
+def resampled_scenes(spark, sf_dir):
+    roles = objects(spark, sf_dir).select("scene_id", "role").distinct()
+    return S.resampled(spark, roles, 10, 7).groupBy("draw").agg(F.count("*").alias("scenes"), F.sum("mult").alias("copies"))
+
+
+@query()
+def repeated_splits(spark, sf_dir):
+    scenes = objects(spark, sf_dir).select("scene_id").distinct()
+    return S.repeated(spark, scenes, 5).groupBy("repeat", "role").agg(F.count("*").alias("scenes"))
+
+
+@query("""with t as (select l_orderkey as tile, l_partkey as query, 1 / (1 + exp(-(l_discount * 20 - 1))) as p, l_quantity, l_suppkey, l_linenumber, row_number() over (partition by l_orderkey order by 1 / (1 + exp(-(l_discount * 20 - 1))) desc, l_partkey, l_suppkey, l_linenumber, l_quantity) as r from lineitem)
+    select tile, "query", round(p, 6) as p, r::int as r from t where r <= 3""")
+def top_scores_per_tile(spark, sf_dir):
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rows = line.select(F.col("l_orderkey").alias("tile"), F.col("l_partkey").alias("query"), B.sigmoid(F.col("l_discount") * 20 - 1).alias("p"), "l_suppkey", "l_linenumber", "l_quantity")
+    w = Window.partitionBy("tile").orderBy(F.col("p").desc(), "query", "l_suppkey", "l_linenumber", "l_quantity")
+    return rows.withColumn("r", F.row_number().over(w)).where("r <= 3").select("tile", "query", F.round("p", 6).alias("p"), "r")
+
+
+@query(f"""with recursive {RECORDS}, t as (select image_id, det_idx, gt_idx from matches where iou >= 0.5)
+    select (select count(*) from (select image_id, det_idx, gt_idx from matches intersect select * from t))::bigint as shared, (select count(*) from (select image_id, det_idx, gt_idx from matches except select * from t))::bigint as only_a, 0::bigint as only_b""")
+def population_difference(spark, sf_dir):
+    m = M.greedy(M.candidates(detections(spark, sf_dir), ground_truth(spark, sf_dir), 0.3))
+    return M.match_difference(m, m.where("iou >= 0.5"), ["image_id", "det_idx", "gt_idx"])
+
+
+@query("""select r_name, n_name, count(*)::bigint as n, round(sum(c_acctbal), 2) as balance from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by grouping sets ((r_name, n_name), (r_name), ())""")
+def grouped_audit(spark, sf_dir):
+    t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    rows = t("customer").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.rollup("r_name", "n_name").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
