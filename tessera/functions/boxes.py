@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 PI, HALF = math.pi, math.pi / 2
 #: Sides below one pixel are raised to it where a Gaussian must be invertible.
@@ -253,7 +254,7 @@ def common_area(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, (pieces(a, b, 1e-9) + pieces(b, a, -1e-9)) / 2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _iou(ax: pd.Series, ay: pd.Series, aw: pd.Series, ah: pd.Series, at: pd.Series, bx: pd.Series, by: pd.Series, bw: pd.Series, bh: pd.Series, bt: pd.Series) -> pd.Series:
     a, b = np.array([ax, ay, aw, ah, at], float), np.array([bx, by, bw, bh, bt], float)
     with np.errstate(all="ignore"):

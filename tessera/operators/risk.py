@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.boxes import kl_bernoulli
 
@@ -54,7 +55,7 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
     return min(1.0, total) if low else max(0.0, 1.0 - total)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _binomial(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series([binomial_cdf(int(a), int(b), float(c)) for a, b, c in zip(k, n, p)])
 
