@@ -21,11 +21,11 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from .common import session
+from .common import frugal, session
 from .words import chunks
 
 #: Trie nodes and remembered pieces of one Python worker before both start afresh.
-MOST_NODES, MOST_PIECES, LONGEST_PIECE = 800_000, 1_000_000, 48
+MOST_NODES, MOST_PIECES, LONGEST_PIECE = 600_000, 500_000, 48
 # Fixed values of the vocabulary format.
 SPECIAL = regex.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
@@ -182,6 +182,7 @@ class Bpe:
             self.pieces.pop(p, None)
 
 
+@frugal
 def _encode(batches: Iterator[pd.DataFrame], definition) -> Iterator[pd.DataFrame]:
     bpe = Bpe(definition.value)
     for b in batches:
@@ -191,6 +192,7 @@ def _encode(batches: Iterator[pd.DataFrame], definition) -> Iterator[pd.DataFram
             yield pd.DataFrame({"doc_id": b.doc_id.iloc[lo:hi].to_numpy(), "ids": [r[0] for r in rows], "decoded": [r[1] for r in rows]})
 
 
+@frugal
 def _digest(batches: Iterator[pd.DataFrame], definition) -> Iterator[pd.DataFrame]:
     sha = lambda x: hashlib.sha256(x).hexdigest()
     for b in _encode(batches, definition):

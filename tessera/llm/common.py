@@ -2,48 +2,45 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import contextlib
+import ctypes
+import functools
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_path, stored  # noqa: F401
+
 #: Rows of one Arrow batch. Very long texts make batches large, so few rows travel together.
 BATCH_ROWS = 512
 
 
-def session(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches of Python stages; everything else stays as the cluster set it."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark
-
+def tidy() -> None:
+    """Give freed memory back to the system: idle workers and the driver share the machine with others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="tessera-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
 
+def frugal(f):
+    """A batch function that gives its memory back when its task ends."""
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessera/{uuid.uuid4().hex}/{name}"
+    @functools.wraps(f)
+    def run(batches, *args, **more):
+        try:
+            yield from f(batches, *args, **more)
+        finally:
+            tidy()
 
+    return run
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs a re-read, never a recomputation.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def session(spark: SparkSession) -> SparkSession:
+    """Bound the Arrow batches of Python stages; everything else stays as the cluster set it."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

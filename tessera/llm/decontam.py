@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session
+from .common import frugal, session
 from .words import U, chunks
 
 Q, WINDOW, RATE = 10, 96, 0.08
@@ -169,6 +169,7 @@ def joined(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, i
     return out
 
 
+@frugal
 def _scan(batches: Iterator[pd.DataFrame], blocks) -> Iterator[pd.DataFrame]:
     windows = Windows(blocks)
     for b in batches:
@@ -176,6 +177,7 @@ def _scan(batches: Iterator[pd.DataFrame], blocks) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "edits"])
 
 
+@frugal
 def _drop(batches: Iterator[pa.RecordBatch], blocks) -> Iterator[pa.RecordBatch]:
     windows = Windows(blocks)
     for b in batches:

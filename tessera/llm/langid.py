@@ -19,8 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import session, stored
-from .learn import among
+from .common import frugal, session, stored
+from .learn import flagged
 from .words import U, chunks
 
 GRAM, GRAMS, MOST = 4, 1 << 16, 400
@@ -49,6 +49,7 @@ def grams(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return ((code[at].astype(U) * U(0x9E3779B97F4A7C15)) >> U(48)).astype(np.int64), offsets
 
 
+@frugal
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total: dict[str, np.ndarray] = {}
     for b in batches:
@@ -80,6 +81,7 @@ def fit(texts: DataFrame) -> tuple[list[str], np.ndarray]:
     return [*langs, UNKNOWN], np.log(share).astype(np.float32)
 
 
+@frugal
 def _likelihood(batches: Iterator[pd.DataFrame], table, pages: bool) -> Iterator[pd.DataFrame]:
     for b in batches:
         texts = b.text.tolist()
@@ -174,6 +176,6 @@ def recognised(docs: DataFrame, model: tuple, least: float = 0.5) -> DataFrame:
     """
     found = identified(document_rows(docs), model, False)
     gone = stored(found.where((F.col("lang") == UNKNOWN) | (F.col("posterior") < least)).where("row is not null").select("row").distinct(), "gone")
-    doubt = F.coalesce(F.col("doc_id").isNotNull() & among("doc_id", gone), F.lit(False))
-    rest = docs.where(doubt).join(gone, docs.doc_id == gone.row, "left_anti").select(docs.columns)
-    return docs.where(~doubt).unionByName(rest)
+    rows = flagged(docs, "doc_id", gone, "_doubt")
+    rest = rows.where("_doubt").join(gone.withColumnRenamed("row", "_row"), F.col("doc_id") == F.col("_row"), "left_anti").select(docs.columns)
+    return rows.where("not _doubt").select(docs.columns).unionByName(rest)

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import remainder
 
-#: Bits of the id filter that spares unlabelled texts the shuffle; more ids only make it let more pass.
-FILTER_BITS = 1 << 24
+#: Bits per id of the filter that spares other texts a shuffle, and the most bits (as a power of 2; 16 MB).
+FILTER_SHARE, MOST_BITS = 32, 27
 
 
 def logistic(x: np.ndarray, y: np.ndarray, shrink: float = 1e-2) -> tuple[float, float]:
@@ -40,26 +39,28 @@ def training(labels: DataFrame, column: str, base: int, held: int) -> DataFrame:
     return own.where(remainder("doc_id", base) != held).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
 
 
-def among(column: str, ids: DataFrame):
-    """A predicate true of every id in ``ids`` (one column, long) and of few others: a bitmap of bounded size."""
-    bit = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS))
-    name = "id" if "id" in ids.columns else ids.columns[0]
-    words = ids.select(bit(name).alias("bit")).groupBy(F.expr("shiftright(bit, 5)").alias("word"))
-    found = words.agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("bits")).toPandas()
-    table = np.zeros(FILTER_BITS // 32, np.uint32)
-    table[found.word.to_numpy(np.int64)] = found.bits.to_numpy(np.int64)
+def flagged(rows: DataFrame, column: str, ids: DataFrame, flag: str) -> DataFrame:
+    """``rows`` with a boolean ``flag``: true of every id in ``ids`` (one column, long) and of few others.
+
+    A bitmap over hashed ids is broadcast: FILTER_SHARE bits an id, and never more than MOST_BITS.
+    """
+    bits = 1 << min(MOST_BITS, max(16, (FILTER_SHARE * max(1, ids.count())).bit_length()))
+    bit = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
+    words = ids.select(bit(ids.columns[0]).alias("_bit")).groupBy(F.expr("shiftright(_bit, 6)").alias("_word"))
+    words = words.agg(F.expr("bit_or(shiftleft(1L, cast(_bit % 64 as int)))").alias("_bits"))
+    marked = rows.withColumn("_bit", bit(column)).withColumn("_word", F.expr("shiftright(_bit, 6)")).join(F.broadcast(words), "_word", "left")
+    hit = F.expr("coalesce(shiftrightunsigned(_bits, cast(_bit % 64 as int)) & 1 = 1, false)") & F.col(column).isNotNull()
+    return marked.withColumn(flag, hit).drop("_bit", "_word", "_bits")
 
-    @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
-        at = h.to_numpy(np.int64)
-        return pd.Series((table[at >> 5] >> (at & 31)) & 1 == 1)
 
-    return maybe(bit(column))
+def among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id is in ``ids``, and few others."""
+    return flagged(rows, column, ids, "_in").where("_in").drop("_in")
 
 
 def labelled(docs: DataFrame, train: DataFrame) -> DataFrame:
     """text and label of the rows of ``docs`` that ``train`` names; the filter spares most others the shuffle."""
-    own = docs.select("doc_id", "text").where("doc_id is not null").where(among("doc_id", train.select("doc_id")))
+    own = among(docs.select("doc_id", "text"), "doc_id", train.select("doc_id"))
     return own.join(train, "doc_id").select("text", "label")
 
 

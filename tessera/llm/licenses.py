@@ -16,7 +16,7 @@ from functools import partial
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import session
+from .common import frugal, session
 
 GAP = 2
 # Sentences of public licence notices.
@@ -114,6 +114,7 @@ class Catalogue:
         return sorted(out, key=lambda m: m[2])
 
 
+@frugal
 def _scan(batches: Iterator[pd.DataFrame], sentences, rules) -> Iterator[pd.DataFrame]:
     catalogue = Catalogue(sentences, rules)
     for b in batches:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session, stored
+from .common import frugal, session, stored
 from .components import components, forest
 from .learn import among
 from .words import GOLDEN, U, WordCache, chunks, hash64, mix, shingles, token_hashes
@@ -87,6 +87,7 @@ def probability_jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return float(np.sum(1.0 / (above[cut] / x[i] + below[cut] / y[i])))
 
 
+@frugal
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cache = WordCache(hash64)
     for b in batches:
@@ -108,6 +109,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"doc_id": b.doc_id.iloc[lo:hi].to_numpy(), "copy": [r[0] for r in rows], "bands": [r[1] for r in rows], "registers": [r[2] for r in rows]})
 
 
+@frugal
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cache = WordCache(hash64)
     for b in batches:
@@ -124,6 +126,7 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             })
 
 
+@frugal
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         found = []
@@ -134,6 +137,7 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
 
+@frugal
 def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         if len(b):
@@ -152,7 +156,7 @@ def _links(pairs: DataFrame, docs: DataFrame, registers: DataFrame, name: str) -
 
 def _shingle_sets(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """(id, elements, counts) of the texts whose id is in ``ids``, and of few others."""
-    own = docs.select(F.col("doc_id").alias("id"), "text").where("text is not null").where(among("id", ids))
+    own = among(docs.select(F.col("doc_id").alias("id"), "text").where("text is not null"), "id", ids)
     sets = stored(own.mapInPandas(_sets, "id long, elements binary, counts binary"), f"{name}_sets")
     return sets.dropDuplicates(["id"]) if _repeats(sets) else sets
 
@@ -268,6 +272,7 @@ class _Residents:
         return found + [self.ids[i] for i in np.flatnonzero(open_) if _similarity(self.sets[i], self.weights[i], e, w) >= SIMILARITY]
 
 
+@frugal
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     key, block = None, _Residents()
     for b in batches:
@@ -303,7 +308,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bands = own.select("id", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band")
     met = stored(bands.join(shared, "band").select("band", "id").distinct(), "met")
-    registers = own.select("id", "registers").where(among("id", met)).dropDuplicates(["id"])
+    registers = among(own.select("id", "registers"), "id", met.select("id")).dropDuplicates(["id"])
     links = _joined(met, docs, stored(registers, "registers"))
 
     same = worded.select("doc_id", "copy").join(classes, "copy").select("doc_id", "rep", "copies")

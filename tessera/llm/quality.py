@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, session
+from .common import frugal, remainder, session, tidy
 from .learn import labelled, logistic, sampled, training
 from .words import GOLDEN, U, WordCache, chunks, hash64, mix, token_hashes
 
@@ -65,6 +65,7 @@ def indicators(texts: list, words: WordCache, shapes: WordCache) -> tuple[np.nda
     return key // FEATURES, key % FEATURES
 
 
+@frugal
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     words, shapes = WordCache(hash64), WordCache(lambda w: hash64(shape(w)))
     total = np.zeros((2, FEATURES), np.int64)
@@ -78,6 +79,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"feature": f, "bad": total[0, f], "good": total[1, f]})
 
 
+@frugal
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     words, shapes = WordCache(hash64), WordCache(lambda w: hash64(shape(w)))
     for b in batches:
@@ -88,6 +90,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"label": b.label.iloc[lo:hi].to_numpy(), "features": [f[a:z].astype(np.uint32).tobytes() for a, z in zip(cut[:-1], cut[1:])]})
 
 
+@frugal
 def _score(batches: Iterator[pd.DataFrame], model) -> Iterator[pd.DataFrame]:
     words, shapes = WordCache(hash64), WordCache(lambda w: hash64(shape(w)))
     ratio, weight, slope, level = model
@@ -106,7 +109,7 @@ def _score(batches: Iterator[pd.DataFrame], model) -> Iterator[pd.DataFrame]:
 
 def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, seed: int = 7) -> np.ndarray:
     """Weights of the hinge-loss SVM over unit-length scaled rows, by dual coordinate descent."""
-    values = [ratio[f] / max(1e-6, float(np.sqrt(np.sum(ratio[f] ** 2)))) for f in rows]
+    values = [(ratio[f] / max(1e-6, float(np.sqrt(np.sum(ratio[f] ** 2))))).astype(np.float32) for f in rows]
     squares = np.array([float(v @ v) for v in values])
     w, alpha, rng = np.zeros(FEATURES), np.zeros(len(rows)), np.random.default_rng(seed)
     for _ in range(EPOCHS):
@@ -145,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", base: int =
         share = (y.sum() + 1) / (len(y) + 2)
         return ratio, np.zeros(FEATURES), 0.0, float(np.log(share / (1 - share)))
     order = np.argsort([hash64(bytes(b).hex()) for b in rows.features], kind="stable")
-    lists = [np.frombuffer(rows.features[i], np.uint32).astype(np.int64) for i in order]
+    lists = [np.frombuffer(rows.features[i], np.uint32) for i in order]
     y = y[order]
     third = max(1, len(y) // 3)
     margin = lambda w, fs: np.array([float(w[f] @ ratio[f]) / max(1e-6, float(np.sqrt(np.sum(ratio[f] ** 2)))) for f in fs])
@@ -153,7 +156,10 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", base: int =
     if len(np.unique(y[:third])) == 2 and len(np.unique(y[third:])) == 2:
         first = descend(lists[third:], 2 * y[third:] - 1, ratio)
         slope, level = logistic(margin(first, lists[:third]), y[:third])
-    return ratio, descend(lists, 2 * y - 1, ratio), slope, level
+    weight = descend(lists, 2 * y - 1, ratio)
+    del rows, lists
+    tidy()
+    return ratio, weight, slope, level
 
 
 def scored(docs: DataFrame, model: tuple) -> DataFrame:

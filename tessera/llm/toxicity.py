@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, session
+from .common import frugal, remainder, session
 from .learn import labelled, logistic, sampled, training
 from .words import U, WordCache, chunks, hash64, token_hashes
 
@@ -64,6 +64,7 @@ def _tokens(texts: list, cache: WordCache) -> tuple[np.ndarray, np.ndarray]:
     return flat.astype(np.int64), offsets
 
 
+@frugal
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cache, total = WordCache(token), np.zeros((2, TOKENS), np.int64)
     for b in batches:
@@ -86,6 +87,7 @@ def _found(texts: list, cache: WordCache, scores: np.ndarray) -> Iterator[tuple[
             yield int(z - a), segments(s[a:z])
 
 
+@frugal
 def _best(batches: Iterator[pd.DataFrame], scores) -> Iterator[pd.DataFrame]:
     cache = WordCache(token)
     for b in batches:
@@ -101,6 +103,7 @@ def evidence(n: int, sums: list[float], rate: float, scale: float) -> float:
     return float(max(level.max(), level[level > -np.log(EXPECTED)].sum()))
 
 
+@frugal
 def _judge(batches: Iterator[pd.DataFrame], model) -> Iterator[pd.DataFrame]:
     scores, rate, scale, slope, level = model
     cache = WordCache(token)

@@ -21,7 +21,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import session
+from .common import frugal, session
 
 RANGE, READ, FILE_BYTES = 8 << 20, 1 << 20, 64 << 20
 MAGIC = b"\x1f\x8b\x08"
@@ -72,6 +72,7 @@ def record(page_id, url, payload: bytes, refers) -> bytes:
     return squeeze.compress(text + body + b"\r\n\r\n") + squeeze.flush()
 
 
+@frugal
 def _write(batches: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFrame]:
     """A task's records go to files of its own name; only finished files get their final name."""
     fs, base = opened(folder)
@@ -209,6 +210,7 @@ def parsed(file: str, offset: int, content: bytes) -> tuple:
     return (file, offset, low.get("warc-record-id"), kind, low.get("warc-target-uri"), number("warc-page-id"), sha, int(size) if size is not None else None, number("warc-refers-to-page-id"), h, payload)
 
 
+@frugal
 def _read(batches: Iterator[pd.DataFrame], payloads: bool) -> Iterator[pd.DataFrame]:
     names = [c.strip().split(" ")[0] for c in RECORDS.replace("map<string,string>", "map").split(",")]
     frame = lambda rows: pd.DataFrame(rows, columns=names, dtype=object)
