@@ -665,3 +665,105 @@ def grouped_audit(spark, sf_dir):
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     rows = t("customer").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
     return rows.rollup("r_name", "n_name").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+# ---- batch geometry, simulation, streams, records ------------------------------------------------------------------------------
+
+from ..functions import arrow as AR  # noqa: E402
+from ..operators import simulate as SIM  # noqa: E402
+from ..sources import annotations as ANN  # noqa: E402
+from ..sources import records as REC  # noqa: E402
+from ..streaming import monitor as MON  # noqa: E402
+
+
+@query()
+def single_precision_margins(spark, sf_dir):
+    return pairs(spark, sf_dir).select("idx", "image_id", F.round(AR.single_precision_margin(F.col("pred"), F.col("gt")), 3).alias("margin"))
+
+
+@query()
+def grown_polygons(spark, sf_dir):
+    r = AR.grown_readout(F.col("pred"), F.col("gt"), F.lit(3.0))
+    return pairs(spark, sf_dir).select("idx", "image_id", r.alias("r")).select("idx", "image_id", "r.covered", F.round("r.area", 2).alias("area"), F.round("r.radius", 3).alias("radius"))
+
+
+@query(f"""with {PAIRS}, {CORNERS} select idx, image_id, round(glw, 3) as w, round(glh, 3) as h, round(gx, 3) as cx, round(gy, 3) as cy from corners""")
+def boxes_of_corners(spark, sf_dir):
+    xy = F.array(*[v for p in B.corners(B.canonical(F.col("gt"))) for v in p])
+    r = pairs(spark, sf_dir).select("idx", "image_id", AR.rectangle_of(xy).alias("r"))
+    return r.select("idx", "image_id", *[F.round(F.col("r")[c], 3).alias(c) for c in ("w", "h", "cx", "cy")])
+
+
+@query()
+def certified_regions(spark, sf_dir):
+    q = T.class_thresholds(gwd_scores(spark, sf_dir).where("role = 'cal'"), 0.1, "hcp").select("class", F.col("q_hat").alias("q"))
+    d = detections(spark, sf_dir)
+    centre = B.centre_envelope(F.col("obb"), F.col("q"))
+    return d.join(F.broadcast(q), "class", "left").select("idx", "image_id", "class", F.round("q", 6).alias("q"), centre.alias("c"), B.half_extent(B.canonical(F.col("obb"))["w"], B.canonical(F.col("obb"))["h"], F.col("q")).alias("half_extent"))
+
+
+@query()
+def simulated_calibration(spark, sf_dir):
+    s = SIM.simulated(spark, 4, [0, 4, 12])
+    return C.repeated_summary(s, ["condition", "method"], "cov_scene")
+
+
+@query()
+def familywise_error_rate(spark, sf_dir):
+    e = SIM.familywise_errors(spark, [[0.0, 0.2, 0.4], [0.1, 0.3, 0.5]], [0.3, 0.4, 0.3], 400, 0.25, 0.05, 2000)
+    return e.agg(F.count("*").alias("draws"), F.sum("errors").alias("errors"))
+
+
+@query()
+def coverage_matched_levels(spark, sf_dir):
+    rows = naive_rows(spark, sf_dir).where("role <> 'design'")
+    return SIM.matched_level(rows, 0.9, _COORDS, ["class"]).withColumn("alpha", F.round("alpha", 6)).withColumn("coverage", F.round("coverage", 6))
+
+
+@query("""with q as (select event_type as class, quantile_cont(value, 0.9) as q from events group by event_type)
+    select date_trunc('hour', ts) as start, event_type as class, count(*)::bigint as n, round(avg((value <= q)::int), 6) as covered from events join q on event_type = class group by all""")
+def coverage_by_hour(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("class"), F.col("value").alias("score"))
+    q = e.groupBy("class").agg(F.percentile("score", F.lit(0.9)).alias("q"))
+    r = MON.coverage_windows(e, q)
+    return r.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "class", "n", F.round("covered", 6).alias("covered"))
+
+
+@query("""with e as (select user_id, ts, case when ts - lag(ts) over w < interval 30 minutes then 0 else 1 end as fresh from events window w as (partition by user_id order by ts)),
+    s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from e)
+    select user_id, min(ts) as start, count(*)::bigint as n from s group by user_id, k""")
+def event_sessions(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    return MON.sessions(e).select("user_id", F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("""select 'image_id missing' as problem, 0::bigint as n where false union all select 'negative side', count(*)::bigint from part where p_size > 45 union all select 'score missing', count(*)::bigint from part where p_size <= 5""")
+def record_violations(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    d = lambda v: F.lit(float(v))
+    rows = p.select(F.col("p_partkey").cast("string").alias("image_id"), F.col("p_type").alias("class"), F.array(d(1), d(1), F.when(F.col("p_size") > 45, d(-1)).otherwise(d(1)), d(1), d(0)).alias("obb"), F.when(F.col("p_size") > 5, d(0.5)).alias("score"))
+    return REC.violations(rows, True).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@query("""with s as (select o_orderkey as tile_index, (o_orderkey % 4 + (o_orderkey % 97 = 0)::int)::bigint as shard from orders where o_orderkey % 101 <> 0)
+    select 'wrong shard' as problem, count(*)::bigint as n from s where tile_index % 4 <> shard having count(*) > 0 union all select 'missing tile', count(distinct o_orderkey)::bigint from orders where o_orderkey % 101 = 0 having count(*) > 0""")
+def shard_audit(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    s = o.where("o_orderkey % 101 <> 0").selectExpr("o_orderkey as tile_index", "o_orderkey % 4 + cast(o_orderkey % 97 = 0 as bigint) as shard")
+    return ANN.shard_problems(s, o.select(F.col("o_orderkey").alias("tile_index")), 4)
+
+
+@query("""with t as (select l_orderkey as tile, l_partkey as q, l_suppkey, array_value(l_quantity, l_tax * 100, l_discount * 100)::double[] as x from lineitem)
+    select count(*)::bigint as cells from (select tile, row_number() over (partition by tile) as r from (select tile, unnest(x) from t)) where r <= 5""")
+def logit_cells(spark, sf_dir):
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rows = line.select(F.col("l_orderkey").alias("tile"), F.col("l_partkey").alias("query"), F.array("l_quantity", F.col("l_tax") * 100, F.col("l_discount") * 100).alias("logits"))
+    return ANN.logits_to_detections(rows, 5).agg(F.count("*").alias("cells"))
+
+
+@query(f"""with {SCORES}, r as (select *, row_number() over (partition by "class" order by score, idx, image_id) as r, count(*) over (partition by "class") as n from scores)
+    select "class", floor(3 * (r - 1) / n)::int as tertile, count(*)::bigint as n, round(min(score), 6) as low, round(max(score), 6) as high from r group by all""")
+def rank_tertiles(spark, sf_dir):
+    s = gwd_scores(spark, sf_dir)
+    t = s.withColumn("tertile", A.rank_tertile(F.col("score"), "idx", "image_id", by=["class"]))
+    return t.groupBy("class", "tertile").agg(F.count("*").alias("n"), F.round(F.min("score"), 6).alias("low"), F.round(F.max("score"), 6).alias("high"))
