@@ -8,26 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def committed(spark: SparkSession, path: str) -> list[int]:
-    """Blocks that are there."""
+def committed(spark: SparkSession, path: str) -> dict[int, int]:
+    """Blocks that are there, with the draws each holds."""
     try:
-        return sorted(r[0] for r in spark.read.parquet(path).select("block").distinct().collect())
+        return {r.block: r.n for r in spark.read.parquet(path).groupBy("block").agg(F.countDistinct("draw").alias("n")).collect()}
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return []
+            return {}
         raise
 
 
 def run_blocks(spark: SparkSession, path: str, draws: int, per_block: int, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Make the missing blocks with ``make`` (a frame of draws to a frame with draw), and read all.
 
-    A block that broke off is made again and replaces what it left; draws are seeded, so the table is the same
-    however often it was resumed.
+    A block that broke off or grew is made again and replaces what is there; draws are seeded, so the table is the
+    same however often it was resumed.
     """
-    have = set(committed(spark, path))
+    have = committed(spark, path)
     for block in range((draws + per_block - 1) // per_block):
-        if block not in have:
-            ids = spark.range(block * per_block, min(draws, (block + 1) * per_block)).withColumnRenamed("id", "draw")
+        first, last = block * per_block, min(draws, (block + 1) * per_block)
+        if have.get(block) != last - first:
+            ids = spark.range(first, last).withColumnRenamed("id", "draw")
             made = make(ids).withColumn("block", F.lit(block))
             made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("block").parquet(path)
     return spark.read.parquet(path)
