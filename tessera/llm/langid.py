@@ -115,8 +115,8 @@ def fused(evidence: DataFrame, langs: list[str]) -> DataFrame:
     like = [F.col("text_like")[i] for i in range(n)]
 
     def best(values: list[Column]) -> Column:
-        top = F.greatest(*values)
-        return F.coalesce(*[F.when(v >= top, F.lit(i)) for i, v in enumerate(values)])
+        top = F.greatest(*values) if n > 1 else values[0]
+        return F.coalesce(*[F.when(v >= top, F.lit(i)) for i, v in enumerate(values)], F.lit(n - 1))
 
     declared = F.when(F.col("declared").isin(langs[:-1]), F.col("declared"))
     rows = evidence.withColumn("declared", declared).withColumn("first", best(like))
