@@ -477,3 +477,85 @@ SCALAR = {
     "expansion_margin": expansion_margin, "coord_max_additive": coord_max_additive, "coord_max_multiplicative": coord_max_multiplicative,
 }
 COORDINATES = {"naive-coord": naive_residuals, "hull": hull_residuals, "wrapped-coord": wrapped_residuals, "doubled": doubled_residuals, "framed": framed_residuals}
+
+
+# ---- areas of the centre slice -----------------------------------------------------------------------------------------------------------
+
+
+def slice_area_by_rays(name: str, b: Column, q: Column, directions: int = 90) -> Column:
+    """Area of {shift: score(b, shifted b) <= q} by polar quadrature over exact ray radii, in Arrow batches.
+
+    Null q is null; q = inf (or a bounded score's maximum) has no bound and gives inf; q = 0 gives 0.
+    """
+    if name not in ("gwd", "corner_max", "gwd_normalized", "coord_max_additive", "expansion_margin", "coord_max_multiplicative", "kld", "bhattacharyya", "hellinger", "iou"):
+        raise ValueError(f"no ray radius for {name!r}")
+    p = canonical(b)
+    return _slice_area(F.lit(name), p["w"], p["h"], p["theta"], q.cast("double"), F.lit(directions))
+
+
+@F.pandas_udf(DoubleType())
+def _slice_area(name: pd.Series, w: pd.Series, h: pd.Series, theta: pd.Series, q: pd.Series, directions: pd.Series) -> pd.Series:
+    if not len(w):
+        return pd.Series([], dtype=float)
+    name, n = name.iloc[0], int(directions.iloc[0])
+    w, h, t, q = (np.asarray(x, float)[:, None] for x in (w, h, theta, q))
+    a = np.arange(n)[None, :] * (2 * PI / n) - t
+    c, s = np.abs(np.cos(a)), np.abs(np.sin(a))
+    fw, fh = np.maximum(w, MIN_SIDE), np.maximum(h, MIN_SIDE)
+    full = np.isposinf(q)
+    with np.errstate(all="ignore"):
+        if name in ("gwd", "corner_max", "gwd_normalized"):
+            r2 = np.broadcast_to(q * q * (w * h if name == "gwd_normalized" else 1.0), c.shape)
+        elif name in ("coord_max_additive", "expansion_margin", "coord_max_multiplicative"):
+            x, y = (q * fw, q * fh) if name == "coord_max_multiplicative" else (q, q)
+            r2 = np.minimum(np.where(c > 1e-15, x / c, np.inf), np.where(s > 1e-15, y / s, np.inf)) ** 2
+        elif name == "iou":
+            full = q >= 1
+            k = np.minimum(q, 1) / (2 - np.minimum(q, 1))
+            u, v = c / w, s / h
+            r2 = (2 * k / (u + v + np.sqrt(np.maximum(0, (u + v) ** 2 - 4 * u * v * k)))) ** 2
+        else:
+            full = q >= 1 if name == "hellinger" else full
+            bound = -np.log1p(-np.minimum(q, 1) ** 2) if name == "hellinger" else q
+            r2 = bound / ((2.0 if name == "kld" else 0.5) * ((c / fw) ** 2 + (s / fh) ** 2))
+        area_ = PI * r2.mean(axis=1)
+    q, full = q[:, 0], full[:, 0]
+    return pd.Series(np.where(np.isnan(q), np.nan, np.where(q == 0, 0.0, np.where(full, np.inf, area_)))).where(~np.isnan(q), None)
+
+
+@F.pandas_udf(DoubleType())
+def _common(ax: pd.Series, ay: pd.Series, aw: pd.Series, ah: pd.Series, at: pd.Series, bx: pd.Series, by: pd.Series, bw: pd.Series, bh: pd.Series, bt: pd.Series) -> pd.Series:
+    return pd.Series(common_area(np.array([ax, ay, aw, ah, at], float), np.array([bx, by, bw, bh, bt], float)))
+
+
+def overlap_area(a: Column, b: Column) -> Column:
+    """Area common to two boxes, in Arrow batches."""
+    return _common(*[x[k] for x in (a, b) for k in ("cx", "cy", "w", "h", "theta")])
+
+
+def area_ratio(a: Column, b: Column) -> tuple[Column, Column]:
+    """Ratio of two areas and what it is: null areas are out of support."""
+    inf = float("inf")
+    status = (
+        F.when(a.isNull() | b.isNull(), "out_of_support").when((a == inf) & (b == inf), "both_unbounded").when((b == 0) & (a == 0), "both_zero").when(b == 0, "zero_reference")
+        .when(b == inf, "finite_over_unbounded").when(a == inf, "unbounded_numerator").otherwise("finite")
+    )
+    ratio = F.when(status == "finite", a / F.nullif(b, F.lit(0.0))).when(status == "finite_over_unbounded", F.lit(0.0)).when(status.isin("zero_reference", "unbounded_numerator"), F.lit(inf))
+    return ratio, status
+
+
+def half_extent_tangent(w: Column, h: Column, q: Column) -> Column:
+    """Half width of the orientations within q by arc tangent: factors cancel before the root, also for nearly square boxes."""
+    long, short = F.greatest(w, h), F.least(w, h)
+    t, x = short / long, q / long
+    r = (1 - t) / (2 * math.sqrt(2)) * 1.0
+    top = x * F.sqrt(_positive((1 + t * t) / 4 - x * x))
+    bottom = F.sqrt(_positive(r * r - x * x)) * F.sqrt(_positive((1 + t) * (1 + t) / 8 - x * x))
+    return F.when(q >= free_radius(w, h), F.lit(HALF)).when(q <= 0, F.lit(0.0)).otherwise(F.atan2(top, bottom) / 2)
+
+
+def hazed(value: Column, row: Column, height: Column, beta: float) -> Column:
+    """A pixel behind haze that thickens down the picture: attenuated, lifted to white, rounded half to even."""
+    depth = 0.5 + 0.5 * row / F.greatest(height - 1, F.lit(1))
+    t = F.exp(-beta * depth)
+    return F.least(F.lit(255), F.greatest(F.lit(0), F.rint(value * t + 255 * (1 - t)).cast("int")))

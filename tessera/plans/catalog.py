@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,9 +58,10 @@ SCORES = f'{PAIRS}, {COV}, scores as (select scene_id as scene, image_id, "class
 
 
 def gwd_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matched pairs with their distance, rounded so that equal scores are equal everywhere."""
+    """Matched pairs with their distance, rounded so that equal scores are equal everywhere. Kept: plans read it several times."""
     p = pairs(spark, sf_dir)
-    return p.select(F.col("scene_id").alias("scene"), "image_id", "class", "idx", "role", F.col("score").alias("conf"), F.round(B.gwd(F.col("pred"), F.col("gt")), 6).alias("score"), "pred")
+    scores = p.select(F.col("scene_id").alias("scene"), "image_id", "class", "idx", "role", F.col("score").alias("conf"), F.round(B.gwd(F.col("pred"), F.col("gt")), 6).alias("score"), "pred")
+    return scores.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 # ---- geometry ---------------------------------------------------------------------------------------------------------------
@@ -256,7 +258,7 @@ RECORDS = GREEDY + """, records as (select d.image_id, d.scene_id, d."class", d.
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.matched(detections(spark, sf_dir), ground_truth(spark, sf_dir), 0.3)
+    return M.matched(detections(spark, sf_dir), ground_truth(spark, sf_dir), 0.3).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 @query(f"with recursive {GREEDY} select image_id, \"class\", det_idx, gt_idx, round(iou, 4) as iou from matches")
@@ -767,3 +769,81 @@ def rank_tertiles(spark, sf_dir):
     s = gwd_scores(spark, sf_dir)
     t = s.withColumn("tertile", A.rank_tertile(F.col("score"), "idx", "image_id", by=["class"]))
     return t.groupBy("class", "tertile").agg(F.count("*").alias("n"), F.round(F.min("score"), 6).alias("low"), F.round(F.max("score"), 6).alias("high"))
+
+
+# ---- studies -----------------------------------------------------------------------------------------------------------------------
+
+from ..operators import studies as ST  # noqa: E402
+
+
+_DIRS = "list_transform(range(0, 90), lambda i: i * 2 * pi() / 90)"
+
+
+@query(f"""with {PAIRS}, a as (select idx, image_id, plw, plh, plt, {_DIRS} as dirs from pairs)
+    select idx, image_id, round(pi() * list_sum(list_transform(dirs, lambda a: pow(least(3 / greatest(abs(cos(a - plt)), 1e-300), 3 / greatest(abs(sin(a - plt)), 1e-300)), 2))) / 90, 3) as margin_area,
+    round(pi() * list_sum(list_transform(dirs, lambda a: 0.1 / (2 * (pow(cos(a - plt), 2) / pow(greatest(plw, 1.0), 2) + pow(sin(a - plt), 2) / pow(greatest(plh, 1.0), 2))))) / 90, 3) as kld_area,
+    round(pi() * list_sum(list_transform(dirs, lambda a: pow(2 * (0.3 / 1.7) / (abs(cos(a - plt)) / plw + abs(sin(a - plt)) / plh + sqrt(greatest(0.0, pow(abs(cos(a - plt)) / plw + abs(sin(a - plt)) / plh, 2) - 4 * abs(cos(a - plt)) / plw * abs(sin(a - plt)) / plh * (0.3 / 1.7)))), 2))) / 90, 3) as iou_area
+    from a""")
+def centre_slice_areas(spark, sf_dir):
+    a = lambda n, q: F.round(B.slice_area_by_rays(n, F.col("pred"), F.lit(q)), 3)
+    return pairs(spark, sf_dir).select("idx", "image_id", a("expansion_margin", 3.0).alias("margin_area"), a("kld", 0.1).alias("kld_area"), a("iou", 0.3).alias("iou_area"))
+
+
+@query(f"""with {SCORES}, q as (select "class", quantile_cont(score, 0.9) as q from scores where role = 'cal' group by "class"),
+    r as (select s.score as b, case when s.idx % 7 <> 0 then s.score * 1.25 end as a, q from scores s join q on s."class" = q."class" where role = 'eval')
+    select count(a)::bigint as shared, count(*) filter (a is null)::bigint as lost, round(avg((b <= q)::int) filter (a is not null), 6) as cov_shared_before, round(avg((a <= q)::int) filter (a is not null), 6) as cov_shared_after,
+    round(avg((b <= q)::int) filter (a is null), 6) as cov_lost_before, round(quantile_cont(b, 0.5) filter (a is not null), 6) as median_before, round(quantile_cont(a, 0.5), 6) as median_after from r""")
+def shift_composition(spark, sf_dir):
+    s = gwd_scores(spark, sf_dir)
+    q = s.where("role = 'cal'").groupBy("class").agg(F.percentile("score", F.lit(0.9)).alias("q"))
+    one = lambda d: d.select("scene", "class", F.struct(F.col("idx").cast("double").alias("cx"), F.col("pred.cy").alias("cy"), F.col("pred.w").alias("w"), F.col("pred.h").alias("h"), F.col("pred.theta").alias("theta")).alias("gt"), "score")
+    ev = s.where("role = 'eval'")
+    r = ST.composition(one(ev), one(ev.where("idx % 7 <> 0").withColumn("score", F.col("score") * 1.25)), q)
+    for c in ("cov_shared_before", "cov_shared_after", "cov_lost_before", "median_before", "median_after"):
+        r = r.withColumn(c, F.round(c, 6))
+    return r
+
+
+@query("""select p_partkey, least(255, greatest(0, round_even((p_partkey % 256) * exp(-1.2 * (0.5 + 0.5 * p_size / 50.0::double)) + 255 * (1 - exp(-1.2 * (0.5 + 0.5 * p_size / 50.0::double))), 0)))::int as pixel from part""")
+def hazed_pixels(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select("p_partkey", B.hazed((F.col("p_partkey") % 256).cast("double"), F.col("p_size").cast("double"), F.lit(51.0), 1.2).alias("pixel"))
+
+
+@query()
+def window_assignment(spark, sf_dir):
+    g = ground_truth(spark, sf_dir).select(F.lit(1).alias("picture"), "idx", "image_id", "class", F.col("obb"), F.lit(0).alias("difficult"))
+    w = W.tile_windows(spark.createDataFrame([(1, 1400, 1200)], "picture int, width int, height int"))
+    a = ST.window_assignment(g, w)
+    return a.groupBy("x0", "y0", "class").agg(F.count("*").alias("n"), F.count_if(F.col("difficult") == 2).alias("cut"), F.round(F.avg("iof"), 6).alias("mean_iof"))
+
+
+@query(f"""with recursive {RECORDS}, s as (select scene_id, count(distinct image_id)::bigint as n_tiles, row_number() over (order by scene_id) - 1 as code from records group by scene_id)
+    select code::int as scene_code, s.scene_id, n_tiles, count(*) filter (match_type = 'tp')::bigint as tp, count(*) filter (match_type = 'fp')::bigint as fp, count(*) filter (match_type = 'fn')::bigint as fn from records r join s on r.scene_id = s.scene_id group by all""")
+def cell_tables(spark, sf_dir):
+    c = ST.cell_tables(records(spark, sf_dir))
+    n = lambda t: c[t].groupBy("scene_code").agg(F.count("*").alias(t))
+    out = c["scenes"]
+    for t in ("tp", "fp", "fn"):
+        out = out.join(n(t), "scene_code", "left")
+    return out.fillna(0, ["tp", "fp", "fn"]).select("scene_code", "scene_id", "n_tiles", "tp", "fp", "fn")
+
+
+@query()
+def representative_route(spark, sf_dir):
+    s = gwd_scores(spark, sf_dir).where("role = 'cal'").withColumn("mult", F.lit(1))
+    return ST.representatives(s.select("class", "scene", "mult", "score"), ["class"], 7)
+
+
+@query()
+def interval_diagnostics(spark, sf_dir):
+    s = gwd_scores(spark, sf_dir)
+    scenes = s.groupBy("class", "scene").agg(F.sum(F.col("score") - 5).alias("hits"), F.count("*").alias("n"))
+    w = S.hash_weights(scenes.select("scene").distinct(), 200, "report", "scene")
+    return ST.interval_report(S.blocked_ratio(scenes, w, "scene", "hits", "n", ["class"]), ["class"])
+
+
+@query(f"""with {SCORES} select "class", round(avg(case when conf >= 0.5 then 3.14159 * score * score end), 4) as mean, count(*)::bigint as n_sample, count(*) filter (conf >= 0.5)::bigint as n_supported, count(*) filter (conf >= 0.5)::bigint as n_finite, 0::bigint as n_infinite, count(*) filter (conf < 0.5)::bigint as n_out_of_support from scores group by "class" """)
+def area_summaries(spark, sf_dir):
+    rows = gwd_scores(spark, sf_dir).withColumn("area", F.when(F.col("conf") >= 0.5, 3.14159 * F.col("score") * F.col("score")))
+    return ST.area_summary(rows, "area", ["class"]).drop("median").withColumn("mean", F.round("mean", 4))
