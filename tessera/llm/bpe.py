@@ -32,6 +32,8 @@ PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Spac
 SPACE = regex.compile(r"\p{White_Space}+")
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 WORD_END = "</w>"
+#: Marks that end a word's piece and are words of their own.
+ENDS = frozenset(".,;:!?")
 #: State of the empty prefix.
 NOTHING = (1 << 20) - 1
 
@@ -43,6 +45,21 @@ def byte_characters() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+def _from_ends(vocab: dict[bytes, int]) -> tuple[dict[int, int], list[int]]:
+    """The tokens as a trie read backwards: (node, byte) -> node, and the token of each node or -1."""
+    nodes, tokens = {}, [-1]
+    for text, token in vocab.items():
+        node = 0
+        for byte in reversed(text):
+            key = node << 8 | byte
+            node = nodes.get(key)
+            if node is None:
+                node = nodes[key] = len(tokens)
+                tokens.append(-1)
+        tokens[node] = token
+    return nodes, tokens
+
+
 class Bpe:
     """A word-level BPE vocabulary (lower case, white space dropped, word ends marked)."""
 
@@ -67,7 +84,7 @@ class Bpe:
             pair, made = (vocab[a], vocab[b]), vocab[a + b]
             self.rank[pair] = r
             self.parts.setdefault(made, (*pair, r))
-        self.longest = max(map(len, (*self.inner, *self.final)))
+        self.inner_ends, self.final_ends = _from_ends(self.inner), _from_ends(self.final)
         self.size = {i: len(t) for vocab_ in (self.inner, self.final) for t, i in vocab_.items()}
         self.follows: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
@@ -78,6 +95,7 @@ class Bpe:
         self.child: dict[int, int] = {}
         self.last: list[int] = [NOTHING]
         self.pieces: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens at one border of ``token`` while it forms, each with the rank of the merge that ends it."""
@@ -113,16 +131,22 @@ class Bpe:
         self.follows[before << 20 | token] = ok
         return ok
 
-    def step(self, word: bytes, end: int, path: list[int], vocab: dict[bytes, int]) -> int:
-        """The last token of word[:end]; path: the trie nodes of its shorter prefixes."""
+    def step(self, word: bytes, end: int, path: list[int], vocab: tuple[dict[int, int], list[int]]) -> int:
+        """The last token of word[:end]; path: the trie nodes of its shorter prefixes. ``vocab``: the tokens from their ends."""
+        (nodes, tokens), found, node, at = vocab, [], 0, end
+        while at:
+            at -= 1
+            node = nodes.get(node << 8 | word[at])
+            if node is None:
+                break
+            if tokens[node] >= 0:
+                found.append((at, tokens[node]))
         last, follows = self.last, self.follows
-        for at in range(max(0, end - self.longest), end):
-            token = vocab.get(word[at:end])
-            if token is not None:
-                before = last[path[at]]
-                ok = follows.get(before << 20 | token)
-                if ok or ok is None and self.fits(before, token):
-                    return token
+        for at, token in reversed(found):
+            before = last[path[at]]
+            ok = follows.get(before << 20 | token)
+            if ok or ok is None and self.fits(before, token):
+                return token
         raise ValueError(f"no token for {word[:end]!r}")
 
     def ids(self, word: bytes) -> list[int]:
@@ -131,11 +155,11 @@ class Bpe:
             key = node << 8 | word[i - 1]
             node = child.get(key)
             if node is None:
-                token = self.step(word, i, path, self.inner)
+                token = self.step(word, i, path, self.inner_ends)
                 node = child[key] = len(last)
                 last.append(token)
             path.append(node)
-        token = self.step(word, len(word), path, self.final)
+        token = self.step(word, len(word), path, self.final_ends)
         out, at = [token], len(word) - self.size[token]
         while at:
             token = last[path[at]]
@@ -143,16 +167,25 @@ class Bpe:
             at -= self.size[token]
         return out[::-1]
 
+    def words(self, piece: str) -> list[str]:
+        """The words of a piece between white space."""
+        low = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+        if low.isalpha():
+            return [low]
+        if low[-1:] in ENDS and low[:-1].isalpha():
+            return [low[:-1], low[-1]]
+        return PIECE.findall(low)
+
     def learn(self, pieces: set[str]) -> None:
         """Encode new pieces between white space; their words enter the trie in depth-first order."""
-        words: dict[str, list[bytes]] = {}
-        for p in pieces:
-            low = unicodedata.normalize("NFC", p).replace("Σ", "σ").lower()
-            words[p] = [w.encode("utf-8", "replace") for w in PIECE.findall(low)]
-        known = {w: self.ids(w) for w in sorted({w for ws in words.values() for w in ws})}
-        for p, ws in words.items():
-            out = [i for w in ws for i in known[w]]
-            self.pieces[p] = struct.pack(f"<{len(out)}I", *out)
+        split = self.words
+        found = [(p, split(p)) for p in pieces]
+        known = self.known
+        for w in sorted({w for _, ws in found for w in ws if w not in known}):
+            out = self.ids(w.encode("utf-8", "replace"))
+            known[w] = struct.pack(f"<{len(out)}I", *out)
+        for p, ws in found:
+            self.pieces[p] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
 
     def decode(self, ids: list[int]) -> str:
         """The tokens' own texts joined by blanks, special ones among them: this vocabulary names no decoder."""
@@ -180,6 +213,8 @@ class Bpe:
             yield ids, self.decode(np.frombuffer(ids, "<u4").tolist())
         for p in [p for ps in parts for p in ps if len(p) > LONGEST_PIECE]:
             self.pieces.pop(p, None)
+        if len(self.known) > MOST_PIECES // 2:
+            self.known.clear()
 
 
 @frugal

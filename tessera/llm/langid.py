@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import frugal, session, stored
-from .learn import flagged
+from .learn import without
 from .words import U, chunks
 
 GRAM, GRAMS, MOST = 4, 1 << 16, 400
@@ -176,6 +176,4 @@ def recognised(docs: DataFrame, model: tuple, least: float = 0.5) -> DataFrame:
     """
     found = identified(document_rows(docs), model, False)
     gone = stored(found.where((F.col("lang") == UNKNOWN) | (F.col("posterior") < least)).where("row is not null").select("row").distinct(), "gone")
-    rows = flagged(docs, "doc_id", gone, "_doubt")
-    rest = rows.where("_doubt").join(gone.withColumnRenamed("row", "_row"), F.col("doc_id") == F.col("_row"), "left_anti").select(docs.columns)
-    return rows.where("not _doubt").select(docs.columns).unionByName(rest)
+    return without(docs, "doc_id", gone)

@@ -10,6 +10,8 @@ from .common import remainder
 
 #: Bits per id of the filter that spares other texts a shuffle, and the most bits (as a power of 2; 16 MB).
 FILTER_SHARE, MOST_BITS = 32, 27
+#: Ids (with a label) that are broadcast at most, after a count: some tens of MB.
+MOST_BROADCAST = 500_000
 
 
 def logistic(x: np.ndarray, y: np.ndarray, shrink: float = 1e-2) -> tuple[float, float]:
@@ -59,9 +61,27 @@ def among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
 
 
 def labelled(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """text and label of the rows of ``docs`` that ``train`` names; the filter spares most others the shuffle."""
-    own = among(docs.select("doc_id", "text"), "doc_id", train.select("doc_id"))
-    return own.join(train, "doc_id").select("text", "label")
+    """text and label of the rows of ``docs`` that ``train`` names.
+
+    Up to MOST_BROADCAST labels are broadcast; beyond that the bitmap spares most other texts the shuffle.
+    """
+    own = docs.select("doc_id", "text")
+    if train.count() <= MOST_BROADCAST:
+        return own.join(F.broadcast(train), "doc_id").select("text", "label")
+    return among(own, "doc_id", train.select("doc_id")).join(train, "doc_id").select("text", "label")
+
+
+def without(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows, all columns, whose id is not in ``ids`` (one column of distinct ids). Null ids stay.
+
+    Up to MOST_BROADCAST ids are broadcast; beyond that only rows that the bitmap doubts are shuffled.
+    """
+    gone = ids.select(F.col(ids.columns[0]).alias("_gone"))
+    if ids.count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(gone), F.col(column) == F.col("_gone"), "left_anti")
+    seen = flagged(rows, column, ids, "_doubt")
+    rest = seen.where("_doubt").join(gone, F.col(column) == F.col("_gone"), "left_anti").select(rows.columns)
+    return seen.where("not _doubt").select(rows.columns).unionByName(rest)
 
 
 def sampled(docs: DataFrame, train: DataFrame, size: int) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import frugal, session, stored
 from .components import components, forest
-from .learn import among
+from .learn import among, without
 from .words import GOLDEN, U, WordCache, chunks, hash64, mix, shingles, token_hashes
 
 WORDS = 5
@@ -327,10 +327,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat an id, one stays (any: their ids tell them no further). Rows with a null id stay.
     """
-    kept = stored(near_duplicates(docs).where("kept").select("doc_id"), "kept")
-    own = docs.join(kept, docs.doc_id == kept.doc_id, "left_semi")
+    gone = stored(near_duplicates(docs).where("not kept").select("doc_id"), "gone")
+    own = without(docs, "doc_id", gone)
     twice = stored(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "twice")
     if not twice.isEmpty():
-        single = own.join(twice, "doc_id", "left_anti").select(docs.columns)
-        own = single.unionByName(own.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
-    return own.unionByName(docs.where("doc_id is null"))
+        again = own.join(twice.withColumnRenamed("doc_id", "_twice"), F.col("doc_id") == F.col("_twice"), "left_semi")
+        own = without(own, "doc_id", twice).unionByName(again.dropDuplicates(["doc_id"]))
+    return own
