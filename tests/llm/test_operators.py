@@ -418,7 +418,7 @@ def test_urls(spark):
     assert (out[3].rule, out[4].rule, out[4].verdict) == (None, "net/", "block")
     assert (out[5].rule, out[5].verdict, out[6].rule, out[6].verdict, out[7].rule) == ("example.com/de/", "block", "org/fr/", "allow", None)
     assert (out[8].path, out[8].verdict) == ("/1", "block") and out[9].host == "weird" and out[10].rule == "net/" and out[11].host == "Äb.net" and out[12].path == "" and out[13].path == "/a\nb"
-    assert {urls.judged(pages, outcomes.where("false")).where("page_id = 8").first().verdict} == {"allow"} or True
+    assert urls.judged(pages, outcomes.where("false")).where("page_id = 10 or page_id = 4").count() == 2
     assert urls.judged(pages.where("false"), outcomes).count() == 0
 
 
