@@ -847,3 +847,66 @@ def interval_diagnostics(spark, sf_dir):
 def area_summaries(spark, sf_dir):
     rows = gwd_scores(spark, sf_dir).withColumn("area", F.when(F.col("conf") >= 0.5, 3.14159 * F.col("score") * F.col("score")))
     return ST.area_summary(rows, "area", ["class"]).drop("median").withColumn("mean", F.round("mean", 4))
+
+
+# ---- more readouts ------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""with {SCORES}, {HCP}, sz as (select "class", scene, count(*) as m from scores where role = 'eval' group by all),
+    r as (select s."class", (cast(substr(s.scene, 2) as bigint) % 3) / m as w, (score <= q)::int as hit, case when q >= (plw - plh) / (2 * sqrt(2)) then 1 else 0 end as whole from scores s join sz on s."class" = sz."class" and s.scene = sz.scene join hcp h on s."class" = h."class" where role = 'eval')
+    select "class", round(sum(w * hit) / sum(w), 6) as coverage, 0.0::double as infinite, round(sum(w * (1 - whole)) / sum(w), 6) as informative, round(sum(w * hit * (1 - whole)) / sum(w), 6) as joint, round(sum(w), 4) as weight from r group by "class" """)
+def source_uniform_metrics(spark, sf_dir):
+    s = gwd_scores(spark, sf_dir)
+    q = T.class_thresholds(s.where("role = 'cal'"), 0.1, "hcp").select("class", F.col("q_hat").alias("q"))
+    p = B.canonical(F.col("pred"))
+    rows = s.where("role = 'eval'").join(F.broadcast(q), "class").withColumn("mult", F.expr("cast(substr(scene, 2) as bigint) % 3"))
+    m = C.source_metrics(rows.withColumn("half_width", B.half_extent(p["w"], p["h"], F.col("q"))), ["class"])
+    r = lambda c, d=6: F.round(c, d).alias(c)
+    return m.select("class", r("coverage"), r("infinite"), r("informative"), r("joint"), r("weight", 4))
+
+
+@query(f"""with {SCORES}, a as (select "class", score, row_number() over (partition by "class" order by score) as i from scores where role = 'cal'), b as (select "class", score, row_number() over (partition by "class" order by score) as i from scores where role = 'eval')
+    select coalesce(a."class", b."class") as class, count(a.score)::bigint as n_a, count(b.score)::bigint as n_b, round(max(abs(a.score - b.score)), 6) as largest from a full join b on a."class" = b."class" and a.i = b.i group by 1""")
+def control_difference(spark, sf_dir):
+    s = gwd_scores(spark, sf_dir)
+    return A.control_difference(s.where("role = 'cal'"), s.where("role = 'eval'"), "class", "score").withColumn("largest", F.round("largest", 6))
+
+
+@query(f"""with {SCORES}, d as (select role as arm, "class", cast(floor(cast(substr(scene, 2) as bigint) / 20) as bigint) % 20 as draw, avg(score) as v from scores where role <> 'design' group by all)
+    select c."class", c.draw, round(c.v - e.v, 6) as value from d c join d e on c."class" = e."class" and c.draw = e.draw where c.arm = 'cal' and e.arm = 'eval'""")
+def arm_contrast(spark, sf_dir):
+    d = gwd_scores(spark, sf_dir).where("role <> 'design'").groupBy(F.col("role").alias("arm"), "class", F.expr("cast(floor(cast(substr(scene, 2) as bigint) / 20) as bigint) % 20").alias("draw")).agg(F.avg("score").alias("value"))
+    return S.contrast(d, "arm", "cal", "eval", ["class"]).withColumn("value", F.round("value", 6))
+
+
+@query()
+def certificate_routes(spark, sf_dir):
+    s = gwd_scores(spark, sf_dir).where("role = 'cal'")
+    hcp = T.hcp(s, 0.1, ["class"]).select("class", "q")
+    rep = ST.representatives(s.withColumn("mult", F.lit(1)).select("class", "scene", "mult", "score"), ["class"], 7).select("class", "q")
+    loss = loss_rows(spark, sf_dir)
+    eb = R.certify_sequence(loss, 0.6, 0.05, ["class"]).select("class", F.col("q_star").alias("q"))
+    direct = eb.withColumn("beta", F.lit(0.2)).select("class", "beta", "q")
+    recall = R.certify_risk(risk_rows(spark, sf_dir), 0.25, 0.1, ["class"]).select("class", F.lit(0.2).alias("beta"), F.col("certified").alias("passes"))
+    return ST.routes(hcp, rep, eb, direct, recall)
+
+
+@query("""select 'left' as side, count(distinct o_custkey)::bigint as n from orders where o_orderstatus = 'F' union all select 'right', count(distinct o_custkey)::bigint from orders where o_orderstatus = 'O'
+    union all select 'shared', count(*)::bigint from (select o_custkey from orders where o_orderstatus = 'F' intersect select o_custkey from orders where o_orderstatus = 'O')
+    union all select 'only_left', count(*)::bigint from (select o_custkey from orders where o_orderstatus = 'F' except select o_custkey from orders where o_orderstatus = 'O')""")
+def source_overlap(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    a, b = (o.where(F.col("o_orderstatus") == s).select("o_custkey").distinct() for s in "FO")
+    n = lambda d, side: d.agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), "n")
+    return n(a, "left").unionByName(n(b, "right")).unionByName(n(a.intersect(b), "shared")).unionByName(n(a.join(b, "o_custkey", "left_anti"), "only_left"))
+
+
+@query(f"""with {SCORES}, {HCP}, e as (select s."class", s.scene, (s.score <= h.q)::int::double as hit from scores s join hcp h on s."class" = h."class" where role = 'eval'),
+    m as (select "class", avg(hit) as coverage, count(distinct scene)::double as scenes, count(*)::double as objects from e group by all)
+    select "class", metric, round(val, 6) as value from (select * from m) unpivot (val for metric in (coverage, scenes, objects))""")
+def flat_metrics(spark, sf_dir):
+    s = gwd_scores(spark, sf_dir)
+    q = T.class_thresholds(s.where("role = 'cal'"), 0.1, "hcp").withColumnRenamed("q_hat", "q")
+    c = C.covered(s.where("role = 'eval'"), q, ["class"])
+    m = c.groupBy("class").agg(F.avg(F.col("covered").cast("double")).alias("coverage"), F.countDistinct("scene").cast("double").alias("scenes"), F.count("*").cast("double").alias("objects"))
+    return m.unpivot(["class"], ["coverage", "scenes", "objects"], "metric", "value").withColumn("value", F.round("value", 6))
