@@ -14,6 +14,8 @@ from tessera.llm import bpe, decontam, langid, minhash, quality
 from tessera.llm.common import stored, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: Pieces a worker remembers: fewer than alone, as the stages before leave the executors with large heaps.
+REMEMBERED = 150_000
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def free_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of each document."""
-    ids = bpe.encoded(docs, TOKENIZER)
+    ids = bpe.encoded(docs, TOKENIZER, remembered=REMEMBERED)
     return ids.select("doc_id", F.expr("cast(octet_length(ids) / 4 as bigint)").alias("n_tokens"), "ids")
 
 

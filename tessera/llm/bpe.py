@@ -21,11 +21,11 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from .common import frugal, session
+from .common import frugal, session, tidy
 from .words import chunks
 
-#: Trie nodes and remembered pieces of one Python worker before both start afresh.
-MOST_NODES, MOST_PIECES, LONGEST_PIECE = 600_000, 500_000, 48
+#: Pieces (and nearly as many trie nodes) that one Python worker remembers before it starts afresh, some 600 bytes each.
+MOST_PIECES, LONGEST_PIECE = 500_000, 48
 # Fixed values of the vocabulary format.
 SPECIAL = regex.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
@@ -63,7 +63,8 @@ def _from_ends(vocab: dict[bytes, int]) -> tuple[dict[int, int], list[int]]:
 class Bpe:
     """A word-level BPE vocabulary (lower case, white space dropped, word ends marked)."""
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, remembered: int = MOST_PIECES):
+        self.remembered = remembered
         spec = json.loads(definition)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.text = {i: t for t, i in vocab.items()}
@@ -202,7 +203,7 @@ class Bpe:
     def encode_all(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
         """For each text, its ids as little-endian unsigned 32-bit integers and the decoded text."""
         parts = [self.split(t) if t else [] for t in texts]
-        if len(self.last) > MOST_NODES or len(self.pieces) > MOST_PIECES:
+        if max(len(self.last), len(self.pieces)) > self.remembered:
             self.clear()
         for t, i in self.special.items():
             self.pieces[t] = struct.pack("<I", i)
@@ -213,13 +214,14 @@ class Bpe:
             yield ids, self.decode(np.frombuffer(ids, "<u4").tolist())
         for p in [p for ps in parts for p in ps if len(p) > LONGEST_PIECE]:
             self.pieces.pop(p, None)
-        if len(self.known) > MOST_PIECES // 2:
+        if len(self.known) > self.remembered // 2:
             self.known.clear()
 
 
 @frugal
-def _encode(batches: Iterator[pd.DataFrame], definition) -> Iterator[pd.DataFrame]:
-    bpe = Bpe(definition.value)
+def _encode(batches: Iterator[pd.DataFrame], definition, remembered) -> Iterator[pd.DataFrame]:
+    bpe = Bpe(definition.value, remembered)
+    tidy()
     for b in batches:
         texts = b.text.tolist()
         for lo, hi in chunks(texts):
@@ -228,21 +230,21 @@ def _encode(batches: Iterator[pd.DataFrame], definition) -> Iterator[pd.DataFram
 
 
 @frugal
-def _digest(batches: Iterator[pd.DataFrame], definition) -> Iterator[pd.DataFrame]:
+def _digest(batches: Iterator[pd.DataFrame], definition, remembered) -> Iterator[pd.DataFrame]:
     sha = lambda x: hashlib.sha256(x).hexdigest()
-    for b in _encode(batches, definition):
+    for b in _encode(batches, definition, remembered):
         yield pd.DataFrame({
             "doc_id": b.doc_id, "n_tokens": [len(x) // 4 for x in b.ids],
             "ids_sha256": [sha(x) for x in b.ids], "decoded_sha256": [sha(x.encode("utf-8", "replace")) for x in b.decoded],
         })
 
 
-def encoded(docs: DataFrame, tokenizer_file: str, digests: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer_file: str, digests: bool = False, remembered: int = MOST_PIECES) -> DataFrame:
     """doc_id with ids (binary, little-endian uint32) and decoded text, or with their digests and n_tokens.
 
     One row per row of ``docs`` (doc_id, text; more may be there), repeated rows too. Null and empty
     texts have no token. The strings of special tokens in a text become those tokens. The vocabulary file, of a fixed size,
-    is read on the driver and broadcast.
+    is read on the driver and broadcast. ``remembered`` bounds a worker's memory; results do not depend on it.
     """
     spark = session(docs.sparkSession)
     with open(tokenizer_file, encoding="utf-8") as f:
@@ -250,5 +252,5 @@ def encoded(docs: DataFrame, tokenizer_file: str, digests: bool = False) -> Data
     own = docs.select("doc_id", "text")
     kind = own.schema["doc_id"].dataType.simpleString()
     if digests:
-        return own.mapInPandas(partial(_digest, definition=definition), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return own.mapInPandas(partial(_encode, definition=definition), f"doc_id {kind}, ids binary, decoded string")
+        return own.mapInPandas(partial(_digest, definition=definition, remembered=remembered), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return own.mapInPandas(partial(_encode, definition=definition, remembered=remembered), f"doc_id {kind}, ids binary, decoded string")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import scratch_path, stored  # noqa: F401
 
 #: Rows of one Arrow batch. Very long texts make batches large, so few rows travel together.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 
 
 def tidy() -> None:

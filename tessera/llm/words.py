@@ -8,7 +8,7 @@ import xxhash
 U = np.uint64
 GOLDEN = U(0x9E3779B97F4A7C15)
 #: Distinct words remembered by one Python worker before its cache starts afresh.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 #: Characters worked on at once, so that memory does not follow the batch.
 CHUNK_CHARS = 1_000_000
 
