@@ -16,6 +16,8 @@ METHODS = ("pooled", "hcp", "crc_object", "scene_max")
 SLACK = 1e-9
 #: Least common multiple of 1 to 22.
 PARTS = 232_792_560
+#: Score ranges into which a group is cut for running sums.
+BUCKETS = 64
 
 
 class CalibrationError(ValueError):
@@ -35,16 +37,29 @@ def conformal_rank(n: Column, alpha: Column | float) -> Column:
     return (n + 1) - F.floor((n + 1) * a)
 
 
-def _running(scores: DataFrame, by: list[str], weight: str, out: str) -> DataFrame:
-    frame = Window.partitionBy(*by).orderBy("score") if by else Window.orderBy("score")
-    return scores.withColumn(out, F.sum(weight).over(frame.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+def _running(scores: DataFrame, by: list[str], **sums: str) -> DataFrame:
+    """``scores`` with running sums (name=column) by rising score within ``by``.
+
+    Each group is cut into BUCKETS ranges of about equal size; sums run within a range, and the totals of the ranges
+    below are added. So neither a group without keys nor a large one is sorted by a single task.
+    """
+    levels = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
+    cuts = scores.groupBy(*by).agg(F.percentile_approx("score", levels, F.lit(20 * BUCKETS)).alias("_cuts"))
+    rows = scores.join(cuts, by) if by else scores.crossJoin(F.broadcast(cuts))
+    rows = rows.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("score")))).drop("_cuts")
+    totals = rows.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    below = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_t_{n}").over(below), F.lit(0)).alias(f"_t_{n}") for n in sums])
+    inner = Window.partitionBy(*by, "_range").orderBy("score").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select("*", *[F.sum(c).over(inner).alias(f"_s_{n}") for n, c in sums.items()])
+    return rows.join(totals, [*by, "_range"]).select(*scores.columns, *[(F.col(f"_s_{n}") + F.col(f"_t_{n}")).alias(n) for n in sums])
 
 
 def _by_rank(scores: DataFrame, by: list[str], rank: Column) -> DataFrame:
     """by, q, n, n_scenes: the score of the given rank (a Column over n); +inf above n, -inf at 0 or less."""
     counts = scores.groupBy(*by, "score").agg(F.count("*").alias("c"))
     total = counts.groupBy(*by).agg(F.sum("c").alias("n"))
-    ranked = _running(counts, by, "c", "seen")
+    ranked = _running(counts, by, seen="c")
     joined = ranked.join(total, by) if by else ranked.crossJoin(F.broadcast(total))
     joined = joined.withColumn("k", rank)
     q = F.min(F.when(F.col("seen") >= F.col("k"), F.col("score")))
@@ -81,7 +96,7 @@ def hcp(scores: DataFrame, alpha: float, by: list[str] = ()) -> DataFrame:
         F.sum(F.col("c") * F.expr(f"{PARTS}L div m").cast("decimal(38,0)")).cast("decimal(38,0)").alias("whole"), F.sum(F.col("c") / F.col("m")).alias("mass")
     )
     total = sizes.groupBy(*by).agg(F.count("*").alias("scenes"), F.sum("m").alias("n"), F.max(F.lit(PARTS) % F.col("m") != 0).alias("odd"))
-    seen = _running(_running(mass, by, "mass", "seen"), by, "whole", "seen_whole")
+    seen = _running(mass, by, seen="mass", seen_whole="whole")
     joined = seen.join(total, by) if by else seen.crossJoin(F.broadcast(total))
     need = (F.lit(PARTS * top).cast("decimal(38,0)") * (F.col("scenes") + 1).cast("decimal(20,0)")).cast("decimal(38,0)")
     reached = F.when(F.col("odd"), F.col("seen") >= (1 - alpha) * (F.col("scenes") + 1) - SLACK).otherwise((F.col("seen_whole") * F.lit(bottom)).cast("decimal(38,0)") >= need)
@@ -116,7 +131,7 @@ def crc_adaptive(scores: DataFrame, alpha: float, deployed: DataFrame, by: list[
     alpha, by = check_alpha(alpha), list(by)
     counts = scores.groupBy(*by, "score").agg(F.count("*").alias("c"))
     total = counts.groupBy(*by).agg(F.sum("c").alias("n"))
-    ranked = _running(counts, by, "c", "seen").withColumn("before", F.col("seen") - F.col("c"))
+    ranked = _running(counts, by, seen="c").withColumn("before", F.col("seen") - F.col("c"))
     wanted = deployed.select(*by, "d").distinct()
     wanted = wanted.join(total, by) if by else wanted.crossJoin(F.broadcast(total))
     budget = F.lit(alpha) * F.col("n") - (1 - alpha) * F.col("d")
@@ -160,7 +175,7 @@ def weighted(scores: DataFrame, alpha: float, by: list[str] = (), hierarchical:
         mass = rows.drop("mult").join(sizes, [*by, "scene"]).groupBy(*by, "score").agg(F.round(F.sum(F.col("mult") / F.col("m")), 12).alias("mass"))
         total = sizes.groupBy(*by).agg(((1 - alpha) * (F.sum("mult") + 1)).alias("target"))
         slack = SLACK
-    seen = _running(mass, by, "mass", "seen")
+    seen = _running(mass, by, seen="mass")
     joined = seen.join(total, by) if by else seen.crossJoin(F.broadcast(total))
     out = joined.groupBy(*by).agg(F.min(F.when(F.col("seen") >= F.col("target") - slack, F.col("score"))).alias("q"))
     return out.select(*by, F.coalesce("q", F.lit(INF)).alias("q"))
