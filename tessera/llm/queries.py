@@ -64,7 +64,8 @@ def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     outcomes = urls.labelled_outcomes(pages, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return urls.judged(pages, stored(outcomes, "outcomes"))
+    judged = urls.judged(pages, stored(outcomes, "outcomes"))
+    return judged.withColumn("bad_rate", F.round("bad_rate", 6)).withColumn("bound", F.round("bound", 6))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -72,5 +73,42 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in every}
 
 
+_B32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+_DIGEST = f"""array_to_string(list_transform(range(0, 32), lambda i: substr({_B32}, ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31)::int + 1, 1)), '')"""
+_SQUEEZED = "sha256(regexp_replace({}, '[ \\t\\n\\x0b\\f\\r]+', '', 'g'))"
+_ARTICLE = "regexp_replace(regexp_replace(regexp_extract(html, '<article[^>]*>(.*?)</article>', 1, 's'), '<h1[^>]*>.*?</h1>', '', 'gs'), '<[^>]*>', '', 'g')"
+for _code, _mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _ARTICLE = f"replace({_ARTICLE}, '{_code}', '{_mark}')"
+
+
+def _strength(rows: str, mean: str) -> str:
+    """The moment estimate of a level's concentration as a scalar subquery."""
+    over, room = f"sum(n * pow(bad / n - {mean}, 2) - {mean} * (1 - {mean}))", f"sum({mean} * (1 - {mean}) * (n - 1))"
+    return f"(select 1 / least(1 / 1.1, greatest(1.0 / 10001, case when {room} <> 0 then {over} / {room} else 1.0 end)) - 1 from {rows} where n > 0)"
+
+
+_REPUTATION = f"""
+    texts as (select {_SQUEEZED.format("text")} as digest, max((quality = 0 or toxic = 1)::int) as bad from documents join labels using (doc_id) where quality is not null or toxic is not null group by 1),
+    outcomes as (select url, bad from pages join texts on digest = {_SQUEEZED.format(_ARTICLE)} where bad is not null),
+    page as (select page_id, coalesce(lower(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's')), '') as host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path from pages),
+    seen as (select lower(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's')) as host, count(*) as n, sum(bad) as bad from outcomes group by 1),
+    host as (select p.host, regexp_extract(p.host, '([^.]*\\.)?[^.]*$', 0) as domain, regexp_extract(p.host, '[^.]*$', 0) as suffix, coalesce(n, 0)::double as n, coalesce(bad, 0)::double as bad from (select distinct host from page) p left join seen s on p.host = s.host),
+    ground as (select (sum(bad) + 0.5) / (sum(n) + 1) as g from host), s0 as (select suffix, sum(n) as n, sum(bad) as bad, any_value(g) as g from host, ground group by suffix),
+    s1 as (select suffix, (bad + m * g) / (n + m) as sm from s0, (select {_strength("s0", "g")} as m) t),
+    d0 as (select host.suffix, domain, sum(n) as n, sum(bad) as bad, any_value(sm) as sm from host join s1 on host.suffix = s1.suffix group by 1, 2), d1 as (select domain, (bad + m * sm) / (n + m) as dm from d0, (select {_strength("d0", "sm")} as m) t),
+    h0 as (select host, n, bad, dm from host join d1 on host.domain = d1.domain), h1 as (select host, (bad + m * dm) / (n + m) as mean, n + m as size from h0, (select {_strength("h0", "dm")} as m) t),
+    rep as (select host, mean, greatest(0.0, mean - 1.645 * sqrt(mean * (1 - mean) / (size + 1))) as bound from h1),
+    rules as (select * from (values ('net', '/', 'net/', 'block'), ('example.net', '/en/', 'example.net/en/', 'allow'), ('example.com', '/de/', 'example.com/de/', 'block'), ('org', '/fr/', 'org/fr/', 'allow')) t(rh, rp, rule, verdict)),
+    best as (select page_id, arg_max(rule, length(rule)) as rule, arg_max(verdict, length(rule)) as verdict from page join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by page_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that SQL can state; the others are tested against brute force."""
+    return {
+        "op3_warc": f"""with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages), t as (select *, max(page_id) over (partition by h) as top from p)
+            select page_id, octet_length(encode(html))::bigint as payload_bytes, {_DIGEST} as payload_digest, case when page_id = top then 'response' else 'revisit' end as record_type, case when page_id <> top then top end as refers_to from t""",
+        "op5_metric_range_join": """with recursive v as (select vec_id, embedding::double[] as e from embeddings), p as (select a.vec_id as u, b.vec_id as v from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
+            walk as (select vec_id as id, vec_id as root from embeddings union select p.v, w.root from walk w join p on p.u = w.id), c as (select id, min(root) as component_id from walk group by id), n as (select u, count(*) as n from p group by u)
+            select id as vec_id, coalesce(n, 0)::bigint as n_links, component_id, id = component_id as kept from c left join n on u = id""",
+        "op10_url_reputation": f"with {_REPUTATION} select page.page_id, page.host, path, rule, coalesce(verdict, case when bound > 0.3 then 'block' else 'allow' end) as verdict, round(mean, 6) as bad_rate, round(bound, 6) as bound from page join rep on page.host = rep.host left join best on page.page_id = best.page_id",
+    }
