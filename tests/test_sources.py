@@ -78,3 +78,11 @@ def test_checkpoints_resume(spark, tmp_path):
     assert K.run_blocks(spark, path, 14, 4, make).count() == 14 and len(made) == 5
     p = K.problems(K.run_blocks(spark, path, 14, 4, make), 14).first()
     assert (p.missing, p.repeated) == (0, 0) and len(made) == 5
+
+
+def test_scratch_is_in_the_shared_folder(spark):
+    from tessera.sources import scratch
+
+    df = scratch.stored(spark.range(3), "three")
+    assert df.count() == 3 and all(scratch.shared_dir(spark).split(":")[-1] in f for f in df.inputFiles())
+    assert scratch.stored(spark.range(0), "none").count() == 0
