@@ -910,3 +910,50 @@ def flat_metrics(spark, sf_dir):
     c = C.covered(s.where("role = 'eval'"), q, ["class"])
     m = c.groupBy("class").agg(F.avg(F.col("covered").cast("double")).alias("coverage"), F.countDistinct("scene").cast("double").alias("scenes"), F.count("*").cast("double").alias("objects"))
     return m.unpivot(["class"], ["coverage", "scenes", "objects"], "metric", "value").withColumn("value", F.round("value", 6))
+
+
+@query(f"""with {SCORES}, cal as (select * from scores where role = 'cal'), rk as (select score, row_number() over (order by score) as r, count(*) over () as n from cal), tops as (select scene, max(score) as score from cal group by scene),
+    tr as (select score, row_number() over (order by score) as r, count(*) over () as n from tops), sz as (select scene, count(*) as m from cal group by scene), ms as (select c.score, sum(232792560 // m)::hugeint as w from cal c join sz on c.scene = sz.scene group by c.score),
+    run as (select score, sum(w) over (order by score) as cum from ms),
+    q as (select 'pooled' as method, min(case when r >= (n + 1) - floor((n + 1) * 0.1) then score end) as q from rk union all select 'scene_max', min(case when r >= (n + 1) - floor((n + 1) * 0.1) then score end) from tr
+      union all select 'hcp', (select min(score) from run where cum * 10 >= 232792560::hugeint * 9 * ((select count(*) from sz) + 1))),
+    e as (select method, q, scene, (score <= q)::int::double as hit, pi() * q * q / (plw * plh) as ratio from scores, q where role = 'eval'),
+    s as (select method, scene, avg(hit) as share, min(hit) as everything from e group by all), o as (select method, any_value(q) as q, avg(hit) as cov_object, avg(ratio) as mean_ratio, quantile_cont(ratio, 0.9) as p90_ratio from e group by method)
+    select o.method, round(q, 6) as q, round(avg(share), 6) as cov_scene, round(any_value(cov_object), 6) as cov_object, round(avg(everything), 6) as cov_sim, round(any_value(mean_ratio), 4) as mean_ratio, round(any_value(p90_ratio), 4) as p90_ratio from o join s on o.method = s.method group by o.method, q""")
+def global_methods(spark, sf_dir):
+    s = gwd_scores(spark, sf_dir)
+    cal, ev = s.where("role = 'cal'"), s.where("role = 'eval'")
+    q = None
+    for name, f in (("pooled", T.pooled), ("scene_max", T.scene_max), ("hcp", T.hcp)):
+        one = f(cal, 0.1).select(F.lit(name).alias("method"), "q")
+        q = one if q is None else q.unionByName(one)
+    p = B.canonical(F.col("pred"))
+    rows = ev.select("scene", "score", (p["w"] * p["h"]).alias("area")).crossJoin(F.broadcast(q))
+    hit = (F.col("score") <= F.col("q")).cast("double")
+    rows = rows.select("method", "q", "scene", hit.alias("hit"), (B.PI * F.col("q") * F.col("q") / F.col("area")).alias("ratio"))
+    scenes = rows.groupBy("method", "scene").agg(F.avg("hit").alias("share"), F.min("hit").alias("all")).groupBy("method").agg(F.avg("share").alias("cov_scene"), F.avg("all").alias("cov_sim"))
+    objects_ = rows.groupBy("method", "q").agg(F.avg("hit").alias("cov_object"), F.avg("ratio").alias("mean_ratio"), F.percentile("ratio", F.lit(0.9)).alias("p90_ratio"))
+    r = lambda c, d=6: F.round(c, d).alias(c)
+    return objects_.join(scenes, "method").select("method", r("q"), r("cov_scene"), r("cov_object"), r("cov_sim"), r("mean_ratio", 4), r("p90_ratio", 4))
+
+
+@query(f"""with {SCORES}, {HCP}, gt as (select "class", scene_id as scene, count(*) as n_gt from objects where has_gt group by all), dt as (select "class", scene_id as scene, count(*) as n_det from objects where has_det group by all),
+    tp as (select s."class", s.scene, count(*) as n_tp, avg((s.score <= h.q)::int) as share from scores s join hcp h on s."class" = h."class" where role = 'eval' group by all),
+    a as (select distinct "class", scene_id as scene from objects where role = 'eval' and (has_gt or has_det)),
+    j as (select a."class", coalesce(n_gt, 0) as n_gt, coalesce(n_det, 0) as n_det, coalesce(n_tp, 0) as n_tp, share from a left join gt on a."class" = gt."class" and a.scene = gt.scene left join dt on a."class" = dt."class" and a.scene = dt.scene left join tp on a."class" = tp."class" and a.scene = tp.scene)
+    select "class", count(*)::bigint as sources, count(*) filter (n_gt > 0)::bigint as gt_sources, count(*) filter (n_tp > 0)::bigint as tp_sources, sum(n_gt)::bigint as n_gt, sum(n_det)::bigint as n_det, sum(n_tp)::bigint as n_tp,
+    round(avg(share), 6) as coverage, round(avg(1 - n_tp / n_gt) filter (n_gt > 0), 6) as fnr, round(avg(1 - n_tp * coalesce(share, 0) / n_gt) filter (n_gt > 0), 6) as end_to_end, round(1 - sum(n_tp) / sum(n_gt), 6) as pooled_fnr from j group by "class" """)
+def class_endpoints(spark, sf_dir):
+    o = objects(spark, sf_dir).where("role = 'eval' and (has_gt or has_det)").withColumnRenamed("scene_id", "scene")
+    s = gwd_scores(spark, sf_dir)
+    q = T.class_thresholds(s.where("role = 'cal'"), 0.1, "hcp").withColumnRenamed("q_hat", "q")
+    n = o.groupBy("class", "scene").agg(F.count_if("has_gt").alias("n_gt"), F.count_if("has_det").alias("n_det"))
+    tp = C.covered(s.where("role = 'eval'"), q, ["class"]).groupBy("class", "scene").agg(F.count("*").alias("n_tp"), F.avg(F.col("covered").cast("double")).alias("share"))
+    j = n.join(tp, ["class", "scene"], "left").fillna(0, ["n_tp"])
+    has = F.col("n_gt") > 0
+    r = lambda c, name: F.round(c, 6).alias(name)
+    return j.groupBy("class").agg(
+        F.count("*").alias("sources"), F.count_if(has).alias("gt_sources"), F.count_if(F.col("n_tp") > 0).alias("tp_sources"), F.sum("n_gt").alias("n_gt"), F.sum("n_det").alias("n_det"), F.sum("n_tp").alias("n_tp"),
+        r(F.avg("share"), "coverage"), r(F.avg(F.when(has, 1 - F.col("n_tp") / F.col("n_gt"))), "fnr"),
+        r(F.avg(F.when(has, 1 - F.col("n_tp") * F.coalesce("share", F.lit(0.0)) / F.col("n_gt"))), "end_to_end"), r(1 - F.sum("n_tp") / F.sum("n_gt"), "pooled_fnr"),
+    )

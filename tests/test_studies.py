@@ -104,3 +104,12 @@ def test_stream_monitor(spark, tmp_path):
     run.awaitTermination(120)
     rows = spark.read.parquet(str(out)).collect()
     assert [(r.n, r.covered) for r in rows] == [(2, 0.5)]
+
+
+def test_drawn_roles(spark):
+    roles = spark.createDataFrame([(f"P{i}", "all") for i in range(20)], "scene_id string, role string")
+    d = S.drawn_roles(S.resampled(spark, roles, 3, 1), 5)
+    one = d.where("draw = 1").toPandas()
+    assert one["mult"].sum() == 20 and set(one.role) == set(S.ROLES) and one.scene_id.is_unique
+    again = S.drawn_roles(S.resampled(spark, roles, 3, 1), 5).where("draw = 1").toPandas()
+    assert one.sort_values("scene_id").values.tolist() == again.sort_values("scene_id").values.tolist()
