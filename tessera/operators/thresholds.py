@@ -138,11 +138,10 @@ def crc_adaptive(scores: DataFrame, alpha: float, deployed: DataFrame, by: list[
     k = F.col("n") - F.least(F.floor(budget + SLACK), F.col("n"))
     wanted = wanted.select(*by, "d", F.when(budget < -SLACK, F.lit(None)).otherwise(k).alias("k"))
     near = (F.col("k") > F.col("before")) & (F.col("k") <= F.col("seen"))
-    if by:
-        keys = [F.col(f"w.{c}") == F.col(f"r.{c}") for c in by]
-        found = wanted.alias("w").join(ranked.alias("r"), [*keys, near], "left").select(*[F.col(f"w.{c}") for c in by], "d", "k", "score")
-    else:
-        found = F.broadcast(wanted).join(ranked, near, "left").select("d", "k", "score")
+    asked = wanted.select(*[F.col(c).alias(f"_{c}") for c in by], "d", "k").where("k >= 1")
+    same = [F.col(f"_{c}") == F.col(c) for c in by]
+    hits = ranked.join(asked if by else F.broadcast(asked), [*same, near] if by else near).select(*by, "d", "score")
+    found = wanted.join(hits, [*by, "d"], "left").select(*by, "d", "k", "score")
     q = F.when(F.col("k").isNull(), F.lit(INF)).when(F.col("k") <= 0, F.lit(-INF)).otherwise(F.col("score"))
     return deployed.join(found.select(*by, "d", q.alias("q")), [*by, "d"])
 
