@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -163,7 +164,7 @@ def average_precision(det: DataFrame, gt: DataFrame, taus: list[float], per_imag
     top = lambda cols: Window.partitionBy(*cols).orderBy(F.col("score").desc(), "idx")
     kept = det.withColumn("r", F.row_number().over(top(["image_id"]))).where(F.col("r") <= per_image)
     kept = kept.withColumn("r", F.row_number().over(top(["image_id", "class"]))).where(F.col("r") <= per_class).drop("r")
-    cands = candidates(kept, gt, min(taus), iou)
+    cands = candidates(kept, gt, min(taus), iou).persist(StorageLevel.MEMORY_AND_DISK)  # read once per threshold
     total = gt.groupBy("class").agg(F.count("*").alias("n_gt"))
     out = None
     for tau in taus:

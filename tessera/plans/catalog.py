@@ -436,8 +436,9 @@ LOSS = f"""{SCORES}, e as (select o.scene_id as scene, o."class", case when o.ha
 
 
 def loss_rows(spark, sf_dir) -> DataFrame:
+    # the distance stands outside any condition: within one, its common parts would be computed again and again
     d = B.gwd(F.col("pred"), F.col("gt"))
-    o = objects(spark, sf_dir).where("has_gt").select("class", F.col("scene_id").alias("scene"), F.when(F.col("has_det"), F.col("score")).alias("conf"), F.when(F.col("has_det"), F.round(d, 6)).alias("score"))
+    o = objects(spark, sf_dir).where("has_gt").select("class", F.col("scene_id").alias("scene"), F.when(F.col("has_det"), F.col("score")).alias("conf"), (F.round(d, 6) + F.when(F.col("has_det"), F.lit(0.0))).alias("score"))
     return C.loss_matrix(o, [2.0, 5.0, 10.0, 20.0], 0.1, ["class"])
 
 
