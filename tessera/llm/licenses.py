@@ -40,6 +40,8 @@ SENTENCES = {
     "gpl-details": "See the GNU General Public License for more details.",
     "bsd-allowed": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "cc-by-work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-nc-short": "Licensed under CC BY-NC 4.0.",
+    "cc-by-nc-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "mpl2-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "all-rights": "All rights reserved.",
@@ -50,6 +52,7 @@ RULES = [
     ("MIT", ("mit-released",)), ("MIT", ("mit-licensed",)), ("MIT", ("mit-grant", "mit-as-is", "mit-liability")), ("MIT", ("mit-grant",)),
     ("ISC", ("isc-grant",)), ("GPL-3.0", ("gpl3-work",)), ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-implied", "gpl-details")),
     ("GPL-3.0-or-later", ("gpl-free",)), ("BSD", ("bsd-allowed",)), ("CC-BY-4.0", ("cc-by-work",)), ("MPL-2.0", ("mpl2-subject",)), ("Unlicense", ("unlicense",)),
+    ("CC-BY-NC-4.0", ("cc-by-nc-short",)), ("CC-BY-NC-4.0", ("cc-by-nc-work",)), ("All-rights-reserved", ("all-rights",)), ("BSD", ("all-rights", "bsd-allowed")),
 ]
 #: Every known sentence holds one of these; texts without them are not cut into sentences.
 TRIGGER = re.compile(r"(?i)licen[sc]e|permi|warrant|redistribut|free software|unencumbered|without fee|rights reserved|liable")

@@ -381,6 +381,18 @@ def test_licences(spark):
     assert licenses.license_matches(d.unionByName(d)).count() == 2 * len(got)
 
 
+def test_every_kind_of_licence_line_gives_a_row(spark):
+    lines = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "All rights reserved.": "All-rights-reserved", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: [x.strip() for x in r.text.split("\n")] for r in d.where("text is not null").collect()}
+    want = Counter((i, lines[x]) for i, t in texts.items() for x in t if x in lines)
+    assert {k for _, k in want} == set(lines.values())
+    assert not Counter(want) - Counter((r.doc_id, r.license) for r in licenses.license_matches(d).collect())
+    assert {rule[0] for _, rule in licenses.RULES} | {n for _, rule in licenses.RULES for n in rule} == set(licenses.SENTENCES)
+    bsd = docs(spark, ["Copyright (c) 2020, A\nAll rights reserved.\n\n" + licenses.SENTENCES["bsd-allowed"]])
+    assert [(r.license, r.n_sentences) for r in licenses.license_matches(bsd).collect()] == [("BSD", 2)]
+
+
 # ---- 8: tokens ------------------------------------------------------------------------------------------------------------------------
 
 
