@@ -1,8 +1,10 @@
 """Licence scans: sentences map to identifiers, and identifier sequences match ordered licence rules.
 
-A sentence ends at . ! ? or ; before white space, or where a blank line or the text ends. A line may begin
-one, so a notice under an unfinished line counts; a line's end inside a sentence is white space.
-Sentences are lower-cased to their letters and digits. A rule is an ordered list of sentence
+A sentence ends at . ! ? or ; before white space, or where a blank line or the text ends; a line without
+letters and digits (a bare comment mark) is blank. A line may begin one, so a notice under an unfinished
+line counts; a line's end inside a sentence is white space. Sentences are lower-cased to their letters and
+digits. A known sentence is found across such ends within it ("v. 2.0", a blank line around an address)
+and counts once; it may end without a mark where another known one follows at once. A rule is an ordered list of sentence
 identifiers; at most GAP unknown sentences may stand between two of them. Where rules overlap, the
 one with more sentences wins, then the one that begins first.
 """
@@ -48,7 +50,7 @@ SENTENCES = {
 }
 RULES = [
     ("Apache-2.0", ("apache-licensed",)),
-    ("Apache-2.0", ("apache-grant", "apache-comply", "apache-copy", "apache-as-is", "apache-see")),
+    ("Apache-2.0", ("apache-grant", "apache-comply", "apache-copy", "apache-as-is", "apache-see")), ("Apache-2.0", ("apache-grant",)),
     ("MIT", ("mit-released",)), ("MIT", ("mit-licensed",)), ("MIT", ("mit-grant", "mit-as-is", "mit-liability")), ("MIT", ("mit-grant",)),
     ("ISC", ("isc-grant",)), ("GPL-3.0", ("gpl3-work",)), ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-implied", "gpl-details")),
     ("GPL-3.0-or-later", ("gpl-free",)), ("BSD", ("bsd-allowed",)), ("CC-BY-4.0", ("cc-by-work",)), ("MPL-2.0", ("mpl2-subject",)), ("Unlicense", ("unlicense",)),
@@ -56,42 +58,71 @@ RULES = [
 ]
 #: Every known sentence holds one of these; texts without them are not cut into sentences.
 TRIGGER = re.compile(r"(?i)licen[sc]e|permi|warrant|redistribut|free software|unencumbered|without fee|rights reserved|liable")
-_END = re.compile(r"[.!?;](?=\s|$)|\n[ \t\r\f\v]*\n")
+_END = re.compile(r"[.!?;](?=\s|$)|\n(?:[^\w\n]|_)*(?=\n)")
 _WORD = re.compile(r"[a-z0-9]+")
 
 
 def tokens(text: str) -> list[str]:
-    return [{"licence": "license", "licences": "licenses", "licenced": "licensed"}.get(w, w) for w in _WORD.findall(text.lower())]
+    return [{"licence": "license", "licences": "licenses", "licenced": "licensed", "https": "http"}.get(w, w) for w in _WORD.findall(text.lower())]
 
 
 class Catalogue:
     """Known sentences by their normalised form, and the rules over them."""
 
     def __init__(self, sentences: dict[str, str], rules: list[tuple[str, tuple[str, ...]]]):
-        self.known: dict[str, str] = {}
-        self.longest = 0
+        self.known: dict[str, list[tuple[list[str], str]]] = {}
         for name, text in sentences.items():
-            self.known[" ".join(t := tokens(text))] = name
-            self.longest = max(self.longest, len(t))
+            self.known.setdefault((t := tokens(text))[0], []).append((t, name))
+        for same in self.known.values():
+            same.sort(key=lambda k: -len(k[0]))
         self.rules = sorted(rules, key=lambda r: -len(r[1]))
 
     def identify(self, text: str) -> list[str | None]:
         """The identifier of each sentence in order, None where it is unknown."""
-        out: list[str | None] = []
+        words: list[str] = []
+        begins, ends = [], set()  # where lines and sentences begin, where sentences end
         start = 0
         for end in [m.end() for m in _END.finditer(text)] + [len(text)]:
-            lines = [tokens(x) for x in text[start:end].split("\n")]
+            for line in text[start:end].split("\n"):
+                begins.append(len(words))
+                words += tokens(line)
             start = end
-            tail: list[str] = []
-            name, size = None, 0
-            for words in reversed(lines):  # the sentence may begin at any of its lines
-                size += len(words)
-                if size > self.longest:
+            ends.add(len(words))
+        ends.discard(0)
+        found = self._places(words, sorted(set(begins)), ends)
+        out: list[str | None] = []
+        done = 0  # a known sentence stands for the unfinished lines before it, too
+        stops = sorted(ends)
+        at = 0
+        for first, last, name in found:
+            while at < len(stops) and stops[at] <= first:
+                if stops[at] > done:
+                    out.append(None)
+                at += 1
+            out.append(name)
+            done = last
+        return out + [None] * sum(x > done for x in stops[at:])
+
+    def _places(self, words: list[str], begins: list[int], ends: set[int]) -> list[tuple[int, int, str]]:
+        """(first word, end, name) of the known sentences, in order, none within another.
+
+        One ends where a sentence of the text ends, or where the next known one begins.
+        """
+        good: dict[int, tuple[int, str]] = {}
+        for first in range(len(words) - 1, -1, -1):
+            for known, name in self.known.get(words[first], ()):
+                last = first + len(known)
+                if words[first:last] == known and (last in ends or last in good):
+                    good[first] = last, name
                     break
-                tail = words + tail
-                name = self.known.get(" ".join(tail), name) if words else name
-            if size:
-                out.append(name)
+        out: list[tuple[int, int, str]] = []
+        done = 0
+        for first in begins:
+            while first >= done and first in good:
+                done, name = good[first]
+                out.append((first, done, name))
+                if done not in ends:
+                    first = done
         return out
 
     def licences(self, names: list[str | None]) -> list[tuple[str, int, int, int]]:

