@@ -1,10 +1,12 @@
 """Benchmark passages in documents: q-gram lemma filter over diagonal bands, then banded alignment.
 
 Texts are lower-cased, white space is one blank, and bytes of UTF-8 are compared. Benchmark items
-are cut into windows of WINDOW bytes, half overlapping, so that a passage of one and a half windows
-is found wherever it begins. A window of m bytes that occurs with k edits shares m + 1 - Q(k + 1) of
-its q-grams or more with the text, all on k + 1 neighbouring diagonals, hence in one of the bands of
-2k diagonals that overlap by k. Bands with enough shared q-grams are aligned within those diagonals.
+are cut into windows of WINDOW bytes that begin every STRIDE bytes, and of WORDS words that begin at
+every word, so that a verbatim passage of WORDS words, or of WINDOW + STRIDE - 1 bytes, is found
+wherever it begins. A window of m bytes that occurs with k edits shares m + 1 - Q(k + 1) of its
+q-grams or more with the text, all on k + 1 neighbouring diagonals, hence in one of the bands of two
+strips of as many diagonals as the largest k. Windows with enough shared q-grams in a band are
+aligned within its diagonals. Items, not windows, are indexed, so overlapping windows cost no memory.
 """
 
 from __future__ import annotations
@@ -23,6 +25,10 @@ from .common import frugal, session
 from .words import U, chunks
 
 Q, WINDOW, RATE = 10, 96, 0.08
+#: Bytes between the beginnings of windows, and the words of the windows that begin at every word.
+STRIDE, WORDS = 8, 13
+#: No window is longer: longer passages hold a window of WINDOW bytes.
+LONGEST = WINDOW + STRIDE - 1
 #: Benchmark bytes whose index one pass over the documents carries; a larger benchmark takes more passes.
 BLOCK_BYTES = 8_000_000
 TABLE_BITS = 22
@@ -45,67 +51,104 @@ def qgrams(data: bytes) -> np.ndarray:
     return code * U(0xD6E8FEB86659FD93)
 
 
+def cuts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and whether it is one of the half-overlapping ones, of an item's windows by start."""
+    last = max(0, len(data) - WINDOW)
+    start = np.append(np.arange(0, last, STRIDE), last)
+    blank = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+    begin, end = np.append(0, blank + 1), np.append(blank, len(data))
+    begin, size = begin[: max(0, len(begin) - WORDS + 1)], end[WORDS - 1 :] - begin[: max(0, len(begin) - WORDS + 1)]
+    fits = (size >= Q) & (size <= LONGEST)
+    start, size = np.append(start, begin[fits]), np.append(np.full(len(start), min(WINDOW, len(data))), size[fits])
+    key = np.unique(start * (LONGEST + 1) + size)
+    start, size = key // (LONGEST + 1), key % (LONGEST + 1)
+    return start, size, (size == min(WINDOW, len(data))) & ((start % (WINDOW // 2) == 0) | (start == last))
+
+
+class Cut:
+    """The windows' texts, cut when asked for."""
+
+    def __init__(self, data: list[bytes], owner: np.ndarray, start: np.ndarray, size: np.ndarray):
+        self.data, self.owner, self.start, self.size = data, owner, start, size
+
+    def __len__(self) -> int:
+        return len(self.owner)
+
+    def __getitem__(self, w: int) -> bytes:
+        at = int(self.start[w])
+        return self.data[self.owner[w]][at : at + int(self.size[w])]
+
+
 class Windows:
-    """The windows of a block of benchmark items, with their q-gram index."""
+    """The windows of a block of benchmark items, with the q-gram index of the items."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.item, self.text, self.edits, self.need, self.short = [], [], [], [], []
+        self.names, self.short, data = [], [], []
         for item, text in items:
-            data = plain(text)
-            if len(data) < Q:
-                if data:
-                    self.short.append((item, data))
-                continue
-            last = max(0, len(data) - WINDOW)
-            for at in sorted({*range(0, last, WINDOW // 2), last}):
-                w = data[at : at + WINDOW]
-                k = max(0, min(int(RATE * len(w)), (len(w) - Q) // Q - 1))
-                self.item.append(item)
-                self.text.append(w)
-                self.edits.append(k)
-                self.need.append(len(w) + 1 - Q * (k + 1))
-        self.item, self.edits, self.need = (np.array(x, np.int64) for x in (self.item, self.edits, self.need))
-        codes = [qgrams(w) for w in self.text]
+            plainly = plain(text)
+            if len(plainly) >= Q:
+                self.names.append(item)
+                data.append(plainly)
+            elif plainly:
+                self.short.append((item, plainly))
+        parts = [cuts(x) for x in data] or [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))]
+        self.start, self.size, self.half = (np.concatenate(x) for x in zip(*parts))
+        n = [len(x[0]) for x in parts] if data else []
+        self.first_window = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+        self.text = Cut(data, np.repeat(np.arange(len(data)), n), self.start, self.size)
+        self.edits = np.maximum(0, np.minimum((RATE * self.size).astype(np.int64), (self.size - Q) // Q - 1))
+        self.need = self.size + 1 - Q * (self.edits + 1)
+        self.least = np.minimum.reduceat(self.need, self.first_window[:-1]) if data else np.empty(0, np.int64)
+        self.step = int(max(1, self.edits.max(initial=1)))
+        self.longest = max(map(len, data), default=0)
+        codes = [qgrams(x) for x in data]
         code = np.concatenate(codes) if codes else np.empty(0, U)
         order = np.argsort(code, kind="stable")
-        self.window = np.repeat(np.arange(len(codes)), [len(c) for c in codes])[order]
+        self.place = np.repeat(np.arange(len(codes)), [len(c) for c in codes])[order]
         self.offset = np.concatenate([np.arange(len(c)) for c in codes])[order] if codes else np.empty(0, np.int64)
         self.code, self.first, self.times = np.unique(code[order], return_index=True, return_counts=True)
         self.seen = np.zeros(1 << TABLE_BITS, bool)
         self.seen[(self.code >> U(64 - TABLE_BITS)).astype(np.int64)] = True
 
-    def bands(self, data: bytes) -> list[tuple[int, int, int]]:
-        """(window, lowest, highest diagonal) of every band that holds enough shared q-grams."""
+    def bands(self, data: bytes) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(item, lowest, highest diagonal, windows) of every band in which windows share enough q-grams."""
         grams = qgrams(data)
         at = np.flatnonzero(self.seen[(grams >> U(64 - TABLE_BITS)).astype(np.int64)])
         if not len(at) or not len(self.code):
-            return []
+            return
         slot = np.minimum(np.searchsorted(self.code, grams[at]), len(self.code) - 1)
         real = self.code[slot] == grams[at]
         at, slot = at[real], slot[real]
         times = self.times[slot]
         inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         entry = np.repeat(self.first[slot], times) + inside
-        window = self.window[entry]
-        diagonal = np.repeat(at, times) - self.offset[entry] + WINDOW
-        step = np.maximum(1, self.edits[window])
-        span = (len(data) + 2 * WINDOW) + 2
-        key, count = np.unique(window * span + diagonal // step, return_counts=True)
-        following = np.zeros(len(key), np.int64)
-        following[:-1] = np.where(key[1:] == key[:-1] + 1, count[1:], 0)
-        before = np.zeros(len(key), np.int64)
-        before[1:] = np.where(key[1:] == key[:-1] + 1, count[:-1], 0)
-        w = key // span
-        keep = count + np.maximum(following, before) >= self.need[w]
-        out = []
-        for w, strip in zip(w[keep].tolist(), (key[keep] % span).tolist()):
-            k = max(1, int(self.edits[w]))
-            low, high = strip * k - WINDOW - k, strip * k - WINDOW + 2 * k
-            if out and out[-1][0] == w and low <= out[-1][2]:
-                out[-1] = (w, out[-1][1], high)
-            else:
-                out.append((w, low, high))
-        return out
+        item, offset = self.place[entry], self.offset[entry]
+        strip = (np.repeat(at, times) - offset + self.longest) // self.step
+        span = (len(data) + self.longest) // self.step + 2
+        key, group, count = np.unique(item * span + strip, return_inverse=True, return_counts=True)
+        if not len(key):
+            return
+        pair = np.append(key[1:] == key[:-1] + 1, False)
+        total = count + np.where(pair, np.append(count[1:], 0), 0)
+        keep = total >= self.least[key // span]
+        wanted = keep | np.append(False, keep[:-1] & pair[:-1])
+        held = np.flatnonzero(wanted[group])
+        held = held[np.lexsort((offset[held], group[held]))]
+        group, offset = group[held], offset[held]
+        chosen = np.flatnonzero(keep)
+        lo = np.searchsorted(group, chosen)
+        hi = np.searchsorted(group, chosen + pair[chosen], side="right")
+        for g, a, z in zip(chosen.tolist(), lo.tolist(), hi.tolist()):
+            i, t = divmod(int(key[g]), span)
+            shared = np.unique(offset[a:z])
+            w0, w1 = int(self.first_window[i]), int(self.first_window[i + 1])
+            starts = self.start[w0:w1]
+            w0, w1 = w0 + int(np.searchsorted(starts, shared[0] - LONGEST)), w0 + int(np.searchsorted(starts, shared[-1], side="right"))
+            start = self.start[w0:w1]
+            enough = np.searchsorted(shared, start + self.size[w0:w1] - Q, side="right") - np.searchsorted(shared, start) >= self.need[w0:w1]
+            if enough.any():
+                low = t * self.step - self.longest
+                yield i, low, low + 2 * self.step - 1, w0 + np.flatnonzero(enough)
 
 
 def align(pattern: bytes, data: bytes, low: int, high: int, most: int) -> tuple[int, int]:
@@ -142,14 +185,21 @@ def passages(texts: list, windows: Windows) -> Iterator[list[tuple[int, int, int
         starts = np.cumsum([0] + [len(p) + len(gap) for p in parts])
         data = gap.join(parts) + gap
         found: list[list[tuple[int, int, int, int]]] = [[] for _ in parts]
-        for w, low, high in windows.bands(data):
-            pattern, most = windows.text[w], int(windows.edits[w])
-            begin = data.find(pattern, max(0, low), max(0, high) + len(pattern) + most)
-            edits, end = (0, begin + len(pattern)) if begin >= 0 else align(pattern, data, low, high, most)
-            if edits <= most:
-                doc = int(np.searchsorted(starts, max(0, end - 1), side="right")) - 1
-                base = int(starts[doc])
-                found[doc].append((int(windows.item[w]), max(0, end - len(pattern) - base), end - base, edits))
+        for i, low, high, some in windows.bands(data):
+            covered: list[tuple[int, int]] = []  # parts of the item found in this band
+            half = windows.half[some]
+            for w in some[half].tolist() + some[~half].tolist():
+                first, size, most = int(windows.start[w]), int(windows.size[w]), int(windows.edits[w])
+                if any(a <= first and first + size <= z for a, z in covered):
+                    continue
+                pattern = windows.text[w]
+                begin = data.find(pattern, max(0, low + first), max(0, high + first) + size + most)
+                edits, end = (0, begin + size) if begin >= 0 else align(pattern, data, low + first, high + first, most)
+                if edits <= most:
+                    covered = united(covered, first, first + size)
+                    doc = int(np.searchsorted(starts, max(0, end - 1), side="right")) - 1
+                    base = int(starts[doc])
+                    found[doc].append((windows.names[i], max(0, end - size - base), end - base, edits))
         for i, p in enumerate(parts):
             for item, short in windows.short:
                 for m in re.finditer(rb"(?<!\S)" + re.escape(short) + rb"(?!\S)", p):
@@ -158,6 +208,12 @@ def passages(texts: list, windows: Windows) -> Iterator[list[tuple[int, int, int
             yield joined(rows)
 
 
+def united(parts: list[tuple[int, int]], first: int, end: int) -> list[tuple[int, int]]:
+    """The parts with one more; overlapping ones are one."""
+    near = [p for p in parts if p[0] < end and first < p[1]]
+    return [p for p in parts if p not in near] + [(min([first, *(a for a, _ in near)]), max([end, *(z for _, z in near)]))]
+
+
 def joined(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Overlapping regions of an item as one, with the most edits of its windows."""
     out: list[tuple[int, int, int, int]] = []

@@ -188,6 +188,36 @@ def test_filter_loses_no_occurrence_within_the_budget():
         assert next(decontam.passages([text.decode()], windows)), (k, w)
 
 
+def test_quotes_of_13_words_are_found_at_all_offsets():
+    items = {i: prose(2000 + i, 60) for i in range(3)}
+    windows = decontam.Windows(list(items.items()))
+    texts, want = [], []
+    for i, item in items.items():
+        words = item.split()
+        for n in (13, 14, 16, 18, 20):
+            for at in range(len(words) - n + 1):
+                texts.append(prose(3000 + at, 20) + " " + " ".join(words[at : at + n]) + " " + prose(4000 + at, 20))
+                want.append(i)
+    assert [{r[0] for r in rows} for rows in decontam.passages(texts, windows)] == [{i} for i in want]
+    assert not any(decontam.passages([prose(5000 + k, 200) for k in range(20)], windows))
+
+
+def test_long_words_are_found_from_103_bytes():
+    r = random.Random(8)
+    item = "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(200))
+    windows = decontam.Windows([(1, item)])
+    size = -(-decontam.LONGEST // 3)
+    assert all(decontam.passages(["\u3042" * 30 + item[at : at + size] + "\u3042" * 30 for at in range(len(item) - size + 1)], windows))
+
+
+def test_windows_of_a_block(spark):
+    windows = decontam.Windows([(7, "a b"), (8, prose(9, 12)), (9, "x" * 500), (10, " ".join("abcdefghijklmnop"))])
+    assert windows.short == [(7, b"a b")] and windows.names == [8, 9, 10]
+    assert all(decontam.Q <= len(windows.text[w]) <= decontam.LONGEST for w in range(len(windows.text)))
+    assert [{r[0] for r in rows} for rows in decontam.passages(["q " + "x" * 2000, "a b c d e f g h i j k l m", None], windows)] == [{9}, {7, 10}, set()]
+    assert not any(decontam.passages([prose(1), None], decontam.Windows([])))
+
+
 def test_alignment_against_plain_dynamic_programming():
     r = random.Random(6)
     for _ in range(100):
