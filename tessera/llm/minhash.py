@@ -157,12 +157,7 @@ def _links(pairs: DataFrame, docs: DataFrame, registers: DataFrame, name: str) -
 def _shingle_sets(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """(id, elements, counts) of the texts whose id is in ``ids``, and of few others."""
     own = among(docs.select(F.col("doc_id").alias("id"), "text").where("text is not null"), "id", ids)
-    sets = stored(own.mapInPandas(_sets, "id long, elements binary, counts binary"), f"{name}_sets")
-    return sets.dropDuplicates(["id"]) if _repeats(sets) else sets
-
-
-def _repeats(sets: DataFrame) -> bool:
-    return not sets.groupBy("id").count().where("count > 1").isEmpty()
+    return stored(own.mapInPandas(_sets, "id long, elements binary, counts binary"), f"{name}_sets")
 
 
 def _parts(links: DataFrame) -> DataFrame:
@@ -300,6 +295,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     session(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        out = _classes(docs).select("doc_id", "class_id", "copies")
+    else:
+        out = _tied(docs)
+    return out.select("*", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+def _tied(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, copies) where ids repeat: rows are compared by a number of their own, ids tie them at the end."""
+    rows = stored(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = _classes(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "rep", F.col("class_id").alias("group"))
+    rows = stored(rows.select("row", "doc_id").join(found, "row"), "grouped")
+    low = rows.groupBy("group").agg(F.min("doc_id").alias("v"))
+    label = stored(components(rows.join(low, "group").select(F.col("doc_id").alias("u"), "v").distinct()), "tied")
+    size = rows.select("rep", "doc_id").distinct().groupBy("rep").agg(F.count("*").alias("copies"))
+    one = rows.join(size, "rep").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    one = one.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    return one.select("doc_id", F.coalesce("label", "doc_id").alias("class_id"), "copies")
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, rep, class_id, copies) of rows whose doc_id is their own; rep is the smallest one of the exact class."""
     signed = stored(docs.mapInPandas(_sign, "doc_id long, copy binary, bands array<long>, registers binary"), "signed")
     worded = signed.where("copy is not null")
     classes = stored(worded.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
@@ -308,18 +325,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bands = own.select("id", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band")
     met = stored(bands.join(shared, "band").select("band", "id").distinct(), "met")
-    registers = among(own.select("id", "registers"), "id", met.select("id")).dropDuplicates(["id"])
+    registers = among(own.select("id", "registers"), "id", met.select("id"))
     links = _joined(met, docs, stored(registers, "registers"))
 
-    same = worded.select("doc_id", "copy").join(classes, "copy").select("doc_id", "rep", "copies")
-    same = stored(same, "members")
-    tied = same.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    whole = stored(components(links.unionByName(tied.select(F.col("hi").alias("u"), F.col("lo").alias("v")))), "final")
-    one = same.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("copies").alias("copies"))
-    blank = signed.where("copy is null").select("doc_id").distinct().join(one.select("doc_id"), "doc_id", "left_anti")
-    group = F.coalesce("label", "rep")
-    out = one.join(whole.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", group.alias("class_id"), "copies", (F.col("doc_id") == group).alias("kept"))
-    return out.unionByName(blank.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("copies"), F.lit(True).alias("kept")))
+    same = stored(worded.select("doc_id", "copy").join(classes, "copy").select("doc_id", "rep", "copies"), "members")
+    whole = stored(components(links), "final").select(F.col("id").alias("rep"), "label")
+    out = same.join(whole, "rep", "left").select("doc_id", "rep", F.coalesce("label", "rep").alias("class_id"), "copies")
+    blank = signed.where("copy is null").select("doc_id", F.col("doc_id").alias("rep"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("copies"))
+    return out.unionByName(blank)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

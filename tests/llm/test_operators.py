@@ -381,6 +381,16 @@ def test_near_duplicates(spark, monkeypatch, rounds):
     assert minhash.near_duplicates(d.where("false")).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    texts = [prose(6000 + k, 80) for k in range(6)]
+    near = [t.replace(t.split()[40], "changed", 1) for t in texts]
+    rows = [(10, t) for t in texts] + [(k, t) for k, t in enumerate(near)] + [(20, texts[0].upper()), (20, None), (21, None), (21, " "), (22, prose(1, 80)), (22, prose(1, 80))]
+    for order, parts in ((rows, 1), (rows[::-1], 3)):
+        d = spark.createDataFrame(order, "doc_id long, text string").repartition(parts)
+        got = {r.doc_id: (r.class_id, r.copies, r.kept) for r in minhash.near_duplicates(d).collect()}
+        assert got == {10: (0, 2, False), 20: (0, 2, False), 21: (21, 1, True), 22: (22, 1, True)} | {k: (0, 1, k == 0) for k in range(6)}
+
+
 def test_signatures_estimate_the_probability_jaccard():
     r = np.random.default_rng(4)
     element = r.integers(0, 2**63, 60).astype(np.uint64)
