@@ -626,10 +626,19 @@ def describe_scores(spark, sf_dir):
     d as (select draw, sum(mult * hits)::double / sum(mult * n) as v from m group by draw)
     select round(quantile_cont(v, 0.025), 6) as low, round(quantile_cont(v, 0.975), 6) as high, count(*)::bigint as n, 'complete' as status from d""")
 def bootstrap_interval(spark, sf_dir):
+    return _bootstrap(spark, sf_dir, 20)
+
+
+@query()
+def bootstrap_interval_1000(spark, sf_dir):
+    return _bootstrap(spark, sf_dir, 1_000)
+
+
+def _bootstrap(spark, sf_dir, draws):
     s = gwd_scores(spark, sf_dir)
     q = T.class_thresholds(s.where("role = 'cal'"), 0.1, "hcp").withColumnRenamed("q_hat", "q")
     scenes = C.covered(s.where("role = 'eval'"), q, ["class"]).groupBy("scene").agg(F.sum(F.col("covered").cast("bigint")).alias("hits"), F.count("*").alias("n"))
-    w = S.hash_weights(scenes, 20, "boot", "scene")
+    w = S.hash_weights(scenes, draws, "boot", "scene")
     d = w.groupBy("draw").agg((F.sum(F.col("mult") * F.col("hits")) / F.sum(F.col("mult") * F.col("n"))).alias("value"))
     r = S.interval(d, [])
     return r.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "n", "status")
@@ -707,13 +716,13 @@ def certified_regions(spark, sf_dir):
 
 @query()
 def simulated_calibration(spark, sf_dir):
-    s = SIM.simulated(spark, 4, [0, 4, 12])
+    s = SIM.simulated(spark, 4, list(range(36)))
     return C.repeated_summary(s, ["condition", "method"], "cov_scene")
 
 
 @query()
 def familywise_error_rate(spark, sf_dir):
-    e = SIM.familywise_errors(spark, [[0.0, 0.2, 0.4], [0.1, 0.3, 0.5]], [0.3, 0.4, 0.3], 400, 0.25, 0.05, 2000)
+    e = SIM.familywise_errors(spark, [[0.0, 0.2, 0.4], [0.1, 0.3, 0.5]], [0.3, 0.4, 0.3], 400, 0.25, 0.05, 20_000)
     return e.agg(F.count("*").alias("draws"), F.sum("errors").alias("errors"))
 
 

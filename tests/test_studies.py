@@ -113,3 +113,12 @@ def test_drawn_roles(spark):
     assert one["mult"].sum() == 20 and set(one.role) == set(S.ROLES) and one.scene_id.is_unique
     again = S.drawn_roles(S.resampled(spark, roles, 3, 1), 5).where("draw = 1").toPandas()
     assert one.sort_values("scene_id").values.tolist() == again.sort_values("scene_id").values.tolist()
+
+
+def test_simulations_run_whole(spark):
+    from tessera.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    assert catalog.QUERIES["bootstrap_interval_1000"](spark, sf).first().n == 1000
+    assert catalog.QUERIES["familywise_error_rate"](spark, sf).first().draws == 20_000
+    assert catalog.QUERIES["simulated_calibration"](spark, sf).select("condition").distinct().count() == 36
