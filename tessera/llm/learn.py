@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import free, remainder
 
 #: Bits per id of the filter that spares other texts a shuffle, and the most bits (as a power of 2; 16 MB).
 FILTER_SHARE, MOST_BITS = 32, 27
@@ -44,31 +44,34 @@ def training(labels: DataFrame, column: str, base: int, held: int) -> DataFrame:
 def flagged(rows: DataFrame, column: str, ids: DataFrame, flag: str) -> DataFrame:
     """``rows`` with a boolean ``flag``: true of every id in ``ids`` (one column, long) and of few others.
 
-    A bitmap over hashed ids is broadcast: FILTER_SHARE bits an id, and never more than MOST_BITS.
+    A bitmap over hashed ids is broadcast: FILTER_SHARE bits an id, and never more than MOST_BITS. Columns of ``rows`` may
+    have any name but ``flag``.
     """
     bits = 1 << min(MOST_BITS, max(16, (FILTER_SHARE * max(1, ids.count())).bit_length()))
-    bit = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
-    words = ids.select(bit(ids.columns[0]).alias("_bit")).groupBy(F.expr("shiftright(_bit, 6)").alias("_word"))
-    words = words.agg(F.expr("bit_or(shiftleft(1L, cast(_bit % 64 as int)))").alias("_bits"))
-    marked = rows.withColumn("_bit", bit(column)).withColumn("_word", F.expr("shiftright(_bit, 6)")).join(F.broadcast(words), "_word", "left")
-    hit = F.expr("coalesce(shiftrightunsigned(_bits, cast(_bit % 64 as int)) & 1 = 1, false)") & F.col(column).isNotNull()
-    return marked.withColumn(flag, hit).drop("_bit", "_word", "_bits")
+    bit, word, mask = free(rows, "bit", "word", "mask")
+    hashed = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
+    words = ids.select(hashed(ids.columns[0]).alias(bit)).groupBy(F.shiftright(bit, 6).alias(word))
+    words = words.agg(F.expr(f"bit_or(shiftleft(1L, cast({bit} % 64 as int)))").alias(mask))
+    marked = rows.withColumn(bit, hashed(column)).withColumn(word, F.shiftright(bit, 6)).join(F.broadcast(words), word, "left")
+    hit = F.expr(f"coalesce(shiftrightunsigned({mask}, cast({bit} % 64 as int)) & 1 = 1, false)") & F.col(column).isNotNull()
+    return marked.select(*rows.columns, hit.alias(flag))
 
 
 def among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """The rows whose id is in ``ids``, and few others."""
-    return flagged(rows, column, ids, "_in").where("_in").drop("_in")
+    (flag,) = free(rows, "flag")
+    return flagged(rows, column, ids, flag).where(flag).drop(flag)
 
 
 def labelled(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """text and label of the rows of ``docs`` that ``train`` names.
+    """text and the columns of ``train`` but doc_id, of the rows of ``docs`` that ``train`` names.
 
     Up to MOST_BROADCAST labels are broadcast; beyond that the bitmap spares most other texts the shuffle.
     """
     own = docs.select("doc_id", "text")
     if train.count() <= MOST_BROADCAST:
-        return own.join(F.broadcast(train), "doc_id").select("text", "label")
-    return among(own, "doc_id", train.select("doc_id")).join(train, "doc_id").select("text", "label")
+        return own.join(F.broadcast(train), "doc_id").drop("doc_id")
+    return among(own, "doc_id", train.select("doc_id")).join(train, "doc_id").drop("doc_id")
 
 
 def without(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
@@ -76,15 +79,21 @@ def without(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
 
     Up to MOST_BROADCAST ids are broadcast; beyond that only rows that the bitmap doubts are shuffled.
     """
-    gone = ids.select(F.col(ids.columns[0]).alias("_gone"))
+    name, doubt = free(rows, "gone", "doubt")
+    gone = ids.select(F.col(ids.columns[0]).alias(name))
     if ids.count() <= MOST_BROADCAST:
-        return rows.join(F.broadcast(gone), F.col(column) == F.col("_gone"), "left_anti")
-    seen = flagged(rows, column, ids, "_doubt")
-    rest = seen.where("_doubt").join(gone, F.col(column) == F.col("_gone"), "left_anti").select(rows.columns)
-    return seen.where("not _doubt").select(rows.columns).unionByName(rest)
+        return rows.join(F.broadcast(gone), F.col(column) == F.col(name), "left_anti")
+    seen = flagged(rows, column, ids, doubt)
+    rest = seen.where(doubt).join(gone, F.col(column) == F.col(name), "left_anti").select(rows.columns)
+    return seen.where(~F.col(doubt)).select(rows.columns).unionByName(rest)
 
 
 def sampled(docs: DataFrame, train: DataFrame, size: int) -> DataFrame:
-    """text and label of at most ``size`` training rows, those with the smallest hashed ids."""
+    """text, label and the other columns of ``train`` of at most ``size`` training ids, those with the smallest hashes.
+
+    Of rows that repeat an id, one teaches: that with the smallest hash of its text.
+    """
     few = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "label")
+    own = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    one = own.groupBy(train.columns).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+    return one.select("one.text", *[c for c in train.columns if c != "doc_id"])
