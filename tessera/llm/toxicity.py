@@ -6,26 +6,45 @@ that makes the expected score negative. A linear scan finds every maximal segmen
 extreme-value law of segment scores turns a score S in a text of n tokens into
 ``rate * S - ln(scale * n)``; what is above ``-ln(EXPECTED)`` is a significant passage. The sum of
 its significant passages, or else its best segment, scores a text.
+
+Calibration is cross-fitted: the segments of a teaching row are found with token scores learnt from
+the other FOLDS - 1 folds of teaching rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, remainder, session
+from .common import beside, frugal, remainder, session
 from .learn import labelled, logistic, sampled, training
 from .words import U, WordCache, chunks, hash64, token_hashes
 
 TOKENS = 1 << 18
 #: Rows that calibration uses at most; token counts come from all training rows.
 SAMPLE = 8_000
-PRIOR, DEVIATIONS, DRIFT, EXPECTED = 0.1, 1.0, 1.0, 0.05
+FOLDS = 5
+#: Texts scored beyond this expectation are no significant passages.
+EXPECTED = 0.05
+
+
+class Settings(NamedTuple):
+    """Weight of the corpus' shares as a prior, standard errors by which log-odds are drawn to zero, and the drift.
+
+    The defaults had the least ``cross_validated`` loss among 27 settings over the teaching rows of a 10,000-document table.
+    """
+
+    prior: float = 0.03
+    deviations: float = 1.0
+    drift: float = 2.0
+
+
 EULER = 0.5772156649015329
 
 
@@ -66,16 +85,16 @@ def _tokens(texts: list, cache: WordCache) -> tuple[np.ndarray, np.ndarray]:
 
 @frugal
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cache, total = WordCache(token), np.zeros((2, TOKENS), np.int64)
+    """Tokens by fold and label: class 2 * fold + label."""
+    cache, total = WordCache(token), np.zeros((2 * FOLDS, TOKENS), np.int64)
     for b in batches:
-        texts, y = b.text.tolist(), b.label.to_numpy()
+        texts, y = b.text.tolist(), 2 * b.fold.to_numpy() + b.label.to_numpy()
         for lo, hi in chunks(texts):
             flat, offsets = _tokens(texts[lo:hi], cache)
-            label = np.repeat(y[lo:hi], np.diff(offsets))
-            for k in (0, 1):
-                total[k] += np.bincount(flat[label == k], minlength=TOKENS)
-    t = np.flatnonzero(total.any(axis=0))
-    yield pd.DataFrame({"token": t, "clean": total[0, t], "toxic": total[1, t]})
+            at = np.repeat(y[lo:hi], np.diff(offsets)).astype(np.int64) * TOKENS + flat
+            total += np.bincount(at, minlength=total.size).reshape(total.shape)
+    part, t = np.nonzero(total)
+    yield pd.DataFrame({"part": part, "token": t, "n": total[part, t]})
 
 
 def _found(texts: list, cache: WordCache, scores: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
@@ -89,10 +108,12 @@ def _found(texts: list, cache: WordCache, scores: np.ndarray) -> Iterator[tuple[
 
 @frugal
 def _best(batches: Iterator[pd.DataFrame], scores) -> Iterator[pd.DataFrame]:
+    """Segment scores of labelled texts, each by the scores that its own fold did not teach."""
     cache = WordCache(token)
     for b in batches:
-        rows = [(n, [x[2] for x in found]) for n, found in _found(b.text.tolist(), cache, scores)]
-        yield pd.DataFrame({"label": b.label.to_numpy(), "n": [r[0] for r in rows], "sums": [r[1] for r in rows]})
+        for fold, own in b.groupby("fold"):
+            rows = [(n, [x[2] for x in found]) for n, found in _found(own.text.tolist(), cache, scores[fold])]
+            yield pd.DataFrame({"label": own.label.to_numpy(), "fold": fold, "n": [r[0] for r in rows], "sums": [r[1] for r in rows]})
 
 
 def evidence(n: int, sums: list[float], rate: float, scale: float) -> float:
@@ -103,32 +124,26 @@ def evidence(n: int, sums: list[float], rate: float, scale: float) -> float:
     return float(max(level.max(), level[level > -np.log(EXPECTED)].sum()))
 
 
-@frugal
-def _judge(batches: Iterator[pd.DataFrame], model) -> Iterator[pd.DataFrame]:
-    scores, rate, scale, slope, level = model
-    cache = WordCache(token)
-    for b in batches:
-        rows = []
-        for n, found in _found(b.text.tolist(), cache, scores):
-            x = slope * evidence(n, [f[2] for f in found], rate, scale) + level
-            sure = [f for f in found if rate * f[2] - np.log(scale * n) > -np.log(EXPECTED)]
-            rows.append((1 / (1 + np.exp(-min(30.0, max(-30.0, x)))), [{"start": s, "end": e, "score": v, "expected": float(scale * n * np.exp(-rate * v))} for s, e, v in sure]))
-        yield pd.DataFrame({"doc_id": b.doc_id, "score": [float(r[0]) for r in rows], "passages": [r[1] for r in rows]})
-
-
-def log_odds(clean: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def log_odds(clean: np.ndarray, toxic: np.ndarray, settings: Settings = Settings()) -> np.ndarray:
     """Scores per token, without drift."""
     both = clean + toxic
-    prior = PRIOR * both
+    prior = settings.prior * both
     n1, n0, a0 = toxic.sum(), clean.sum(), prior.sum()
     x, y = toxic + prior, clean + prior
     with np.errstate(divide="ignore", invalid="ignore"):
         delta = np.log(x / (n1 + a0 - x)) - np.log(y / (n0 + a0 - y))
         error = np.sqrt(1 / x + 1 / y)
-    out = np.sign(delta) * np.maximum(0, np.abs(delta) - DEVIATIONS * error)
+        out = np.sign(delta) * np.maximum(0, np.abs(delta) - settings.deviations * error)
     return np.where(both > 0, np.nan_to_num(out, nan=0.0, posinf=0.0, neginf=0.0), 0.0)
 
 
+def token_scores(clean: np.ndarray, toxic: np.ndarray, settings: Settings) -> tuple[np.ndarray, float]:
+    """Scores with drift, and the rate of their extreme values in clean text."""
+    scores = log_odds(clean, toxic, settings) - settings.drift
+    null = clean + settings.prior * (clean + toxic)
+    return scores, karlin_rate(scores, null / max(1.0, null.sum()))
+
+
 def karlin_rate(scores: np.ndarray, share: np.ndarray) -> float:
     """The positive root of sum share * exp(rate * score) = 1."""
     lo, hi = 1e-6, 1.0
@@ -141,41 +156,84 @@ def karlin_rate(scores: np.ndarray, share: np.ndarray) -> float:
     return (lo + hi) / 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", base: int = 5, held: int = 0) -> tuple:
+def _folded(labels: DataFrame, column: str, base: int, held: int) -> DataFrame:
+    return training(labels, column, base, held).withColumn("fold", F.pmod(F.xxhash64(F.lit(FOLDS), "doc_id"), F.lit(FOLDS)).cast("int"))
+
+
+def token_counts(docs: DataFrame, train: DataFrame) -> np.ndarray:
+    """FOLDS x (clean, toxic) x TOKENS counts over all teaching rows: a table of a fixed size."""
+    counts = labelled(docs, train).mapInPandas(_count, "part int, token long, n long").groupBy("part", "token").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros((2 * FOLDS, TOKENS), np.int64)
+    total[counts.part, counts.token] = counts.n
+    return total.reshape(FOLDS, 2, TOKENS)
+
+
+def _calibration(rows: pd.DataFrame, rates: list[float]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Evidence and labels of cross-fitted rows, and the scale of extreme values."""
+    y, n = rows.label.to_numpy(float), rows.n.to_numpy()
+    rate = np.asarray(rates)[rows.fold.to_numpy()]
+    top = np.array([max(s, default=0.0) for s in rows.sums])
+    calm = (y == 0) & (n > 0)
+    scale = float(np.exp(np.mean(rate[calm] * top[calm] - np.log(n[calm])) - EULER)) if calm.any() else 1.0
+    x = np.array([evidence(m, s, r, scale) for m, s, r in zip(n, rows.sums, rate)])
+    return np.clip(x, -50, 50), y, scale
+
+
+def _cross_fitted(docs: DataFrame, train: DataFrame, counts: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, float]:
+    every = counts.sum(axis=0)
+    by_fold = [token_scores(*(every - own).astype(float), settings) for own in counts]
+    scores = np.stack([s for s, _ in by_fold]).astype(np.float32)
+    rows = sampled(docs, train, SAMPLE).mapInPandas(partial(_best, scores=scores), "label int, fold int, n long, sums array<double>").toPandas()
+    return _calibration(rows, [r for _, r in by_fold])
+
+
+def cross_validated(docs: DataFrame, labels: DataFrame, choices: list[Settings], column: str = "toxic", base: int = 5, held: int = 0) -> dict[Settings, float]:
+    """The mean log loss of each of ``choices`` over teaching rows alone, scored by what other folds taught; smaller is better."""
+    session(docs.sparkSession)
+    train = _folded(labels, column, base, held)
+    counts, out = token_counts(docs, train), {}
+    for settings in choices:
+        x, y, _ = _cross_fitted(docs, train, counts, settings)
+        slope, level = logistic(x, y)
+        out[settings] = float(np.mean(np.logaddexp(0, -np.where(y > 0.5, 1, -1) * (slope * x + level))))
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", base: int = 5, held: int = 0, settings: Settings = Settings()) -> tuple:
     """(token scores, rate, scale, slope, level). Without rows of both labels, all texts get the smoothed share of ones."""
     session(docs.sparkSession)
-    train = training(labels, column, base, held)
-    counts = labelled(docs, train).mapInPandas(_count, "token long, clean long, toxic long")
-    counts = counts.groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
-    clean, toxic = np.zeros(TOKENS), np.zeros(TOKENS)
-    clean[counts.token], toxic[counts.token] = counts.clean, counts.toxic
-    scores = log_odds(clean, toxic) - DRIFT
-    null = clean + PRIOR * (clean + toxic)
-    rate = karlin_rate(scores, null / max(1.0, null.sum()))
-    rows = sampled(docs, train, SAMPLE).mapInPandas(partial(_best, scores=scores), "label int, n long, sums array<double>").toPandas()
-    y = rows.label.to_numpy(float)
+    train = _folded(labels, column, base, held)
+    counts = token_counts(docs, train)
+    scores, rate = token_scores(*counts.sum(axis=0).astype(float), settings)
+    x, y, scale = _cross_fitted(docs, train, counts, settings)
     if len(np.unique(y)) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
         return scores, rate, 1.0, 0.0, float(np.log(share / (1 - share)))
-    top = np.array([max(s, default=0.0) for s in rows.sums])
-    calm = (y == 0) & (rows.n.to_numpy() > 0)
-    scale = float(np.exp(np.mean(rate * top[calm] - np.log(rows.n[calm])) - EULER)) if calm.any() else 1.0
-    x = np.array([evidence(n, s, rate, scale) for n, s in zip(rows.n, rows.sums)])
-    slope, level = logistic(np.clip(x, -50, 50), y)
-    return scores, rate, scale, slope, level
+    return scores, rate, scale, *logistic(x, y)
 
 
 def judged(docs: DataFrame, model: tuple) -> DataFrame:
     """doc_id, score (0 to 1) and significant passages (token range, score, expected number by chance) per row.
 
-    Null and empty texts have no segment: they get the least evidence and no passage.
+    Null and empty texts have no segment: they get the least evidence and no passage. Ids, null ones too, come back as they
+    are; repeated rows have a score each.
     """
     session(docs.sparkSession)
-    own = docs.select("doc_id", "text")
-    kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInPandas(
-        partial(_judge, model=model), f"doc_id {kind}, score double, passages array<struct<start:int,end:int,score:double,expected:double>>"
-    )
+    scores, rate, scale, slope, level = model
+
+    def judge(n: int, found: list[tuple[int, int, float]]) -> tuple[float, list[dict]]:
+        x = slope * evidence(n, [f[2] for f in found], rate, scale) + level
+        sure = [f for f in found if rate * f[2] - np.log(scale * n) > -np.log(EXPECTED)]
+        passages = [{"start": s, "end": e, "score": v, "expected": float(scale * n * np.exp(-rate * v))} for s, e, v in sure]
+        return float(1 / (1 + np.exp(-min(30.0, max(-30.0, x))))), passages
+
+    def work(lists):
+        cache = WordCache(token)
+        for texts in lists:
+            rows = [judge(n, found) for n, found in _found(texts, cache, scores)]
+            yield range(len(rows)), {"score": [r[0] for r in rows], "passages": [r[1] for r in rows]}
+
+    return beside(docs.select("doc_id", "text"), work, "score double, passages array<struct<start:int,end:int,score:double,expected:double>>")
 
 
 def scored(docs: DataFrame, model: tuple, base: int, held: int) -> DataFrame:
