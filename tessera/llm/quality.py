@@ -3,15 +3,15 @@
 Indicators: word 1- and 2-grams, and 1- to 3-grams of token shapes (runs of character classes; a
 token equal to the one before has a shape of its own), hashed into FEATURES buckets. The ratios
 come from all labelled training rows, by grouped aggregation; the hinge loss is fitted by dual
-coordinate descent on SAMPLE rows at most, those with the smallest hashed ids; margins become
-probabilities by a logistic fit on rows held out of a first fit.
+coordinate descent, until the duality gap closes, on SAMPLE rows at most, those with the smallest
+hashed ids; margins become probabilities by a logistic fit on rows held out of a first fit.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -19,14 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, remainder, session, tidy
+from .common import beside, frugal, remainder, session, tidy
 from .learn import labelled, logistic, sampled, training
 from .words import GOLDEN, U, WordCache, chunks, hash64, mix, token_hashes
 
 FEATURES = 1 << 18
 #: Bound of the rows that the SVM is fitted on. The counts behind the ratios have no bound.
 SAMPLE = 8_000
-SMOOTHING, COST, EPOCHS, PULL = 1.0, 1.0, 15, 0.25
+SMOOTHING, COST, PULL = 1.0, 1.0, 0.25
+#: Descent ends at a duality gap of this share of the loss; a fit that needs more epochs warns.
+GAP, MOST_EPOCHS = 0.01, 300
 
 _CLASSES = ((re.compile(r"[^\W\d_]+"), None), (re.compile(r"\d+"), "0"), (re.compile(r"([^\w\s])\1+"), r"\1"))
 
@@ -36,7 +38,7 @@ def shape(word: str) -> str:
     letters = lambda m: "x" if m[0].islower() else "X" if m[0].isupper() and len(m[0]) > 1 else "Xx" if m[0].istitle() else "xX"
     for pattern, to in _CLASSES:
         word = pattern.sub(letters if to is None else to, word)
-    return word[:12]
+    return word
 
 
 def indicators(texts: list, words: WordCache, shapes: WordCache) -> tuple[np.ndarray, np.ndarray]:
@@ -90,45 +92,64 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"label": b.label.iloc[lo:hi].to_numpy(), "features": [f[a:z].astype(np.uint32).tobytes() for a, z in zip(cut[:-1], cut[1:])]})
 
 
-@frugal
-def _score(batches: Iterator[pd.DataFrame], model) -> Iterator[pd.DataFrame]:
-    words, shapes = WordCache(hash64), WordCache(lambda w: hash64(shape(w)))
+def _scores(texts: list, words: WordCache, shapes: WordCache, model) -> np.ndarray:
     ratio, weight, slope, level = model
     squared, weighted = ratio * ratio, ratio * weight
-    for b in batches:
-        texts, out = b.text.tolist(), []
-        for lo, hi in chunks(texts):
-            doc, f = indicators(texts[lo:hi], words, shapes)
-            size = np.bincount(doc, squared[f], hi - lo)
-            dot = np.bincount(doc, weighted[f], hi - lo)
-            out.append(dot / np.sqrt(np.maximum(size, 1e-12)))
-        margin = np.concatenate(out) if out else np.empty(0)
-        score = 1 / (1 + np.exp(-np.clip(slope * margin + level, -30, 30)))
-        yield b.drop(columns="text").assign(score=score)
-
-
-def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, seed: int = 7) -> np.ndarray:
-    """Weights of the hinge-loss SVM over unit-length scaled rows, by dual coordinate descent."""
-    values = [(ratio[f] / max(1e-6, float(np.sqrt(np.sum(ratio[f] ** 2))))).astype(np.float32) for f in rows]
-    squares = np.array([float(v @ v) for v in values])
-    w, alpha, rng = np.zeros(FEATURES), np.zeros(len(rows)), np.random.default_rng(seed)
-    for _ in range(EPOCHS):
-        worst = 0.0
-        for i in rng.permutation(len(rows)):
-            if squares[i] == 0:
-                continue
-            f, v = rows[i], values[i]
-            gradient = y[i] * float(w[f] @ v) - 1
-            new = min(COST, max(0.0, alpha[i] - gradient / squares[i]))
-            if new != alpha[i]:
-                w[f] += (new - alpha[i]) * y[i] * v
-                worst = max(worst, abs(new - alpha[i]))
-                alpha[i] = new
-        if worst < 1e-3:
-            break
+    out = []
+    for lo, hi in chunks(texts):
+        doc, f = indicators(texts[lo:hi], words, shapes)
+        size = np.bincount(doc, squared[f], hi - lo)
+        dot = np.bincount(doc, weighted[f], hi - lo)
+        out.append(dot / np.sqrt(np.maximum(size, 1e-12)))
+    margin = np.concatenate(out) if out else np.empty(0)
+    return 1 / (1 + np.exp(-np.clip(slope * margin + level, -30, 30)))
+
+
+class Problem:
+    """The hinge-loss SVM 1/2 |w|^2 + COST * sum max(0, 1 - y w x) over unit-length rows of scaled indicators."""
+
+    def __init__(self, rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray):
+        self.rows, self.y = rows, np.asarray(y, float)
+        self.values = [(ratio[f] / max(1e-6, float(np.sqrt(np.sum(ratio[f] ** 2))))).astype(np.float32) for f in rows]
+        self.squares = np.array([float(v @ v) for v in self.values])
+        n = np.array([len(f) for f in rows], np.int64)
+        self.owner = np.repeat(np.arange(len(rows)), n)
+        self.flat = np.concatenate(rows).astype(np.int64) if len(rows) else np.empty(0, np.int64)
+        self.flat_values = np.concatenate(self.values) if len(rows) else np.empty(0, np.float32)
+
+    def losses(self, w: np.ndarray, alpha: np.ndarray) -> tuple[float, float]:
+        """The primal loss of ``w`` and the dual value of ``alpha``; they meet at the optimum."""
+        margin = self.y * np.bincount(self.owner, w[self.flat] * self.flat_values, len(self.rows))
+        half = float(w @ w) / 2
+        return half + COST * float(np.maximum(0, 1 - margin).sum()), float(alpha.sum()) - half
+
+    def solved(self, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and dual variables by dual coordinate descent in random order."""
+        w, rng = np.zeros(FEATURES), np.random.default_rng(seed)
+        alpha = np.where(self.squares == 0, COST, 0.0)  # rows without a feature lose 1 whatever the weights
+        for _ in range(MOST_EPOCHS):
+            for i in rng.permutation(len(self.rows)):
+                if self.squares[i] == 0:
+                    continue
+                f, v, y = self.rows[i], self.values[i], self.y[i]
+                gradient = y * float(w[f] @ v) - 1
+                new = min(COST, max(0.0, alpha[i] - gradient / self.squares[i]))
+                if new != alpha[i]:
+                    w[f] += (new - alpha[i]) * y * v
+                    alpha[i] = new
+            primal, dual = self.losses(w, alpha)
+            if primal - dual <= GAP * primal:
+                return w, alpha
+        warnings.warn(f"dual coordinate descent stopped at a gap of {(primal - dual) / primal:.3f}", stacklevel=2)
+        return w, alpha
+
+
+def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """Weights of the SVM, drawn in part towards their mean size: some of the weight is the ratio's own."""
+    w, _ = Problem(rows, y, ratio).solved()
     seen = np.unique(np.concatenate(rows)) if rows else np.empty(0, np.int64)
     level = np.abs(w[seen]).mean() if len(seen) else 0.0
-    return (1 - PULL) * w + PULL * level * (w != 0)  # part of the weight is the ratio's own
+    return (1 - PULL) * w + PULL * level * (w != 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", base: int = 3, held: int = 1) -> tuple:
@@ -163,21 +184,32 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", base: int =
 
 
 def scored(docs: DataFrame, model: tuple) -> DataFrame:
-    """``docs``' rows as doc_id and score (0 to 1, higher: label 1 likelier), one per row; null and empty texts too."""
+    """``docs``' rows as doc_id and score (0 to 1, higher: label 1 likelier), one per row; null and empty texts too.
+
+    Ids, null ones too, come back as they are; repeated rows have a score each.
+    """
     session(docs.sparkSession)
-    own = docs.select("doc_id", "text")
-    return own.mapInPandas(partial(_score, model=model), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, score double")
+
+    def work(lists):
+        words, shapes = WordCache(hash64), WordCache(lambda w: hash64(shape(w)))
+        for texts in lists:
+            yield range(len(texts)), {"score": _scores(texts, words, shapes, model)}
+
+    return beside(docs.select("doc_id", "text"), work, "score double")
 
 
 def accepted(docs: DataFrame, model: tuple, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose score is at least ``least``."""
+    """The rows of ``docs``, all columns as they are, whose score is at least ``least``.
+
+    Null texts are scored as empty ones; rows of null or repeated ids are judged by their own texts.
+    """
     session(docs.sparkSession)
 
+    @frugal
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, shapes = WordCache(hash64), WordCache(lambda w: hash64(shape(w)))
         for b in batches:
-            texts = pd.DataFrame({"text": b.column("text").to_pylist()}, dtype=object)
-            score = next(_score(iter([texts]), model)).score
-            yield b.filter(pa.array(score.to_numpy() >= least))
+            yield b.filter(pa.array(_scores(b.column("text").to_pylist(), words, shapes, model) >= least))
 
     return docs.mapInArrow(keep, docs.schema)
 
