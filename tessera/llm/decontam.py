@@ -6,12 +6,17 @@ every word, so that a verbatim passage of WORDS words, or of WINDOW + STRIDE - 1
 wherever it begins. A window of m bytes that occurs with k edits shares m + 1 - Q(k + 1) of its
 q-grams or more with the text, all on k + 1 neighbouring diagonals, hence in one of the bands of two
 strips of as many diagonals as the largest k. Windows with enough shared q-grams in a band are
-aligned within its diagonals. Items, not windows, are indexed, so overlapping windows cost no memory.
+aligned within its diagonals. Items, not windows, are indexed, so overlapping windows cost no memory; windows that
+repeat within an item are indexed once, and q-grams that are common on both sides are met in pieces of MOST_ENTRIES.
+
+A benchmark of up to BLOCK_BYTES is one broadcast block. A larger one is cut into blocks; then a broadcast bitmap of all
+its q-grams first picks the documents that hold enough of them in a short stretch, and only those pass by the blocks.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import partial
 
@@ -21,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, session
+from .common import beside, frugal, kept, session, stored
 from .words import U, chunks
 
 Q, WINDOW, RATE = 10, 96, 0.08
@@ -29,9 +34,13 @@ Q, WINDOW, RATE = 10, 96, 0.08
 STRIDE, WORDS = 8, 13
 #: No window is longer: longer passages hold a window of WINDOW bytes.
 LONGEST = WINDOW + STRIDE - 1
-#: Benchmark bytes whose index one pass over the documents carries; a larger benchmark takes more passes.
+#: Benchmark bytes of a block, of which a worker holds the index.
 BLOCK_BYTES = 8_000_000
 TABLE_BITS = 22
+#: Meetings of a text's and the items' q-grams that are looked at together; the bits of the bitmap over larger benchmarks, at most.
+MOST_ENTRIES, MOST_BITS = 4_000_000, 27
+#: No occurrence of a window is longer.
+REACH = LONGEST + int(RATE * LONGEST)
 _BLANK = re.compile(r"\s+")
 
 
@@ -65,6 +74,32 @@ def cuts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, size, (size == min(WINDOW, len(data))) & ((start % (WINDOW // 2) == 0) | (start == last))
 
 
+def budgets(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edits that windows of these sizes may hold, and the q-grams that they share with a text all the same."""
+    edits = np.maximum(0, np.minimum((RATE * size).astype(np.int64), (size - Q) // Q - 1))
+    return edits, size + 1 - Q * (edits + 1)
+
+
+def distinct(data: bytes, start: np.ndarray, size: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows whose text no earlier window of the item has."""
+    seen, new = set(), np.ones(len(start), bool)
+    for i, (a, n) in enumerate(zip(start.tolist(), size.tolist())):
+        text = data[a : a + n]
+        if text in seen:
+            new[i] = False
+        else:
+            seen.add(text)
+    return start[new], size[new], half[new]
+
+
+def covered(length: int, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of an item's q-grams that lie within one of the windows."""
+    change = np.zeros(length + 1, np.int64)
+    np.add.at(change, start, 1)
+    np.add.at(change, start + size - Q + 1, -1)
+    return np.flatnonzero(np.cumsum(change) > 0)
+
+
 class Cut:
     """The windows' texts, cut when asked for."""
 
@@ -91,27 +126,32 @@ class Windows:
                 data.append(plainly)
             elif plainly:
                 self.short.append((item, plainly))
-        parts = [cuts(x) for x in data] or [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))]
+        parts = [distinct(x, *cuts(x)) for x in data] or [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))]
         self.start, self.size, self.half = (np.concatenate(x) for x in zip(*parts))
         n = [len(x[0]) for x in parts] if data else []
         self.first_window = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
         self.text = Cut(data, np.repeat(np.arange(len(data)), n), self.start, self.size)
-        self.edits = np.maximum(0, np.minimum((RATE * self.size).astype(np.int64), (self.size - Q) // Q - 1))
-        self.need = self.size + 1 - Q * (self.edits + 1)
+        self.edits, self.need = budgets(self.size)
         self.least = np.minimum.reduceat(self.need, self.first_window[:-1]) if data else np.empty(0, np.int64)
         self.step = int(max(1, self.edits.max(initial=1)))
         self.longest = max(map(len, data), default=0)
-        codes = [qgrams(x) for x in data]
+        places = [covered(len(x), p[0], p[1]) for x, p in zip(data, parts)]
+        codes = [qgrams(x)[at] for x, at in zip(data, places)]
         code = np.concatenate(codes) if codes else np.empty(0, U)
         order = np.argsort(code, kind="stable")
         self.place = np.repeat(np.arange(len(codes)), [len(c) for c in codes])[order]
-        self.offset = np.concatenate([np.arange(len(c)) for c in codes])[order] if codes else np.empty(0, np.int64)
+        self.offset = np.concatenate(places)[order] if codes else np.empty(0, np.int64)
         self.code, self.first, self.times = np.unique(code[order], return_index=True, return_counts=True)
+        self.rank = None
         self.seen = np.zeros(1 << TABLE_BITS, bool)
         self.seen[(self.code >> U(64 - TABLE_BITS)).astype(np.int64)] = True
 
     def bands(self, data: bytes) -> Iterator[tuple[int, int, int, np.ndarray]]:
-        """(item, lowest, highest diagonal, windows) of every band in which windows share enough q-grams."""
+        """(item, lowest, highest diagonal, windows) of every band in which windows share enough q-grams.
+
+        Stretches of the text and ranges of items are taken in turn, so that about MOST_ENTRIES meetings are held at once;
+        stretches overlap by an occurrence, whose bands may come twice.
+        """
         grams = qgrams(data)
         at = np.flatnonzero(self.seen[(grams >> U(64 - TABLE_BITS)).astype(np.int64)])
         if not len(at) or not len(self.code):
@@ -119,12 +159,35 @@ class Windows:
         slot = np.minimum(np.searchsorted(self.code, grams[at]), len(self.code) - 1)
         real = self.code[slot] == grams[at]
         at, slot = at[real], slot[real]
-        times = self.times[slot]
+        total = np.cumsum(self.times[slot])
+        lo = 0
+        while lo < len(at):
+            cut = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + MOST_ENTRIES, side="right"))
+            hi = max(cut, int(np.searchsorted(at, at[lo] + 2 * REACH)))
+            yield from self._stretch(at[lo:hi], slot[lo:hi], len(data))
+            if hi >= len(at):
+                return
+            lo = max(lo + 1, int(np.searchsorted(at, at[hi] - REACH)))
+
+    def _stretch(self, at: np.ndarray, slot: np.ndarray, size: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        pieces = -(-int(self.times[slot].sum()) // (2 * MOST_ENTRIES))
+        if pieces < 2:
+            yield from self._bands(at, slot, self.first[slot], self.times[slot], size)
+            return
+        n = len(self.names)
+        if self.rank is None:
+            self.rank = np.repeat(np.arange(len(self.code)), self.times) * n + self.place
+        bounds = np.unique(np.linspace(0, n, pieces + 1).astype(np.int64))
+        for i, j in zip(bounds[:-1], bounds[1:]):
+            first = np.searchsorted(self.rank, slot * n + i)
+            yield from self._bands(at, slot, first, np.searchsorted(self.rank, slot * n + j) - first, size)
+
+    def _bands(self, at: np.ndarray, slot: np.ndarray, first: np.ndarray, times: np.ndarray, size: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
         inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        entry = np.repeat(self.first[slot], times) + inside
+        entry = np.repeat(first, times) + inside
         item, offset = self.place[entry], self.offset[entry]
         strip = (np.repeat(at, times) - offset + self.longest) // self.step
-        span = (len(data) + self.longest) // self.step + 2
+        span = (size + self.longest) // self.step + 2
         key, group, count = np.unique(item * span + strip, return_inverse=True, return_counts=True)
         if not len(key):
             return
@@ -186,17 +249,17 @@ def passages(texts: list, windows: Windows) -> Iterator[list[tuple[int, int, int
         data = gap.join(parts) + gap
         found: list[list[tuple[int, int, int, int]]] = [[] for _ in parts]
         for i, low, high, some in windows.bands(data):
-            covered: list[tuple[int, int]] = []  # parts of the item found in this band
+            done: list[tuple[int, int]] = []  # parts of the item found in this band
             half = windows.half[some]
             for w in some[half].tolist() + some[~half].tolist():
                 first, size, most = int(windows.start[w]), int(windows.size[w]), int(windows.edits[w])
-                if any(a <= first and first + size <= z for a, z in covered):
+                if any(a <= first and first + size <= z for a, z in done):
                     continue
                 pattern = windows.text[w]
                 begin = data.find(pattern, max(0, low + first), max(0, high + first) + size + most)
                 edits, end = (0, begin + size) if begin >= 0 else align(pattern, data, low + first, high + first, most)
                 if edits <= most:
-                    covered = united(covered, first, first + size)
+                    done = united(done, first, first + size)
                     doc = int(np.searchsorted(starts, max(0, end - 1), side="right")) - 1
                     base = int(starts[doc])
                     found[doc].append((windows.names[i], max(0, end - size - base), end - base, edits))
@@ -225,55 +288,149 @@ def joined(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, i
     return out
 
 
-@frugal
-def _scan(batches: Iterator[pd.DataFrame], blocks) -> Iterator[pd.DataFrame]:
-    windows = Windows(blocks)
-    for b in batches:
-        rows = [(i, *r) for i, rs in zip(b.doc_id, passages(b.text.tolist(), windows)) for r in rs]
-        yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "edits"])
+def distinct_items(benchmark: DataFrame) -> DataFrame:
+    """item_id (the smallest), text and copies of the benchmark's different texts; empty and null ones hold no passage."""
+    own = benchmark.where("text is not null and text <> '' and item_id is not null")
+    return own.groupBy("text").agg(F.min("item_id").alias("item_id"), F.count("*").alias("copies")).select("item_id", "text", "copies")
 
 
-@frugal
-def _drop(batches: Iterator[pa.RecordBatch], blocks) -> Iterator[pa.RecordBatch]:
-    windows = Windows(blocks)
-    for b in batches:
-        yield b.filter(pa.array([not r for r in passages(b.column("text").to_pylist(), windows)], pa.bool_()))
+class Block:
+    """A part of the benchmark, broadcast; a worker builds its index once."""
+
+    def __init__(self, spark, items: list[tuple[int, str]]):
+        self.name, self.items = uuid.uuid4().hex, spark.sparkContext.broadcast(items)
 
+    def windows(self) -> Windows:
+        return kept(("windows", self.name), lambda: Windows(self.items.value))
 
-def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of BLOCK_BYTES at most (or one item); empty and null items hold no passage."""
-    block, size = [], 0
-    for r in benchmark.select("item_id", "text").where("text is not null and item_id is not null").toLocalIterator():
+
+def item_blocks(items: DataFrame) -> Iterator[Block]:
+    """Blocks of BLOCK_BYTES at most, or one item. The driver holds one block at a time."""
+    block, size, spark = [], 0, items.sparkSession
+    for r in items.select("item_id", "text").toLocalIterator():
         n = len(r.text.encode("utf-8", "replace"))
         if block and size + n > BLOCK_BYTES:
-            yield block
+            yield Block(spark, block)
             block, size = [], 0
         block.append((r.item_id, r.text))
         size += n
     if block:
-        yield block
+        yield Block(spark, block)
+
+
+@frugal
+def _bits(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
+    """Words of the q-gram bitmap, and as word -1 the fewest q-grams that an occurrence of a window shares (0 of short items)."""
+    seen, least = np.zeros(1 << bits, bool), LONGEST
+    for b in batches:
+        for text in b.text:
+            data = plain(text)
+            if data:
+                seen[(qgrams(data) >> U(64 - bits)).astype(np.int64)] = True
+                least = min(least, int(budgets(cuts(data)[1])[1].min())) if len(data) >= Q else 0
+    packed = np.packbits(seen, bitorder="little").view(np.int64)
+    word = np.flatnonzero(packed)
+    yield pd.DataFrame({"word": np.append(word, -1), "mask": np.append(packed[word], least)})
+
+
+class Bitmap:
+    """The q-grams of a whole benchmark, for a first look at texts."""
+
+    def __init__(self, items: DataFrame):
+        size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.bits = min(MOST_BITS, max(16, (16 * size).bit_length()))
+        words = items.select("text").mapInPandas(partial(_bits, bits=self.bits), "word long, mask long")
+        both = words.groupBy("word").agg(F.expr("bit_or(mask)").alias("mask"), F.min("mask").alias("least")).toPandas()
+        self.least = int(both.least[both.word < 0].min()) if (both.word < 0).any() else LONGEST
+        both = both[both.word >= 0]
+        packed = np.zeros(1 << (self.bits - 6), np.int64)
+        packed[both.word.to_numpy()] = both["mask"].to_numpy()
+        self.packed = items.sparkSession.sparkContext.broadcast(packed)
+
+    def suspects(self, texts: list) -> np.ndarray:
+        """Whether a text may hold a passage: as many known q-grams as any window needs, within one occurrence's length."""
+        packed, out = self.packed.value, np.zeros(len(texts), bool)
+        for i, text in enumerate(texts):
+            data = plain(text)
+            if self.least <= 0:
+                out[i] = bool(data)
+                continue
+            code = (qgrams(data) >> U(64 - self.bits)).astype(np.int64)
+            known = (packed[code >> 6] >> (code & 63)) & 1
+            total = np.concatenate([[0], np.cumsum(known)])
+            end = np.minimum(np.arange(len(known)) + REACH, len(known))
+            out[i] = len(known) > 0 and int((total[end] - total[:-1]).max()) >= self.least
+        return out
+
+
+def _parted(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that may hold a passage, written out, and the others."""
+    bitmap = Bitmap(items)
+
+    @frugal
+    def pick(batches: Iterator[pa.RecordBatch], wanted: bool) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(bitmap.suspects(b.column("text").to_pylist()) == wanted))
+
+    return stored(docs.mapInArrow(partial(pick, wanted=True), docs.schema), "suspects"), docs.mapInArrow(partial(pick, wanted=False), docs.schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, start, end, edits: one row per document, benchmark item and place.
+    """doc_id, item_id, start, end, edits: one row per document, different benchmark text and place.
 
-    start and end are byte positions in the compared form. Null and empty texts hold nothing. Items
-    below Q bytes count where they stand as whole words. Repeated rows are reported each.
+    start and end are byte positions in the compared form. Items of the same text are reported as the smallest of their ids
+    (``distinct_items``). Null and empty texts hold nothing. Items below Q bytes count where they stand as whole words.
+    Repeated rows are reported each, with their ids as they are, null ones too.
     """
-    session(docs.sparkSession)
-    own = docs.select("doc_id", "text")
-    kinds = own.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    shape = f"doc_id {kinds[0]}, item_id {kinds[1]}, start long, end long, edits int"
+    spark = session(docs.sparkSession)
+    own, items = docs.select("doc_id", "text"), stored(distinct_items(benchmark), "items")
+    kind = items.schema["item_id"].dataType.simpleString()
+    added = f"item_id {kind}, start long, end long, edits int"
+
+    def found(rows: DataFrame, block: Block) -> DataFrame:
+        def work(lists):
+            windows = block.windows()
+            for texts in lists:
+                hits = [(i, *r) for i, rs in enumerate(passages(texts, windows)) for r in rs]
+                yield [h[0] for h in hits], {n: [h[k] for h in hits] for k, n in enumerate(("item_id", "start", "end", "edits"), 1)}
+
+        return beside(rows, work, added)
+
+    blocks = list(item_blocks(items))
+    if len(blocks) > 1:
+        own, _ = _parted(own, items)
     out = None
-    for block in item_blocks(benchmark):
-        part = own.mapInPandas(partial(_scan, blocks=block), shape)
+    for block in blocks:
+        part = found(own, block)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], shape)
+    if out is None:
+        return spark.createDataFrame([], f"doc_id {own.schema['doc_id'].dataType.simpleString()}, {added}")
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, in which no benchmark passage is found."""
+    """The rows of ``docs``, all columns as they are, in which no benchmark passage is found.
+
+    Rows are judged by their own texts, whatever their ids; null and empty texts stay.
+    """
     session(docs.sparkSession)
-    for block in item_blocks(benchmark):
-        docs = docs.mapInArrow(partial(_drop, blocks=block), docs.schema)
-    return docs
+    items = stored(distinct_items(benchmark), "items")
+
+    def dropped(rows: DataFrame, block: Block) -> DataFrame:
+        @frugal
+        def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            windows = block.windows()
+            for b in batches:
+                yield b.filter(pa.array([not r for r in passages(b.column("text").to_pylist(), windows)], pa.bool_()))
+
+        return rows.mapInArrow(drop, docs.schema)
+
+    blocks = list(item_blocks(items))
+    if not blocks:
+        return docs
+    if len(blocks) == 1:
+        return dropped(docs, blocks[0])
+    some, others = _parted(docs, items)
+    for block in blocks:
+        some = stored(dropped(some, block), "clean")
+    return some.unionByName(others)
