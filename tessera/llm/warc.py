@@ -15,13 +15,14 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, session
+from .common import frugal, session, stored
+from .learn import MOST_BROADCAST
 
 RANGE, READ, FILE_BYTES = 8 << 20, 1 << 20, 64 << 20
 MAGIC = b"\x1f\x8b\x08"
@@ -73,23 +74,23 @@ def record(page_id, url, payload: bytes, refers) -> bytes:
 
 
 @frugal
-def _write(batches: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFrame]:
+def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     """A task's records go to files of its own name; only finished files get their final name."""
     fs, base = opened(folder)
+    prefix = folder[: -len(base)] if folder.endswith(base) else ""
     out, path, size, n, done = None, "", 0, 0, []
 
     def close():
         out.close()
         fs.move(path, final := path.removesuffix(".open"))
-        done.append((final, n))
+        done.append((prefix + final, size, n))
 
     for b in batches:
-        for page_id, url, html, refers in zip(b.page_id.tolist(), b.url.tolist(), b.html.tolist(), b.refers_to.tolist()):
+        for page_id, url, html, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to"))):
             if out is None:
                 path, size, n = f"{base}/{uuid.uuid4().hex}.warc.gz.open", 0, 0
                 out = fs.open_output_stream(path)
-            whole = lambda v: None if v is None or v != v else int(v)
-            data = record(whole(page_id), url, (html or "").encode("utf-8", "replace"), whole(refers))
+            data = record(page_id, url, (html or "").encode("utf-8", "replace"), refers)
             out.write(data)
             size, n = size + len(data), n + 1
             if size >= FILE_BYTES:
@@ -97,30 +98,40 @@ def _write(batches: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFram
                 out = None
     if out is not None:
         close()
-    yield pd.DataFrame(done, columns=["file", "records"])
+    columns = list(zip(*done)) or [(), (), ()]
+    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], ["file", "length", "records"])
+
+
+def revisits(pages: DataFrame) -> DataFrame:
+    """page_id, url, html of ``pages`` with refers_to: the largest page_id of an equal payload, null on that one's own rows.
+
+    What repeats is known from digests alone: up to MOST_BROADCAST repeated payloads are broadcast, more are joined as
+    (page_id, digest) rows first, so that the pages themselves are never gathered by a payload that many share.
+    """
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    own = own.withColumn("sha", F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))))
+    first = own.groupBy("sha").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").select("sha", "top")
+    first = stored(first, "repeated")
+    refers = F.expr("if(top is not null and not (page_id <=> top), top, null)").alias("refers_to")
+    if first.count() <= MOST_BROADCAST:
+        return own.join(F.broadcast(first), "sha", "left").select("page_id", "url", "html", refers)
+    narrow = stored(own.select("page_id", "sha").distinct().join(first, "sha").select("page_id", "sha", refers).where("refers_to is not null"), "revisits")
+    narrow = narrow.toDF("page", "digest", "refers_to")
+    return own.join(narrow, F.col("page_id").eqNullSafe(F.col("page")) & (F.col("sha") == F.col("digest")), "left").select("page_id", "url", "html", "refers_to")
 
 
-def write_archives(pages: DataFrame, folder: str) -> list[str]:
-    """Write a record per row of ``pages`` (page_id, url, html) below ``folder``; return the finished files.
+def write_archives(pages: DataFrame, folder: str) -> DataFrame:
+    """Write a record per row of ``pages`` (page_id, url, html) below ``folder``; return file, length, records of the archives.
 
     Of rows with equal payloads (null: empty) those with the largest page_id are responses, the others
-    revisit it. Rows that share that largest id are responses each; a null id is smaller than any other.
-    Files of a task that was run again are not in the returned list and are deleted.
+    revisit it. Rows that share that largest id are responses each; a null id is smaller than any other. No rows, no files.
+    The returned table, kept in the shared folder, is the list of archives: files that a lost or repeated task left
+    behind are not in it and are never read.
     """
     spark = session(pages.sparkSession)
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    own = own.withColumn("sha", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
-    first = own.groupBy("sha").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1")
-    marked = own.join(first.select("sha", "top"), "sha", "left")
-    marked = marked.select("page_id", "url", "html", F.expr("if(top is not null and not (page_id <=> top), top, null)").alias("refers_to"))
     fs, base = opened(folder)
     fs.create_dir(base, recursive=True)
-    done = [r.file for r in marked.mapInPandas(lambda it: _write(it, folder), "file string, records long").collect()]
-    for info in fs.get_file_info(pafs.FileSelector(base)):
-        if info.path not in set(done):
-            fs.delete_file(info.path)
-    prefix = folder[: -len(base)] if folder.endswith(base) else ""
-    return [prefix + f for f in done]
+    return stored(revisits(pages).mapInArrow(lambda it: _write(it, folder), "file string, length long, records long"), "archives")
 
 
 def headers(block: bytes) -> dict[str, str]:
@@ -229,12 +240,17 @@ def _read(batches: Iterator[pd.DataFrame], payloads: bool) -> Iterator[pd.DataFr
                     yield frame(rows)
 
 
-def read_archives(spark: SparkSession, files: list[str], span: int = RANGE, payloads: bool = True) -> DataFrame:
-    """The WARC records of gzip-per-record files, read in byte ranges of ``span``. Empty files hold none."""
+def read_archives(spark: SparkSession, files: DataFrame | list[str], span: int = RANGE, payloads: bool = True) -> DataFrame:
+    """The WARC records of gzip-per-record files, read in byte ranges of ``span``. Empty files hold none.
+
+    ``files``: a table (file, length), or paths.
+    """
     session(spark)
-    if not files:
-        return spark.createDataFrame([], RECORDS)
-    listed = spark.read.format("binaryFile").load(files).select(F.col("path").alias("file"), "length").where("length > 0")
+    if not isinstance(files, DataFrame):
+        if not files:
+            return spark.createDataFrame([], RECORDS)
+        files = spark.read.format("binaryFile").load(files).select(F.col("path").alias("file"), "length")
+    listed = files.select("file", "length").where("length > 0")
     ranges = listed.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(span).cast("long"))))
     ranges = ranges.withColumn("end", F.least(F.col("length"), F.col("start") + span))
     n = listed.agg(F.sum(F.ceil(F.col("length") / span))).first()[0] or 1
