@@ -11,7 +11,7 @@ first, by grouped aggregation. In a bucket every class is compared with one hub,
 leave a bucket in several parts, another hub of its largest part follows, and after HUB_ROUNDS
 what is still apart is compared throughout. So a bucket of m near copies costs a few times m
 comparisons, and every pair of classes that shares a bucket is either compared or already joined
-by verified links.
+by verified links. Texts that share a bucket are cut into shingles once; a hub's set travels once for PASSING texts.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, session, stored
+from .common import beside, free, frugal, session, stored
 from .components import components, forest
 from .learn import among, without
 from .words import GOLDEN, U, WordCache, chunks, hash64, mix, shingles, token_hashes
@@ -33,13 +33,12 @@ WORDS = 5
 SIMILARITY = 0.8
 #: A pair at the threshold shares a bucket with probability 1 - (1 - 0.8**5)**22 = 0.9998.
 BANDS, ROWS = 22, 5
-#: Registers (a byte of each) in which a pair must agree before its texts are looked at: 88 are expected
-#: at the threshold, with a deviation of 4.2.
-AGREEING = 58
 #: Rounds in which a bucket is compared with one class of it, before what is left is compared throughout.
 HUB_ROUNDS = 2
+#: Texts that a hub's set is sent to at a time.
+PASSING = 1_024
 #: Rows that a task holds, and rows that pass by them, where a bucket is compared throughout.
-BLOCK, LOAD = 1_024, 16_384
+BLOCK, LOAD = 512, 1_024
 
 
 def words_of(text) -> list[str]:
@@ -87,26 +86,20 @@ def probability_jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return float(np.sum(1.0 / (above[cut] / x[i] + below[cut] / y[i])))
 
 
-@frugal
-def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _signed(lists: Iterator[list]) -> Iterator[tuple[list, dict]]:
     cache = WordCache(hash64)
-    for b in batches:
-        texts = b.text.tolist()
+    for texts in lists:
         for lo, hi in chunks(texts):
             cache.trim()
-            tokens = [words_of(t) for t in texts[lo:hi]]
-            flat, offsets = token_hashes(tokens, cache)
+            flat, offsets = token_hashes([words_of(t) for t in texts[lo:hi]], cache)
             doc, h, count = shingles(flat, offsets, WORDS)
             sig = signatures(doc, h, 1.0 + np.log(count), hi - lo, BANDS * ROWS)
             band = np.zeros((hi - lo, BANDS), U)
             for r in range(ROWS):
                 band = mix(band * GOLDEN + sig.reshape(hi - lo, BANDS, ROWS)[:, :, r])
             band = mix(band + np.arange(BANDS, dtype=U)).view(np.int64)
-            rows = [
-                (xxhash.xxh3_128_digest(flat[a:z].tobytes()), k, s.tobytes()) if z > a else (None, None, None)
-                for a, z, k, s in zip(offsets[:-1], offsets[1:], band, (sig & U(255)).astype(np.uint8))
-            ]
-            yield pd.DataFrame({"doc_id": b.doc_id.iloc[lo:hi].to_numpy(), "copy": [r[0] for r in rows], "bands": [r[1] for r in rows], "registers": [r[2] for r in rows]})
+            rows = [(xxhash.xxh3_128_digest(flat[a:z].tobytes()), k) if z > a else (None, None) for a, z, k in zip(offsets[:-1], offsets[1:], band)]
+            yield range(lo, hi), {"copy": [r[0] for r in rows], "bands": [r[1] for r in rows]}
 
 
 @frugal
@@ -128,36 +121,39 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 @frugal
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Units come one after another, the hub's row (its y is null) before those that pass by it."""
+    hub, ex, wx = None, None, None
     for b in batches:
         found = []
-        for x, y, ex, cx, ey, cy in zip(b.x, b.y, b.ex, b.cx, b.ey, b.cy):
-            ex, ey = np.frombuffer(ex, U), np.frombuffer(ey, U)
-            if _similarity(ex, _weights(ex, cx), ey, _weights(ey, cy)) >= SIMILARITY:
+        for x, unit, own, y, e, c in zip(b.x, b.unit, b.hub, b.y, b.elements, b.counts):
+            e = np.frombuffer(e, U)
+            if own:
+                hub, ex, wx = (x, unit), e, _weights(e, c)
+            elif hub == (x, unit) and _similarity(ex, wx, e, _weights(e, c)) >= SIMILARITY:
                 found.append((x, y))
         yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
 
-@frugal
-def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        if len(b):
-            x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(len(b), -1) for c in (b.rx, b.ry))
-            yield b.loc[(x == y).sum(axis=1) >= AGREEING, ["x", "y"]]
-
-
-def _links(pairs: DataFrame, docs: DataFrame, registers: DataFrame, name: str) -> DataFrame:
-    """The pairs (x, y: ids of class representatives) that the exact similarity confirms."""
-    close = pairs.join(registers.toDF("x", "rx"), "x").join(registers.toDF("y", "ry"), "y")
-    close = stored(close.mapInPandas(_agreeing, "x long, y long"), f"{name}_pairs")
-    sets = _shingle_sets(docs, close.select(F.col("x").alias("id")).unionByName(close.select(F.col("y").alias("id"))), name)
-    both = close.join(sets.toDF("x", "ex", "cx"), "x").join(sets.toDF("y", "ey", "cy"), "y")
-    return stored(both.mapInPandas(_verify, "u long, v long"), f"{name}_links")
+def _links(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """The pairs (x, y: ids of class representatives, x few and common) that the exact similarity confirms.
 
-
-def _shingle_sets(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    A hub's rows are cut into units of about PASSING, so no hub is a hot key, and its set is sent once a unit.
+    """
+    pairs = stored(pairs, f"{name}_pairs")
+    units = pairs.groupBy("x").agg(F.ceil(F.count("*") / PASSING).alias("units"))
+    hubs = units.join(sets.withColumnRenamed("id", "x"), "x").withColumn("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("units") - 1)))
+    unit = F.pmod(F.xxhash64("y", F.lit(7)), F.col("units"))
+    come = pairs.join(F.broadcast(units.where("units > 1").toDF("x", "more")), "x", "left").withColumn("units", F.coalesce("more", F.lit(1).cast("long")))
+    come = come.select("x", unit.alias("unit"), "y").join(sets.withColumnRenamed("id", "y"), "y")
+    rows = hubs.select("x", "unit", F.lit(True).alias("hub"), F.col("x").alias("y"), "elements", "counts").unionByName(come.withColumn("hub", F.lit(False)))
+    dealt = rows.repartition("x", "unit").sortWithinPartitions("x", "unit", F.col("hub").desc())
+    return stored(dealt.mapInPandas(_verify, "u long, v long"), f"{name}_links")
+
+
+def _shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, elements, counts) of the texts whose id is in ``ids``, and of few others."""
     own = among(docs.select(F.col("doc_id").alias("id"), "text").where("text is not null"), "id", ids)
-    return stored(own.mapInPandas(_sets, "id long, elements binary, counts binary"), f"{name}_sets")
+    return stored(own.mapInPandas(_sets, "id long, elements binary, counts binary"), "sets")
 
 
 def _parts(links: DataFrame) -> DataFrame:
@@ -174,28 +170,28 @@ def _unsettled(left: DataFrame, label: DataFrame) -> DataFrame:
     return left.join(mixed, "band", "left_semi")
 
 
-def _joined(met: DataFrame, docs: DataFrame, registers: DataFrame) -> DataFrame:
+def _joined(met: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v) links that connect all classes (band, id in ``met``) which verified pairs connect."""
     hub = met.groupBy("band").agg(F.min("id").alias("hub"))
     rest = stored(met.join(hub, "band").where("id > hub"), "rest")
-    links = _links(rest.select(F.col("hub").alias("x"), F.col("id").alias("y")).distinct(), docs, registers, "hub0")
+    links = _links(rest.select(F.col("hub").alias("x"), F.col("id").alias("y")).distinct(), sets, "hub0")
     left = rest.select("band", "id")
     for r in range(1, HUB_ROUNDS + 1):
         left = stored(_unsettled(left, _parts(links)), f"left{r}")
         parts = left.groupBy("band", "label").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id")).alias("first"))
         hub = parts.groupBy("band").agg(F.max(F.struct("n", "label", "first.id")).alias("top")).select("band", F.col("top.id").alias("hub"), F.col("top.label").alias("part"))
         met_hub = stored(left.join(hub, "band"), f"hubs{r}")
-        pairs = met_hub.where("label <> part").select(F.least("hub", "id").alias("x"), F.greatest("hub", "id").alias("y")).distinct()
-        more = _links(pairs, docs, registers, f"hub{r}")
+        pairs = met_hub.where("label <> part").select(F.col("hub").alias("x"), F.col("id").alias("y")).distinct()
+        more = _links(pairs, sets, f"hub{r}")
         links = links.unionByName(more)
         left = met_hub.where("id <> hub").select("band", "id")
         if more.isEmpty():
             break
     left = stored(_unsettled(left, stored(components(links), "labels")), "left")
-    return links.unionByName(_rest(left, docs))
+    return links.unionByName(_rest(left, sets))
 
 
-def _rest(left: DataFrame, docs: DataFrame) -> DataFrame:
+def _rest(left: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between different labels within the buckets (band, id, label) of ``left``.
 
     Buckets with the same largest part are one group. Its other rows stay in blocks of BLOCK, and all its rows pass by
@@ -205,7 +201,6 @@ def _rest(left: DataFrame, docs: DataFrame) -> DataFrame:
     largest = parts.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top")).select("band", F.col("top.label").alias("key"))
     rows = stored(left.join(largest, "band").select("key", "id", "label").distinct(), "groups")
     size = rows.groupBy("key").agg(F.ceil(F.count_if(F.col("label") != F.col("key")) / BLOCK).alias("blocks"), F.ceil(F.count("*") / LOAD).alias("loads"))
-    sets = _shingle_sets(docs, rows.select("id"), "rest")
     h = lambda salt: F.abs(F.xxhash64("id", F.lit(salt)) % (1 << 30))
     every = rows.join(size, "key").join(sets, "id")
     stay = every.where("label <> key").withColumn("block", h(1) % F.col("blocks")).withColumn("load", F.explode(F.expr("sequence(0L, loads - 1)"))).withColumn("guest", F.lit(False))
@@ -317,16 +312,14 @@ def _tied(docs: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame) -> DataFrame:
     """(doc_id, rep, class_id, copies) of rows whose doc_id is their own; rep is the smallest one of the exact class."""
-    signed = stored(docs.mapInPandas(_sign, "doc_id long, copy binary, bands array<long>, registers binary"), "signed")
+    signed = stored(beside(docs, _signed, "copy binary, bands array<long>"), "signed")
     worded = signed.where("copy is not null")
     classes = stored(worded.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     own = worded.join(classes.select("copy", F.col("rep").alias("doc_id")), ["copy", "doc_id"], "left_semi")
-    own = stored(own.select(F.col("doc_id").alias("id"), "bands", "registers"), "representatives")
-    bands = own.select("id", F.explode("bands").alias("band"))
+    bands = stored(own.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band")), "bands")
     shared = bands.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band")
     met = stored(bands.join(shared, "band").select("band", "id").distinct(), "met")
-    registers = among(own.select("id", "registers"), "id", met.select("id"))
-    links = _joined(met, docs, stored(registers, "registers"))
+    links = _joined(met, _shingle_sets(docs, met.select("id").distinct()))
 
     same = stored(worded.select("doc_id", "copy").join(classes, "copy").select("doc_id", "rep", "copies"), "members")
     whole = stored(components(links), "final").select(F.col("id").alias("rep"), "label")
@@ -338,12 +331,14 @@ def _classes(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that near_duplicates keeps, one of each class and one of each id; all columns stay.
 
-    Of rows that repeat an id, one stays (any: their ids tell them no further). Rows with a null id stay.
+    Of rows that repeat an id, one stays (any: their ids tell them no further). Rows with a null id stay, and so do null
+    texts and texts without words, one row an id.
     """
     gone = stored(near_duplicates(docs).where("not kept").select("doc_id"), "gone")
     own = without(docs, "doc_id", gone)
     twice = stored(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "twice")
     if not twice.isEmpty():
-        again = own.join(twice.withColumnRenamed("doc_id", "_twice"), F.col("doc_id") == F.col("_twice"), "left_semi")
+        (name,) = free(own, "twice")
+        again = own.join(twice.withColumnRenamed("doc_id", name), F.col("doc_id") == F.col(name), "left_semi")
         own = without(own, "doc_id", twice).unionByName(again.dropDuplicates(["doc_id"]))
     return own
