@@ -2,7 +2,7 @@
 
 Text: byte GRAM-gram shares per language, learnt from labelled texts, with a uniform class "und" for
 what is no language at hand; overlapping grams are not independent, so a text counts as its length
-over GRAM grams and MOST at most. Over the first, text-only answers of all rows, grouped aggregation
+over GRAM grams. Over the first, text-only answers of all rows, grouped aggregation
 gives P(declared | language), P(suffix | language) and P(language | host), the last shrunk from host
 to registered domain to the whole corpus. The posterior multiplies them.
 """
@@ -12,18 +12,18 @@ from __future__ import annotations
 import html as markup
 import re
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, session, stored
+from .common import beside, frugal, session, stored
+from .hosts import domain_of, suffix_of
 from .learn import without
 from .words import U, chunks
 
-GRAM, GRAMS, MOST = 4, 1 << 16, 400
+GRAM, GRAMS = 4, 1 << 16
 UNKNOWN = "und"
 #: Pseudo-counts by which a host leans on its domain and a domain on the corpus; smoothing of the tables.
 LEAN, SMOOTH = 20.0, 1.0
@@ -81,29 +81,29 @@ def fit(texts: DataFrame) -> tuple[list[str], np.ndarray]:
     return [*langs, UNKNOWN], np.log(share).astype(np.float32)
 
 
-@frugal
-def _likelihood(batches: Iterator[pd.DataFrame], table, pages: bool) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        texts = b.text.tolist()
-        out = []
-        for lo, hi in chunks(texts):
-            g, offsets = grams([visible(t) for t in texts[lo:hi]] if pages else texts[lo:hi])
-            n = np.diff(offsets)
-            sums = np.zeros((len(table), hi - lo))
-            full = n > 0
-            if full.any():
-                for k, row in enumerate(table):
-                    sums[k, full] = np.add.reduceat(row[g].astype(np.float64), offsets[:-1][full])
-            weight = np.minimum(n, MOST) / (GRAM * np.maximum(n, 1))
-            out.append((sums * weight).T)
-        like = np.concatenate(out) if out else np.empty((0, len(table)))
-        yield b.drop(columns="text").assign(text_like=list(like))
+def likelihoods(texts: list, table: np.ndarray, pages: bool) -> np.ndarray:
+    """Log likelihood of each text (rows) in each language (columns)."""
+    out = []
+    for lo, hi in chunks(texts):
+        g, offsets = grams([visible(t) for t in texts[lo:hi]] if pages else texts[lo:hi])
+        sums = np.zeros((hi - lo, len(table)))
+        full = np.diff(offsets) > 0
+        if full.any():
+            for k, row in enumerate(table):
+                sums[full, k] = np.add.reduceat(row[g].astype(np.float64), offsets[:-1][full]) / GRAM
+        out.append(sums)
+    return np.concatenate(out) if out else np.empty((0, len(table)))
 
 
 def text_evidence(rows: DataFrame, model: tuple, pages: bool) -> DataFrame:
     """``rows`` (row, text, declared, suffix, host, domain) with text_like, one log likelihood a language, for text."""
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    return rows.mapInPandas(partial(_likelihood, table=model[1], pages=pages), f"{kind}, text_like array<double>")
+    table = model[1]
+
+    def work(lists):
+        for texts in lists:
+            yield range(len(texts)), {"text_like": list(likelihoods(texts, table, pages))}
+
+    return beside(rows, work, "text_like array<double>")
 
 
 def fused(evidence: DataFrame, langs: list[str]) -> DataFrame:
@@ -131,7 +131,7 @@ def fused(evidence: DataFrame, langs: list[str]) -> DataFrame:
         c = counts(by).where(F.col(by).isNotNull())
         return c.select(by, *[F.log((F.col(f"n{i}") + SMOOTH) / F.lit(per[i] + SMOOTH * width)).alias(f"{name}{i}") for i in range(n)])
 
-    width = rows.agg(F.approx_count_distinct("suffix")).first()[0] + 1
+    width = rows.where("suffix is not null").groupBy("suffix").count().count() + 1
     d, s = table("declared", n, "d"), table("suffix", width, "s")
     domains = counts("domain").where("domain is not null")
     size = sum((F.col(f"n{i}") for i in range(1, n)), F.col("n0"))
@@ -151,10 +151,10 @@ def fused(evidence: DataFrame, langs: list[str]) -> DataFrame:
 
 def page_rows(pages: DataFrame) -> DataFrame:
     """The evidence columns of web pages (page_id, url, html)."""
-    host = F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1))
+    host = F.lower(F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)", 1))
     lang = F.lower(F.regexp_extract("html", r"(?i)<html[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})", 1))
     own = pages.select(F.col("page_id").alias("row"), F.col("html").alias("text"), F.when(lang != "", lang).alias("declared"), F.when(host != "", host).alias("host"))
-    return own.select("row", "text", "declared", F.element_at(F.split("host", r"\."), -1).alias("suffix"), "host", F.regexp_extract("host", r"([^.]+\.[^.]+)$|^(.*)$", 0).alias("domain"))
+    return own.select("row", "text", "declared", suffix_of(F.col("host")).alias("suffix"), "host", domain_of(F.col("host")).alias("domain"))
 
 
 def document_rows(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, langid, licenses, quality, toxicity, urls, warc
-from .common import scratch_path, stored, table
+from .common import forgotten, scratch_path, stored, table
+from .hosts import SUFFIXES
 from .metric_join import near_vectors
 from .minhash import near_duplicates
 
@@ -24,7 +25,9 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = warc.write_archives(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    folder = scratch_path(spark, "warc")
+    files = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    forgotten(spark, folder)
     read = warc.read_archives(spark, files, payloads=False)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -75,7 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _B32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
 _DIGEST = f"""array_to_string(list_transform(range(0, 32), lambda i: substr({_B32}, ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31)::int + 1, 1)), '')"""
-_SQUEEZED = "sha256(regexp_replace({}, '[ \\t\\n\\x0b\\f\\r]+', '', 'g'))"
+_SQUEEZED = "sha256(nullif(regexp_replace({}, '[ \\t\\n\\x0b\\f\\r]+', '', 'g'), ''))"
 _ARTICLE = "regexp_replace(regexp_replace(regexp_extract(html, '<article[^>]*>(.*?)</article>', 1, 's'), '<h1[^>]*>.*?</h1>', '', 'gs'), '<[^>]*>', '', 'g')"
 for _code, _mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
     _ARTICLE = f"replace({_ARTICLE}, '{_code}', '{_mark}')"
@@ -87,12 +90,18 @@ def _strength(rows: str, mean: str) -> str:
     return f"(select 1 / least(1 / 1.1, greatest(1.0 / 10001, case when {room} <> 0 then {over} / {room} else 1.0 end)) - 1 from {rows} where n > 0)"
 
 
+def _labels(wide: int, plain: int) -> str:
+    """The last labels of a host: ``wide`` of them under a suffix of two labels, else ``plain``."""
+    last = lambda n: f"regexp_extract(p.host, '([^.]*\\.){{0,{n - 1}}}[^.]*$', 0, 's')"
+    return f"case when {last(2)} in ({', '.join(repr(x) for x in SUFFIXES)}) then {last(wide)} else {last(plain)} end"
+
+
 _REPUTATION = f"""
     texts as (select {_SQUEEZED.format("text")} as digest, max((quality = 0 or toxic = 1)::int) as bad from documents join labels using (doc_id) where quality is not null or toxic is not null group by 1),
     outcomes as (select url, bad from pages join texts on digest = {_SQUEEZED.format(_ARTICLE)} where bad is not null),
     page as (select page_id, coalesce(lower(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's')), '') as host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path from pages),
     seen as (select lower(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's')) as host, count(*) as n, sum(bad) as bad from outcomes group by 1),
-    host as (select p.host, regexp_extract(p.host, '([^.]*\\.)?[^.]*$', 0) as domain, regexp_extract(p.host, '[^.]*$', 0) as suffix, coalesce(n, 0)::double as n, coalesce(bad, 0)::double as bad from (select distinct host from page) p left join seen s on p.host = s.host),
+    host as (select p.host, {_labels(3, 2)} as domain, {_labels(2, 1)} as suffix, coalesce(n, 0)::double as n, coalesce(bad, 0)::double as bad from (select distinct host from page) p left join seen s on p.host = s.host),
     ground as (select (sum(bad) + 0.5) / (sum(n) + 1) as g from host), s0 as (select suffix, sum(n) as n, sum(bad) as bad, any_value(g) as g from host, ground group by suffix),
     s1 as (select suffix, (bad + m * g) / (n + m) as sm from s0, (select {_strength("s0", "g")} as m) t),
     d0 as (select host.suffix, domain, sum(n) as n, sum(bad) as bad, any_value(sm) as sm from host join s1 on host.suffix = s1.suffix group by 1, 2), d1 as (select domain, (bad + m * sm) / (n + m) as dm from d0, (select {_strength("d0", "sm")} as m) t),

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .hosts import domain_of, suffix_of
+
 #: Blocked from this bad rate on, by a lower bound of DEVIATIONS posterior standard deviations.
 LIMIT, DEVIATIONS = 0.3, 1.645
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -27,15 +29,6 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def domain_of(host: Column) -> Column:
-    """The last two labels: the registered domain where suffixes have one label."""
-    return F.regexp_extract(host, r"(?s)([^.]*\.)?[^.]*$", 0)
-
-
-def suffix_of(host: Column) -> Column:
-    return F.regexp_extract(host, r"(?s)[^.]*$", 0)
-
-
 def _strength(groups: DataFrame, mean: Column) -> float:
     """Beta-binomial concentration of the groups' (n, bad) around ``mean``, by moments, within 0.1 and 10,000."""
     spread = mean * (1 - mean)
@@ -99,20 +92,23 @@ def judged(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, st
 
 
 def _squeezed(text: Column) -> Column:
-    return F.sha2(F.regexp_replace(text, r"\s+", ""), 256)
+    """A digest of the text without white space, null where nothing is left."""
+    bare = F.regexp_replace(text, r"\s+", "")
+    return F.when(bare != "", F.sha2(bare, 256))
 
 
 def labelled_outcomes(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """url and bad of the pages whose article is the text of a labelled document: bad is low quality or toxic.
 
-    Articles and texts are compared without white space; a text with several labels is bad if one of them says so.
+    Articles and texts are compared without white space; a text with several labels is bad if one of them says so. Blank
+    texts, blank articles and pages without one say nothing.
     """
     marked = labels.where("doc_id is not null").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad")).where("bad is not null")
-    texts = docs.where("text is not null").select("doc_id", _squeezed(F.col("text")).alias("digest"))
+    texts = docs.select("doc_id", _squeezed(F.col("text")).alias("digest")).where("digest is not null")
     texts = texts.join(marked, "doc_id").groupBy("digest").agg(F.max("bad").alias("bad"))
     article = F.regexp_extract("html", r"(?s)<article[^>]*>(.*?)</article>", 1)
     plain = F.regexp_replace(F.regexp_replace(article, r"(?s)<h1[^>]*>.*?</h1>", ""), r"<[^>]*>", "")
     for code, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(code), F.lit(mark))
-    own = pages.where("html is not null").select("url", _squeezed(plain).alias("digest"))
+    own = pages.select("url", _squeezed(plain).alias("digest")).where("digest is not null")
     return own.join(texts, "digest").select("url", "bad")
