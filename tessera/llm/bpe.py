@@ -14,14 +14,12 @@ import json
 import struct
 import unicodedata
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from .common import frugal, session, tidy
+from .common import beside, kept, session
 from .words import chunks
 
 #: Pieces (and nearly as many trie nodes) that one Python worker remembers before it starts afresh, some 600 bytes each.
@@ -218,39 +216,36 @@ class Bpe:
             self.known.clear()
 
 
-@frugal
-def _encode(batches: Iterator[pd.DataFrame], definition, remembered) -> Iterator[pd.DataFrame]:
-    bpe = Bpe(definition.value, remembered)
-    tidy()
-    for b in batches:
-        texts = b.text.tolist()
-        for lo, hi in chunks(texts):
-            rows = list(bpe.encode_all(texts[lo:hi]))
-            yield pd.DataFrame({"doc_id": b.doc_id.iloc[lo:hi].to_numpy(), "ids": [r[0] for r in rows], "decoded": [r[1] for r in rows]})
+def _work(definition, name: str, remembered: int, digests: bool):
+    sha = lambda x: hashlib.sha256(x).hexdigest()
 
+    def work(lists):
+        bpe = kept(("bpe", name, remembered), lambda: Bpe(definition.value, remembered))
+        try:
+            for texts in lists:
+                for lo, hi in chunks(texts):
+                    rows = list(bpe.encode_all(texts[lo:hi]))
+                    ids, decoded = [r[0] for r in rows], [r[1] for r in rows]
+                    if digests:
+                        yield range(lo, hi), {"n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [sha(x) for x in ids], "decoded_sha256": [sha(x.encode("utf-8", "replace")) for x in decoded]}
+                    else:
+                        yield range(lo, hi), {"ids": ids, "decoded": decoded}
+        finally:
+            bpe.clear()  # the vocabulary stays in the worker, the texts' words do not
 
-@frugal
-def _digest(batches: Iterator[pd.DataFrame], definition, remembered) -> Iterator[pd.DataFrame]:
-    sha = lambda x: hashlib.sha256(x).hexdigest()
-    for b in _encode(batches, definition, remembered):
-        yield pd.DataFrame({
-            "doc_id": b.doc_id, "n_tokens": [len(x) // 4 for x in b.ids],
-            "ids_sha256": [sha(x) for x in b.ids], "decoded_sha256": [sha(x.encode("utf-8", "replace")) for x in b.decoded],
-        })
+    return work
 
 
 def encoded(docs: DataFrame, tokenizer_file: str, digests: bool = False, remembered: int = MOST_PIECES) -> DataFrame:
     """doc_id with ids (binary, little-endian uint32) and decoded text, or with their digests and n_tokens.
 
     One row per row of ``docs`` (doc_id, text; more may be there), repeated rows too. Null and empty
-    texts have no token. The strings of special tokens in a text become those tokens. The vocabulary file, of a fixed size,
+    texts have no token; ids, null ones too, come back as they are. The strings of special tokens in a text become those tokens. The vocabulary file, of a fixed size,
     is read on the driver and broadcast. ``remembered`` bounds a worker's memory; results do not depend on it.
     """
     spark = session(docs.sparkSession)
     with open(tokenizer_file, encoding="utf-8") as f:
-        definition = spark.sparkContext.broadcast(f.read())
-    own = docs.select("doc_id", "text")
-    kind = own.schema["doc_id"].dataType.simpleString()
-    if digests:
-        return own.mapInPandas(partial(_digest, definition=definition, remembered=remembered), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return own.mapInPandas(partial(_encode, definition=definition, remembered=remembered), f"doc_id {kind}, ids binary, decoded string")
+        text = f.read()
+    definition = spark.sparkContext.broadcast(text)
+    added = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded string"
+    return beside(docs.select("doc_id", "text"), _work(definition, hashlib.sha256(text.encode()).hexdigest(), remembered, digests), added)
