@@ -78,15 +78,44 @@ def test_quality_ignores_held_labels_and_needs_both(spark):
     assert empty.count() == 0
 
 
-def test_dual_descent_reaches_the_optimum():
+def test_dual_descent_closes_the_duality_gap(monkeypatch):
     r = np.random.default_rng(0)
-    rows = [np.sort(r.choice(40, 6, replace=False)) for _ in range(60)]
+    rows = [np.sort(r.choice(40, 6, replace=False)) for _ in range(60)] + [np.empty(0, np.int64)]
     y = np.array([1.0 if 0 in f or 1 in f else -1.0 for f in rows])
     ratio = np.zeros(quality.FEATURES)
     ratio[:40] = r.normal(size=40)
-    w = quality.descend(rows, y, ratio)
-    margin = np.array([w[f] @ ratio[f] / np.linalg.norm(ratio[f]) for f in rows])
-    assert (np.sign(margin) == y).mean() > 0.8
+    monkeypatch.setattr(quality, "GAP", 1e-6)
+    problem = quality.Problem(rows, y, ratio)
+    w, alpha = problem.solved()
+    x = np.zeros((len(rows), 40))
+    for i, f in enumerate(rows):
+        x[i, f] = ratio[f] / max(1e-6, np.linalg.norm(ratio[f]))
+    loss = lambda v: v @ v / 2 + quality.COST * np.maximum(0, 1 - y * (x @ v)).sum()
+    assert ((alpha >= 0) & (alpha <= quality.COST)).all() and np.allclose(w[:40], (alpha * y) @ x, atol=1e-5)
+    assert math.isclose(problem.losses(w, alpha)[0], loss(w[:40]), rel_tol=1e-5)
+    dual = alpha.sum() - w @ w / 2
+    assert 0 <= loss(w[:40]) - dual + 1e-9 and loss(w[:40]) - dual < 1e-5 * loss(w[:40])
+    assert all(loss(w[:40] + r.normal(scale=0.05, size=40)) > dual for _ in range(200))  # weak duality: nothing is better
+    monkeypatch.setattr(quality, "MOST_EPOCHS", 1)
+    with pytest.warns(UserWarning, match="gap"):
+        problem.solved()
+
+
+def brute_indicators(text):
+    words = (text or "").split()
+    forms = [quality.shape(w) for w in words]
+    forms = [0 if i and words[i] == words[i - 1] else f for i, f in enumerate(forms)]
+    return {("w", *words[i : i + k]) for k in (1, 2) for i in range(len(words) - k + 1)} | {("s", *forms[i : i + k]) for k in (1, 2, 3) for i in range(len(forms) - k + 1)}
+
+
+def test_indicators_are_the_distinct_grams():
+    r = random.Random(2)
+    texts = [None, "", "One two two two THREE 3 3,3", *(" ".join(r.choice(["a", "B", "cc", "Dd!", "77", "x-y", "supercalifragilisticexpialidocious-one", "supercalifragilisticexpialidocious-TWO"]) for _ in range(r.randint(0, 12))) for _ in range(40))]
+    from tessera.llm.words import WordCache, hash64
+
+    doc, _ = quality.indicators(texts, WordCache(hash64), WordCache(lambda w: hash64(quality.shape(w))))
+    assert np.bincount(doc, minlength=len(texts)).tolist() == [len(brute_indicators(t)) for t in texts]
+    assert quality.shape("supercalifragilistic-One") == "x-Xx" and quality.shape("aaaaaa1b2c3d4e5") != quality.shape("aaaaaa1b2c3d4E5!")
 
 
 def toxic_corpus(spark):
@@ -114,6 +143,32 @@ def test_toxic_passages(spark):
     assert np.allclose(toxicity.judged(d, toxicity.fit(d, labels.where("false"))).toPandas().score, 0.5)
 
 
+def test_toxicity_is_learnt_from_teaching_rows_alone(spark):
+    d, labels = toxic_corpus(spark)
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    flipped = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = (toxicity.fit(d, x) for x in (labels, flipped))
+    assert np.array_equal(a[0], b[0]) and a[1:] == b[1:]
+    choices = [toxicity.Settings(), toxicity.Settings(0.3, 2.0, 0.5)]
+    assert toxicity.cross_validated(d, labels, choices) == toxicity.cross_validated(d, flipped, choices)
+    nothing = toxicity.scored(d.where("false"), a, 5, 0)
+    assert nothing.count() == 0 and toxicity.scored(d.unionByName(d), a, 5, 0).count() == 2 * d.count()
+    assert toxicity.fit(d.where("false"), labels)[4] == 0.0
+
+
+def test_token_scores_by_definition():
+    clean, toxic, k = np.array([50.0, 3.0, 0.0, 7.0]), np.array([5.0, 9.0, 0.0, 0.0]), toxicity.Settings(0.2, 0.5, 1.0)
+    got, prior = toxicity.log_odds(clean, toxic, k), 0.2 * (clean + toxic)
+    for i in (0, 1, 3):
+        x, y = toxic[i] + prior[i], clean[i] + prior[i]
+        d = math.log(x / (toxic.sum() + prior.sum() - x)) - math.log(y / (clean.sum() + prior.sum() - y))
+        assert math.isclose(got[i], math.copysign(max(0, abs(d) - 0.5 * math.sqrt(1 / x + 1 / y)), d), abs_tol=1e-12)
+    assert got[2] == 0
+    scores, share = np.array([1.0, -1.0]), np.array([0.25, 0.75])
+    assert math.isclose(toxicity.karlin_rate(scores, share), math.log(3), rel_tol=1e-6)  # 0.25 e^r + 0.75 e^-r = 1
+    assert math.isclose(toxicity.evidence(10, [2.0, 9.0], 1.0, 0.1), 9.0) and math.isclose(toxicity.evidence(10, [2.0], 1.0, 0.1), 2.0) and math.isclose(toxicity.evidence(0, [], 1.0, 0.5), -math.log(0.5))
+
+
 def brute_segments(s):
     """All maximal segments by definition: split at the best one, again and again."""
     if not len(s) or s.max() <= 0:
@@ -230,7 +285,7 @@ def test_alignment_against_plain_dynamic_programming():
 # ---- 3: archives --------------------------------------------------------------------------------------------------------------
 
 
-def test_archives_round_trip(spark, tmp_path):
+def test_archives_round_trip(spark, tmp_path, monkeypatch):
     pages = [(i, f"https://h{i % 3}.org/p/{i}", "same page" if i % 4 == 0 else f"<p>{prose(i, 200)}</p>ü") for i in range(60)]
     pages += [(60, None, None), (61, "u", ""), (62, "x", "B" * 300_000), (None, "n", "same page"), (7, "again", "twice"), (7, "again", "twice")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("top", F.lit(1)).withColumn("sha", F.lit("x")).repartition(3)
@@ -249,7 +304,14 @@ def test_archives_round_trip(spark, tmp_path):
     have = Counter((None if pd.isna(r.page_id) else int(r.page_id), int(r.payload_bytes), r.payload_digest, r.record_type, None if pd.isna(r.refers_to) else int(r.refers_to)) for r in got.itertuples())
     assert have == want
     assert got[got.page_id == 62].payload.iloc[0] == b"B" * 300_000
-    assert warc.read_archives(spark, []).count() == 0 and warc.write_archives(df.where("false"), str(tmp_path / "b")) == []
+    none = warc.write_archives(df.where("false"), str(tmp_path / "b"))
+    assert warc.read_archives(spark, []).count() == 0 and none.count() == 0 and warc.read_archives(spark, none).count() == 0
+    paths = [r.file for r in files.collect()]
+    assert warc.read_archives(spark, paths).count() == len(pages) and files.agg(F.sum("records")).first()[0] == len(pages)
+    monkeypatch.setattr(warc, "MOST_BROADCAST", 0)
+    again = warc.read_archives(spark, warc.write_archives(df, str(tmp_path / "c"))).toPandas()
+    key = lambda t: sorted(map(str, t[["page_id", "payload_digest", "record_type", "refers_to"]].itertuples(index=False)))
+    assert key(again) == key(got)
 
 
 class Bytes:
@@ -409,14 +471,19 @@ def test_signatures_estimate_the_probability_jaccard():
 
 def test_licences(spark):
     s = licenses.SENTENCES
-    apache = "\n".join(s[k] + ("" if s[k].strip().endswith((".", ";")) else ".") for k in licenses.RULES[1][1])
-    mit = s["mit-grant"] + "\n\n" + s["mit-as-is"] + " An odd sentence. " + s["mit-liability"]
-    texts = {0: "Something\nReleased under the MIT License.\nMore", 1: apache, 2: mit, 3: "released UNDER the mit licence!", 4: "This work is licensed under the GNU General\nPublic License, version 3.", 5: "I like the MIT License.", 6: s["gpl-free"]}
+    apache = "\n".join(s[k] + ("" if s[k].strip().endswith((".", ";")) else ".") for k in licenses.RULES[0][1])
+    mit = s["mit-grant"] + "\n\n" + s["mit-as-is"] + " An odd sentence. " + s["mit-liability"].replace("<>", "AUTHOR")
+    texts = {0: "Something\nReleased under the MIT License.\nMore", 1: apache, 2: mit, 3: "released UNDER the mit licence!", 4: "This work is licensed under the GNU General\nPublic License, version 3.", 5: "I like the MIT License.", 6: s["gpl-or-later"].replace("<>", "This program")}
     texts |= {10 + k: t for k, t in enumerate(ODD)}
     d = docs(spark, texts)
     got = {(r.doc_id, r.license, r.n_sentences) for r in licenses.license_matches(d).collect()}
     assert got == {(0, "MIT", 1), (1, "Apache-2.0", 5), (2, "MIT", 3), (3, "MIT", 1), (4, "GPL-3.0", 1), (6, "GPL-3.0-or-later", 1)}
-    assert all(licenses.TRIGGER.search(t) for t in s.values())
+    catalogue = licenses.Catalogue(licenses.catalogue_sentences(), licenses.catalogue_rules())
+    assert all(catalogue.trigger.search(t) for _, t in licenses.catalogue_sentences())
+    own = licenses.license_matches(d.unionByName(docs(spark, {50: "Take it, friend. Share\nit!"})), [("take", "Take it, friend."), ("share", "Share it!")], [("Friendly", ("take", "share"))])
+    assert [(r.doc_id, r.license, r.n_sentences) for r in own.collect()] == [(50, "Friendly", 2)]
+    with pytest.raises(ValueError, match="words"):
+        licenses.Catalogue([("none", "...")], [])
     assert licenses.license_matches(d.where("false")).count() == 0
     assert licenses.license_matches(d.unionByName(d)).count() == 2 * len(got)
 
@@ -428,7 +495,7 @@ def test_every_kind_of_licence_line_gives_a_row(spark):
     want = Counter((i, lines[x]) for i, t in texts.items() for x in t if x in lines)
     assert {k for _, k in want} == set(lines.values())
     assert not Counter(want) - Counter((r.doc_id, r.license) for r in licenses.license_matches(d).collect())
-    assert {rule[0] for _, rule in licenses.RULES} | {n for _, rule in licenses.RULES for n in rule} == set(licenses.SENTENCES)
+    assert {n for _, rule in licenses.catalogue_rules() for n in rule} == {name for name, _ in licenses.catalogue_sentences()}
     bsd = docs(spark, ["Copyright (c) 2020, A\nAll rights reserved.\n\n" + licenses.SENTENCES["bsd-allowed"]])
     assert [(r.license, r.n_sentences) for r in licenses.license_matches(bsd).collect()] == [("BSD", 2)]
 
@@ -479,24 +546,136 @@ GPL_NOTICE = """    This program is free software: you can redistribute it and/o
     GNU General Public License for more details."""
 
 
+BSD_NOTICE = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+ISC_NOTICE = """ISC License
+
+Copyright (c) 2020, Foo
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF
+OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+GPL2_NOTICE = """This file is part of Foo.
+
+Foo is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+Foo is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+LGPL_NOTICE = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details."""
+ZLIB_NOTICE = """This software is provided 'as-is', without any express or implied
+warranty.  In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software. If you use this software
+   in a product, an acknowledgment in the product documentation would be
+   appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+
+
 @pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
-@pytest.mark.parametrize("notice, want", [(APACHE_HEADER, ("Apache-2.0", 5)), (MIT_NOTICE, ("MIT", 3)), (MPL_NOTICE, ("MPL-2.0", 1)), (GPL_NOTICE, ("GPL-3.0-or-later", 4))])
+@pytest.mark.parametrize("notice, want", [(APACHE_HEADER, ("Apache-2.0", 5)), (MIT_NOTICE, ("MIT", 3)), (MPL_NOTICE, ("MPL-2.0", 2)), (GPL_NOTICE, ("GPL-3.0-or-later", 4)), (GPL2_NOTICE, ("GPL-2.0-or-later", 4)),
+    (LGPL_NOTICE, ("LGPL-2.1-or-later", 4)), (BSD_NOTICE, ("BSD-3-Clause", 6)), (BSD_NOTICE.replace(BSD_NOTICE[BSD_NOTICE.index("3. Nei") : BSD_NOTICE.index("THIS SOFT")], ""), ("BSD-2-Clause", 5)), (ISC_NOTICE, ("ISC", 3)), (ZLIB_NOTICE, ("Zlib", 7)),
+])
 def test_verbatim_notices(notice, want, mark):
-    catalogue = licenses.Catalogue(licenses.SENTENCES, licenses.RULES)
+    catalogue = licenses.Catalogue(licenses.catalogue_sentences(), licenses.catalogue_rules())
     lines = [(mark + x).rstrip() for x in notice.split("\n")]
     for text in ("\n".join(lines), "import x\n\n" + "\n".join(lines) + "\n\nx = 1\n", "\r\n".join(lines), " ".join(notice.split())):
         got = [m[:2] for m in catalogue.licences(catalogue.identify(text))]
-        assert got == [want] or (text == " ".join(notice.split()) and notice is MIT_NOTICE), (text, got)
+        titled = "License\n\nCopyright" in notice  # on one line its title and holder run into the grant
+        assert got == [want] or (text == " ".join(notice.split()) and titled), (text, got)
 
 
 def test_known_sentences_across_ends_count_once():
-    catalogue = licenses.Catalogue(licenses.SENTENCES, licenses.RULES)
-    assert catalogue.identify("One. Two\n\n" + MPL_NOTICE + " Last") == [None, None, "mpl2-subject", None, None]
-    assert catalogue.identify("Some code\nReleased under the MIT License. I like the MIT License.") == ["mit-released", None]
+    catalogue = licenses.Catalogue(licenses.catalogue_sentences(), licenses.catalogue_rules())
+    assert catalogue.identify("One. Two\n\n" + MPL_NOTICE + " Last") == [None, None, "mpl2-subject", "mpl2-copy", None]
+    assert catalogue.identify("Some code\nReleased under the MIT License. I like the MIT License.") == ["MIT-named", None]
     assert catalogue.identify("") == [] and catalogue.identify("a\n\n#\n\nb") == [None, None]
     assert [m[0] for m in catalogue.licences(catalogue.identify(APACHE_HEADER.split("You may")[0]))] == ["Apache-2.0"]
 
 
+def test_rules_against_brute_force():
+    r = random.Random(9)
+    known = [(x, f"{x} {x}{x} said") for x in "abcdef"]
+    rules = [("L1", ("a", "b", "c")), ("L2", ("b", "c")), ("L3", ("c",)), ("L4", ("a", "d")), ("L5", ("e", "e")), ("L6", ("d", "a", "b"))]
+    catalogue = licenses.Catalogue(known, rules)
+
+    def matches(names):
+        found = []
+        for licence, rule in rules:
+            for at in itertools.combinations(range(len(names)), len(rule)):
+                between = [range(i + 1, j) for i, j in zip(at, at[1:])]
+                if tuple(names[i] for i in at) == rule and all(len(b) <= licenses.GAP and all(names[i] is None for i in b) for b in between):
+                    found.append((licence, len(rule), at[0], at[-1]))
+        kept = []
+        for m in sorted(found, key=lambda m: (-m[1], m[2], m[0])):
+            if all(m[3] < k[2] or m[2] > k[3] for k in kept):
+                kept.append(m)
+        return sorted(kept, key=lambda m: m[2])
+
+    for _ in range(300):
+        names = [r.choice(["a", "b", "c", "d", "e", None, None]) for _ in range(r.randint(0, 9))]
+        text = " ".join((dict(known)[n] if n else "other words here") + r.choice([".", "!", "?", "\n\n"]) for n in names)
+        assert catalogue.identify(text) == names and catalogue.licences(names) == matches(names), text
+
+
+def test_spdx_lines_and_statements():
+    catalogue = licenses.Catalogue(licenses.catalogue_sentences(), licenses.catalogue_rules())
+    got = lambda t: [m[0] for m in catalogue.licences(catalogue.identify(t))]
+    assert got("// SPDX-License-Identifier: GPL-2.0-only\n#include <x>\n") == ["GPL-2.0-only"] and got("# SPDX-License-Identifier: MIT OR Apache-2.0\nx") == []
+    assert got("This project is licensed under the terms of the MIT License.") == ["MIT"] and got("Licensed under CC BY-SA 4.0.") == ["CC-BY-SA-4.0"]
+    assert got("To the extent possible under law, Jo Doe has waived all copyright and related or neighboring rights to This Book.") == ["CC0-1.0"]
+
+
 # ---- 8: tokens ------------------------------------------------------------------------------------------------------------------------
 
 
