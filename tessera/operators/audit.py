@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import canonical
 from .graph import components
+from .ranks import numbered
 
 
 def geometric_votes(boxes: DataFrame, least_images: int = 2, most_images: int = 50, least_votes: int = 3, cell: float = 4.0) -> DataFrame:
@@ -104,10 +105,12 @@ def leaked_sources(rows: DataFrame, source: str = "source", split: str = "split"
     return rows.groupBy(source).agg(F.countDistinct(split).alias("splits")).where("splits > 1")
 
 
-def rank_tertile(value: Column, *ties: str, by: list[str] = ()) -> Column:
-    """0, 1 or 2 by rank: floor(3 * rank / n)."""
-    w = Window.partitionBy(*by)
-    return F.floor(3 * (F.row_number().over(w.orderBy(value, *ties)) - 1) / F.count("*").over(w)).cast("int")
+def rank_tertiles(rows: DataFrame, value: str, *ties: str, by: list[str] = (), name: str = "tertile") -> DataFrame:
+    """``rows`` with ``name``: 0, 1 or 2 by rank, floor(3 * rank / n)."""
+    placed = numbered(rows, list(by), [value, *ties], "_i")
+    n = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    every = placed.join(n, list(by)) if by else placed.crossJoin(F.broadcast(n))
+    return every.select(*rows.columns, F.floor(3 * (F.col("_i") - 1) / F.col("_n")).cast("int").alias(name))
 
 
 def strata(rows: DataFrame, values: dict[str, str], by: list[str] = ()) -> DataFrame:
@@ -121,7 +124,6 @@ def strata(rows: DataFrame, values: dict[str, str], by: list[str] = ()) -> DataF
 
 def control_difference(a: DataFrame, b: DataFrame, by: str, value: str) -> DataFrame:
     """by, n_a, n_b, largest: the sorted values of two runs set side by side."""
-    w = Window.partitionBy(by).orderBy(value)
-    side = lambda d, s: d.select(by, F.col(value).alias(s), F.row_number().over(w).alias("i"))
+    side = lambda d, s: numbered(d.select(by, F.col(value).alias(s)), [by], [s], "i")
     both = side(a, "va").join(side(b, "vb"), [by, "i"], "full")
     return both.groupBy(by).agg(F.count("va").alias("n_a"), F.count("vb").alias("n_b"), F.max(F.abs(F.col("va") - F.col("vb"))).alias("largest"))

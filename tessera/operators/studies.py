@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxes import box, overlap_area
+from .ranks import numbered, running
 from .risk import binomial_cdf, tolerance_rank
 
 #: Radii tried by the fixed sequences, from the largest down.
@@ -85,11 +86,9 @@ def representatives(scores: DataFrame, by: list[str], seed: int, miss: float = 0
     counts = drawn.groupBy(*by).agg(F.count("*").alias("n"))
     ranks = {r.n: tolerance_rank(r.n, 1 - miss, delta) for r in counts.select("n").distinct().collect()}
     table = scores.sparkSession.createDataFrame([(n, k) for n, k in ranks.items()] or [(0, None)], "n long, rank long")
-    from pyspark.sql import Window
-
-    placed = drawn.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("score")))
+    seen = running(drawn.groupBy(*by, "score").agg(F.count("*").alias("c")), list(by), seen="c")
     wanted = counts.join(F.broadcast(table), "n")
-    return wanted.join(placed, by).groupBy(*by).agg(F.max(F.when(F.col("i") == F.col("rank"), F.col("score"))).alias("q"), F.first("n").alias("n"), F.first("rank").alias("rank"))
+    return wanted.join(seen, by).groupBy(*by).agg(F.min(F.when(F.col("seen") >= F.col("rank"), F.col("score"))).alias("q"), F.first("n").alias("n"), F.first("rank").alias("rank"))
 
 
 def routes(hcp: DataFrame, representative: DataFrame, bernstein: DataFrame, direct: DataFrame, recall: DataFrame, by: str = "class") -> DataFrame:
@@ -181,11 +180,11 @@ def cell_tables(matched: DataFrame) -> dict[str, DataFrame]:
 
     Codes follow the sorted names; scenes carry their number of images.
     """
-    from pyspark.sql import Window
 
     def dictionary(column: str, code: str, *more):
         names = matched.groupBy(column).agg(F.countDistinct("image_id").alias("n_tiles"))
-        return names.withColumn(code, (F.row_number().over(Window.orderBy(column)) - 1).cast("int")).select(code, column, *more)
+        placed = numbered(names, [], [column], "_i")
+        return placed.select((F.col("_i") - 1).cast("int").alias(code), column, *more)
 
     scenes, classes = dictionary("scene_id", "scene_code", "n_tiles"), dictionary("class", "class_code")
     rows = matched.join(scenes.select("scene_code", "scene_id"), "scene_id").join(F.broadcast(classes), "class")

@@ -11,13 +11,13 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 INF = float("inf")
 METHODS = ("pooled", "hcp", "crc_object", "scene_max")
 SLACK = 1e-9
 #: Least common multiple of 1 to 22.
 PARTS = 232_792_560
-#: Score ranges into which a group is cut for running sums.
-BUCKETS = 64
 
 
 class CalibrationError(ValueError):
@@ -37,29 +37,11 @@ def conformal_rank(n: Column, alpha: Column | float) -> Column:
     return (n + 1) - F.floor((n + 1) * a)
 
 
-def _running(scores: DataFrame, by: list[str], **sums: str) -> DataFrame:
-    """``scores`` with running sums (name=column) by rising score within ``by``.
-
-    Each group is cut into BUCKETS ranges of about equal size; sums run within a range, and the totals of the ranges
-    below are added. So neither a group without keys nor a large one is sorted by a single task.
-    """
-    levels = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
-    cuts = scores.groupBy(*by).agg(F.percentile_approx("score", levels, F.lit(20 * BUCKETS)).alias("_cuts"))
-    rows = scores.join(cuts, by) if by else scores.crossJoin(F.broadcast(cuts))
-    rows = rows.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("score")))).drop("_cuts")
-    totals = rows.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    below = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_t_{n}").over(below), F.lit(0)).alias(f"_t_{n}") for n in sums])
-    inner = Window.partitionBy(*by, "_range").orderBy("score").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.select("*", *[F.sum(c).over(inner).alias(f"_s_{n}") for n, c in sums.items()])
-    return rows.join(totals, [*by, "_range"]).select(*scores.columns, *[(F.col(f"_s_{n}") + F.col(f"_t_{n}")).alias(n) for n in sums])
-
-
 def _by_rank(scores: DataFrame, by: list[str], rank: Column) -> DataFrame:
     """by, q, n, n_scenes: the score of the given rank (a Column over n); +inf above n, -inf at 0 or less."""
     counts = scores.groupBy(*by, "score").agg(F.count("*").alias("c"))
     total = counts.groupBy(*by).agg(F.sum("c").alias("n"))
-    ranked = _running(counts, by, seen="c")
+    ranked = running(counts, by, seen="c")
     joined = ranked.join(total, by) if by else ranked.crossJoin(F.broadcast(total))
     joined = joined.withColumn("k", rank)
     q = F.min(F.when(F.col("seen") >= F.col("k"), F.col("score")))
@@ -96,7 +78,7 @@ def hcp(scores: DataFrame, alpha: float, by: list[str] = ()) -> DataFrame:
         F.sum(F.col("c") * F.expr(f"{PARTS}L div m").cast("decimal(38,0)")).cast("decimal(38,0)").alias("whole"), F.sum(F.col("c") / F.col("m")).alias("mass")
     )
     total = sizes.groupBy(*by).agg(F.count("*").alias("scenes"), F.sum("m").alias("n"), F.max(F.lit(PARTS) % F.col("m") != 0).alias("odd"))
-    seen = _running(mass, by, seen="mass", seen_whole="whole")
+    seen = running(mass, by, seen="mass", seen_whole="whole")
     joined = seen.join(total, by) if by else seen.crossJoin(F.broadcast(total))
     need = (F.lit(PARTS * top).cast("decimal(38,0)") * (F.col("scenes") + 1).cast("decimal(20,0)")).cast("decimal(38,0)")
     reached = F.when(F.col("odd"), F.col("seen") >= (1 - alpha) * (F.col("scenes") + 1) - SLACK).otherwise((F.col("seen_whole") * F.lit(bottom)).cast("decimal(38,0)") >= need)
@@ -131,16 +113,20 @@ def crc_adaptive(scores: DataFrame, alpha: float, deployed: DataFrame, by: list[
     alpha, by = check_alpha(alpha), list(by)
     counts = scores.groupBy(*by, "score").agg(F.count("*").alias("c"))
     total = counts.groupBy(*by).agg(F.sum("c").alias("n"))
-    ranked = _running(counts, by, seen="c").withColumn("before", F.col("seen") - F.col("c"))
+    ranked = running(counts, by, seen="c")
     wanted = deployed.select(*by, "d").distinct()
     wanted = wanted.join(total, by) if by else wanted.crossJoin(F.broadcast(total))
     budget = F.lit(alpha) * F.col("n") - (1 - alpha) * F.col("d")
     k = F.col("n") - F.least(F.floor(budget + SLACK), F.col("n"))
     wanted = wanted.select(*by, "d", F.when(budget < -SLACK, F.lit(None)).otherwise(k).alias("k"))
-    near = (F.col("k") > F.col("before")) & (F.col("k") <= F.col("seen"))
-    asked = wanted.select(*[F.col(c).alias(f"_{c}") for c in by], "d", "k").where("k >= 1")
-    same = [F.col(f"_{c}") == F.col(c) for c in by]
-    hits = ranked.join(asked if by else F.broadcast(asked), [*same, near] if by else near).select(*by, "d", "score")
+    # each wanted rank goes to the range that reaches it, and there to the first score that does
+    tops = ranked.groupBy(*by, "_range").agg(F.max("seen").alias("top")).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("top", "_range"))).alias("tops"))
+    asked = wanted.where("k >= 1")
+    asked = asked.join(tops, by) if by else asked.crossJoin(F.broadcast(tops))
+    asked = asked.select(*by, F.get(F.filter("tops", lambda t: t["top"] >= F.col("k")), F.lit(0))["_range"].alias("_range"), F.col("k").cast("long").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("double").alias("score"), "d", "k")
+    every = asked.unionByName(ranked.select(*by, "_range", F.col("seen").cast("long").alias("at"), F.lit(1).alias("kind"), F.col("score").cast("double").alias("score")), allowMissingColumns=True)
+    on = Window.partitionBy(*by, "_range").orderBy("at", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    hits = every.withColumn("found", F.first("score", ignorenulls=True).over(on)).where("kind = 0").select(*by, "d", F.col("found").alias("score"))
     found = wanted.join(hits, [*by, "d"], "left").select(*by, "d", "k", "score")
     q = F.when(F.col("k").isNull(), F.lit(INF)).when(F.col("k") <= 0, F.lit(-INF)).otherwise(F.col("score"))
     return deployed.join(found.select(*by, "d", q.alias("q")), [*by, "d"])
@@ -174,7 +160,7 @@ def weighted(scores: DataFrame, alpha: float, by: list[str] = (), hierarchical:
         mass = rows.drop("mult").join(sizes, [*by, "scene"]).groupBy(*by, "score").agg(F.round(F.sum(F.col("mult") / F.col("m")), 12).alias("mass"))
         total = sizes.groupBy(*by).agg(((1 - alpha) * (F.sum("mult") + 1)).alias("target"))
         slack = SLACK
-    seen = _running(mass, by, seen="mass")
+    seen = running(mass, by, seen="mass")
     joined = seen.join(total, by) if by else seen.crossJoin(F.broadcast(total))
     out = joined.groupBy(*by).agg(F.min(F.when(F.col("seen") >= F.col("target") - slack, F.col("score"))).alias("q"))
     return out.select(*by, F.coalesce("q", F.lit(INF)).alias("q"))
@@ -215,15 +201,52 @@ def threshold_grid(scores: DataFrame, alphas: list[float], by: list[str] = (), m
     return out
 
 
-def max_rank(design: DataFrame, residuals: DataFrame, coords: list[str], key: list[str], by: list[str] = ()) -> DataFrame:
-    """key, score: the largest over coordinates of the share of design residuals strictly below.
+def max_rank(design: DataFrame, residuals: DataFrame, coords: list[str], key: list[str], by: list[str] = (), mult: str | None = None) -> DataFrame:
+    """key, score: the largest over coordinates of the share of design residuals strictly below; ``mult`` weighs design rows.
 
-    Design and scored values are ordered together, so that one running sum per coordinate ranks all.
+    Design and scored values are counted together by value, so that one running sum per coordinate ranks all.
+    """
+    by = list(by)
+    weight = F.col(mult) if mult else F.lit(1)
+    d = design.withColumn("_w", weight.cast("long")).where("_w > 0").unpivot([*by, "_w"], coords, "coord", "value")
+    r = residuals.unpivot([*by, *key], coords, "coord", "value")
+    values = d.select(*by, "coord", "value", "_w").unionByName(r.select(*by, "coord", "value", F.lit(0).cast("long").alias("_w")))
+    counts = values.groupBy(*by, "coord", "value").agg(F.sum("_w").alias("c"))
+    below = running(counts, [*by, "coord"], "value", seen="c").select(*by, "coord", "value", (F.col("seen") - F.col("c")).alias("below"))
+    total = d.groupBy(*by, "coord").agg(F.sum("_w").alias("n"))
+    ranked = r.join(below, [*by, "coord", "value"]).join(F.broadcast(total) if not by else total, [*by, "coord"])
+    return ranked.groupBy(*by, *key).agg(F.max(F.col("below") / F.col("n")).alias("score"))
+
+
+def max_rank_bounds(design: DataFrame, thresholds: DataFrame, coords: list[str], by: list[str] = (), mult: str | None = None) -> DataFrame:
+    """by, coord, q: what a max-rank threshold q (a share of design residuals strictly below) allows of each coordinate.
+
+    The largest residual whose share strictly below is q or less: the first of a weight above q times the total; +inf
+    where q is 1 or more.
+    """
+    by = list(by)
+    weight = F.col(mult) if mult else F.lit(1)
+    d = design.withColumn("_w", weight.cast("long")).where("_w > 0").unpivot([*by, "_w"], coords, "coord", "value")
+    counts = d.groupBy(*by, "coord", "value").agg(F.sum("_w").alias("c"))
+    seen = running(counts, [*by, "coord"], "value", seen="c")
+    total = counts.groupBy(*by, "coord").agg(F.sum("c").alias("n"))
+    wanted = total.join(thresholds.select(*by, "q"), by) if by else total.crossJoin(F.broadcast(thresholds.select("q")))
+    rows = seen.join(wanted, [*by, "coord"])
+    # shares are quotients of whole numbers: weights are compared after rounding the product back
+    above = F.col("seen") > F.round(F.col("q") * F.col("n"), 6)
+    return rows.groupBy(*by, "coord").agg(F.coalesce(F.min(F.when(above & (F.col("q") < 1), F.col("value"))), F.lit(INF)).alias("q"))
+
+
+def choose_alpha(curves: DataFrame, by: str = "class", level: str = "alpha", value: str = "coverage", target: float = 0.9) -> DataFrame:
+    """One row: the level whose mean over classes is nearest ``target`` (the smallest of equally near ones), and that mean.
+
+    Both are null where any class lacks a level or has a coverage that is not finite.
     """
-    d = design.unpivot(list(by), coords, "coord", "value").withColumn("fit", F.lit(1))
-    r = residuals.unpivot([*by, *key], coords, "coord", "value").withColumn("fit", F.lit(0))
-    every = r.unionByName(d, allowMissingColumns=True)
-    part = Window.partitionBy(*by, "coord")
-    below = F.sum("fit").over(part.orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.sum("fit").over(Window.partitionBy(*by, "coord", "value"))
-    ranked = every.withColumn("share", below / F.sum("fit").over(part)).where("fit = 0")
-    return ranked.groupBy(*by, *key).agg(F.max("share").alias("score"))
+    v = F.col(value)
+    odd = F.count_if(v.isNull() | F.isnan(v) | (F.abs(v) == INF))
+    grid = curves.groupBy(level).agg(F.avg(v).alias("macro"), F.count("*").alias("n"), odd.alias("odd"))
+    most = grid.agg(F.max("n").alias("most"), F.min("n").alias("least"), F.sum("odd").alias("odd"))
+    best = grid.agg(F.min(F.struct(F.abs(F.col("macro") - target).alias("gap"), F.col(level).alias("at"), "macro")).alias("best"))
+    rows = best.crossJoin(F.broadcast(most))
+    ok = (F.col("most") == F.col("least")) & (F.col("odd") == 0)
+    return rows.select(F.when(ok, F.col("best.at")).alias(level), F.when(ok, F.col("best.macro")).alias("macro"))
