@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranks import running
+from .thresholds import max_rank
+
 # Fixed values of the simulated populations: scene sizes, their shares, and the seed.
 SIZES, SHARES, SEED = (1, 8, 64), (0.6, 0.3, 0.1), 20260928
 
@@ -25,19 +28,24 @@ def conditions() -> list[dict]:
 
 
 def scenes(condition: dict, count: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Scene index and log-normal score of each object; scores share a scene effect."""
+    """Scene index and log-normal score of each object.
+
+    The law: sizes are 8, or drawn from SIZES with SHARES; with z the standardised log size, a log score is
+    gamma z + sqrt(rho) (scene effect) + sqrt(1 - rho) (own effect). Sizes, scene effects and own effects are drawn in that order.
+    """
     if condition["regime"] == "constant8":
-        m, z = np.full(count, 8), np.zeros(count)
+        sizes, pull = np.array([8]), np.array([0.0])
+        kind = np.zeros(count, int)
     else:
-        k = rng.choice(len(SIZES), size=count, p=SHARES)
-        level = np.log(SIZES)
-        mean = float(np.dot(SHARES, level))
-        z = ((level - mean) / math.sqrt(float(np.dot(SHARES, (level - mean) ** 2))))[k]
-        m = np.asarray(SIZES)[k]
-    common = rng.standard_normal(count)
-    own = rng.standard_normal(int(m.sum()))
-    scene = np.repeat(np.arange(count), m)
-    return scene, np.exp(condition["gamma"] * z[scene] + math.sqrt(condition["rho"]) * common[scene] + math.sqrt(1 - condition["rho"]) * own)
+        sizes, logs, p = np.array(SIZES), np.log(SIZES), np.array(SHARES)
+        pull = logs - p @ logs
+        pull = pull / np.sqrt(p @ pull**2)
+        kind = rng.choice(len(sizes), count, p=p)
+    scene = np.repeat(np.arange(count), sizes[kind])
+    effects = rng.standard_normal(count), rng.standard_normal(len(scene))
+    rho = condition["rho"]
+    logs = (condition["gamma"] * pull[kind] + math.sqrt(rho) * effects[0])[scene] + math.sqrt(1 - rho) * effects[1]
+    return scene, np.exp(logs)
 
 
 def simulated(spark: SparkSession, replications: int, chosen: list[int] | None = None, alpha: float = 0.1) -> DataFrame:
@@ -63,16 +71,20 @@ def simulated(spark: SparkSession, replications: int, chosen: list[int] | None =
 
 def thresholds(scene: np.ndarray, score: np.ndarray, alpha: float, bound: int) -> dict[str, float]:
     """The four scene-aware thresholds of one calibration set, in memory."""
-    rank = lambda n: (n + 1) - math.floor((n + 1) * alpha)
-    pick = lambda s, k: math.inf if k > len(s) else 0.0 if k < 1 else float(s[k - 1])
+    ordered, sizes = np.sort(score), np.bincount(scene)
+    worst = np.zeros(len(sizes))
+    np.maximum.at(worst, scene, score)  # scores are positive
+
+    def split(values: np.ndarray) -> float:
+        above = math.floor((len(values) + 1) * alpha)  # of n + 1 places, those that may lie above
+        return math.inf if above == 0 else float(np.sort(values)[-above])
+
     order = np.argsort(score, kind="stable")
-    s, m = score[order], np.bincount(scene)
-    mass = np.cumsum(1.0 / m[scene[order]])
-    at = int(np.searchsorted(mass, (1 - alpha) * (len(m) + 1) - 1e-9))
-    top = np.sort(pd.Series(score).groupby(scene).max().to_numpy())
-    budget = alpha * len(s) - (1 - alpha) * bound
-    crc = math.inf if budget < -1e-9 else pick(s, len(s) - min(len(s), math.floor(budget + 1e-9)))
-    return {"pooled": pick(s, rank(len(s))), "hcp": math.inf if at >= len(s) else float(s[at]), "scene_max": pick(top, rank(len(top))), "crc_object": crc}
+    mass = np.cumsum(1.0 / sizes[scene[order]])
+    enough = np.flatnonzero(mass >= (1 - alpha) * (len(sizes) + 1) - 1e-9)
+    spare = alpha * len(score) - (1 - alpha) * bound  # objects that may lie above, where any number is allowed
+    crc = math.inf if spare < -1e-9 else float(np.append(0.0, ordered)[max(0, len(score) - math.floor(spare + 1e-9))])
+    return {"pooled": split(score), "hcp": float(score[order[enough[0]]]) if len(enough) else math.inf, "scene_max": split(worst), "crc_object": crc}
 
 
 def familywise_errors(spark: SparkSession, risks: list[list[float]], shares: list[float], n: int, beta: float, delta: float, draws: int, seed: int = 1) -> DataFrame:
@@ -100,34 +112,36 @@ def familywise_errors(spark: SparkSession, risks: list[list[float]], shares: lis
     return spark.range(draws).mapInPandas(run, "draw long, errors int")
 
 
-def matched_level(residuals: DataFrame, target: float, coords: list[str], by: list[str], alphas: int = 60) -> DataFrame:
-    """by, alpha, coverage: the nominal level at which the joint box over coordinates covers ``target`` of the evaluation rows.
+def matched_level(residuals: DataFrame, target: float | DataFrame, coords: list[str], by: list[str], least: float = 1e-6) -> DataFrame:
+    """by, alpha, coverage, n: the nominal level at which the joint box over coordinates covers ``target`` of the evaluation rows.
 
-    ``residuals``: by, role ('cal' or 'eval') and coordinates. Bisection over levels inside each group.
+    ``residuals``: by, role ('cal' or 'eval') and coordinates; ``target``: a share, or a table (by, target). An evaluation
+    row is covered from the rank on that its worst coordinate needs, so coverage is a step function of the rank k, and
+    counts of needed ranks replace any search over rows. The level is the supremum of those that cover the target,
+    within least and 1 - least; at k above the calibration size everything is covered.
     """
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        cal, ev = (pdf.loc[pdf.role == r, coords].to_numpy() for r in ("cal", "eval"))
-        s, n = np.sort(cal, axis=0), len(cal)
-
-        def coverage(alpha: float) -> float:
-            k = (n + 1) - math.floor((n + 1) * alpha / len(coords))
-            return 1.0 if k > n else float((ev <= s[k - 1]).all(axis=1).mean())
-
-        lo, hi = 1e-6, 1 - 1e-6
-        if coverage(lo) <= target:
-            best = lo
-        elif coverage(hi) >= target:
-            best = hi
-        else:
-            for _ in range(alphas):
-                mid = (lo + hi) / 2
-                lo, hi = (mid, hi) if coverage(mid) >= target else (lo, mid)
-            best = lo
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in by}, "alpha": [best], "coverage": [coverage(best)]})
-
-    kinds = ", ".join(f"`{k}` {residuals.schema[k].dataType.simpleString()}" for k in by)
-    return residuals.groupBy(*by).applyInPandas(solve, f"{kinds}, alpha double, coverage double")
+    by, c = list(by), len(coords)
+    cal, ev = residuals.where("role = 'cal'"), residuals.where("role = 'eval'").withColumn("_id", F.monotonically_increasing_id())
+    size = cal.groupBy(*by).agg(F.count("*").alias("n"))
+    need = max_rank(cal, ev.select("_id", *by, *coords), coords, ["_id"], by).join(size, by)
+    need = need.select(*by, (F.round(F.col("score") * F.col("n")) + 1).cast("long").alias("need"))
+    seen = running(need.groupBy(*by, "need").agg(F.count("*").alias("c")), by, "need", seen="c")
+    total = ev.groupBy(*by).agg(F.count("*").alias("rows")).join(size, by)
+    goal = total.withColumn("target", F.lit(float(target))) if not isinstance(target, DataFrame) else total.join(target.select(*by, "target"), by)
+    rows = seen.select(*by, "need", "seen").join(goal, by)
+    rank = lambda a: (F.col("n") + 1) - F.floor((F.col("n") + 1) * a / c)
+    share = F.col("seen") / F.col("rows")
+    at = lambda k: F.when(k > F.col("n"), F.lit(1.0)).otherwise(F.coalesce(F.max(F.when((F.col("need") <= k) & (F.col("need") <= F.col("n")), share)), F.lit(0.0)))
+    first = F.min(F.when((share >= F.col("target")) & (F.col("need") <= F.col("n")), F.col("need")))
+    best = rows.groupBy(*by, "n", "rows", "target").agg(first.alias("first"), at(rank(F.lit(least))).alias("cov_low"), at(rank(F.lit(1 - least))).alias("cov_high"))
+    k = F.coalesce("first", F.col("n") + 1)
+    top = c * (F.col("n") + 2 - k) / (F.col("n") + 1)  # every smaller level has the rank k or more
+    alpha = F.when(F.col("cov_low") <= F.col("target"), F.lit(least)).when(F.col("cov_high") >= F.col("target"), F.lit(1 - least)).otherwise(top)
+    # the rank just below the supremum is k
+    chosen = F.when(F.col("cov_low") <= F.col("target"), rank(F.lit(least))).when(F.col("cov_high") >= F.col("target"), rank(F.lit(1 - least))).otherwise(k)
+    best = best.select(*by, alpha.alias("alpha"), chosen.alias("k"))
+    out = rows.join(best, by).groupBy(*by, "n", "alpha", "k").agg(at(F.col("k")).alias("coverage"))
+    return out.select(*by, "alpha", "coverage", "n")
 
 
 def normal_tail(x):
