@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.boxes import BOX, envelopes_meet, hull_iou, rotated_iou
+from ..functions.boxes import envelopes_meet, hull_iou, rotated_iou
+from .ranks import highest_so_far, ranged, running
 
 
 def candidates(det: DataFrame, gt: DataFrame, tau: float, iou: Callable[[Column, Column], Column] = rotated_iou, keys: tuple[str, ...] = ("image_id", "class")) -> DataFrame:
@@ -26,48 +27,70 @@ def candidates(det: DataFrame, gt: DataFrame, tau: float, iou: Callable[[Column,
     return near.withColumn("iou", iou(F.col("d_obb"), F.col("g_obb"))).where(F.col("iou") >= tau).select(*keys, "det_idx", "score", "gt_idx", "iou")
 
 
-def greedy(cands: DataFrame, keys: tuple[str, ...] = ("image_id", "class"), tie: str = "first") -> DataFrame:
-    """keys, det_idx, gt_idx, iou: detections by falling score (then idx) take their best free partner.
+def _folded(taus: list[float]):
+    """Greedy choice over candidates that come sorted by group, falling score, detection and falling overlap.
 
-    Equal IoU goes to the lowest gt_idx ('first') or the highest ('last'). Each group is folded over its sorted
-    detections with the set of taken partners; groups are one image and class and stay small.
+    Each row is looked at once: it is taken where its detection has no partner yet and its object is free, for each
+    threshold by itself. A group's state is the set of taken objects; groups may run on over batches.
     """
-    place = F.col("gt_idx") if tie == "first" else -F.col("gt_idx")
-    options = F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("v"), place.alias("p"), "gt_idx")))
-    each = cands.groupBy(*keys, "det_idx", "score").agg(options.alias("options"))
-    group = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "det_idx", "options"))).alias("dets"))
-    start = F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast("array<struct<det_idx:bigint,gt_idx:bigint,iou:double>>").alias("out"))
 
-    def step(state: Column, d: Column) -> Column:
-        free = F.filter(d["options"], lambda o: ~F.array_contains(state["used"], o["gt_idx"]))
+    def fold(batches):
+        group, state = None, []
+        for b in batches:
+            b = pa.Table.from_batches([b])
+            keys = list(zip(*(b.column(f"k{i}").to_pylist() for i in range(b.num_columns - 3))))
+            det, gt, iou = (b.column(c).to_pylist() for c in ("det_idx", "gt_idx", "iou"))
+            at, level = [], []
+            for i, key in enumerate(keys):
+                if key != group:
+                    group, state = key, [(set(), set()) for _ in taus]
+                for tau, (dets, gts) in zip(taus, state):
+                    if iou[i] < tau:
+                        break  # thresholds rise
+                    if det[i] not in dets and gt[i] not in gts:
+                        dets.add(det[i])
+                        gts.add(gt[i])
+                        at.append(i)
+                        level.append(tau)
+            if at:
+                out = b.take(pa.array(at, pa.int64())).append_column("tau", pa.array(level, pa.float64()))
+                yield from out.combine_chunks().to_batches()
+
+    return fold
+
+
+def greedy_levels(cands: DataFrame, taus: list[float], keys: tuple[str, ...] = ("image_id", "class"), tie: str = "first") -> DataFrame:
+    """tau, keys, det_idx, gt_idx, iou: ``greedy`` at several least overlaps in one pass over the sorted candidates."""
+    place = F.col("gt_idx") if tie == "first" else -F.col("gt_idx")
+    names = [f"k{i}" for i in range(len(keys))]
+    rows = cands.where(F.col("iou") >= min(taus)).select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "det_idx", "gt_idx", "iou", (-F.col("score")).alias("s"), place.alias("p"))
+    dealt = rows.repartition(*names).sortWithinPartitions(*names, "s", "det_idx", F.col("iou").desc(), "p").drop("s", "p")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema.fields)
+    folded = dealt.mapInArrow(_folded(sorted(float(t) for t in taus)), f"{kinds}, tau double")
+    return folded.select("tau", *[F.col(n).alias(k) for n, k in zip(names, keys)], "det_idx", "gt_idx", "iou")
 
-        def take(best: Column) -> Column:
-            made = F.struct(d["det_idx"].alias("det_idx"), best["gt_idx"].alias("gt_idx"), (-best["v"]).alias("iou"))
-            return F.struct(F.concat(state["used"], F.array(best["gt_idx"])).alias("used"), F.concat(state["out"], F.array(made)).alias("out"))
 
-        return F.when(F.size(free) > 0, take(F.get(free, F.lit(0)))).otherwise(state)
+def greedy(cands: DataFrame, keys: tuple[str, ...] = ("image_id", "class"), tie: str = "first") -> DataFrame:
+    """keys, det_idx, gt_idx, iou: detections by falling score (then idx) take their best free partner.
 
-    folded = group.select(*keys, F.explode(F.aggregate("dets", start, step)["out"]).alias("m"))
-    return folded.select(*keys, "m.det_idx", "m.gt_idx", "m.iou")
+    Equal IoU goes to the lowest gt_idx ('first') or the highest ('last').
+    """
+    return greedy_levels(cands, [-1.0], keys, tie).drop("tau")
 
 
 def matched(det: DataFrame, gt: DataFrame, tau: float, iou: Callable[[Column, Column], Column] = rotated_iou, tie: str = "first") -> DataFrame:
     """Match records (image_id, scene_id, class, pred_obb, gt_obb, pred_score, iou, match_type) of tp, fp and fn.
 
-    Images with only detections or only objects give fp or fn rows.
+    Images with only detections or only objects give fp or fn rows. Matches are joined to the detections and the result
+    to the objects, each once, so candidates are overlapped once.
     """
     keys = ["image_id", "class"]
     m = greedy(candidates(det, gt, tau, iou), tie=tie)
-    d = det.select(*keys, F.col("idx").alias("det_idx"), F.col("scene_id").alias("d_scene"), F.col("obb").alias("pred_obb"), F.col("score").alias("pred_score"))
-    g = gt.select(*keys, F.col("idx").alias("gt_idx"), F.col("scene_id").alias("g_scene"), F.col("obb").alias("gt_obb"))
-    left = d.join(m, [*keys, "det_idx"], "left")
-    both = left.where("gt_idx is not null").join(g, [*keys, "gt_idx"])
-    kind = lambda t: F.lit(t).alias("match_type")
-    none_box, none = F.lit(None).cast(BOX), F.lit(None).cast("double")
-    tp = both.select("image_id", F.coalesce("d_scene", "g_scene").alias("scene_id"), "class", "pred_obb", "gt_obb", "pred_score", "iou", kind("tp"))
-    fp = left.where("gt_idx is null").select("image_id", F.col("d_scene").alias("scene_id"), "class", "pred_obb", none_box.alias("gt_obb"), "pred_score", none.alias("iou"), kind("fp"))
-    fn = g.join(m, [*keys, "gt_idx"], "left_anti").select("image_id", F.col("g_scene").alias("scene_id"), "class", none_box.alias("pred_obb"), "gt_obb", none.alias("pred_score"), none.alias("iou"), kind("fn"))
-    return tp.unionByName(fp).unionByName(fn)
+    d = det.select(*keys, F.col("idx").alias("det_idx"), F.col("scene_id").alias("d_scene"), F.col("obb").alias("pred_obb"), F.col("score").alias("pred_score"), F.lit(1).alias("is_det"))
+    g = gt.select(*keys, F.col("idx").alias("gt_idx"), F.col("scene_id").alias("g_scene"), F.col("obb").alias("gt_obb"), F.lit(1).alias("is_gt"))
+    rows = d.join(m, [*keys, "det_idx"], "left").join(g, [*keys, "gt_idx"], "full")
+    kind = F.when(F.col("is_det").isNull(), "fn").when(F.col("is_gt").isNull(), "fp").otherwise("tp")
+    return rows.select("image_id", F.coalesce("d_scene", "g_scene").alias("scene_id"), "class", "pred_obb", "gt_obb", "pred_score", "iou", kind.alias("match_type"))
 
 
 def hull_matched(det: DataFrame, gt: DataFrame, tau: float) -> DataFrame:
@@ -111,12 +134,15 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
 def hungarian(det: DataFrame, gt: DataFrame, least_score: float = 0.5, least_iou: float = 0.5, iou: Callable[[Column, Column], Column] = rotated_iou) -> DataFrame:
     """image_id, det_idx, gt_idx, iou, same_class: class-agnostic assignment of least total 1 - IoU.
 
-    Only detections above least_score take part and only pairs above least_iou are kept. IoUs are computed as
-    Columns; the solver sees one image at a time.
+    Only detections above least_score take part and only pairs above least_iou are kept. Boxes whose envelopes are apart
+    have an overlap of 0 and are not overlapped; the solver sees one image at a time.
     """
     d = det.where(F.col("score") > least_score).select("image_id", F.col("idx").alias("det_idx"), F.col("class").alias("d_class"), F.col("obb").alias("d_obb"))
     g = gt.select("image_id", F.col("idx").alias("gt_idx"), F.col("class").alias("g_class"), F.col("obb").alias("g_obb"))
-    every = d.join(g, "image_id").withColumn("iou", iou(F.col("d_obb"), F.col("g_obb"))).select("image_id", "det_idx", "gt_idx", "iou", (F.col("d_class") == F.col("g_class")).alias("same_class"))
+    near = d.join(g, "image_id").where(envelopes_meet(F.col("d_obb"), F.col("g_obb")))
+    near = near.select("image_id", "det_idx", "gt_idx", iou(F.col("d_obb"), F.col("g_obb")).alias("near_iou"))
+    ids = d.select("image_id", "det_idx", "d_class").join(g.select("image_id", "gt_idx", "g_class"), "image_id").join(near, ["image_id", "det_idx", "gt_idx"], "left")
+    every = ids.select("image_id", "det_idx", "gt_idx", F.coalesce("near_iou", F.lit(0.0)).alias("iou"), (F.col("d_class") == F.col("g_class")).alias("same_class"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         table = pdf.pivot(index="det_idx", columns="gt_idx", values="iou").sort_index().sort_index(axis=1)
@@ -158,23 +184,24 @@ def match_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def average_precision(det: DataFrame, gt: DataFrame, taus: list[float], per_image: int = 300, per_class: int = 100, iou: Callable[[Column, Column], Column] = rotated_iou) -> DataFrame:
-    """tau, class, ap: all-point interpolated precision of the best per_image detections (per_class of a class) of each image."""
-    from pyspark.sql import Window
+    """tau, class, ap: all-point interpolated precision of the best per_image detections (per_class of a class) of each image.
 
+    One greedy pass serves all thresholds. Precision is a running sum by falling score and its envelope a running
+    maximum by rising score, both over score ranges of a class.
+    """
     top = lambda cols: Window.partitionBy(*cols).orderBy(F.col("score").desc(), "idx")
     kept = det.withColumn("r", F.row_number().over(top(["image_id"]))).where(F.col("r") <= per_image)
     kept = kept.withColumn("r", F.row_number().over(top(["image_id", "class"]))).where(F.col("r") <= per_class).drop("r")
-    cands = candidates(kept, gt, min(taus), iou).persist(StorageLevel.MEMORY_AND_DISK)  # read once per threshold
+    levels = [float(t) for t in taus]
+    hits = greedy_levels(candidates(kept, gt, min(levels), iou), levels).groupBy("image_id", "class", F.col("det_idx").alias("idx")).agg(F.collect_set("tau").alias("hit"))
+    flags = kept.select("image_id", "class", "idx", "score").join(hits, ["image_id", "class", "idx"], "left")
+    counts = flags.groupBy("class", "score").agg(F.count("*").alias("n"), *[F.count_if(F.array_contains("hit", t)).alias(f"tp{i}") for i, t in enumerate(levels)])
+    cells = F.explode(F.array(*[F.struct(F.lit(t).alias("tau"), F.col(f"tp{i}").alias("tp")) for i, t in enumerate(levels)]))
+    steps = counts.select("class", (-F.col("score")).alias("fall"), "n", cells.alias("x")).select("x.tau", "class", "fall", "n", "x.tp")
+    seen = running(steps, ["tau", "class"], "fall", all_tp="tp", all_n="n").drop("_range")
+    curve = ranged(seen.select("tau", "class", "tp", (-F.col("fall")).alias("rise"), (F.col("all_tp") / F.col("all_n")).alias("precision")), ["tau", "class"], "rise")
+    best = highest_so_far(curve, ["tau", "class"], "rise", "precision", "best")
     total = gt.groupBy("class").agg(F.count("*").alias("n_gt"))
-    out = None
-    for tau in taus:
-        hits = greedy(cands.where(F.col("iou") >= tau)).select("image_id", "class", F.col("det_idx").alias("idx"), F.lit(1).alias("tp"))
-        flags = kept.select("image_id", "class", "idx", "score").join(hits, ["image_id", "class", "idx"], "left").fillna(0, ["tp"])
-        steps = flags.groupBy("class", "score").agg(F.sum("tp").alias("tp"), F.count("*").alias("n"))
-        down = Window.partitionBy("class").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        up = Window.partitionBy("class").orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        curve = steps.withColumn("precision", F.sum("tp").over(down) / F.sum("n").over(down)).withColumn("best", F.max("precision").over(up))
-        ap = curve.join(total, "class").groupBy("class").agg((F.sum(F.col("tp") * F.col("best")) / F.first("n_gt")).alias("ap"))
-        ap = total.select("class").join(ap, "class", "left").select(F.lit(float(tau)).alias("tau"), "class", F.coalesce("ap", F.lit(0.0)).alias("ap"))
-        out = ap if out is None else out.unionByName(ap)
-    return out
+    ap = best.groupBy("tau", "class").agg(F.sum(F.col("tp") * F.col("best")).alias("area"))
+    every = total.withColumn("tau", F.explode(F.array(*[F.lit(t) for t in levels])))
+    return every.join(ap, ["tau", "class"], "left").select("tau", "class", F.coalesce(F.col("area") / F.col("n_gt"), F.lit(0.0)).alias("ap"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,10 +57,9 @@ SCORES = f'{PAIRS}, {COV}, scores as (select scene_id as scene, image_id, "class
 
 
 def gwd_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matched pairs with their distance, rounded so that equal scores are equal everywhere. Kept: plans read it several times."""
+    """Matched pairs with their distance, rounded so that equal scores are equal everywhere."""
     p = pairs(spark, sf_dir)
-    scores = p.select(F.col("scene_id").alias("scene"), "image_id", "class", "idx", "role", F.col("score").alias("conf"), F.round(B.gwd(F.col("pred"), F.col("gt")), 6).alias("score"), "pred")
-    return scores.persist(StorageLevel.MEMORY_AND_DISK)
+    return p.select(F.col("scene_id").alias("scene"), "image_id", "class", "idx", "role", F.col("score").alias("conf"), F.round(B.gwd(F.col("pred"), F.col("gt")), 6).alias("score"), "pred")
 
 
 # ---- geometry ---------------------------------------------------------------------------------------------------------------
@@ -258,7 +256,7 @@ RECORDS = GREEDY + """, records as (select d.image_id, d.scene_id, d."class", d.
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.matched(detections(spark, sf_dir), ground_truth(spark, sf_dir), 0.3).persist(StorageLevel.MEMORY_AND_DISK)
+    return M.matched(detections(spark, sf_dir), ground_truth(spark, sf_dir), 0.3)
 
 
 @query(f"with recursive {GREEDY} select image_id, \"class\", det_idx, gt_idx, round(iou, 4) as iou from matches")
@@ -777,7 +775,7 @@ def logit_cells(spark, sf_dir):
     select "class", floor(3 * (r - 1) / n)::int as tertile, count(*)::bigint as n, round(min(score), 6) as low, round(max(score), 6) as high from r group by all""")
 def rank_tertiles(spark, sf_dir):
     s = gwd_scores(spark, sf_dir)
-    t = s.withColumn("tertile", A.rank_tertile(F.col("score"), "idx", "image_id", by=["class"]))
+    t = A.rank_tertiles(s, "score", "idx", "image_id", by=["class"])
     return t.groupBy("class", "tertile").agg(F.count("*").alias("n"), F.round(F.min("score"), 6).alias("low"), F.round(F.max("score"), 6).alias("high"))
 
 
