@@ -12,6 +12,8 @@ from .common import free, remainder
 FILTER_SHARE, MOST_BITS = 32, 27
 #: Ids (with a label) that are broadcast at most, after a count: some tens of MB.
 MOST_BROADCAST = 500_000
+#: Rows from which a key is hot, and the most hot keys.
+HOT, MOST_HOT = 1_000, 100_000
 
 
 def logistic(x: np.ndarray, y: np.ndarray, shrink: float = 1e-2) -> tuple[float, float]:
@@ -97,3 +99,18 @@ def sampled(docs: DataFrame, train: DataFrame, size: int) -> DataFrame:
     own = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
     one = own.groupBy(train.columns).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
     return one.select("one.text", *[c for c in train.columns if c != "doc_id"])
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: list[str], size: str) -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key, without ``size``, the key's number of rows) on ``key``.
+
+    Rows of hot keys stay where they are: their part of the table, MOST_HOT keys at most, is broadcast. Only other rows are
+    dealt by key. Both frames are read twice, so they should be stored ones.
+    """
+    total = table.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) >= max(HOT, total // MOST_HOT + 1)
+    common = table.where(hot).drop(size)
+    if common.isEmpty():
+        return rows.join(table.drop(size), key)
+    rest = rows.join(F.broadcast(common.select(*key)), key, "left_anti").join(table.where(~hot).drop(size), key)
+    return rows.join(F.broadcast(common), key).unionByName(rest)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import beside, free, frugal, session, stored
 from .components import components, forest
-from .learn import among, without
+from .learn import among, spread_join, without
 from .words import GOLDEN, U, WordCache, chunks, hash64, mix, shingles, token_hashes
 
 WORDS = 5
@@ -159,28 +159,29 @@ def _shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def _parts(links: DataFrame) -> DataFrame:
     """(id, label): two steps towards the smallest linked id. Equal labels are connected; unequal ones may be, too."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("m"))
-    return near.join(near.toDF("m", "label"), "m").select("id", "label")
+    near = stored(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("m")), "near")
+    sizes = near.groupBy("m").agg(F.count("*").alias("n"))
+    return spread_join(near, stored(sizes.join(near.toDF("m", "label"), "m"), "steps"), ["m"], "n").select("id", "label")
 
 
 def _unsettled(left: DataFrame, label: DataFrame) -> DataFrame:
     """(band, id, label) of the buckets that hold several labels."""
-    left = left.join(label, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
-    mixed = left.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    return left.join(mixed, "band", "left_semi")
+    left = stored(left.join(label, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label")), "labelled")
+    mixed = left.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    return spread_join(left, stored(mixed.select("band", "n"), "mixed"), ["band"], "n")
 
 
 def _joined(met: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v) links that connect all classes (band, id in ``met``) which verified pairs connect."""
-    hub = met.groupBy("band").agg(F.min("id").alias("hub"))
-    rest = stored(met.join(hub, "band").where("id > hub"), "rest")
+    """(u, v) links that connect all classes (band, id, hub in ``met``) which verified pairs connect."""
+    rest = met.where("id > hub")
     links = _links(rest.select(F.col("hub").alias("x"), F.col("id").alias("y")).distinct(), sets, "hub0")
     left = rest.select("band", "id")
     for r in range(1, HUB_ROUNDS + 1):
         left = stored(_unsettled(left, _parts(links)), f"left{r}")
         parts = left.groupBy("band", "label").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id")).alias("first"))
-        hub = parts.groupBy("band").agg(F.max(F.struct("n", "label", "first.id")).alias("top")).select("band", F.col("top.id").alias("hub"), F.col("top.label").alias("part"))
-        met_hub = stored(left.join(hub, "band"), f"hubs{r}")
+        hub = parts.groupBy("band").agg(F.max(F.struct("n", "label", "first.id")).alias("top"), F.sum("n").alias("size"))
+        hub = stored(hub.select("band", F.col("top.id").alias("hub"), F.col("top.label").alias("part"), "size"), f"tops{r}")
+        met_hub = stored(spread_join(left, hub, ["band"], "size"), f"hubs{r}")
         pairs = met_hub.where("label <> part").select(F.col("hub").alias("x"), F.col("id").alias("y")).distinct()
         more = _links(pairs, sets, f"hub{r}")
         links = links.unionByName(more)
@@ -198,8 +199,9 @@ def _rest(left: DataFrame, sets: DataFrame) -> DataFrame:
     them in loads of LOAD: no pair becomes a row, and no task holds more than a block.
     """
     parts = left.groupBy("band", "label").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top")).select("band", F.col("top.label").alias("key"))
-    rows = stored(left.join(largest, "band").select("key", "id", "label").distinct(), "groups")
+    largest = parts.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("size"))
+    largest = stored(largest.select("band", F.col("top.label").alias("key"), "size"), "largest")
+    rows = stored(spread_join(left, largest, ["band"], "size").select("key", "id", "label").distinct(), "groups")
     size = rows.groupBy("key").agg(F.ceil(F.count_if(F.col("label") != F.col("key")) / BLOCK).alias("blocks"), F.ceil(F.count("*") / LOAD).alias("loads"))
     h = lambda salt: F.abs(F.xxhash64("id", F.lit(salt)) % (1 << 30))
     every = rows.join(size, "key").join(sets, "id")
@@ -317,8 +319,8 @@ def _classes(docs: DataFrame) -> DataFrame:
     classes = stored(worded.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     own = worded.join(classes.select("copy", F.col("rep").alias("doc_id")), ["copy", "doc_id"], "left_semi")
     bands = stored(own.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band")), "bands")
-    shared = bands.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band")
-    met = stored(bands.join(shared, "band").select("band", "id").distinct(), "met")
+    shared = bands.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("hi"), F.count("*").alias("n")).where("hub < hi")
+    met = stored(spread_join(bands, stored(shared.select("band", "hub", "n"), "shared"), ["band"], "n"), "met")
     links = _joined(met, _shingle_sets(docs, met.select("id").distinct()))
 
     same = stored(worded.select("doc_id", "copy").join(classes, "copy").select("doc_id", "rep", "copies"), "members")

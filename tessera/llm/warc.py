@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import frugal, session, stored
-from .learn import MOST_BROADCAST
+from .learn import MOST_BROADCAST, spread_join
 
 RANGE, READ, FILE_BYTES = 8 << 20, 1 << 20, 64 << 20
 MAGIC = b"\x1f\x8b\x08"
@@ -110,12 +110,13 @@ def revisits(pages: DataFrame) -> DataFrame:
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     own = own.withColumn("sha", F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))))
-    first = own.groupBy("sha").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").select("sha", "top")
+    first = own.groupBy("sha").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1")
     first = stored(first, "repeated")
     refers = F.expr("if(top is not null and not (page_id <=> top), top, null)").alias("refers_to")
     if first.count() <= MOST_BROADCAST:
         return own.join(F.broadcast(first), "sha", "left").select("page_id", "url", "html", refers)
-    narrow = stored(own.select("page_id", "sha").distinct().join(first, "sha").select("page_id", "sha", refers).where("refers_to is not null"), "revisits")
+    digests = stored(own.select("page_id", "sha").distinct(), "digests")
+    narrow = stored(spread_join(digests, first, ["sha"], "n").select("page_id", "sha", refers).where("refers_to is not null"), "revisits")
     narrow = narrow.toDF("page", "digest", "refers_to")
     return own.join(narrow, F.col("page_id").eqNullSafe(F.col("page")) & (F.col("sha") == F.col("digest")), "left").select("page_id", "url", "html", "refers_to")
 

@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, langid, licenses, metric_join, minhash, quality, toxicity, urls, warc
+from tessera.llm import bpe, common, decontam, langid, learn, licenses, metric_join, minhash, quality, toxicity, urls, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names the operators use inside.
@@ -379,6 +379,7 @@ def brute_vectors(rows):
 def test_vectors(spark, monkeypatch, cell):
     monkeypatch.setattr(metric_join, "CELL", cell)
     monkeypatch.setattr(metric_join, "LOAD", 8 if cell == 4 else 32768)
+    monkeypatch.setattr(learn, "HOT", 5)
     r = np.random.default_rng(0)
     centres = r.normal(size=(6, 5))
     rows = [(int(i), [float(v) for v in centres[i % 6] + r.normal(scale=0.25, size=5)]) for i in range(90)]
@@ -389,6 +390,42 @@ def test_vectors(spark, monkeypatch, cell):
     assert metric_join.near_vectors(df.where("false")).count() == 0
 
 
+def test_units_hold_their_share_and_tasks_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(metric_join, "CELL", 512)
+    monkeypatch.setattr(metric_join, "LOAD", 2048)
+    r = np.random.default_rng(3)
+    x = r.normal(size=(20_000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pivots = x[:40]
+    angle = np.arccos(np.clip(x @ pivots.T, -1, 1))
+    cell = angle.argmin(axis=1)
+    own = angle[np.arange(len(x)), cell]
+    radius, size = np.zeros(40), np.bincount(cell, minlength=40)
+    np.maximum.at(radius, cell, own)
+    plan = metric_join.Plan(pivots, radius)
+    guests = plan.visits(x, cell, own).sum(axis=0)
+    assert guests[0] < guests[-1]  # visitors come from the cells below
+    plan.sized(size, guests)
+    frame = pd.DataFrame({"embedding": list(x), "rep": np.arange(len(x)), "times": 1, "h": r.integers(0, 1 << 40, len(x)), "cell": cell.astype(np.int32), "angle": own})
+    out = pd.concat(metric_join._spread(iter([frame]), plan))
+    unit = out.groupby(["cell", "part", "load"]).guest.agg(["sum", "count"])
+    assert unit["sum"].max() <= 1.25 * 2048 and (unit["count"] - unit["sum"]).max() <= 1.25 * 512
+    assert len(out) <= 1.1 * plan.copies and plan.tasks() <= metric_join.MOST_TASKS
+    seen = set(zip(out.cell[out.guest], out.rep[out.guest]))
+    assert len(out[out.guest].drop_duplicates(["cell", "part", "rep"])) == out.guest.sum() and len(seen) >= guests.sum()
+    huge = metric_join.Plan(pivots, radius).sized(np.full(40, 10**8 // 40), np.full(40, 10**8))
+    assert huge.tasks() <= metric_join.MOST_TASKS
+
+
+def test_spread_join_is_a_join(spark, monkeypatch):
+    monkeypatch.setattr(learn, "HOT", 10)
+    rows = spark.range(500).selectExpr("id", "case when id % 3 = 0 then 0 else id % 100 end as k")
+    table = rows.groupBy("k").count().where("k < 60").withColumn("v", F.col("k") * 2)
+    got = learn.spread_join(rows, table, ["k"], "count")
+    want = rows.join(table.drop("count"), "k")
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+
+
 # ---- 6: near duplicates -----------------------------------------------------------------------------------------------------------
 
 
@@ -426,6 +463,8 @@ def test_near_duplicates(spark, monkeypatch, rounds):
     monkeypatch.setattr(minhash, "HUB_ROUNDS", rounds)
     monkeypatch.setattr(minhash, "BLOCK", 2)
     monkeypatch.setattr(minhash, "LOAD", 3)
+    monkeypatch.setattr(minhash, "PASSING", 2)
+    monkeypatch.setattr(learn, "HOT", 3)
     texts = near_corpus()
     sets = {i: weights(t or "") for i, t in texts.items()}
     comp = {i: i for i in texts}
