@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, frugal, remainder, session
+from .common import beside, frugal, remainder, session, tidy
 from .learn import labelled, logistic, sampled, training
 from .words import U, WordCache, chunks, hash64, token_hashes
 
@@ -93,8 +93,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             flat, offsets = _tokens(texts[lo:hi], cache)
             at = np.repeat(y[lo:hi], np.diff(offsets)).astype(np.int64) * TOKENS + flat
             total += np.bincount(at, minlength=total.size).reshape(total.shape)
-    part, t = np.nonzero(total)
-    yield pd.DataFrame({"part": part, "token": t, "n": total[part, t]})
+    t = np.flatnonzero(total.any(axis=0))
+    yield pd.DataFrame({"token": t, **{f"n{part}": total[part, t] for part in range(len(total))}})
 
 
 def _found(texts: list, cache: WordCache, scores: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
@@ -162,9 +162,13 @@ def _folded(labels: DataFrame, column: str, base: int, held: int) -> DataFrame:
 
 def token_counts(docs: DataFrame, train: DataFrame) -> np.ndarray:
     """FOLDS x (clean, toxic) x TOKENS counts over all teaching rows: a table of a fixed size."""
-    counts = labelled(docs, train).mapInPandas(_count, "part int, token long, n long").groupBy("part", "token").agg(F.sum("n").alias("n")).toPandas()
+    names = [f"n{part}" for part in range(2 * FOLDS)]
+    counts = labelled(docs, train).mapInPandas(_count, "token long, " + ", ".join(f"{n} long" for n in names))
+    counts = counts.groupBy("token").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
     total = np.zeros((2 * FOLDS, TOKENS), np.int64)
-    total[counts.part, counts.token] = counts.n
+    total[:, counts.token] = counts[names].to_numpy().T
+    del counts
+    tidy()
     return total.reshape(FOLDS, 2, TOKENS)
 
 
@@ -181,10 +185,14 @@ def _calibration(rows: pd.DataFrame, rates: list[float]) -> tuple[np.ndarray, np
 
 def _cross_fitted(docs: DataFrame, train: DataFrame, counts: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, float]:
     every = counts.sum(axis=0)
-    by_fold = [token_scores(*(every - own).astype(float), settings) for own in counts]
-    scores = np.stack([s for s, _ in by_fold]).astype(np.float32)
+    scores, rates = np.empty((FOLDS, TOKENS), np.float32), []
+    for fold, own in enumerate(counts):
+        scores[fold], rate = token_scores(*(every - own).astype(float), settings)
+        rates.append(rate)
     rows = sampled(docs, train, SAMPLE).mapInPandas(partial(_best, scores=scores), "label int, fold int, n long, sums array<double>").toPandas()
-    return _calibration(rows, [r for _, r in by_fold])
+    del scores
+    tidy()
+    return _calibration(rows, rates)
 
 
 def cross_validated(docs: DataFrame, labels: DataFrame, choices: list[Settings], column: str = "toxic", base: int = 5, held: int = 0) -> dict[Settings, float]:
