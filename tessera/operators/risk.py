@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
@@ -238,3 +239,23 @@ def clopper_pearson_upper(k: int, n: int, eta: float) -> float:
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if binomial_cdf(k, n, mid) > eta else (lo, mid)
     return hi
+
+
+def exact_moments(losses: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, mean, square, exact_mean, exact_square: moments of losses ``miss`` / ``n`` with multiplicity ``mult``, exact as fractions.
+
+    Losses with n = 0 are outside the support; a miss outside 0 to n raises. Spark counts each (miss, n) first, so that
+    only different fractions, not sources, are summed in arbitrary precision.
+    """
+    bad = (F.col("miss") < 0) | (F.col("miss") > F.col("n"))
+    own = losses.where("n > 0 and mult > 0").withColumn("miss", F.when(bad, F.raise_error(F.lit("a loss is outside its bounds")).cast("long")).otherwise(F.col("miss").cast("long")))
+    counts = own.groupBy(*by, "miss", F.col("n").cast("long").alias("size")).agg(F.sum("mult").cast("long").alias("mult"))
+    shape = ", ".join(f"`{k}` {losses.schema[k].dataType.simpleString()}" for k in by)
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(pdf["mult"].tolist())
+        first = sum((Fraction(a, d) * m for a, d, m in zip(pdf.miss.tolist(), pdf["size"].tolist(), pdf["mult"].tolist())), Fraction(0)) / total
+        second = sum((Fraction(a, d) ** 2 * m for a, d, m in zip(pdf.miss.tolist(), pdf["size"].tolist(), pdf["mult"].tolist())), Fraction(0)) / total
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in by}, "n": [total], "mean": [float(first)], "square": [float(second)], "exact_mean": [str(first)], "exact_square": [str(second)]})
+
+    return counts.groupBy(*by).applyInPandas(summed, f"{shape}, n long, mean double, square double, exact_mean string, exact_square string")

@@ -965,3 +965,6 @@ def class_endpoints(spark, sf_dir):
         r(F.avg("share"), "coverage"), r(F.avg(F.when(has, 1 - F.col("n_tp") / F.col("n_gt"))), "fnr"),
         r(F.avg(F.when(has, 1 - F.col("n_tp") * F.coalesce("share", F.lit(0.0)) / F.col("n_gt"))), "end_to_end"), r(1 - F.sum("n_tp") / F.sum("n_gt"), "pooled_fnr"),
     )
+
+
+from . import endpoints  # noqa: E402, F401  (registers its queries)
