@@ -133,14 +133,14 @@ def matched_level(residuals: DataFrame, target: float | DataFrame, coords: list[
     share = F.col("seen") / F.col("rows")
     at = lambda k: F.when(k > F.col("n"), F.lit(1.0)).otherwise(F.coalesce(F.max(F.when((F.col("need") <= k) & (F.col("need") <= F.col("n")), share)), F.lit(0.0)))
     first = F.min(F.when((share >= F.col("target")) & (F.col("need") <= F.col("n")), F.col("need")))
-    best = rows.groupBy(*by, "n", "rows", "target").agg(first.alias("first"), at(rank(F.lit(least))).alias("cov_low"), at(rank(F.lit(1 - least))).alias("cov_high"))
-    k = F.coalesce("first", F.col("n") + 1)
+    best = rows.groupBy(*by, "n", "rows", "target").agg(first.alias("_first"), at(rank(F.lit(least))).alias("cov_low"), at(rank(F.lit(1 - least))).alias("cov_high"))
+    k = F.coalesce("_first", F.col("n") + 1)
     top = c * (F.col("n") + 2 - k) / (F.col("n") + 1)  # every smaller level has the rank k or more
     alpha = F.when(F.col("cov_low") <= F.col("target"), F.lit(least)).when(F.col("cov_high") >= F.col("target"), F.lit(1 - least)).otherwise(top)
     # the rank just below the supremum is k
     chosen = F.when(F.col("cov_low") <= F.col("target"), rank(F.lit(least))).when(F.col("cov_high") >= F.col("target"), rank(F.lit(1 - least))).otherwise(k)
-    best = best.select(*by, alpha.alias("alpha"), chosen.alias("k"))
-    out = rows.join(best, by).groupBy(*by, "n", "alpha", "k").agg(at(F.col("k")).alias("coverage"))
+    best = best.select(*by, alpha.alias("alpha"), chosen.alias("_rank"))
+    out = rows.join(best, by).groupBy(*by, "n", "alpha", "_rank").agg(at(F.col("_rank")).alias("coverage"))
     return out.select(*by, "alpha", "coverage", "n")
 
 

@@ -43,10 +43,10 @@ def _by_rank(scores: DataFrame, by: list[str], rank: Column) -> DataFrame:
     total = counts.groupBy(*by).agg(F.sum("c").alias("n"))
     ranked = running(counts, by, seen="c")
     joined = ranked.join(total, by) if by else ranked.crossJoin(F.broadcast(total))
-    joined = joined.withColumn("k", rank)
-    q = F.min(F.when(F.col("seen") >= F.col("k"), F.col("score")))
-    out = joined.groupBy(*by).agg(q.alias("q"), F.first("n").alias("n"), F.first("k").alias("k"))
-    q = F.when(F.col("k") > F.col("n"), F.lit(INF)).when(F.col("k") <= 0, F.lit(-INF)).otherwise(F.col("q"))
+    joined = joined.withColumn("_k", rank)
+    q = F.min(F.when(F.col("seen") >= F.col("_k"), F.col("score")))
+    out = joined.groupBy(*by).agg(q.alias("q"), F.first("n").alias("n"), F.first("_k").alias("_k"))
+    q = F.when(F.col("_k") > F.col("n"), F.lit(INF)).when(F.col("_k") <= 0, F.lit(-INF)).otherwise(F.col("q"))
     return out.select(*by, q.alias("q"), "n")
 
 
@@ -118,17 +118,17 @@ def crc_adaptive(scores: DataFrame, alpha: float, deployed: DataFrame, by: list[
     wanted = wanted.join(total, by) if by else wanted.crossJoin(F.broadcast(total))
     budget = F.lit(alpha) * F.col("n") - (1 - alpha) * F.col("d")
     k = F.col("n") - F.least(F.floor(budget + SLACK), F.col("n"))
-    wanted = wanted.select(*by, "d", F.when(budget < -SLACK, F.lit(None)).otherwise(k).alias("k"))
+    wanted = wanted.select(*by, "d", F.when(budget < -SLACK, F.lit(None)).otherwise(k).alias("_k"))
     # each wanted rank goes to the range that reaches it, and there to the first score that does
     tops = ranked.groupBy(*by, "_range").agg(F.max("seen").alias("top")).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("top", "_range"))).alias("tops"))
-    asked = wanted.where("k >= 1")
+    asked = wanted.where("_k >= 1")
     asked = asked.join(tops, by) if by else asked.crossJoin(F.broadcast(tops))
-    asked = asked.select(*by, F.get(F.filter("tops", lambda t: t["top"] >= F.col("k")), F.lit(0))["_range"].alias("_range"), F.col("k").cast("long").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("double").alias("score"), "d", "k")
-    every = asked.unionByName(ranked.select(*by, "_range", F.col("seen").cast("long").alias("at"), F.lit(1).alias("kind"), F.col("score").cast("double").alias("score")), allowMissingColumns=True)
-    on = Window.partitionBy(*by, "_range").orderBy("at", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    hits = every.withColumn("found", F.first("score", ignorenulls=True).over(on)).where("kind = 0").select(*by, "d", F.col("found").alias("score"))
-    found = wanted.join(hits, [*by, "d"], "left").select(*by, "d", "k", "score")
-    q = F.when(F.col("k").isNull(), F.lit(INF)).when(F.col("k") <= 0, F.lit(-INF)).otherwise(F.col("score"))
+    asked = asked.select(*by, F.get(F.filter("tops", lambda t: t["top"] >= F.col("_k")), F.lit(0))["_range"].alias("_range"), F.col("_k").cast("long").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("double").alias("score"), "d", "_k")
+    every = asked.unionByName(ranked.select(*by, "_range", F.col("seen").cast("long").alias("_at"), F.lit(1).alias("_kind"), F.col("score").cast("double").alias("score")), allowMissingColumns=True)
+    on = Window.partitionBy(*by, "_range").orderBy("_at", "_kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    hits = every.withColumn("found", F.first("score", ignorenulls=True).over(on)).where("_kind = 0").select(*by, "d", F.col("found").alias("score"))
+    found = wanted.join(hits, [*by, "d"], "left").select(*by, "d", "_k", "score")
+    q = F.when(F.col("_k").isNull(), F.lit(INF)).when(F.col("_k") <= 0, F.lit(-INF)).otherwise(F.col("score"))
     return deployed.join(found.select(*by, "d", q.alias("q")), [*by, "d"])
 
 

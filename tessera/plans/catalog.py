@@ -297,12 +297,17 @@ def hungarian_matches(spark, sf_dir):
     return M.hungarian(detections(spark, sf_dir), ground_truth(spark, sf_dir), 0.5, 0.3).withColumn("iou", F.round("iou", 4))
 
 
-@query(f"""with {OBJECTS}, d as (select "class", count(*) as n_det from objects where has_det group by all), g as (select "class", count(*) as n_gt from objects where has_gt group by all)
-    select 'violations' as kind, 0::bigint as n""")
+@query(f"""with recursive {RECORDS}, c as (select "class", count(*) filter (match_type = 'tp') as tp, count(*) filter (match_type = 'fp') as fp, count(*) filter (match_type = 'fn') as fn, count(*) filter (match_type = 'fp' and not (pred_score < 0.08 and "class" = 'A')) as cut from records group by "class"),
+    d as (select "class", count(*) as n_det from dets group by all), g as (select "class", count(*) as n_gt from gts group by all)
+    select 'whole' as kind, c."class", n_det::bigint as n_det, n_gt::bigint as n_gt, tp::bigint as tp, fp::bigint as fp, fn::bigint as fn from c join d on c."class" = d."class" join g on c."class" = g."class" where tp + fp <> n_det or tp + fn <> n_gt
+    union all select 'cut', c."class", n_det, n_gt, tp, cut, fn from c join d on c."class" = d."class" join g on c."class" = g."class" where tp + cut <> n_det or tp + fn <> n_gt""")
 def match_conservation(spark, sf_dir):
+    """Violations of all records (none) and of records of which some false positives are missing."""
     det, gt = detections(spark, sf_dir), ground_truth(spark, sf_dir)
-    bad = C.conservation(records(spark, sf_dir), det, gt)
-    return bad.agg(F.count("*").alias("n")).select(F.lit("violations").alias("kind"), "n")
+    r = records(spark, sf_dir)
+    cut = r.where("not (match_type = 'fp' and pred_score < 0.08 and class = 'A')")
+    told_ = lambda rows, kind: C.conservation(rows, det, gt).select(F.lit(kind).alias("kind"), "class", "n_det", "n_gt", "tp", "fp", "fn")
+    return told_(r, "whole").unionByName(told_(cut, "cut"))
 
 
 @query(f"""with {OBJECTS} select "class", count(distinct scene_id)::bigint as scenes, count(distinct image_id)::bigint as crops, count(*)::bigint as instances from objects where has_gt group by all""")
@@ -548,15 +553,12 @@ def adjacent_frames(spark, sf_dir):
     return A.adjacent(f, "recording", "n", "frame")
 
 
-@query(f"""with {OBJECTS}, s as (select image_id, string_agg("class" || ':' || round_even(glw, 0)::bigint::varchar, '|' order by "class" || ':' || round_even(glw, 0)::bigint::varchar) as items from objects where has_gt group by image_id)
+@query(f"""with {OBJECTS}, i as (select image_id, "class" || ':0:0:' || (round_even(glw, 0) * 10)::bigint::varchar || ':0:0' as item from objects where has_gt), s as (select image_id, string_agg(item, '|' order by item) as items from i group by image_id)
     select sha256(items) as signature, count(*)::bigint as n, min(image_id) as first_image from s group by items having count(*) > 1""")
 def repeated_annotation_sets(spark, sf_dir):
-    from ..functions.boxes import canonical
-
-    g = ground_truth(spark, sf_dir)
-    item = F.concat_ws(":", "class", F.rint(canonical(F.col("obb"))["w"]).cast("bigint").cast("string"))
-    sets = g.groupBy("image_id").agg(F.array_join(F.array_sort(F.collect_list(item)), "|").alias("items"))
-    return sets.groupBy("items").agg(F.count("*").alias("n"), F.min("image_id").alias("first_image")).where("n > 1").select(F.sha2("items", 256).alias("signature"), "n", "first_image")
+    """Images that are alike once places, heights and angles are dropped and widths are whole."""
+    w, o = F.rint(B.canonical(F.col("obb"))["w"]), F.lit(0.0)
+    return A.duplicate_annotation_sets(ground_truth(spark, sf_dir).withColumn("obb", B.box(o, o, w, o, o)))
 
 
 @query("""with r as (select c_custkey, sha256('tessera' || chr(0) || c_name) as h, c_name, c_mktsegment from customer), o as (select *, row_number() over (partition by c_mktsegment order by h, c_name) as r, count(*) over (partition by c_mktsegment) as n from r)
@@ -707,9 +709,8 @@ def boxes_of_corners(spark, sf_dir):
 @query()
 def certified_regions(spark, sf_dir):
     q = T.class_thresholds(gwd_scores(spark, sf_dir).where("role = 'cal'"), 0.1, "hcp").select("class", F.col("q_hat").alias("q"))
-    d = detections(spark, sf_dir)
-    centre = B.centre_envelope(F.col("obb"), F.col("q"))
-    return d.join(F.broadcast(q), "class", "left").select("idx", "image_id", "class", F.round("q", 6).alias("q"), centre.alias("c"), B.half_extent(B.canonical(F.col("obb"))["w"], B.canonical(F.col("obb"))["h"], F.col("q")).alias("half_extent"))
+    r = AR.regions(detections(spark, sf_dir), q)
+    return r.drop("obb").select(*[F.round(f.name, 6).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in r.drop("obb").schema.fields])
 
 
 @query()
@@ -724,7 +725,13 @@ def familywise_error_rate(spark, sf_dir):
     return e.agg(F.count("*").alias("draws"), F.sum("errors").alias("errors"))
 
 
-@query()
+@query(f"""with {PAIRS}, {_RES}, l as (select "class", role, idx, image_id, coord, val from (select "class", role, idx, image_id, cx, cy, w, h, theta from res where role <> 'design') unpivot (val for coord in (cx, cy, w, h, theta))),
+    d as (select "class", coord, val, count(*) as c from l where role = 'cal' group by all), dc as (select "class", coord, val, sum(c) over (partition by "class", coord order by val) as upto from d),
+    n as (select "class", count(*) filter (role = 'cal') as n, count(*) filter (role = 'eval') as total from res group by "class"),
+    need as (select e."class", e.idx, e.image_id, max(coalesce(upto, 0)) + 1 as need from (select * from l where role = 'eval') e asof left join dc on e."class" = dc."class" and e.coord = dc.coord and e.val > dc.val group by all),
+    steps as (select "class", need, sum(count(*)) over (partition by "class" order by need) as cum from need group by "class", need),
+    k as (select s."class", any_value(n) as n, min(need) filter (cum / total >= 0.9 and need <= n) as k, max(cum / total) filter (need <= n) as top from steps s join n on s."class" = n."class" group by s."class")
+    select k."class", round(5 * (any_value(k.n) + 2 - any_value(k.k)) / (any_value(k.n) + 1), 6) as alpha, round(max(cum / total) filter (need <= k.k), 6) as coverage, any_value(k.n)::bigint as n from k join steps s on k."class" = s."class" join n on n."class" = k."class" group by k."class" """)
 def coverage_matched_levels(spark, sf_dir):
     rows = naive_rows(spark, sf_dir).where("role <> 'design'")
     return SIM.matched_level(rows, 0.9, _COORDS, ["class"]).withColumn("alpha", F.round("alpha", 6)).withColumn("coverage", F.round("coverage", 6))
@@ -763,12 +770,13 @@ def shard_audit(spark, sf_dir):
     return ANN.shard_problems(s, o.select(F.col("o_orderkey").alias("tile_index")), 4)
 
 
-@query("""with t as (select l_orderkey as tile, l_partkey as q, l_suppkey, array_value(l_quantity, l_tax * 100, l_discount * 100)::double[] as x from lineitem)
-    select count(*)::bigint as cells from (select tile, row_number() over (partition by tile) as r from (select tile, unnest(x) from t)) where r <= 5""")
+@query("""with t as (select l_orderkey as tile, unnest(array_value(l_quantity / 10, l_tax * 100, l_discount * 100)::double[]) as x, unnest([0, 1, 2]) as label from lineitem), p as (select tile, label, 1 / (1 + exp(-x)) as p, row_number() over (partition by tile order by 1 / (1 + exp(-x)) desc) as r from t)
+    select tile, count(*)::bigint as cells, round(sum(p), 6) as total, round(min(p), 6) as least, round(max(p), 6) as best from p where r <= 5 group by tile""")
 def logit_cells(spark, sf_dir):
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    rows = line.select(F.col("l_orderkey").alias("tile"), F.col("l_partkey").alias("query"), F.array("l_quantity", F.col("l_tax") * 100, F.col("l_discount") * 100).alias("logits"))
-    return ANN.logits_to_detections(rows, 5).agg(F.count("*").alias("cells"))
+    rows = line.select(F.col("l_orderkey").alias("tile"), F.col("l_partkey").alias("query"), F.array(F.col("l_quantity") / 10, F.col("l_tax") * 100, F.col("l_discount") * 100).alias("logits"))
+    r = lambda c, n: F.round(c, 6).alias(n)
+    return ANN.logits_to_detections(rows, 5).groupBy("tile").agg(F.count("*").alias("cells"), r(F.sum("score"), "total"), r(F.min("score"), "least"), r(F.max("score"), "best"))
 
 
 @query(f"""with {SCORES}, r as (select *, row_number() over (partition by "class" order by score, idx, image_id) as r, count(*) over (partition by "class") as n from scores)
