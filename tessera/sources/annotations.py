@@ -83,7 +83,7 @@ def corner_lines(boxes: DataFrame) -> DataFrame:
     """image_id, line: 'x1 y1 ... x4 y4 class difficulty' with corners in turn, as text annotations have them."""
     from ..functions.boxes import canonical, corners
 
-    points = [F.format_number(v, "0.0###") for xy in corners(canonical(F.col("obb"))) for v in xy]
+    points = [F.call_function("format_number", v, F.lit("0.0###")) for xy in corners(canonical(F.col("obb"))) for v in xy]
     return boxes.select("image_id", F.concat_ws(" ", *points, F.replace("class", F.lit(" "), F.lit("-")), F.lit("0")).alias("line"))
 
 
