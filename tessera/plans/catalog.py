@@ -826,7 +826,10 @@ def hazed_pixels(spark, sf_dir):
     return p.select("p_partkey", B.hazed((F.col("p_partkey") % 256).cast("double"), F.col("p_size").cast("double"), F.lit(51.0), 1.2).alias("pixel"))
 
 
-@query()
+@query(f"""with {OBJECTS}, w as (select x + 512.0 as px, y + 512.0 as py, 1024.0 as plw, 1024.0 as plh, 0.0 as plt, x as x0, y as y0 from (values (0, 0), (0, 176), (376, 0), (376, 176)) t(x, y)),
+    b as (select row_number() over () as id, w.*, "class", gx, gy, glw, glh, glt from objects, w where has_gt and gx + sqrt(glw * glw + glh * glh) / 2 > x0 and gx - sqrt(glw * glw + glh * glh) / 2 < x0 + 1024 and gy + sqrt(glw * glw + glh * glh) / 2 > y0 and gy - sqrt(glw * glw + glh * glh) / 2 < y0 + 1024),
+    c as (select *, {_CORNERS} from b), {iou_sql('c', 'id')}, f as (select c.*, least(1.0, coalesce(inter, 0) / greatest(glw * glh, 1e-6)) as iof from c left join ious i on c.id = i.id)
+    select x0, y0, "class", count(*)::bigint as n, count(*) filter (iof < 1 - 1e-9)::bigint as cut, round(avg(iof), 6) as mean_iof from f where iof >= 0.7 group by x0, y0, "class" """)
 def window_assignment(spark, sf_dir):
     g = ground_truth(spark, sf_dir).select(F.lit(1).alias("picture"), "idx", "image_id", "class", F.col("obb"), F.lit(0).alias("difficult"))
     w = W.tile_windows(spark.createDataFrame([(1, 1400, 1200)], "picture int, width int, height int"))
@@ -851,12 +854,28 @@ def representative_route(spark, sf_dir):
     return ST.representatives(s.select("class", "scene", "mult", "score"), ["class"], 7)
 
 
-@query()
+def _report_sql() -> str:
+    (l1, u1), (l2, u2) = ST.order_ranks(200, (1 - 0.95) / 2), ST.order_ranks(200, 1 - (1 - 0.95) / 2)
+    sign = lambda lo, hi: f"case when {lo} > 0 then 'positive' when {hi} < 0 then 'negative' else 'touches_zero' end"
+    cuts = " + ".join(f"(u >= {c})::int" for c in ("0.36787944117144233", "0.7357588823428847", "0.9196986029286058", "0.9810118431238462", "0.9963401531726563", "0.9994058151824183"))
+    return f"""with {SCORES}, sc as (select "class", scene, sum(score - 5) as hits, count(*) as n from scores group by all),
+    w as (select scene, draw, {cuts} as mult from (select scene, draw, ('0x' || substr(sha256('report:' || draw || ':' || scene), 1, 8))::bigint / 4294967296.0::double as u from (select distinct scene from sc), (select unnest(range(0, 200)) as draw))),
+    v as (select "class", draw, sum(mult * hits) / sum(mult * n) as v from sc join w on sc.scene = w.scene group by all),
+    q as (select "class", quantile_cont(v, 0.025) as low, quantile_cont(v, 0.975) as high, list_sort(list(v)) as s from v group by "class"),
+    bl as (select "class", draw // 40 as block, quantile_cont(v, 0.025) as lo, quantile_cont(v, 0.975) as hi from v group by all), bs as (select "class", list_sort(list(distinct {sign('lo', 'hi')})) as signs from bl group by "class"),
+    r as (select q."class", low, high, s[{l1}] as low_from, s[{u1}] as low_to, s[{l2}] as high_from, s[{u2}] as high_to, signs, {sign('low', 'high')} as sg from q join bs on q."class" = bs."class"),
+    t as (select *, (low_from <= 0 and low_to >= 0) or (high_from <= 0 and high_to >= 0) as touches from r)
+    select "class", round(low, 6) as low, round(high, 6) as high, round(low_from, 6) as low_from, round(low_to, 6) as low_to, round(high_from, 6) as high_from, round(high_to, 6) as high_to,
+      case when touches then 'numerically_unresolved' when sg = 'touches_zero' then 'interval_includes_zero' else sg end as status, not touches and sg <> 'touches_zero' and len(signs) = 1 and signs[1] = sg as sign_claimed from t"""
+
+
+@query(_report_sql())
 def interval_diagnostics(spark, sf_dir):
     s = gwd_scores(spark, sf_dir)
     scenes = s.groupBy("class", "scene").agg(F.sum(F.col("score") - 5).alias("hits"), F.count("*").alias("n"))
     w = S.hash_weights(scenes.select("scene").distinct(), 200, "report", "scene")
-    return ST.interval_report(S.blocked_ratio(scenes, w, "scene", "hits", "n", ["class"]), ["class"])
+    r = ST.interval_report(S.blocked_ratio(scenes, w, "scene", "hits", "n", ["class"]), ["class"])
+    return r.select(*[F.round(f.name, 6).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in r.schema.fields])
 
 
 @query(f"""with {SCORES} select "class", round(avg(case when conf >= 0.5 then 3.14159 * score * score end), 4) as mean, count(*)::bigint as n_sample, count(*) filter (conf >= 0.5)::bigint as n_supported, count(*) filter (conf >= 0.5)::bigint as n_finite, 0::bigint as n_infinite, count(*) filter (conf < 0.5)::bigint as n_out_of_support from scores group by "class" """)
@@ -975,4 +994,4 @@ def class_endpoints(spark, sf_dir):
     )
 
 
-from . import endpoints  # noqa: E402, F401  (registers its queries)
+from . import endpoints, formats  # noqa: E402, F401  (they register their queries)
