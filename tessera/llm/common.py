@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 from ..sources.scratch import forgotten, scratch_path, stored  # noqa: F401
 
 #: Bytes of one Arrow batch. Rows of few bytes travel by the thousand, very long texts alone.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 
 
 def tidy() -> None:

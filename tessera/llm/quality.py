@@ -112,14 +112,10 @@ class Problem:
         self.rows, self.y = rows, np.asarray(y, float)
         self.values = [(ratio[f] / max(1e-6, float(np.sqrt(np.sum(ratio[f] ** 2))))).astype(np.float32) for f in rows]
         self.squares = np.array([float(v @ v) for v in self.values])
-        n = np.array([len(f) for f in rows], np.int64)
-        self.owner = np.repeat(np.arange(len(rows)), n)
-        self.flat = np.concatenate(rows).astype(np.int64) if len(rows) else np.empty(0, np.int64)
-        self.flat_values = np.concatenate(self.values) if len(rows) else np.empty(0, np.float32)
 
     def losses(self, w: np.ndarray, alpha: np.ndarray) -> tuple[float, float]:
         """The primal loss of ``w`` and the dual value of ``alpha``; they meet at the optimum."""
-        margin = self.y * np.bincount(self.owner, w[self.flat] * self.flat_values, len(self.rows))
+        margin = self.y * np.array([float(w[f] @ v) for f, v in zip(self.rows, self.values)])
         half = float(w @ w) / 2
         return half + COST * float(np.maximum(0, 1 - margin).sum()), float(alpha.sum()) - half
 

@@ -10,7 +10,7 @@ GOLDEN = U(0x9E3779B97F4A7C15)
 #: Distinct words remembered by one Python worker before its cache starts afresh.
 CACHE_WORDS = 100_000
 #: Characters worked on at once, so that memory does not follow the batch.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
 
 
 class WordCache(dict):
