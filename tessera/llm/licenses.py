@@ -135,8 +135,8 @@ def tokens(text: str) -> list[str]:
     return [_SAME.get(w, w) for w in _WORD.findall(text.lower())]
 
 
-def anchors(known: Iterable[list[str]]) -> re.Pattern:
-    """A pattern that occurs in every text that holds a known sentence: words that cover all sentences, long ones first."""
+def anchors(known: Iterable[list[str]]) -> list[str]:
+    """Words, as texts spell them, of which every text with a known sentence holds one: they cover all sentences, long ones first."""
     left, chosen = [set(k) for k in known], []
     while left:
         count: dict[str, int] = {}
@@ -146,8 +146,7 @@ def anchors(known: Iterable[list[str]]) -> re.Pattern:
         best = max(count, key=lambda w: (count[w] * len(w) ** 5, w))
         chosen.append(best)
         left = [words for words in left if best not in words]
-    spelt = {w: "|".join([w, *(k for k, v in _SAME.items() if v == w and w not in k)]) for w in chosen}
-    return re.compile("(?i)" + "|".join(spelt.values())) if chosen else re.compile(r"(?!)")
+    return [spelt for w in chosen for spelt in (w, *(k for k, v in _SAME.items() if v == w and w not in k))]
 
 
 class Catalogue:
@@ -166,9 +165,14 @@ class Catalogue:
                 for w in ([None] if i else []) + p:
                     node = node.setdefault(w, {})
             node[""] = name
-        self.trigger = anchors(words)
+        self.anchors = anchors(words)
         self.rules = sorted(rules, key=lambda r: -len(r[1]))
 
+    def may_hold(self, text: str) -> bool:
+        """Whether a text can hold a known sentence; others need not be cut."""
+        low = text.lower()
+        return any(w in low for w in self.anchors)
+
     def ends(self, words: list[str], first: int, stops: set[int]) -> list[tuple[int, str]]:
         """(end, name) of the known sentences that begin at a word, the longest first. Blanks hold no sentence's end."""
         out, open_ = [], [(self.trie, first)]
@@ -275,7 +279,7 @@ def license_matches(docs: DataFrame, sentences: Iterable[tuple[str, str]] | None
     def work(lists):
         catalogue = Catalogue(sentences, rules)
         for texts in lists:
-            rows = [(i, *m) for i, t in enumerate(texts) if t and catalogue.trigger.search(t) for m in catalogue.licences(catalogue.identify(t))]
+            rows = [(i, *m) for i, t in enumerate(texts) if t and catalogue.may_hold(t) for m in catalogue.licences(catalogue.identify(t))]
             names = ("place", "license", "n_sentences", "first_sentence", "last_sentence")
             columns = {n: [r[k] for r in rows] for k, n in enumerate(names)}
             yield columns["place"], columns

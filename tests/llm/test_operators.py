@@ -518,7 +518,7 @@ def test_licences(spark):
     got = {(r.doc_id, r.license, r.n_sentences) for r in licenses.license_matches(d).collect()}
     assert got == {(0, "MIT", 1), (1, "Apache-2.0", 5), (2, "MIT", 3), (3, "MIT", 1), (4, "GPL-3.0", 1), (6, "GPL-3.0-or-later", 1)}
     catalogue = licenses.Catalogue(licenses.catalogue_sentences(), licenses.catalogue_rules())
-    assert all(catalogue.trigger.search(t) for _, t in licenses.catalogue_sentences())
+    assert all(catalogue.may_hold(t) for _, t in licenses.catalogue_sentences())
     own = licenses.license_matches(d.unionByName(docs(spark, {50: "Take it, friend. Share\nit!"})), [("take", "Take it, friend."), ("share", "Share it!")], [("Friendly", ("take", "share"))])
     assert [(r.doc_id, r.license, r.n_sentences) for r in own.collect()] == [(50, "Friendly", 2)]
     with pytest.raises(ValueError, match="words"):
