@@ -8,6 +8,8 @@ All steps are DataFrame operations; pages are joined by host with one row per ho
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from .hosts import domain_of, suffix_of
 #: Blocked from this bad rate on, by a lower bound of DEVIATIONS posterior standard deviations.
 LIMIT, DEVIATIONS = 0.3, 1.645
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+#: The digest of the empty string.
+NOTHING = hashlib.sha256(b"").hexdigest()
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -93,8 +97,7 @@ def judged(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, st
 
 def _squeezed(text: Column) -> Column:
     """A digest of the text without white space, null where nothing is left."""
-    bare = F.regexp_replace(text, r"\s+", "")
-    return F.when(bare != "", F.sha2(bare, 256))
+    return F.nullif(F.sha2(F.regexp_replace(text, r"\s+", ""), 256), F.lit(NOTHING))
 
 
 def labelled_outcomes(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
