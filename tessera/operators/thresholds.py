@@ -37,17 +37,20 @@ def conformal_rank(n: Column, alpha: Column | float) -> Column:
     return (n + 1) - F.floor((n + 1) * a)
 
 
-def _by_rank(scores: DataFrame, by: list[str], rank: Column) -> DataFrame:
-    """by, q, n, n_scenes: the score of the given rank (a Column over n); +inf above n, -inf at 0 or less."""
+def _by_ranks(scores: DataFrame, by: list[str], ranks: list[Column]) -> DataFrame:
+    """by, n, q0, q1, ...: the scores of given ranks (Columns over n); +inf above n, -inf at 0 or less. One pass serves all."""
     counts = scores.groupBy(*by, "score").agg(F.count("*").alias("c"))
     total = counts.groupBy(*by).agg(F.sum("c").alias("n"))
     ranked = running(counts, by, seen="c")
     joined = ranked.join(total, by) if by else ranked.crossJoin(F.broadcast(total))
-    joined = joined.withColumn("_k", rank)
-    q = F.min(F.when(F.col("seen") >= F.col("_k"), F.col("score")))
-    out = joined.groupBy(*by).agg(q.alias("q"), F.first("n").alias("n"), F.first("_k").alias("_k"))
-    q = F.when(F.col("_k") > F.col("n"), F.lit(INF)).when(F.col("_k") <= 0, F.lit(-INF)).otherwise(F.col("q"))
-    return out.select(*by, q.alias("q"), "n")
+    out = joined.groupBy(*by, "n").agg(*[F.min(F.when(F.col("seen") >= k, F.col("score"))).alias(f"q{i}") for i, k in enumerate(ranks)])
+    bounded = lambda i, k: F.when(k > F.col("n"), F.lit(INF)).when(k <= 0, F.lit(-INF)).otherwise(F.col(f"q{i}")).alias(f"q{i}")
+    return out.select(*by, "n", *[bounded(i, k) for i, k in enumerate(ranks)])
+
+
+def _by_rank(scores: DataFrame, by: list[str], rank: Column) -> DataFrame:
+    """by, q, n: the score of the given rank."""
+    return _by_ranks(scores, by, [rank]).select(*by, F.col("q0").alias("q"), "n")
 
 
 def pooled(scores: DataFrame, alpha: float, by: list[str] = ()) -> DataFrame:
@@ -63,15 +66,8 @@ def scene_max(scores: DataFrame, alpha: float, by: list[str] = ()) -> DataFrame:
     return _by_rank(most, list(by), conformal_rank(F.col("n"), alpha))
 
 
-def hcp(scores: DataFrame, alpha: float, by: list[str] = ()) -> DataFrame:
-    """Hierarchical threshold: each scene has mass 1/(K+1), split evenly over its objects, and so has +inf.
-
-    Masses are integers, in parts of PARTS, where every scene size of the group divides it (all up to 22 do) and the
-    comparison is exact; elsewhere the running double sum may fall short of the target by SLACK.
-    """
-    alpha, by = check_alpha(alpha), list(by)
-    ratio = Fraction(repr(alpha))
-    top, bottom = ratio.denominator - ratio.numerator, ratio.denominator
+def _hcp_levels(scores: DataFrame, alphas: list[float], by: list[str]) -> DataFrame:
+    """by, n, q0, q1, ...: hierarchical thresholds of several levels from one running mass."""
     sizes = scores.groupBy(*by, "scene").agg(F.count("*").alias("m"))
     sized = scores.groupBy(*by, "scene", "score").agg(F.count("*").alias("c")).join(sizes, [*by, "scene"])
     mass = sized.groupBy(*by, "score").agg(
@@ -80,10 +76,24 @@ def hcp(scores: DataFrame, alpha: float, by: list[str] = ()) -> DataFrame:
     total = sizes.groupBy(*by).agg(F.count("*").alias("scenes"), F.sum("m").alias("n"), F.max(F.lit(PARTS) % F.col("m") != 0).alias("odd"))
     seen = running(mass, by, seen="mass", seen_whole="whole")
     joined = seen.join(total, by) if by else seen.crossJoin(F.broadcast(total))
-    need = (F.lit(PARTS * top).cast("decimal(38,0)") * (F.col("scenes") + 1).cast("decimal(20,0)")).cast("decimal(38,0)")
-    reached = F.when(F.col("odd"), F.col("seen") >= (1 - alpha) * (F.col("scenes") + 1) - SLACK).otherwise((F.col("seen_whole") * F.lit(bottom)).cast("decimal(38,0)") >= need)
-    out = joined.groupBy(*by).agg(F.min(F.when(reached, F.col("score"))).alias("q"), F.first("n").alias("n"))
-    return out.select(*by, F.coalesce("q", F.lit(INF)).alias("q"), "n")
+
+    def first(alpha: float) -> Column:
+        ratio = Fraction(repr(alpha))
+        need = (F.lit(PARTS * (ratio.denominator - ratio.numerator)).cast("decimal(38,0)") * (F.col("scenes") + 1).cast("decimal(20,0)")).cast("decimal(38,0)")
+        whole = (F.col("seen_whole") * F.lit(ratio.denominator)).cast("decimal(38,0)") >= need
+        reached = F.when(F.col("odd"), F.col("seen") >= (1 - alpha) * (F.col("scenes") + 1) - SLACK).otherwise(whole)
+        return F.coalesce(F.min(F.when(reached, F.col("score"))), F.lit(INF))
+
+    return joined.groupBy(*by).agg(F.first("n").alias("n"), *[first(a).alias(f"q{i}") for i, a in enumerate(alphas)])
+
+
+def hcp(scores: DataFrame, alpha: float, by: list[str] = ()) -> DataFrame:
+    """Hierarchical threshold: each scene has mass 1/(K+1), split evenly over its objects, and so has +inf.
+
+    Masses are integers, in parts of PARTS, where every scene size of the group divides it (all up to 22 do) and the
+    comparison is exact; elsewhere the running double sum may fall short of the target by SLACK.
+    """
+    return _hcp_levels(scores, [check_alpha(alpha)], list(by)).select(*by, F.col("q0").alias("q"), "n")
 
 
 def crc_object(scores: DataFrame, alpha: float, bound: int, by: list[str] = (), floor: str = "-inf") -> DataFrame:
@@ -193,12 +203,13 @@ def threshold_grid(scores: DataFrame, alphas: list[float], by: list[str] = (), m
     if mode == "linear":
         arr = scores.groupBy(*by).agg(F.percentile("score", F.array(*[F.lit(1 - a) for a in alphas])).alias("q"))
         return arr.select(*by, F.posexplode("q").alias("i", "q")).select(*by, F.element_at(F.array(*[F.lit(float(a)) for a in alphas]), F.col("i") + 1).alias("alpha"), "q")
-    out = None
-    for a in alphas:
-        q = hcp(scores, a, by) if mode == "hcp" else pooled(scores, a / coords if mode == "bonferroni" else a, by)
-        q = q.select(*by, F.lit(float(a)).alias("alpha"), "q")
-        out = q if out is None else out.unionByName(q)
-    return out
+    levels = [check_alpha(a) for a in alphas]
+    if mode == "hcp":
+        wide = _hcp_levels(scores, levels, list(by))
+    else:
+        wide = _by_ranks(scores, list(by), [conformal_rank(F.col("n"), a / coords if mode == "bonferroni" else a) for a in levels])
+    cells = F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), F.col(f"q{i}").alias("q")) for i, a in enumerate(levels)]))
+    return wide.select(*by, cells.alias("x")).select(*by, "x.alpha", "x.q")
 
 
 def max_rank(design: DataFrame, residuals: DataFrame, coords: list[str], key: list[str], by: list[str] = (), mult: str | None = None) -> DataFrame:

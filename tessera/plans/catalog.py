@@ -12,6 +12,7 @@ from ..operators import coverage as C
 from ..operators import matching as M
 from ..operators import risk as R
 from ..operators import thresholds as T
+from ..sources.scratch import stored
 from .fixtures import base_sql, detections, ground_truth, objects, pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,9 +58,13 @@ SCORES = f'{PAIRS}, {COV}, scores as (select scene_id as scene, image_id, "class
 
 
 def gwd_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matched pairs with their distance, rounded so that equal scores are equal everywhere."""
+    """Matched pairs with their distance, rounded so that equal scores are equal everywhere.
+
+    Written once a query: thresholds, coverage and supports read it several times, each its own columns.
+    """
     p = pairs(spark, sf_dir)
-    return p.select(F.col("scene_id").alias("scene"), "image_id", "class", "idx", "role", F.col("score").alias("conf"), F.round(B.gwd(F.col("pred"), F.col("gt")), 6).alias("score"), "pred")
+    scores = p.select(F.col("scene_id").alias("scene"), "image_id", "class", "idx", "role", F.col("score").alias("conf"), F.round(B.gwd(F.col("pred"), F.col("gt")), 6).alias("score"), "pred")
+    return stored(scores, "scores")
 
 
 # ---- geometry ---------------------------------------------------------------------------------------------------------------
