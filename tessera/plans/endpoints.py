@@ -15,11 +15,15 @@ from .fixtures import detections, objects, pairs
 
 _SRC = 'src as (select distinct scene_id as scene, role, cast(substr(scene_id, 2) as bigint) % 3 as mult from objects)'
 _CNT = 'cnt as (select "class", scene_id as scene, count(*) filter (has_gt) as n_gt, count(*) filter (has_det) as n_det, count(*) filter (has_gt and has_det) as n_tp from objects group by all)'
-_MULT = F.expr("cast(substr(scene, 2) as bigint) % 3")
+
+
+def _mult():
+    """A scene's multiplicity. Columns need a session, so none is built on import."""
+    return F.expr("cast(substr(scene, 2) as bigint) % 3")
 
 
 def _sources(spark, sf_dir):
-    return objects(spark, sf_dir).select(F.col("scene_id").alias("scene"), "role").distinct().withColumn("mult", _MULT)
+    return objects(spark, sf_dir).select(F.col("scene_id").alias("scene"), "role").distinct().withColumn("mult", _mult())
 
 
 def _counts(spark, sf_dir):
@@ -184,7 +188,7 @@ def chosen_level(spark, sf_dir):
     c as (select "class", coord, val, sum(mult) as w from l group by all), u as (select *, sum(w) over (partition by "class", coord order by val) as upto, sum(w) over (partition by "class", coord) as n from c)
     select "class", coord, min(val) filter (upto > round(0.9 * n, 6)) as q from u group by all""")
 def max_rank_bounds(spark, sf_dir):
-    rows = naive_rows(spark, sf_dir).where("role = 'design'").withColumn("mult", _MULT)
+    rows = naive_rows(spark, sf_dir).where("role = 'design'").withColumn("mult", _mult())
     q = rows.select("class").distinct().withColumn("q", F.lit(0.9))
     return T.max_rank_bounds(rows, q, _COORDS, ["class"], "mult")
 
@@ -193,7 +197,7 @@ def max_rank_bounds(spark, sf_dir):
     select "class", sum(mult)::bigint as n, round(sum(mult * (miss / n)) / sum(mult), 9) as mean, round(sum(mult * (miss / n) * (miss / n)) / sum(mult), 9) as square from k where mult > 0 group by "class" """)
 def exact_moments(spark, sf_dir):
     o = objects(spark, sf_dir).where("has_gt").withColumnRenamed("scene_id", "scene")
-    k = o.groupBy("class", "scene").agg(F.count_if(~F.col("has_det") | (F.col("score") < 0.3)).alias("miss"), F.count("*").alias("n")).withColumn("mult", _MULT)
+    k = o.groupBy("class", "scene").agg(F.count_if(~F.col("has_det") | (F.col("score") < 0.3)).alias("miss"), F.count("*").alias("n")).withColumn("mult", _mult())
     m = R.exact_moments(k, ["class"])
     return m.select("class", "n", F.round("mean", 9).alias("mean"), F.round("square", 9).alias("square"))
 
