@@ -52,7 +52,7 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: The stages' models, similarities and encodings have no SQL form; tests hold the single operators, not the chain, against brute force.
+#: The stages' models, similarities and encodings have no SQL form; tests/llm/test_pipeline.py holds the chain against brute force.
 ORACLE_SQL = None
 
 
