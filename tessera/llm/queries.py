@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, licenses, quality, toxicity, urls, warc
+from . import bpe, decontam, langid, licenses, periods, quality, toxicity, urls, warc
 from .common import forgotten, scratch_path, stored, table
 from .hosts import SUFFIXES
 from .metric_join import near_vectors
@@ -71,8 +71,12 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("bad_rate", F.round("bad_rate", 6)).withColumn("bound", F.round("bound", 6))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(periods.periodic_runs(periods.planted(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_quality_nbsvm, op2_decontamination, op3_warc, op4_language_id, op5_metric_range_join, op6_minhash_near_dedup, op7_license_scan, op8_bpe, op9_toxic_segments, op10_url_reputation)
+    every = (op1_quality_nbsvm, op2_decontamination, op3_warc, op4_language_id, op5_metric_range_join, op6_minhash_near_dedup, op7_license_scan, op8_bpe, op9_toxic_segments, op10_url_reputation, op11_periodic_runs)
     return {f.__name__: f for f in every}
 
 
