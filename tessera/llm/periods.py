@@ -196,10 +196,9 @@ def digests(found: DataFrame) -> DataFrame:
 
 def planted(docs: DataFrame) -> DataFrame:
     """``docs`` with the words of a tenth of the texts, by crc32 of the id, made periodic from a word on that the same hash picks."""
-    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    words, hash_, first, period = free(docs, "words", "hash", "first", "period")
-    own = docs.withColumn(hash_, h).withColumn(words, F.when(F.col(hash_) % 10 == 0, F.filter(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"), lambda x: x != "")))
-    n, g = f"size({words})", f"({hash_} div 10)"
-    own = own.withColumn(first, F.expr(f"if({n} > 0, {g} % {n}, null)")).withColumn(period, F.expr(f"1 + ({n} - {first}) div (3 + {g} % 8)"))
-    text = F.expr(f"case when {first} is null then text else array_join(transform(sequence(0, {n} - 1), i -> {words}[int(if(i < {first}, i, {first} + (i - {first}) % {period}))]), ' ') end")
-    return own.withColumn("text", text).select(docs.columns)
+    words = "filter(split(text, '[ \\\\t\\\\n\\\\x0B\\\\f\\\\r]+'), x -> x != '')"
+    g, first = "(crc32(cast(cast(doc_id as string) as binary)) div 10)", "({g} % size(ws))"
+    word = f"ws[int(if(i < {first}, i, {first} + (i - {first}) % (1 + (size(ws) - {first}) div (3 + {{g}} % 8))))]".format(g=g)
+    # The words are bound once, as an element of an array, so no plan splits the text again for each of them.
+    text = f"transform(array({words}), ws -> if(size(ws) > 0, array_join(transform(sequence(0, size(ws) - 1), i -> {word}), ' '), text))[0]"
+    return docs.withColumn("text", F.expr(f"case when crc32(cast(cast(doc_id as string) as binary)) % 10 = 0 and text is not null then {text} else text end"))
