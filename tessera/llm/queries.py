@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, licenses, periods, quality, toxicity, urls, warc
+from . import bpe, decontam, divergence, langid, licenses, periods, quality, suffix_tree, toxicity, urls, warc
 from .common import forgotten, scratch_path, stored, table
 from .hosts import SUFFIXES
 from .metric_join import near_vectors
@@ -75,8 +75,19 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digests(periods.periodic_runs(periods.planted(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op13_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = suffix_tree.fit(suffix_tree.teaching(docs, 5, 1))
+    scored = suffix_tree.scored(docs, model)
+    return scored.select("doc_id", suffix_tree.held_out(5, 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_quality_nbsvm, op2_decontamination, op3_warc, op4_language_id, op5_metric_range_join, op6_minhash_near_dedup, op7_license_scan, op8_bpe, op9_toxic_segments, op10_url_reputation, op11_periodic_runs)
+    every = (op1_quality_nbsvm, op2_decontamination, op3_warc, op4_language_id, op5_metric_range_join, op6_minhash_near_dedup, op7_license_scan, op8_bpe, op9_toxic_segments, op10_url_reputation, op11_periodic_runs, op12_source_divergence, op13_suffix_tree_lm)
     return {f.__name__: f for f in every}
 
 
@@ -115,9 +126,25 @@ _REPUTATION = f"""
     best as (select page_id, arg_max(rule, length(rule)) as rule, arg_max(verdict, length(rule)) as verdict from page join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by page_id)"""
 
 
+_DIVERGENCE = r"""
+    d as (select row_number() over () as r, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+    t as (select r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from d),
+    kept as (select lang, term, count(*) as c from t group by 1, 2 having count(distinct r) >= 3),
+    k as (select lang, term, c, sum(c) over (partition by lang) as n, count(*) over (partition by lang) as v from kept),
+    g as (select distinct lang, source from d), c as (select lang, source, term, count(*) as c from t group by 1, 2, 3),
+    f as (select g.lang, g.source, k.term, coalesce(c.c, 0) as c, 1 + 1000000000::hugeint * (k.c + 1) // (k.n + k.v) as ql, k.v, sum(coalesce(c.c, 0)) over (partition by g.lang, g.source) as n
+        from g join k on g.lang = k.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+    p as (select lang, source, term, c, ql, 1 + 1000000000::hugeint * (c + 1) // (n + v) as p from f),
+    pair as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+    every as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join pair on pair.lang = a.lang and pair.source = a.source and pair.item = b.source
+        union all select lang, source, 'term', term, (p - ql) * (p - ql) // ql from p where c > 0 and p > ql)
+    select lang, source, part, item, value::bigint as value, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from every qualify part = 'pair' or rank <= 200"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that SQL can state; the others are tested against brute force."""
     return {
+        "op12_source_divergence": f"with {_DIVERGENCE}",
         "op3_warc": f"""with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages), t as (select *, max(page_id) over (partition by h) as top from p)
             select page_id, octet_length(encode(html))::bigint as payload_bytes, {_DIGEST} as payload_digest, case when page_id = top then 'response' else 'revisit' end as record_type, case when page_id <> top then top end as refers_to from t""",
         "op5_metric_range_join": """with recursive v as (select vec_id, embedding::double[] as e from embeddings), p as (select a.vec_id as u, b.vec_id as v from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
