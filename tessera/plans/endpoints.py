@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import boxes as B
 from ..operators import coverage as C
 from ..operators import endpoints as E
+from ..operators import readouts as G
 from ..operators import risk as R
 from ..operators import thresholds as T
 from ..sources import exports as X
@@ -112,7 +113,7 @@ def geometry_endpoints(spark, sf_dir):
     s = gwd_scores(spark, sf_dir)
     q = T.class_thresholds(s.where("role = 'cal'"), 0.1, "hcp").select("class", F.col("q_hat").alias("q"))
     rows = pairs(spark, sf_dir).where("role = 'eval'").join(F.broadcast(q), "class").select("class", "pred", "gt", "q")
-    e = E.geometry_endpoints(rows, "gwd", [F.col("q")])
+    e = G.geometry_endpoints(rows, "gwd", [F.col("q")])
     return e.groupBy("class").agg(F.count("*").alias("n"), *[F.round(F.avg(m), 6).alias(m) for m in _METRICS])
 
 

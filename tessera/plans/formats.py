@@ -9,6 +9,7 @@ from ..functions import boxes as B
 from ..functions import names as N
 from ..operators import audit as A
 from ..operators import thresholds as T
+from ..operators.readouts import doubled_length
 from ..sources import annotations as ANN
 from ..sources import checkpoints as K
 from ..sources import records as REC
@@ -127,7 +128,7 @@ def centre_bounds(spark, sf_dir):
     select idx, image_id, round(coalesce(sum(z[2] - z[1]) filter (abs(cos((z[1] + z[2]) / 2) - c) <= qc and abs(sin((z[1] + z[2]) / 2) - s) <= qs), 0) / 2, 5) as length from g group by idx, image_id""")
 def doubled_lengths(spark, sf_dir):
     t = B.canonical(F.col("pred"))["theta"]
-    rows = pairs(spark, sf_dir).select("idx", "image_id", F.round(AR.doubled_arc_length(t, F.lit(0.4), F.lit(0.7)), 5).alias("length"))
+    rows = pairs(spark, sf_dir).select("idx", "image_id", F.round(doubled_length(t, F.lit(0.4), F.lit(0.7)), 5).alias("length"))
     return rows.distinct()
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import BOX
-from tessera.operators import endpoints, risk
+from tessera.operators import readouts, risk
 from tessera.sources import exports
 
 HALF = math.pi / 2
@@ -53,7 +53,7 @@ def plain(name, p, g, q):
             return rad, float(ok.mean() * math.pi), None, centre, inside, None
         return rad, None, None, centre, None, None
     if name.startswith("coord_max") or name == "max_rank":
-        bx, by, bt = (q[0], q[1], q[4]) if name == "max_rank" else (q[0], q[0], 2 * q[0] / pw) if name == "coord_max_additive" else (q[0] * max(pw, 1), q[0] * max(ph, 1), 2 * q[0])
+        bx, by, bt = (q[1], q[2], q[5]) if name == "max_rank" else (q[0], q[0], 2 * q[0] / pw) if name == "coord_max_additive" else (q[0] * max(pw, 1), q[0] * max(ph, 1), 2 * q[0])
         half = min(bt, HALF)
         return math.hypot(bx, by), 2 * half, half, abs(u) <= bx and abs(v) <= by, wrap <= half, None
     if name == "corner_max":
@@ -65,11 +65,11 @@ def plain(name, p, g, q):
 
 
 @pytest.mark.parametrize("name, q", [("gwd", [1.7]), ("gwd_normalized", [0.2]), ("naive", [2.0, 1.5, 1.0, 1.0, 0.4]), ("wrapped", [2.0, 1.5, 1.0, 1.0, 0.4]), ("doubled", [2.0, 1.5, 1.0, 1.0, 0.5, 0.6]), ("hull", [2.0, 1.0, 1.0, 1.0]),
-    ("coord_max_additive", [2.5]), ("coord_max_multiplicative", [0.3]), ("max_rank", [2.0, 1.0, 1.0, 1.0, 0.3]), ("corner_max", [2.0]), ("expansion_analytic", [1.0]), ("iou", [0.4]), ("hellinger", [1.2])])
+    ("coord_max_additive", [2.5]), ("coord_max_multiplicative", [0.3]), ("max_rank", [0.9, 2.0, 1.0, math.inf, 1.0, 0.3]), ("corner_max", [2.0]), ("expansion_analytic", [1.0]), ("iou", [0.4]), ("hellinger", [1.2])])
 def test_geometry_endpoints(spark, name, q):
     p, g = boxes(40, 1), boxes(40, 2)
     df = spark.createDataFrame([(i, tuple(map(float, a)), tuple(map(float, b))) for i, (a, b) in enumerate(zip(p, g))], f"i int, pred {BOX}, gt {BOX}")
-    out = {r.i: r for r in endpoints.geometry_endpoints(df, name, [F.lit(v) for v in q]).collect()}
+    out = {r.i: r for r in readouts.geometry_endpoints(df, name, [F.lit(v) for v in q]).collect()}
     for i, (a, b) in enumerate(zip(p, g)):
         rad, length, half, centre, angle, area = plain(name, a, b, q)
         r, size = out[i], math.sqrt(a[2] * a[3])
@@ -78,17 +78,47 @@ def test_geometry_endpoints(spark, name, q):
         assert (r.center_defined, r.angle_defined) == (float(rad is not None), float(length is not None))
         assert r.full == (None if length is None else float(length >= math.pi)) and r.informative == (None if length is None else 1 - r.full)
         assert r.joint == (None if rad is None or length is None else float(centre and angle))
-        assert r.bounded == float(name not in ("iou", "hellinger") or q[0] < 1) and r.finite == 1.0
+        assert r.bounded == float((name not in ("iou", "hellinger") or q[0] < 1) and max(q) < math.inf) and r.finite == 1.0
         ratio = a[2] / a[3]
         assert (r.near_square, r.middle, r.elongated) == (float(ratio < 1.2), float(1.2 <= ratio < 3), float(ratio >= 3)) and r.seam + r.off_seam == 1 and r.seam == float(HALF - abs(a[4]) <= math.pi / 36)
 
 
 def test_unbounded_thresholds_and_unknown_scores(spark):
     df = spark.createDataFrame([((0.0, 0.0, 4.0, 2.0, 0.0), (1.0, 0.0, 4.0, 2.0, 0.1))], f"pred {BOX}, gt {BOX}")
-    r = endpoints.geometry_endpoints(df, "gwd", [F.lit(math.inf)]).first()
+    r = readouts.geometry_endpoints(df, "gwd", [F.lit(math.inf)]).first()
     assert (r.finite, r.bounded, r.full, r.joint) == (0.0, 0.0, 1.0, 1.0) and r.normalized_radius == math.inf
     with pytest.raises(ValueError, match="no geometry"):
-        endpoints.geometry_endpoints(df, "other", [F.lit(1.0)])
+        readouts.geometry_endpoints(df, "other", [F.lit(1.0)])
+
+
+def test_margin_of_single_precision(spark):
+    """A finite margin says nothing of the region but what the grown polygon shows; an infinite one holds everything."""
+    df = spark.createDataFrame([((0.0, 0.0, 4.0, 2.0, 0.0), (0.5, 0.0, 4.0, 2.0, 0.0), c, q) for c in (True, False) for q in (0.4, 0.6, math.inf)], f"pred {BOX}, gt {BOX}, covered boolean, q double")
+    out = {(r.covered, r.q): r for r in readouts.geometry_endpoints(df, "expansion_margin", [F.col("q")]).collect()}
+    for covered in (True, False):
+        for q, native in ((0.4, 0.0), (0.6, 1.0)):
+            r = out[covered, q]
+            assert (r.finite, r.bounded, r.center_defined, r.angle_defined, r.joint, r.area) == (1.0, None, 0.0, 0.0, None, None)
+            assert (r.native, r.native_only, r.strict_only) == (native, float(native and not covered), float(covered and not native))
+            assert abs(r.native_area - (4 + 2 * q) * (2 + 2 * q)) < 1e-5 and abs(r.native_radius - math.hypot(2 + q, 1 + q) / math.sqrt(8)) < 1e-6
+        r = out[covered, math.inf]
+        assert (r.finite, r.bounded, r.full, r.informative, r.joint, r.native, r.half_width) == (0.0, 0.0, 1.0, 0.0, 1.0, 1.0, HALF)
+        assert r.normalized_radius == r.area == r.native_area == math.inf
+
+
+def test_rank_thresholds_beside_open_coordinates(spark):
+    df = spark.createDataFrame([((0.0, 0.0, 4.0, 2.0, 0.0), (1.0, 0.0, 4.0, 2.0, 0.1))], f"pred {BOX}, gt {BOX}")
+    r = readouts.geometry_endpoints(df, "max_rank", [F.lit(v) for v in (0.99, 2.0, 2.0, math.inf, math.inf, 0.2)]).first()
+    assert (r.finite, r.bounded, r.joint) == (1.0, 0.0, 1.0) and r.native is None
+    with pytest.raises(ValueError, match="takes 6"):
+        readouts.geometry_endpoints(df, "max_rank", [F.lit(1.0)])
+
+
+@pytest.mark.parametrize("name", ["kld", "bhattacharyya"])
+def test_scores_without_geometry(spark, name):
+    df = spark.createDataFrame([((0.0, 0.0, 4.0, 2.0, 0.0), (1.0, 0.0, 4.0, 2.0, 0.1))], f"pred {BOX}, gt {BOX}")
+    r = readouts.geometry_endpoints(df, name, [F.lit(2.0)]).first()
+    assert (r.finite, r.bounded, r.center_defined, r.angle_defined, r.joint) == (1.0, 1.0, 0.0, 0.0, None)
 
 
 def test_exact_moments(spark):

@@ -39,13 +39,3 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 3
-
-
-@pytest.mark.parametrize("name", sorted(entry.corpus.oracle_sql()))
-def test_corpus_query(spark, con, name):
-    rows = con.execute(entry.corpus.oracle_sql()[name])
-    want = pd.DataFrame(rows.fetchall(), columns=[d[0] for d in rows.description])
-    got = entry.queries()[name](spark, SF).toPandas()
-    assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
-    plain = lambda df: sorted(tuple("" if pd.isna(v) else f"{float(v):.6f}" if isinstance(v, (int, float, np.number)) else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
-    assert plain(got) == plain(want)

@@ -10,6 +10,7 @@ from tessera.functions import windows as W
 from tessera.operators import audit as A
 from tessera.operators import splits as S
 from tessera.operators import studies as ST
+from tessera.operators.readouts import doubled_length
 from tessera.streaming import monitor
 
 BOX = "struct<cx:double,cy:double,w:double,h:double,theta:double>"
@@ -46,7 +47,7 @@ def test_half_extents_agree(spark):
     df = spark.createDataFrame([(10.0, 2.0, 1.0), (10.0, 9.9, 0.01), (5.0, 5.0, 0.3), (8.0, 3.0, 0.0)], "w double, h double, q double")
     r = df.select(B.half_extent_stable(F.col("w"), F.col("h"), F.col("q")).alias("a"), B.half_extent_tangent(F.col("w"), F.col("h"), F.col("q")).alias("b")).toPandas()
     assert np.allclose(r.a, r.b, rtol=1e-9)
-    d = spark.createDataFrame([(0.3, 2.0, 2.0), (0.3, 0.0, 0.0), (0.0, 0.5, 2.0)], "t double, c double, s double").select(AR.doubled_arc_length("t", "c", "s").alias("v")).toPandas().v
+    d = spark.createDataFrame([(0.3, 2.0, 2.0), (0.3, 0.0, 0.0), (0.0, 0.5, 2.0)], "t double, c double, s double").select(doubled_length(F.col("t"), F.col("c"), F.col("s")).alias("v")).toPandas().v
     assert np.allclose(d, [math.pi, 0.0, math.acos(0.5)])
 
 
