@@ -999,4 +999,4 @@ def class_endpoints(spark, sf_dir):
     )
 
 
-from . import endpoints, formats  # noqa: E402, F401  (they register their queries)
+from . import endpoints, formats, studies  # noqa: E402, F401  (they register their queries)
