@@ -27,14 +27,22 @@ from pyspark.sql import functions as F
 
 from .common import beside, free, frugal, remainder, session, stored
 from .learn import spread_join
-from .words import U, WordCache, chunks, token_hashes
+from .words import GOLDEN, U, chunks, mix
 
 #: Words of a context at most, occurrences it needs, and natural log units that each of its own predictions must earn.
 DEPTH, CONTEXT, COST = 2, 64, 2.0
 #: Rows of a model that are broadcast at most, after a count: 12 to 16 bytes each.
 MOST_BROADCAST = 10_000_000
 #: Sequences that a task counts before it passes them on, and bits (as a power of two) of the filter over contexts.
-HELD, BITS = 1_500_000, 27
+HELD, BITS = 2_000_000, 27
+#: A context that has one token in HOT (and LEAST_HOT at least) before it is dealt in SALTS parts, by what follows it.
+HOT, LEAST_HOT, SALTS = 2_000, 4_096, 64
+#: Bytes of a word that are hashed block by block; longer ones are hashed one by one.
+BLOCKS = 64
+BLANK = np.zeros(256, bool)
+BLANK[[32, *range(9, 14)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 #: Texts begin behind START and end with END: no word has a blank.
 START, END, STATE = (xxhash.xxh3_64_intdigest(x) for x in (b" start", b" end", b" state"))
 
@@ -65,20 +73,42 @@ def joined(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return h
 
 
-def _sequences(texts: list[bytes | None], cache: WordCache, depth: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of the texts, A-Z lower-cased, and the text it is in."""
+    raw = b"\n".join([t or b"" for t in texts])
+    low = LOWER[np.frombuffer(raw + b" " * 8, np.uint8)]
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = ~BLANK[low[: len(raw)]]
+    edge = np.flatnonzero(np.diff(inside))
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    begins = np.cumsum([0, *[len(t or b"") + 1 for t in texts]])
+    owner = np.searchsorted(begins, start, side="right") - 1
+    h = mix(size.astype(U) + GOLDEN)
+    eight = np.lib.stride_tricks.as_strided(low[:8].view("<u8"), (len(low) - 7,), (1,)) if len(low) >= 8 else np.empty(0, U)
+    live, at = np.flatnonzero(size <= BLOCKS), 0
+    while len(live):
+        left = size[live] - at
+        block = eight[start[live] + at] & np.where(left >= 8, U(2**64 - 1), (U(1) << (U(8) * np.minimum(left, 7).astype(U))) - U(1))
+        h[live] = mix(h[live] * GOLDEN ^ block)
+        at += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(size > BLOCKS).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(low[start[i] : start[i] + size[i]].tobytes())
+    return h, owner
+
+
+def _sequences(texts: list[bytes | None], depth: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Keys of the sequences of 1 to depth + 1 words that end at each token, the token's place in its text, and its text.
 
     Place 0 is START. A key of k words is meaningful from place k - 1 on.
     """
-    cache.trim()
-    flat, at = token_hashes([t.lower().split() if t else [] for t in texts], cache)
-    sizes = np.diff(at) + 2
+    flat, owner = word_hashes(texts)
+    sizes = np.bincount(owner, minlength=len(texts)) + 2
     ends = np.cumsum(sizes)
     text = np.repeat(np.arange(len(texts)), sizes)
     place = np.arange(len(text)) - np.repeat(ends - sizes, sizes)
     words = np.empty(len(text), U)
-    inner = (place > 0) & (place < sizes[text] - 1)
-    words[place == 0], words[ends - 1], words[inner] = U(START), U(END), flat
+    words[ends - sizes], words[ends - 1], words[np.arange(len(flat)) + 2 * owner + 1] = U(START), U(END), flat
     keys = [words]
     for _ in range(depth):
         last = keys[-1]
@@ -86,44 +116,44 @@ def _sequences(texts: list[bytes | None], cache: WordCache, depth: int) -> tuple
     return keys, place, text
 
 
-def _cache() -> WordCache:
-    return WordCache(xxhash.xxh3_64_intdigest)
-
-
 @frugal
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _counted(batches, 0, None)
+    yield from _counted(batches, 0, None, None)
+
 
+def _counted(batches: Iterator[pa.RecordBatch], depth: int, bits: np.ndarray | None, hot: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """(before, salt, after, n) of the sequences of depth + 1 words whose context is in ``bits``, added up; single words are ``after``.
 
-def _counted(batches: Iterator[pa.RecordBatch], depth: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """(before, after, n) of the sequences of depth + 1 words whose context is in ``bits``, added up; single words are ``after``."""
-    cache, held, size = _cache(), [], 0
+    Rows come out sorted by context, so that they take little room on their way.
+    """
+    held, size = [], 0
 
     def passed() -> Iterator[pa.RecordBatch]:
-        columns = [np.concatenate(c) for c in zip(*held)]
-        _, first, where = np.unique(columns[0], return_index=True, return_inverse=True)
-        n = np.bincount(where, columns[-1]).astype(np.int64)
-        for lo in range(0, len(first), 20_000):
-            part = first[lo : lo + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(columns[1][part])), pa.array(_signed(columns[2][part])), pa.array(n[lo : lo + 20_000])], names=["before", "after", "n"])
+        whole, before, after, n = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        _, first, where = np.unique(whole, return_index=True, return_inverse=True)
+        n, before, after = np.bincount(where, n).astype(np.int64), before[first], after[first]
+        order = np.argsort(before)
+        n, before, after = n[order], before[order], after[order]
+        salt = np.where(np.isin(before, hot), after % U(SALTS), U(0)).astype(np.int32) if depth else np.zeros(len(n), np.int32)
+        for lo in range(0, len(n), 20_000):
+            part = slice(lo, lo + 20_000)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(before[part])), pa.array(salt[part]), pa.array(_signed(after[part])), pa.array(n[part])], names=["before", "salt", "after", "n"])
 
     for b in batches:
         texts = b.column(0).to_pylist()
         for lo, hi in chunks(texts):
-            keys, place, _ = _sequences(texts[lo:hi], cache, depth)
+            keys, place, _ = _sequences(texts[lo:hi], depth)
             at = np.flatnonzero(place >= max(1, depth))
             if depth:
                 at = at[_marked(bits, keys[depth - 1][at - 1])]
-            whole = keys[depth][at]
-            _, first, n = np.unique(whole, return_index=True, return_counts=True)
+            whole, first, n = np.unique(keys[depth][at], return_index=True, return_counts=True)
             at = at[first]
-            after = keys[depth - 1][at] if depth else keys[0][at]
-            before = keys[depth - 1][at - 1] if depth else after
-            held.append((whole[first], before, after, n))
+            after = keys[depth - 1][at] if depth else whole
+            held.append((whole, keys[depth - 1][at - 1] if depth else after, after, n))
             size += len(at)
             if size > HELD:
                 yield from passed()
-                held.clear()
                 size = 0
     if size:
         yield from passed()
@@ -153,26 +183,28 @@ def teaching(docs: DataFrame, base: int, held: int) -> DataFrame:
 def fit(texts: DataFrame, depth: int = DEPTH, context: int = CONTEXT, cost: float = COST) -> Model:
     """The tree of ``texts`` (one column, binary). Without texts the root knows nothing and there is no context."""
     spark = session(texts.sparkSession)
-    schema = "before long, after long, n long"
+    schema = "before long, salt int, after long, n long"
     words = texts.mapInArrow(_count_words, schema).groupBy(F.col("after").alias("key")).agg(F.sum("n").alias("n"))
     words = stored(words, "words")
     distinct, tokens = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     shared = F.lit(tokens + 0.5 * (distinct + 1))
     known = words.select("key", ((F.col("n") + 0.5) / shared).alias("p"))
     extra = []
-    starts = spark.createDataFrame([(int(np.array([START], U).view(np.int64)[0]),)], "context long")
-    candidates = words.where(F.col("n") >= context).where(F.col("key") != int(np.array([END], U).view(np.int64)[0])).select(F.col("key").alias("context")).unionByName(starts)
+    start, end, state_ = (int(np.array([x], U).view(np.int64)[0]) for x in (START, END, STATE))
+    # every text has one START and one END
+    candidates = words.where(F.col("n") >= context).select(F.when(F.col("key") == end, start).otherwise(F.col("key")).alias("context"), "n")
     suffixes = None
     for level in range(1, depth + 1):
         bits = spark.sparkContext.broadcast(_filter(candidates.select("context")))
+        hot = candidates.where(F.col("n") >= max(LEAST_HOT, tokens // HOT)).select("context").toArrow()["context"].to_numpy().view(U)  # HOT at most
 
         @frugal
-        def count(batches, level=level, bits=bits):
-            yield from _counted(batches, level, bits.value)
+        def count(batches, level=level, bits=bits, hot=hot):
+            yield from _counted(batches, level, bits.value, hot)
 
-        pairs = texts.mapInArrow(count, schema).groupBy("before", "after").agg(F.sum("n").alias("n"))
-        # Tokens seen once behind a context are added up at once: only their number counts.
-        own = pairs.groupBy("before", F.when(F.col("n") > 1, F.col("after")).alias("after")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+        # Dealt once, by context and salt. Tokens seen once behind a context are then added up: only their number counts.
+        pairs = texts.mapInArrow(count, schema).repartition("before", "salt").groupBy("before", "salt", "after").agg(F.sum("n").alias("n"))
+        own = pairs.groupBy("before", "salt", F.when(F.col("n") > 1, F.col("after")).alias("after")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).drop("salt")
         own = stored(own, f"level{level}")
         states = own.groupBy("before").agg(F.sum("n").alias("total"), (F.sum("kinds") / F.sum("n")).alias("left"), F.sum(F.when(F.col("after").isNull(), F.col("n")).otherwise(0)).alias("once"))
         states = states.where(F.col("total") >= context)
@@ -184,15 +216,15 @@ def fit(texts: DataFrame, depth: int = DEPTH, context: int = CONTEXT, cost: floa
         judged = seen.groupBy("before").agg(F.sum(F.col("n") * F.log(F.col("p") / F.col("q"))).alias("gain"), F.count("*").alias("own"), F.first("once").alias("once"), F.first("left").alias("left"), F.first("total").alias("n"))
         retained = stored(judged.where(F.col("gain") + F.col("once") * F.log("left") >= cost * (F.col("own") + 1)).select("before", "left", "n"), f"states{level}")
         kept = seen.join(retained.select("before"), "before").withColumn("key", F.xxhash64("before", "after"))
-        state = F.xxhash64("before", F.lit(int(np.array([STATE], U).view(np.int64)[0])))
+        state = F.xxhash64("before", F.lit(state_))
         extra += [retained.select(state.alias("key"), F.log10("left").cast("float").alias("value"), "n"), kept.select("key", F.log10(F.col("p") / (F.col("left") * F.col("q"))).cast("float").alias("value"), "n")]
         if level < depth:
             known = kept.select("key", "p")
             # A longer context is a frequent sequence whose shorter suffix is retained.
-            longer = seen.where(F.col("n") >= context).select(F.xxhash64("before", "after").alias("context"), F.col("after").alias("suffix"))
+            longer = seen.where(F.col("n") >= context).select(F.xxhash64("before", "after").alias("context"), F.col("after").alias("suffix"), "n")
             own_suffix = retained.select(F.col("before").alias("suffix"))
-            candidates = stored(longer.join(own_suffix, "suffix", "left_semi").select("context"), f"contexts{level}")
-            suffixes = candidates.withColumnRenamed("context", "before")
+            candidates = stored(longer.join(own_suffix, "suffix", "left_semi").select("context", "n"), f"contexts{level}")
+            suffixes = candidates.select(F.col("context").alias("before"))
     rows = extra[0]
     for more in extra[1:]:
         rows = rows.unionByName(more)
@@ -200,27 +232,38 @@ def fit(texts: DataFrame, depth: int = DEPTH, context: int = CONTEXT, cost: floa
 
 
 class Table:
-    """Sorted keys with their values, looked up many at a time."""
+    """Sorted keys with their values, looked up many at a time: a key's leading bits say where its bucket begins."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
+        self.keys, self.values = keys, values
+        self.shift = U(64 - max(1, len(keys).bit_length()))
+        sizes = np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << (64 - int(self.shift)))
+        self.start = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32 if len(keys) < 2**31 else np.int64)
 
     def found(self, keys: np.ndarray) -> np.ndarray:
         """The value of each key, 0 where there is none."""
-        if not len(self.keys) or not len(keys):
-            return np.zeros(len(keys), self.values.dtype)
-        one, where = np.unique(keys, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, one), len(self.keys) - 1)
-        return np.where(self.keys[at] == one, self.values[at], 0)[where]
-
-
-def _collected(rows: DataFrame, value: str) -> Table:
+        out = np.zeros(len(keys), self.values.dtype)
+        bucket = (keys >> self.shift).astype(np.int64)
+        at, end = self.start[bucket], self.start[bucket + 1]
+        live = np.flatnonzero(at < end)
+        at, end, wanted = at[live], end[live], keys[live]
+        while len(live):
+            there = self.keys[at]
+            hit = there == wanted
+            out[live[hit]] = self.values[at[hit]]
+            at = at + 1
+            on = (there < wanted) & (at < end)
+            live, at, end, wanted = live[on], at[on], end[on], wanted[on]
+        return out
+
+
+def _collected(rows: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
     t = rows.select("key", value).toArrow()
-    values = t[value].to_numpy()
+    keys, values = t["key"].to_numpy().view(U), t[value].to_numpy()
     if value == "n" and len(values):
         values = values.astype(np.min_scalar_type(int(values.max())))
-    return Table(t["key"].to_numpy().view(U), values)
+    order = np.argsort(keys)
+    return keys[order], values[order]
 
 
 def _asked(keys: list[np.ndarray], place: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -239,11 +282,10 @@ def _by_broadcast(docs: DataFrame, model: Model) -> DataFrame:
     shared, depth = model.tokens + 0.5 * (model.distinct + 1), model.depth
 
     def work(lists):
-        cache = _cache()
-        words, extra = tables.value
+        words, extra = (Table(*t) for t in tables.value)
         for texts in lists:
             for lo, hi in chunks(texts):
-                keys, place, text = _sequences(texts[lo:hi], cache, depth)
+                keys, place, text = _sequences(texts[lo:hi], depth)
                 many, at = hi - lo, np.flatnonzero(place > 0)
                 c = words.found(keys[0][at]).astype(np.float64)
                 base = np.bincount(text[at], np.log10((c + 0.5) / shared), many)
@@ -275,10 +317,9 @@ def _by_join(docs: DataFrame, model: Model) -> DataFrame:
     own = docs.withColumn(row, F.monotonically_increasing_id())
 
     def work(lists):
-        cache = _cache()
         for texts in lists:
             for lo, hi in chunks(texts):
-                keys, place, text = _sequences(texts[lo:hi], cache, depth)
+                keys, place, text = _sequences(texts[lo:hi], depth)
                 at = np.flatnonzero(place > 0)
                 kinds, every, owner = [np.zeros(len(at), np.int8)], [keys[0][at]], [text[at]]
                 for at_d, context, whole in _asked(keys, place, depth):

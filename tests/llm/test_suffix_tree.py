@@ -123,3 +123,15 @@ def test_held_out_texts_gain(spark):
     rows = queries.op13_suffix_tree_lm(spark, "/root/testdata/sf0.01").collect()
     held = [r for r in rows if r.held_out]
     assert len(rows) == 1000 and sum(r.score for r in held) > sum(r.base_score for r in held) + 0.05 * sum(r.n_tokens for r in held)
+
+
+def test_word_hashes_tell_words_apart():
+    """Same words, same hashes, wherever they stand; A-Z counts as a-z; lengths round the blocks and very long words."""
+    rng = random.Random(6)
+    words = {"".join(rng.choice("abé中") for _ in range(n)) for n in (*range(1, 26), 63, 64, 65, 66, 500) for _ in range(30)} | {"a\x1cb", "a", "aa", "A\x00", "a\x00\x00"}
+    words = sorted({w.lower() if w.isascii() else w for w in words})
+    h, owner = suffix_tree.word_hashes([" \t".join(words).encode(), None, b"", b"\n x \x0b", " ".join(w.upper() if w.isascii() else w for w in reversed(words)).encode()])
+    n = len(words)
+    assert len(h) == 2 * n + 1 and owner.tolist() == [0] * n + [3] + [4] * n
+    assert h[:n].tolist() == h[n + 1 :][::-1].tolist() and len(set(h[:n].tolist())) == n
+    assert suffix_tree.word_hashes([])[0].tolist() == [] and suffix_tree.word_hashes([None, b" "])[0].tolist() == []
