@@ -89,7 +89,7 @@ def beside(rows: DataFrame, work: Callable[[list], Iterable[tuple[list, dict]]],
             b = current[0]
             at = pa.array(places, pa.int64())
             left = [c.take(at) for c in b.columns[:-1]]
-            right = [pa.array(columns[f.name], f.type) for f in made]
+            right = [columns[f.name].cast(f.type) if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in made]
             yield pa.RecordBatch.from_arrays(left + right, names=[f.name for f in shape.fields])
 
     return own.mapInArrow(run, shape)

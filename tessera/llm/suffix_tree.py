@@ -11,7 +11,7 @@ behind a context are left to the suffix by the formula, so only their number is
 
 The log probability of a token behind its longest retained suffix is a sum: its root value, for every retained suffix of
 what stands before it log10(T / N), and, where the token was seen at least twice behind that suffix, the gain over this.
-So a model is a table of keys and addends. A small one is broadcast; a larger one is joined with the texts' keys.
+So a model is a table of keys and addends. Its commonest rows are broadcast; the rest is joined with the texts' keys.
 """
 
 from __future__ import annotations
@@ -26,13 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import beside, free, frugal, remainder, session, stored
-from .learn import spread_join
 from .words import GOLDEN, U, chunks, mix
 
 #: Words of a context at most, occurrences it needs, and natural log units that each of its own predictions must earn.
 DEPTH, CONTEXT, COST = 2, 64, 2.0
-#: Rows of a model that are broadcast at most, after a count: 12 to 16 bytes each.
-MOST_BROADCAST = 10_000_000
+#: Rows of a model that are broadcast at most, the commonest ones, after a count: 12 to 16 bytes each.
+MOST_BROADCAST = 6_000_000
 #: Sequences that a task counts before it passes them on, and bits (as a power of two) of the filter over contexts.
 HELD, BITS = 2_000_000, 27
 #: A context that has one token in HOT (and LEAST_HOT at least) before it is dealt in SALTS parts, by what follows it.
@@ -43,6 +42,8 @@ BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Columns that carry the keys of a text to the rare part of a model.
+KINDS, KEYS, TIMES = "_kinds", "_keys", "_times"
 #: Texts begin behind START and end with END: no word has a blank.
 START, END, STATE = (xxhash.xxh3_64_intdigest(x) for x in (b" start", b" end", b" state"))
 
@@ -266,6 +267,16 @@ def _collected(rows: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], values[order]
 
 
+def _common(model: Model, most: int) -> int:
+    """The smallest count from which the model's rows are ``most`` at most."""
+    sizes = model.words.select("n").unionByName(model.extra.select("n")).groupBy("n").agg(F.count("*").alias("rows"))
+    # counts from 2 ** 20 on are taken together
+    total = sizes.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).agg(F.sum("rows").alias("rows")).orderBy(F.desc("n")).toArrow()
+    kept = np.cumsum(total["rows"].to_numpy()) <= most
+    levels = total["n"].to_numpy()
+    return 1 if kept.all() else int(levels[kept][-1]) if kept.any() else (1 << 20) + 1
+
+
 def _asked(keys: list[np.ndarray], place: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each length of context: tokens that have it, the key of that state and the key of the prediction."""
     for d in range(1, depth + 1):
@@ -277,94 +288,90 @@ def _state(context: np.ndarray) -> np.ndarray:
     return joined(context, np.full(len(context), STATE, U))
 
 
-def _by_broadcast(docs: DataFrame, model: Model) -> DataFrame:
-    tables = docs.sparkSession.sparkContext.broadcast((_collected(model.words, "n"), _collected(model.extra, "value")))
+def _sums(docs: DataFrame, model: Model, least: int, rare: DataFrame) -> DataFrame:
+    """The columns of ``docs`` but text, with what the common part of the model says, and the keys that its rare part may hold.
+
+    Keys are added up within a text: kind 0 is a word, 1 a state or a prediction.
+    """
+    spark = docs.sparkSession
+    common = lambda rows: rows.where(F.col("n") >= least)
+    tables = spark.sparkContext.broadcast((_collected(common(model.words), "n"), _collected(common(model.extra), "value")))
+    bits = spark.sparkContext.broadcast(None if rare is None else _filter(rare.select("key")))
     shared, depth = model.tokens + 0.5 * (model.distinct + 1), model.depth
 
     def work(lists):
         words, extra = (Table(*t) for t in tables.value)
+        marked = lambda keys: np.zeros(len(keys), bool) if bits.value is None else _marked(bits.value, keys)
         for texts in lists:
             for lo, hi in chunks(texts):
                 keys, place, text = _sequences(texts[lo:hi], depth)
                 many, at = hi - lo, np.flatnonzero(place > 0)
-                c = words.found(keys[0][at]).astype(np.float64)
-                base = np.bincount(text[at], np.log10((c + 0.5) / shared), many)
+                count = words.found(keys[0][at])
+                unknown = count == 0
+                base = np.bincount(text[at], np.log10((count.astype(np.float64) + 0.5) / shared), many)
                 score = base.copy()
-                live = None
+                open_ = at[unknown & marked(keys[0][at])]
+                rest = [(np.zeros(len(open_), np.int8), keys[0][open_], text[open_])]
+                live = np.ones(len(place), bool)
                 for at_d, context, whole in _asked(keys, place, depth):
-                    if live is not None:  # a longer context only where the shorter one is a state
-                        go = live[at_d]
-                        at_d, context, whole = at_d[go], context[go], whole[go]
-                    left = extra.found(_state(context))
-                    go = left != 0
-                    at_d, whole = at_d[go], whole[go]
-                    score += np.bincount(text[at_d], left[go].astype(np.float64) + extra.found(whole), many)
+                    go = live[at_d]  # a longer context only where the shorter one may be a state
+                    at_d, state, whole = at_d[go], _state(context[go]), whole[go]
+                    left = extra.found(state).astype(np.float64)
+                    maybe = (left == 0) & marked(state)
+                    rest.append((np.ones(int(maybe.sum()), np.int8), state[maybe], text[at_d[maybe]]))
+                    go = maybe | (left != 0)
+                    at_d, whole, left = at_d[go], whole[go], left[go]
+                    gain = extra.found(whole).astype(np.float64)
+                    maybe = (gain == 0) & marked(whole)
+                    rest.append((np.ones(int(maybe.sum()), np.int8), whole[maybe], text[at_d[maybe]]))
+                    score += np.bincount(text[at_d], left + gain, many)
                     live = np.zeros(len(place), bool)
                     live[at_d] = True
-                yield range(lo, hi), {
-                    "n_tokens": np.bincount(text[at], minlength=many), "n_known": np.bincount(text[at], c > 0, many).astype(np.int64), "base_score": base, "score": score,
-                }
-
-    return beside(docs, work, "n_tokens long, n_known long, base_score double, score double")
-
-
-def _by_join(docs: DataFrame, model: Model) -> DataFrame:
-    """Each text's keys, added up within it, meet the model's rows; keys of which there are many stay where they are."""
-    spark = docs.sparkSession
-    shared, depth = model.tokens + 0.5 * (model.distinct + 1), model.depth
-    bits = spark.sparkContext.broadcast(_filter(model.extra.select("key")))
-    row, asked = free(docs, "row", "asked")
-    own = docs.withColumn(row, F.monotonically_increasing_id())
-
-    def work(lists):
-        for texts in lists:
-            for lo, hi in chunks(texts):
-                keys, place, text = _sequences(texts[lo:hi], depth)
-                at = np.flatnonzero(place > 0)
-                kinds, every, owner = [np.zeros(len(at), np.int8)], [keys[0][at]], [text[at]]
-                for at_d, context, whole in _asked(keys, place, depth):
-                    state = _state(context)
-                    go = _marked(bits.value, state)
-                    at_d, state, whole = at_d[go], state[go], whole[go]
-                    seen = _marked(bits.value, whole)
-                    for k, t in ((state, text[at_d]), (whole[seen], text[at_d][seen])):
-                        kinds.append(np.ones(len(k), np.int8))
-                        every.append(k)
-                        owner.append(t)
-                kind, key, text_ = np.concatenate(kinds), np.concatenate(every), np.concatenate(owner)
-                order = np.lexsort((key, kind, text_))
-                kind, key, text_ = kind[order], key[order], text_[order]
-                new = np.flatnonzero(np.concatenate([[True], (text_[1:] != text_[:-1]) | (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])]))
-                n = np.diff(np.append(new, len(key)))
-                split = np.searchsorted(text_[new], np.arange(hi - lo + 1))
-                made = [[{"kind": int(a), "key": int(b), "n": int(m)} for a, b, m in zip(kind[new[x:y]], _signed(key)[new[x:y]], n[x:y])] for x, y in zip(split[:-1], split[1:])]
-                yield range(lo, hi), {"n_tokens": np.bincount(text[at], minlength=hi - lo), asked: made}
-
-    found = stored(beside(own, work, f"n_tokens long, {asked} array<struct<kind:int,key:bigint,n:bigint>>"), "asked")
-    rows = stored(found.select(F.col(row).alias("row"), F.explode(asked).alias("one")).select("row", "one.*"), "keys")
-    root = model.words.select(F.lit(0).alias("kind"), "key", F.log10((F.col("n") + 0.5) / F.lit(shared)).alias("value"), F.col("n").alias("size"))
-    table = stored(root.unionByName(model.extra.select(F.lit(1).alias("kind"), "key", F.col("value").cast("double").alias("value"), F.col("n").alias("size"))), "addends")
-    root_ = F.col("kind") == 0
-    sums = spread_join(rows, table, ["kind", "key"], "size").groupBy("row").agg(
-        F.sum(F.when(root_, F.col("n")).otherwise(0)).alias("n_known"), F.sum(F.when(root_, F.col("n") * F.col("value")).otherwise(0.0)).alias("base_score"), F.sum(F.col("n") * F.col("value")).alias("score")
+                out = {"n_tokens": np.bincount(text[at], minlength=many), "n_known": np.bincount(text[at], ~unknown, many).astype(np.int64), "base_score": base, "score": score}
+                if bits.value is not None:
+                    kind, key, owner = (np.concatenate(c) for c in zip(*rest))
+                    order = np.lexsort((key, kind, owner))
+                    kind, key, owner = kind[order], key[order], owner[order]
+                    new = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(kind, prepend=-1) != 0) | np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+                    at = pa.array(np.searchsorted(owner[new], np.arange(many + 1)).astype(np.int32))
+                    for name, column in ((KINDS, kind[new]), (KEYS, _signed(key)[new]), (TIMES, np.diff(np.append(new, len(key))))):
+                        out[name] = pa.ListArray.from_arrays(at, pa.array(column))
+                yield range(lo, hi), out
+
+    added = "n_tokens long, n_known long, base_score double, score double"
+    return beside(docs, work, added if rare is None else f"{added}, {KINDS} array<tinyint>, {KEYS} array<bigint>, {TIMES} array<bigint>")
+
+
+def _with_rare(docs: DataFrame, model: Model, least: int) -> DataFrame:
+    """The common part of the model is broadcast; keys of its rare part, of which no text has many, are joined."""
+    shared = model.tokens + 0.5 * (model.distinct + 1)
+    below = F.col("n") < least
+    root = model.words.where(below).select(F.lit(0).cast("tinyint").alias("kind"), "key", (F.log10((F.col("n") + 0.5) / F.lit(0.5))).alias("value"))
+    rare = stored(root.unionByName(model.extra.where(below).select(F.lit(1).cast("tinyint").alias("kind"), "key", F.col("value").cast("double").alias("value"))), "rare")
+    (row,) = free(docs, "row")
+    found = stored(_sums(docs.withColumn(row, F.monotonically_increasing_id()), model, least, rare), "sums")
+    asked = found.select(F.col(row).alias("row"), F.explode(F.arrays_zip(F.col(KINDS).alias("kind"), F.col(KEYS).alias("key"), F.col(TIMES).alias("times"))).alias("x")).select("row", "x.kind", "x.key", "x.times")
+    root_, n, v = F.col("kind") == 0, F.col("times"), F.col("value")
+    more = asked.join(rare, ["kind", "key"]).groupBy("row").agg(
+        F.sum(F.when(root_, n).otherwise(0)).alias("_known"), F.sum(F.when(root_, n * v).otherwise(0.0)).alias("_base"), F.sum(n * v).alias("_score")
     ).withColumnRenamed("row", row)
-    both = found.drop(asked).join(sums, row, "left")
-    unseen = (F.col("n_tokens") - F.coalesce("n_known", F.lit(0))) * F.log10(F.lit(0.5 / shared))
-    value = lambda c: (F.coalesce(c, F.lit(0.0)) + unseen).alias(c)
-    return both.select(*[c for c in docs.columns if c != "text"], "n_tokens", F.coalesce("n_known", F.lit(0)).cast("long").alias("n_known"), value("base_score"), value("score"))
+    both = found.drop(KINDS, KEYS, TIMES).join(more, row, "left")
+    plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
+    # a word that the common part does not hold was counted as unseen: its addend is over that
+    return both.select(*[c for c in docs.columns if c != "text"], "n_tokens", plus("n_known", "_known"), plus("base_score", "_base"), plus("score", "_score"))
 
 
 def scored(docs: DataFrame, model: Model, most: int = MOST_BROADCAST) -> DataFrame:
     """The columns of ``docs`` but ``text``, with n_tokens, n_known, base_score and score (log10) per row.
 
     One row per row of ``docs``, repeated rows too. Words are parted by ASCII white space, A-Z lower-cased, and told apart
-    by 64-bit hashes. Null and empty texts have one token, their end. A model above ``most`` rows is joined instead of
-    broadcast; the scores are the same up to rounding.
+    by 64-bit hashes. Null and empty texts have one token, their end. The ``most`` commonest rows of the model, at most, are
+    broadcast; the rest is joined with the keys of the texts that need it. Scores are the same up to rounding.
     """
     session(docs.sparkSession)
-    given = docs.drop("n_tokens", "n_known", "base_score", "score").withColumn("text", F.col("text").cast("binary"))
-    small = model.distinct + model.extra.count() <= most
-    return _by_broadcast(given, model) if small else _by_join(given, model)
+    given = docs.drop("n_tokens", "n_known", "base_score", "score", KINDS, KEYS, TIMES).withColumn("text", F.col("text").cast("binary"))
+    least = _common(model, most)
+    return _sums(given, model, 1, None) if least == 1 else _with_rare(given, model, least)
 
 
 def held_out(base: int, held: int) -> Column:

@@ -87,7 +87,7 @@ def test_scores_are_those_of_the_recursion(spark, rows, depth, cost):
     assert (model.tokens, model.distinct) == (plain.n, plain.v)
     want = sorted((str(r[0]), len(tokens(r[1])), sum(plain.c[w] > 0 for w in tokens(r[1])), sum(math.log10((plain.c[w] + 0.5) / (plain.n + 0.5 * (plain.v + 1))) for w in tokens(r[1])), plain.score(r[1])) for r in rows)
     assert len(plain.states) > 10 and (depth == 1 or any(len(s) == depth for s in plain.states))
-    for most in (10_000_000, 0):
+    for most in (10_000_000, 40, 0):
         scored = suffix_tree.scored(docs, model, most)
         assert scored.columns == ["doc_id", "row", "n_tokens", "n_known", "base_score", "score"]
         got = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.base_score, r.score) for r in scored.collect())
