@@ -229,11 +229,11 @@ def max_rank(design: DataFrame, residuals: DataFrame, coords: list[str], key: li
     return ranked.groupBy(*by, *key).agg(F.max(F.col("below") / F.col("n")).alias("score"))
 
 
-def max_rank_bounds(design: DataFrame, thresholds: DataFrame, coords: list[str], by: list[str] = (), mult: str | None = None) -> DataFrame:
+def max_rank_bounds(design: DataFrame, thresholds: DataFrame, coords: list[str], by: list[str] = (), mult: str | None = None, many: bool = False) -> DataFrame:
     """by, coord, q: what a max-rank threshold q (a share of design residuals strictly below) allows of each coordinate.
 
     The largest residual whose share strictly below is q or less: the first of a weight above q times the total; +inf
-    where q is 1 or more.
+    where q is 1 or more. With ``many`` a group has several thresholds, and ``rank`` tells which a row is of.
     """
     by = list(by)
     weight = F.col(mult) if mult else F.lit(1)
@@ -245,7 +245,8 @@ def max_rank_bounds(design: DataFrame, thresholds: DataFrame, coords: list[str],
     rows = seen.join(wanted, [*by, "coord"])
     # shares are quotients of whole numbers: weights are compared after rounding the product back
     above = F.col("seen") > F.round(F.col("q") * F.col("n"), 6)
-    return rows.groupBy(*by, "coord").agg(F.coalesce(F.min(F.when(above & (F.col("q") < 1), F.col("value"))), F.lit(INF)).alias("q"))
+    per = [*by, F.col("q").alias("rank")] if many else by
+    return rows.groupBy(*per, "coord").agg(F.coalesce(F.min(F.when(above & (F.col("q") < 1), F.col("value"))), F.lit(INF)).alias("q"))
 
 
 def choose_alpha(curves: DataFrame, by: str = "class", level: str = "alpha", value: str = "coverage", target: float = 0.9) -> DataFrame:
