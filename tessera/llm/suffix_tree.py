@@ -31,7 +31,9 @@ from .words import GOLDEN, U, chunks, mix
 #: Words of a context at most, occurrences it needs, and natural log units that each of its own predictions must earn.
 DEPTH, CONTEXT, COST = 2, 64, 2.0
 #: Rows of a model that are broadcast at most, the commonest ones, after a count: 12 to 16 bytes each.
-MOST_BROADCAST = 6_000_000
+MOST_BROADCAST = 1_000_000
+#: Contexts (a few numbers each) that are broadcast at most while a tree is fitted, after a count.
+MOST_STATES = 500_000
 #: Sequences that a task counts before it passes them on, and bits (as a power of two) of the filter over contexts.
 HELD, BITS = 2_000_000, 27
 #: A context that has one token in HOT (and LEAST_HOT at least) before it is dealt in SALTS parts, by what follows it.
@@ -160,22 +162,35 @@ def _counted(batches: Iterator[pa.RecordBatch], depth: int, bits: np.ndarray | N
         yield from passed()
 
 
+def _places(bits: int) -> tuple[int, ...]:
+    """By how much a key is shifted for its two places in a filter."""
+    return 0, 64 - (bits - 1).bit_length()
+
+
 def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & U(len(bits) * 64 - 1)
-    return (bits[(at >> U(6)).astype(np.int64)] >> (at & U(63)) & U(1)).astype(bool)
+    size, out = len(bits) * 64, True
+    for shift in _places(size):
+        at = keys >> U(shift) & U(size - 1)
+        out = out & (bits[(at >> U(6)).astype(np.int64)] >> (at & U(63)) & U(1)).astype(bool)
+    return out
 
 
 def _filter(keys: DataFrame) -> np.ndarray:
-    """A bitmap of a fixed largest size over the keys of a one-column frame. It lets few others through."""
+    """A bitmap of a fixed largest size over the keys of a one-column frame, two bits a key. It lets few others through."""
     key = keys.columns[0]
     bits = 1 << min(BITS, max(12, (16 * max(1, keys.count())).bit_length()))
-    place = F.col(key).bitwiseAND(F.lit(bits - 1))
-    words = keys.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("mask")).toArrow()
+    at = F.explode(F.array(*[F.shiftrightunsigned(F.col(key), shift).bitwiseAND(F.lit(bits - 1)) for shift in _places(bits)]))
+    words = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("mask")).toArrow()
     out = np.zeros(bits // 64, U)
     out[words["word"].to_numpy()] = words["mask"].to_numpy().view(U)
     return out
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows``, a stored frame, to be broadcast if a count finds MOST_STATES at most."""
+    return F.broadcast(rows) if rows.count() <= MOST_STATES else rows
+
+
 def teaching(docs: DataFrame, base: int, held: int) -> DataFrame:
     """Texts that may teach: the remainder of their hashed id is not ``held``. Rows without an id teach."""
     return docs.where(F.coalesce(remainder("doc_id", base) != held, F.lit(True))).select(F.col("text").cast("binary").alias("text"))
@@ -211,12 +226,13 @@ def fit(texts: DataFrame, depth: int = DEPTH, context: int = CONTEXT, cost: floa
         states = states.where(F.col("total") >= context)
         if suffixes is not None:
             states = states.join(suffixes, "before", "left_semi")
+        states = stored(states, f"candidates{level}")
         parent = known.select(F.col("key").alias("after"), F.col("p").alias("q"))
-        seen = own.where(F.col("after").isNotNull()).select("before", "after", "n").join(parent, "after").join(states, "before")
+        seen = own.where(F.col("after").isNotNull()).select("before", "after", "n").join(_small(states), "before").join(parent, "after")
         seen = stored(seen.withColumn("p", (F.col("n") - 1) / F.col("total") + F.col("left") * F.col("q")), f"predictions{level}")
         judged = seen.groupBy("before").agg(F.sum(F.col("n") * F.log(F.col("p") / F.col("q"))).alias("gain"), F.count("*").alias("own"), F.first("once").alias("once"), F.first("left").alias("left"), F.first("total").alias("n"))
         retained = stored(judged.where(F.col("gain") + F.col("once") * F.log("left") >= cost * (F.col("own") + 1)).select("before", "left", "n"), f"states{level}")
-        kept = seen.join(retained.select("before"), "before").withColumn("key", F.xxhash64("before", "after"))
+        kept = seen.join(_small(retained.select("before")), "before").withColumn("key", F.xxhash64("before", "after"))
         state = F.xxhash64("before", F.lit(state_))
         extra += [retained.select(state.alias("key"), F.log10("left").cast("float").alias("value"), "n"), kept.select("key", F.log10(F.col("p") / (F.col("left") * F.col("q"))).cast("float").alias("value"), "n")]
         if level < depth:
