@@ -11,9 +11,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
+import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import regex
@@ -32,8 +35,10 @@ SEPARATORS = regex.compile("[\x1c-\x1f]")
 WORD_END = "</w>"
 #: Marks that end a word's piece and are words of their own.
 ENDS = frozenset(".,;:!?")
+#: Tokens are packed with the one before them into one number: a vocabulary holds fewer than these.
+MOST_TOKENS = 1 << 20
 #: State of the empty prefix.
-NOTHING = (1 << 20) - 1
+NOTHING = MOST_TOKENS - 1
 
 
 def byte_characters() -> list[str]:
@@ -43,6 +48,31 @@ def byte_characters() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+@lru_cache(maxsize=4)
+def foreign(definition: str) -> str:
+    """A pattern of the characters that the vocabulary's rules may treat otherwise than this Python's Unicode tables.
+
+    Those without a meaning here, as vocabularies may follow newer tables, and the marks that its rules put into another
+    order among marks below, above and over a letter.
+    """
+    from tokenizers import Tokenizer
+
+    rules = Tokenizer.from_str(definition).normalizer
+    probes = [f"a{x}{{}}{y}" for x in ("", "\u0301", "\u0316", "\u0334", "\u0345") for y in ("", "\u0301", "\u0316", "\u0334", "\u0345")]
+    odd = []
+    for code in range(sys.maxunicode + 1):
+        kind = unicodedata.category(chr(code))
+        if kind == "Cn" or kind[0] == "M" and any(rules.normalize_str(p.format(chr(code))) != unicodedata.normalize("NFC", p.format(chr(code))) for p in probes):
+            odd.append(code)
+    ranges = []
+    for code in odd:
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in ranges)
+
+
 def _from_ends(vocab: dict[bytes, int]) -> tuple[dict[int, int], list[int]]:
     """The tokens as a trie read backwards: (node, byte) -> node, and the token of each node or -1."""
     nodes, tokens = {}, [-1]
@@ -61,11 +91,16 @@ def _from_ends(vocab: dict[bytes, int]) -> tuple[dict[int, int], list[int]]:
 class Bpe:
     """A word-level BPE vocabulary (lower case, white space dropped, word ends marked)."""
 
-    def __init__(self, definition: str, remembered: int = MOST_PIECES):
+    def __init__(self, definition: str, remembered: int = MOST_PIECES, odd: str | None = None):
         self.remembered = remembered
+        self.definition = definition
+        self.rules = None
+        self.foreign = re.compile(f"[{odd or foreign(definition)}]")
         spec = json.loads(definition)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.text = {i: t for t, i in vocab.items()}
+        if max(vocab.values(), default=0) >= NOTHING:
+            raise ValueError(f"a vocabulary holds fewer than {MOST_TOKENS} tokens")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.text |= {i: t for t, i in self.special.items()}
         back = {c: b for b, c in enumerate(byte_characters())}
@@ -167,7 +202,12 @@ class Bpe:
         return out[::-1]
 
     def words(self, piece: str) -> list[str]:
-        """The words of a piece between white space."""
+        """The words of a piece between white space.
+
+        Characters that this Python knows otherwise take the class, case and order that the vocabulary's own rules give them.
+        """
+        if not piece.isascii() and self.foreign.search(piece):
+            return self.words_by_rules(piece)
         low = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
         if low.isalpha():
             return [low]
@@ -175,6 +215,14 @@ class Bpe:
             return [low[:-1], low[-1]]
         return PIECE.findall(low)
 
+    def words_by_rules(self, piece: str) -> list[str]:
+        if self.rules is None:
+            from tokenizers import Tokenizer
+
+            self.rules = Tokenizer.from_str(self.definition)
+        low = self.rules.normalizer.normalize_str(piece)
+        return [low[a:b] for _, (a, b) in self.rules.pre_tokenizer.pre_tokenize_str(low)]
+
     def learn(self, pieces: set[str]) -> None:
         """Encode new pieces between white space; their words enter the trie in depth-first order."""
         split = self.words
@@ -216,11 +264,11 @@ class Bpe:
             self.known.clear()
 
 
-def _work(definition, name: str, remembered: int, digests: bool):
+def _work(definition, odd: str, name: str, remembered: int, digests: bool):
     sha = lambda x: hashlib.sha256(x).hexdigest()
 
     def work(lists):
-        bpe = kept(("bpe", name, remembered), lambda: Bpe(definition.value, remembered))
+        bpe = kept(("bpe", name, remembered), lambda: Bpe(definition.value, remembered, odd))
         try:
             for texts in lists:
                 for lo, hi in chunks(texts):
@@ -240,12 +288,12 @@ def encoded(docs: DataFrame, tokenizer_file: str, digests: bool = False, remembe
     """doc_id with ids (binary, little-endian uint32) and decoded text, or with their digests and n_tokens.
 
     One row per row of ``docs`` (doc_id, text; more may be there), repeated rows too. Null and empty
-    texts have no token; ids, null ones too, come back as they are. The strings of special tokens in a text become those tokens. The vocabulary file, of a fixed size,
-    is read on the driver and broadcast. ``remembered`` bounds a worker's memory; results do not depend on it.
+    texts have no token; ids, null ones too, come back as they are. The strings of special tokens in a text become those tokens.
+    The vocabulary file, of a fixed size, is read on the driver and broadcast. ``remembered`` bounds a worker's memory; results do not depend on it.
     """
     spark = session(docs.sparkSession)
     with open(tokenizer_file, encoding="utf-8") as f:
         text = f.read()
     definition = spark.sparkContext.broadcast(text)
     added = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded string"
-    return beside(docs.select("doc_id", "text"), _work(definition, hashlib.sha256(text.encode()).hexdigest(), remembered, digests), added)
+    return beside(docs.select("doc_id", "text"), _work(definition, foreign(text), hashlib.sha256(text.encode()).hexdigest(), remembered, digests), added)

@@ -762,3 +762,24 @@ def test_reputation_shrinks(spark):
     r = {x.host: x for x in urls.reputation(o, h).collect()}
     assert r["b.x.com"].bound > r["a.x.com"].bound and r["c.y.com"].mean < 0.2 < r["new.x.com"].mean and r["new.z.org"].n == 0
     assert all(0 <= x.bound <= x.mean <= 1 for x in r.values())
+
+
+def test_tokens_are_the_librarys_for_every_code_point():
+    """Every code point alone, between letters and before a mark, and random texts over all of them."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tessera.llm.bpe import Bpe
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), Bpe(open(path, encoding="utf-8").read(), 50_000)
+    library.no_truncation(), library.no_padding()
+    points, rng = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000], random.Random(1)
+    texts = [t for c in points for t in ("a" + c + "b",)] + points[::7] + ["1" + c + "́x" for c in points[::7]]
+    texts += ["".join(chr(rng.choice([rng.randrange(0x20, 0x3000), rng.randrange(0x20, 0xD800), rng.randrange(0x10000, 0x1FFFF)])) for _ in range(rng.randrange(1, 12))) for _ in range(100_000)]
+    for at in range(0, len(texts), 50_000):
+        part = texts[at : at + 50_000]
+        for text, want, (ids, _) in zip(part, library.encode_batch(part, add_special_tokens=False), own.encode_all(part)):
+            assert want.ids == np.frombuffer(ids, "<u4").tolist(), [hex(ord(c)) for c in text]
