@@ -25,13 +25,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, free, frugal, remainder, session, stored
+from .common import beside, free, frugal, remainder, session, stored, tidy
 from .words import GOLDEN, U, chunks, mix
 
 #: Words of a context at most, occurrences it needs, and natural log units that each of its own predictions must earn.
 DEPTH, CONTEXT, COST = 2, 64, 2.0
-#: Rows of a model that are broadcast at most, the commonest ones, after a count: 12 to 16 bytes each.
-MOST_BROADCAST = 1_000_000
+#: Rows of a model that are broadcast at most, the commonest ones, after a count: 12 bytes each, so 200 MB a worker.
+MOST_BROADCAST = 16_000_000
 #: Contexts (a few numbers each) that are broadcast at most while a tree is fitted, after a count.
 MOST_STATES = 500_000
 #: Sequences that a task counts before it passes them on, and bits (as a power of two) of the filter over contexts.
@@ -176,13 +176,27 @@ def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _filter(keys: DataFrame) -> np.ndarray:
-    """A bitmap of a fixed largest size over the keys of a one-column frame, two bits a key. It lets few others through."""
-    key = keys.columns[0]
-    bits = 1 << min(BITS, max(12, (16 * max(1, keys.count())).bit_length()))
-    at = F.explode(F.array(*[F.shiftrightunsigned(F.col(key), shift).bitwiseAND(F.lit(bits - 1)) for shift in _places(bits)]))
-    words = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("mask")).toArrow()
+    """A bitmap over the keys of a one-column frame, two bits a key, that lets few others through.
+
+    It has 2 ** BITS bits at most; of more keys than an eighth of those it would let most others through, so it lets all.
+    Tasks send packed places to the driver, a part at a time.
+    """
+    n = keys.count()
+    if n > 1 << (BITS - 3):
+        return np.full(1, 2**64 - 1, U)
+    bits = 1 << min(BITS, max(12, (16 * max(1, n)).bit_length()))
+    shifts = _places(bits)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column(0).to_numpy(zero_copy_only=False).view(U)
+            at = np.concatenate([own >> U(shift) & U(bits - 1) for shift in shifts]).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()], pa.binary())], names=["places"])
+
     out = np.zeros(bits // 64, U)
-    out[words["word"].to_numpy()] = words["mask"].to_numpy().view(U)
+    for row in keys.mapInArrow(pack, "places binary").toLocalIterator():
+        at = np.frombuffer(row.places, np.uint32)
+        np.bitwise_or.at(out, at >> 6, U(1) << (at & np.uint32(63)).astype(U))
     return out
 
 
@@ -228,7 +242,7 @@ def fit(texts: DataFrame, depth: int = DEPTH, context: int = CONTEXT, cost: floa
             states = states.join(suffixes, "before", "left_semi")
         states = stored(states, f"candidates{level}")
         parent = known.select(F.col("key").alias("after"), F.col("p").alias("q"))
-        seen = own.where(F.col("after").isNotNull()).select("before", "after", "n").join(_small(states), "before").join(parent, "after")
+        seen = own.where(F.col("after").isNotNull()).select("before", "after", "n").join(parent, "after").join(_small(states), "before")
         seen = stored(seen.withColumn("p", (F.col("n") - 1) / F.col("total") + F.col("left") * F.col("q")), f"predictions{level}")
         judged = seen.groupBy("before").agg(F.sum(F.col("n") * F.log(F.col("p") / F.col("q"))).alias("gain"), F.count("*").alias("own"), F.first("once").alias("once"), F.first("left").alias("left"), F.first("total").alias("n"))
         retained = stored(judged.where(F.col("gain") + F.col("once") * F.log("left") >= cost * (F.col("own") + 1)).select("before", "left", "n"), f"states{level}")
@@ -275,12 +289,18 @@ class Table:
 
 
 def _collected(rows: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their values, in as few bytes as hold them."""
     t = rows.select("key", value).toArrow()
-    keys, values = t["key"].to_numpy().view(U), t[value].to_numpy()
+    values = t[value].to_numpy()
     if value == "n" and len(values):
         values = values.astype(np.min_scalar_type(int(values.max())))
+    keys = t["key"].to_numpy().view(U)
+    del t
+    tidy()
     order = np.argsort(keys)
-    return keys[order], values[order]
+    keys = keys[order]
+    values = values[order]
+    return keys, values
 
 
 def _common(model: Model, most: int) -> int:
