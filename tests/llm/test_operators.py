@@ -783,3 +783,20 @@ def test_tokens_are_the_librarys_for_every_code_point():
         part = texts[at : at + 50_000]
         for text, want, (ids, _) in zip(part, library.encode_batch(part, add_special_tokens=False), own.encode_all(part)):
             assert want.ids == np.frombuffer(ids, "<u4").tolist(), [hex(ord(c)) for c in text]
+
+
+def test_copies_of_vectors_come_in_bounded_frames():
+    """Vectors without structure visit nearly every cell; their copies are still made a few at a time."""
+    from tessera.llm import metric_join as mj
+
+    rng = np.random.default_rng(0)
+    pivots, x = mj.unit(list(rng.normal(size=(512, 16)))), mj.unit(list(rng.normal(size=(2000, 16))))
+    b = pd.DataFrame({"embedding": list(x), "rep": np.arange(2000), "times": 1, "h": rng.integers(0, 1 << 40, 2000)})
+    home = next(mj._home(iter([b]), pivots))
+    size, radius = np.bincount(home.cell, minlength=512), np.zeros(512)
+    np.maximum.at(radius, home.cell, home.angle)
+    plan = mj.Plan(pivots, radius)
+    guests = next(mj._guests(iter([home]), plan)).n.to_numpy()
+    frames = list(mj._spread(iter([home]), plan.sized(size * 5_000, guests)))
+    most = int((plan.loads[home.cell] + plan.parts[home.cell] + plan.visits(x, home.cell.to_numpy(), home.angle.to_numpy()) @ plan.parts).max())
+    assert max(map(len, frames)) <= mj.FRAME + most and len(frames) > 10 and sum(map(len, frames)) > 20 * mj.FRAME
