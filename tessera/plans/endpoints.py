@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
+from ..functions.enclosures import angle_interval
 from ..operators import coverage as C
 from ..operators import endpoints as E
 from ..operators import readouts as G
@@ -102,6 +103,27 @@ def class_metrics(spark, sf_dir):
     return _rounded(E.class_metrics(p, d, _counts(spark, sf_dir), _sources(spark, sf_dir).where("role = 'eval'"), q, support))
 
 
+def _enclosed(spark, sf_dir):
+    q = T.class_thresholds(gwd_scores(spark, sf_dir).where("role = 'cal'"), 0.1, "hcp").select("class", F.col("q_hat").alias("q"))
+    d = B.canonical(F.col("obb"))
+    return detections(spark, sf_dir).join(F.broadcast(q), "class").withColumn("arc", angle_interval(d["w"], d["h"], F.col("q")))
+
+
+@query(f"""with {SCORES}, {HCP}, d as (select o."class", {_HALF} as half, q >= (plw - plh) / (2 * sqrt(2)) as whole from objects o join hcp h on o."class" = h."class" where has_det)
+    select "class", count(*)::bigint as n, round(avg(half), 6) as lower, round(avg(half), 6) as upper, count(*) filter (whole)::bigint as whole from d group by "class" """)
+def angle_enclosures(spark, sf_dir):
+    """Doubles that enclose every detection's half width, and exactly decided full sets."""
+    a = F.col("arc")
+    return _rounded(_enclosed(spark, sf_dir).groupBy("class").agg(F.count("*").alias("n"), F.avg(a["lower"]).alias("lower"), F.avg(a["upper"]).alias("upper"), F.count_if(a["full"]).alias("whole")))
+
+
+@query()
+def angle_exact_rows(spark, sf_dir):
+    """How many rows the cascade leaves to whole numbers, and how wide the enclosures are at most, in neighbouring doubles."""
+    a = F.col("arc")
+    return _enclosed(spark, sf_dir).groupBy("class").agg(F.count("*").alias("n"), F.count_if(a["exact"]).alias("exact"), F.avg(a["exact"].cast("double")).alias("share"), F.max((a["upper"] - a["lower"]) / a["upper"]).alias("widest"))
+
+
 _METRICS = ("finite", "bounded", "center_defined", "normalized_radius", "angle_defined", "informative", "full", "angle_length", "half_width", "joint", "near_square", "middle", "elongated", "seam", "off_seam")
 
 
