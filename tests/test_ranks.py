@@ -101,22 +101,29 @@ def test_matched_level_against_bisection(spark, n, target):
     assert abs(got.alpha - best) < 1e-9 and math.isclose(got.coverage, coverage(best)) and got.n == n
 
 
-@pytest.mark.parametrize("limit", [0, 500_000])
-def test_splits_on_both_sides_of_the_limit(spark, monkeypatch, limit):
-    monkeypatch.setattr(splits, "MOST_SCENES", limit)
+@pytest.mark.parametrize("law", [splits.STREAMS, splits.HASHES])
+def test_splits_of_either_law(spark, monkeypatch, law):
     names = [f"s{i:03}" for i in range(50)]
     scenes = spark.createDataFrame([(x,) for x in names], "scene_id string")
-    out = splits.repeated(spark, scenes, 3).collect()
+    out = splits.repeated(spark, scenes, 3, law).collect()
     for repeat in range(3):
         own = {r.scene_id: r.role for r in out if r["repeat"] == repeat}
         assert sorted(own) == names and Counter(own.values()) == {"calibration": 20, "matching": 10, "eval": 20}
-        assert limit == 0 or own == splits.three_way(names, repeat)
+        assert law == splits.HASHES or own == splits.three_way(names, repeat)
     assert len({tuple(sorted((r.scene_id, r.role) for r in out if r["repeat"] == k)) for k in range(3)}) == 3
     roles = spark.createDataFrame([(x, "cal" if i < 30 else "eval") for i, x in enumerate(names)], "scene_id string, role string")
-    draws = splits.resampled(spark, roles, 40, 7).toPandas().merge(roles.toPandas())
+    draws = splits.resampled(spark, roles, 40, 7, law).toPandas().merge(roles.toPandas())
     assert (draws.groupby(["draw", "role"])["mult"].sum().unstack() == [30, 20]).all().all()
     kept = draws.groupby(["draw", "role"]).size().unstack() / [30, 20]
     assert 0.55 < kept.mean().mean() < 0.72  # 1 - 1/e of the scenes on average
+    # the size of a table never picks the law: streams over too many ids are an error
+    monkeypatch.setattr(splits, "MOST_SCENES", 49)
+    for draw in (lambda: splits.repeated(spark, scenes, 3, law), lambda: splits.resampled(spark, roles, 2, 7, law)):
+        if law == splits.HASHES:
+            draw()
+        else:
+            with pytest.raises(splits.SplitError, match="too many"):
+                draw()
     hashed = splits.hash_roles(scenes, "p").collect()
     assert Counter(r.role for r in hashed) == {"calibration": 25, "eval": 25}
 
