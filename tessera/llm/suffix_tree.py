@@ -32,6 +32,8 @@ from .words import GOLDEN, U, chunks, mix
 DEPTH, CONTEXT, COST = 2, 64, 2.0
 #: Rows of a model that are broadcast at most, the commonest ones, after a count: 12 bytes each, so 200 MB a worker.
 MOST_BROADCAST = 16_000_000
+#: They pass through the driver and are broadcast in pieces, by so many first bits of their keys.
+PIECE_BITS = 3
 #: Contexts (a few numbers each) that are broadcast at most while a tree is fitted, after a count.
 MOST_STATES = 500_000
 #: Sequences that a task counts before it passes them on, and bits (as a power of two) of the filter over contexts.
@@ -263,18 +265,21 @@ def fit(texts: DataFrame, depth: int = DEPTH, context: int = CONTEXT, cost: floa
 
 
 class Table:
-    """Sorted keys with their values, looked up many at a time: a key's leading bits say where its bucket begins."""
+    """Sorted keys with their values, looked up many at a time: a key's leading bits, but the first ``skip``, say where its bucket begins."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.keys, self.values = keys, values
+    def __init__(self, keys: np.ndarray, values: np.ndarray, skip: int = 0):
+        self.keys, self.values, self.skip = keys, values, U(skip)
         self.shift = U(64 - max(1, len(keys).bit_length()))
-        sizes = np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << (64 - int(self.shift)))
+        sizes = np.bincount(self._bucket(keys), minlength=1 << (64 - int(self.shift)))
         self.start = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32 if len(keys) < 2**31 else np.int64)
 
+    def _bucket(self, keys: np.ndarray) -> np.ndarray:
+        return (keys << self.skip >> self.shift).astype(np.int64)
+
     def found(self, keys: np.ndarray) -> np.ndarray:
         """The value of each key, 0 where there is none."""
         out = np.zeros(len(keys), self.values.dtype)
-        bucket = (keys >> self.shift).astype(np.int64)
+        bucket = self._bucket(keys)
         at, end = self.start[bucket], self.start[bucket + 1]
         live = np.flatnonzero(at < end)
         at, end, wanted = at[live], end[live], keys[live]
@@ -288,19 +293,34 @@ class Table:
         return out
 
 
-def _collected(rows: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and their values, in as few bytes as hold them."""
-    t = rows.select("key", value).toArrow()
-    values = t[value].to_numpy()
-    if value == "n" and len(values):
-        values = values.astype(np.min_scalar_type(int(values.max())))
-    keys = t["key"].to_numpy().view(U)
-    del t
-    tidy()
-    order = np.argsort(keys)
-    keys = keys[order]
-    values = values[order]
-    return keys, values
+class Pieces:
+    """A table in 2 ** PIECE_BITS pieces by the keys' first bits."""
+
+    def __init__(self, tables: list[Table]):
+        self.tables = tables
+
+    def found(self, keys: np.ndarray) -> np.ndarray:
+        out, piece = np.zeros(len(keys)), keys >> U(64 - PIECE_BITS)
+        for i, t in enumerate(self.tables):
+            at = np.flatnonzero(piece == U(i))
+            out[at] = t.found(keys[at])
+        return out
+
+
+def _pieces(rows: DataFrame, value: str) -> list:
+    """The rows' sorted keys and values as broadcasts; the driver holds one piece at a time."""
+    out = []
+    for i in range(1 << PIECE_BITS):
+        t = rows.where(F.shiftrightunsigned("key", 64 - PIECE_BITS) == i).select("key", value).toArrow()
+        values, keys = t[value].to_numpy(), t["key"].to_numpy().view(U)
+        del t
+        if value == "n" and len(values):
+            values = values.astype(np.min_scalar_type(int(values.max())))
+        order = np.argsort(keys)
+        out.append(rows.sparkSession.sparkContext.broadcast((keys[order], values[order])))
+        del keys, values, order
+        tidy()
+    return out
 
 
 def _common(model: Model, most: int) -> int:
@@ -331,12 +351,12 @@ def _sums(docs: DataFrame, model: Model, least: int, rare: DataFrame) -> DataFra
     """
     spark = docs.sparkSession
     common = lambda rows: rows.where(F.col("n") >= least)
-    tables = spark.sparkContext.broadcast((_collected(common(model.words), "n"), _collected(common(model.extra), "value")))
+    held = _pieces(common(model.words), "n"), _pieces(common(model.extra), "value")
     bits = spark.sparkContext.broadcast(None if rare is None else _filter(rare.select("key")))
     shared, depth = model.tokens + 0.5 * (model.distinct + 1), model.depth
 
     def work(lists):
-        words, extra = (Table(*t) for t in tables.value)
+        words, extra = (Pieces([Table(*p.value, PIECE_BITS) for p in pieces]) for pieces in held)
         marked = lambda keys: np.zeros(len(keys), bool) if bits.value is None else _marked(bits.value, keys)
         for texts in lists:
             for lo, hi in chunks(texts):
