@@ -67,6 +67,17 @@ SENTENCES = {
     "cc0-dedicated": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
     "cc0-waived": "To the extent possible under law, <> has waived all copyright and related or neighboring rights to <>.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    "bsd-style": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "public-domain": "This work is in the public domain.",
+    "public-domain-placed": "This file is in the public domain.",
+    "public-domain-released": "Released into the public domain.",
+    "gpl3-body": "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    "gpl3-freedom": "The licenses for most software and other practical works are designed to take away your freedom to share and change the works.",
+    "gpl2-body": "The licenses for most software are designed to take away your freedom to share and change it.",
+    "gpl-copies": "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "apache-body": "\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.",
+    "apache-licensor": "\"Licensor\" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License.",
+    "mpl2-body": "\"Covered Software\" means Source Code Form to which the initial Contributor has attached the notice in Exhibit A, the Executable Form of such Source Code Form, and Modifications of such Source Code Form, in each case including portions thereof.",
     "all-rights": "All rights reserved.",
 }
 RULES = [
@@ -85,18 +96,26 @@ RULES = [
     ("BSD", ("all-rights", "bsd-allowed")), ("BSD", ("bsd-allowed",)),
     ("Zlib", ("zlib-as-is", "zlib-liability", "zlib-grant", "zlib-origin", "zlib-thanks", "zlib-altered", "zlib-notice")), ("Zlib", ("zlib-grant",)),
     ("BSL-1.0", ("boost-grant",)), ("MPL-2.0", ("mpl2-subject", "mpl2-copy")), ("MPL-2.0", ("mpl2-subject",)), ("EPL-2.0", ("epl2-terms",)), ("EPL-1.0", ("epl1-terms",)),
-    ("CC0-1.0", ("cc0-dedicated",)), ("CC0-1.0", ("cc0-waived",)), ("Unlicense", ("unlicense",)), ("All-rights-reserved", ("all-rights",)),
+    ("CC0-1.0", ("cc0-dedicated",)), ("CC0-1.0", ("cc0-waived",)), ("Unlicense", ("unlicense",)), ("BSD", ("bsd-style",)),
+    ("Public-Domain", ("public-domain",)), ("Public-Domain", ("public-domain-placed",)), ("Public-Domain", ("public-domain-released",)), ("GPL-3.0", ("gpl-copies", "gpl3-body", "gpl3-freedom")), ("GPL-3.0", ("gpl3-body",)),
+    ("GPL-2.0", ("gpl-copies", "gpl2-body")), ("GPL-2.0", ("gpl2-body",)), ("GPL-3.0", ("gpl3-freedom",)), ("GNU", ("gpl-copies",)), ("Apache-2.0", ("apache-body", "apache-licensor")), ("Apache-2.0", ("apache-body",)), ("Apache-2.0", ("apache-licensor",)), ("MPL-2.0", ("mpl2-body",)),
+    ("All-rights-reserved", ("all-rights",)),
 ]
 # How texts name a licence after "under the".
 NAMES = {
     "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"), "MIT": ("MIT License", "MIT"), "ISC": ("ISC License",), "Zlib": ("zlib License",),
+    "GPL-3.0-or-later": ("GNU General Public License, version 3 or later", "GNU GPL v3 or later", "GPLv3+"), "GPL-2.0-or-later": ("GNU General Public License, version 2 or later", "GNU GPL v2 or later", "GPLv2+"),
     "GPL-3.0": ("GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPLv3", "GPLv3"), "GPL-2.0": ("GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPLv2", "GPLv2"),
     "LGPL-3.0": ("GNU Lesser General Public License, version 3", "GNU LGPLv3", "LGPLv3"), "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "GNU LGPLv2.1", "LGPLv2.1"),
     "AGPL-3.0": ("GNU Affero General Public License, version 3", "GNU AGPLv3", "AGPLv3"), "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License"), "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License"),
     "BSD": ("BSD License",), "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License, version 2.0"), "EPL-2.0": ("Eclipse Public License 2.0",), "BSL-1.0": ("Boost Software License, Version 1.0",), "Unlicense": ("Unlicense",),
 }
 # Statements around a name, the elements of Creative Commons licences, and SPDX identifiers beside the licences above.
-STATEMENTS = [f"{how} under the {terms}{{}}." for terms in ("", "terms of the ") for how in ("Released", "Licensed", "Distributed", *(f"This {what} is {done}" for what in ("work", "project", "software", "program", "code", "file") for done in ("licensed", "released", "distributed")))]
+_HOW = ("Released", "Licensed", "Distributed", *(f"This {what} is {done}" for what in ("work", "project", "software", "program", "code", "file") for done in ("licensed", "released", "distributed")))
+STATEMENTS = [f"{how} under {terms}{{}}." for how in _HOW for terms in ("", "the ", "the terms of the ")]
+#: Where a statement about a project goes on.
+POINTERS = ("see the LICENSE file for details", "see the LICENSE file for more details", "see LICENSE for details", "see the [LICENSE](LICENSE) file for details", "see the [LICENSE.md](LICENSE.md) file for details", "see [LICENSE](LICENSE)")
+STATEMENTS += [f"This project is {done} under the {{}} - {where}." for done in ("licensed", "released") for where in POINTERS]
 COMMONS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
 SPDX = ["GPL-2.0", "GPL-3.0", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "AGPL-3.0-only", "MIT-0", "BSD-1-Clause", "Artistic-2.0", "WTFPL", "PostgreSQL", "Python-2.0", "OFL-1.1"]
 
@@ -112,7 +131,9 @@ def _stated() -> Iterator[tuple[str, str, str]]:
             for form in (f"a Creative Commons {name} {where} License", f"the Creative Commons {name} {where} License", f"the Creative Commons {name} {version} License", f"CC {code} {version}"):
                 for how in ("This work is licensed", "Licensed", "Released"):
                     yield f"CC-{code}-{version}", f"CC-{code}-{version}-named", f"{how} under {form}."
-    for licence in sorted({x for x, _ in RULES} - {"All-rights-reserved", "BSD"}) + SPDX + [f"CC-{c}-{v}" for c in COMMONS for v in ("3.0", "4.0")]:
+        for how in ("This work is licensed", "Licensed", "Released"):
+            yield f"CC-{code}", f"CC-{code}-named", f"{how} under CC {code}."
+    for licence in sorted(({x for x, _ in RULES} | set(SPDX)) - {"All-rights-reserved", "BSD", "GNU", "Public-Domain"}) + [f"CC-{c}-{v}" for c in COMMONS for v in ("3.0", "4.0")]:
         yield licence, f"spdx-{licence}", f"SPDX-License-Identifier: {licence}"
 
 
@@ -125,6 +146,21 @@ def catalogue_rules() -> list[tuple[str, tuple[str, ...]]]:
     return RULES + list(dict.fromkeys((licence, (name,)) for licence, name, _ in _stated()))
 
 
+#: An SPDX line whose expression names more than one licence or an exception.
+_SPDX = re.compile(r"(?im)^(.*?SPDX-License-Identifier:)[ \t]*(\(?[\w.+-]+\)?(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[\w.+-]+\)*)+)(.*)$")
+
+
+def plain_spdx(text: str) -> str:
+    """SPDX expressions as a line for each licence that they name; exceptions after WITH name none. ``+`` means or later."""
+
+    def lines(m: re.Match) -> str:
+        parts = re.split(r"[ \t]+(?:AND|OR)[ \t]+", re.sub(r"[ \t]+WITH[ \t]+[()]*[\w.+-]+", "", m.group(2), flags=re.I), flags=re.I)
+        names = [p.strip("()") for p in parts]
+        return "\n".join(f"{m.group(1)} {n[:-1] + '-or-later' if n.endswith('+') else n}" for n in names) + (f"\n{m.group(3)}" if m.group(3).strip() else "")
+
+    return _SPDX.sub(lines, text) if "spdx" in text.lower() else text
+
+
 _END = re.compile(r"[.!?;](?=\s|$)|\n(?:[^\w\n]|_)*(?=\n)")
 _COLON = re.compile(r":(?=\s|$)")
 _WORD = re.compile(r"[a-z0-9]+")
@@ -190,7 +226,8 @@ class Catalogue:
         return sorted(set(out), reverse=True)
 
     def identify(self, text: str) -> list[str | None]:
-        """The identifier of each sentence in order, None where it is unknown."""
+        """The identifier of each sentence in order, None where it is unknown. An SPDX expression is a sentence for each licence."""
+        text = plain_spdx(text)
         words: list[str] = []
         begins, ends, colons, lines = [], set(), set(), set()  # where lines and sentences begin, where these end
         start = 0

@@ -800,3 +800,20 @@ def test_copies_of_vectors_come_in_bounded_frames():
     frames = list(mj._spread(iter([home]), plan.sized(size * 5_000, guests)))
     most = int((plan.loads[home.cell] + plan.parts[home.cell] + plan.visits(x, home.cell.to_numpy(), home.angle.to_numpy()) @ plan.parts).max())
     assert max(map(len, frames)) <= mj.FRAME + most and len(frames) > 10 and sum(map(len, frames)) > 20 * mj.FRAME
+
+
+def test_licences_of_common_lines_expressions_and_bodies():
+    catalogue = licenses.Catalogue(licenses.catalogue_sentences(), licenses.catalogue_rules())
+    got = lambda t: [m[0] for m in catalogue.licences(catalogue.identify(t))] if catalogue.may_hold(t) else []
+    want = {
+        "This project is licensed under the MIT License - see the LICENSE file for details.": ["MIT"], "Title\nThis project is licensed under the MIT License - see the [LICENSE.md](LICENSE.md) file for details\n": ["MIT"], "Licensed under MIT.": ["MIT"],
+        "# SPDX-License-Identifier: MIT OR Apache-2.0\ncode": ["MIT", "Apache-2.0"], "// SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) AND MIT": ["GPL-2.0-only", "MIT"], "/* SPDX-License-Identifier: LGPL-2.1-or-later WITH X OR BSD-3-Clause */": ["LGPL-2.1-or-later", "BSD-3-Clause"],
+        "SPDX-License-Identifier: GPL-2.0+ OR MIT": ["GPL-2.0-or-later", "MIT"], "This program is distributed under the GNU General Public License, version 3 or later.": ["GPL-3.0-or-later"],
+        "Use of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file.": ["BSD"], "Licensed under CC BY-SA.": ["CC-BY-SA"], "This work is in the public domain.": ["Public-Domain"],
+        "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nEveryone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.\n\nPreamble\n\n"
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works.\n\nThe licenses for most software and other practical works are designed to take away your freedom to share and change the works.": ["GPL-3.0"],
+        "1. Definitions.\n\n\"License\" shall mean the terms and conditions for use, reproduction,\nand distribution as defined by Sections 1 through 9 of this document.\n\n\"Licensor\" shall mean the copyright owner or entity authorized by\nthe copyright owner that is granting the License.": ["Apache-2.0"],
+        "The MIT license is short. We talk about public domain books, or about GPL and MIT.": [], "SPDX-License-Identifier: Unknown-1.0 OR Other": [],
+    }
+    for text, licences in want.items():
+        assert got(text) == licences, text
