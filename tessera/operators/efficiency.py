@@ -53,7 +53,7 @@ def efficiency(pairs: DataFrame, splits: DataFrame, names: list[str], reference:
     rows = stored(rows, "split_scores")
     by = ["repeat", "score", "class"]
     cal = rows.where("role = 'calibration'").select(*by, "scene", F.lit(1).alias("mult"), F.size("v").alias("d"), F.posexplode("v").alias("i", "value"))
-    grid = level_grid(cal, spark.createDataFrame([(n, "hcp") for n in names], "score string, mode string"), by)
+    grid = level_grid(cal, spark.createDataFrame([(n, "hcp") for n in names], "score string, mode string"), by, ("hcp",))
     grid = stored(grid.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "qs"))), lambda x: x["qs"]).alias("grid")), "split_levels")
     # thresholds fall with the level, so what a pair passes is a prefix of the levels
     passed = F.array_min(F.zip_with("grid", "v", lambda g, x: F.size(F.filter(g, lambda q: q >= x))))

@@ -52,10 +52,10 @@ def scored(pairs: DataFrame, names: list[str], digits: int | None = None) -> Dat
     return pairs.select("id", "scene", "class", "role", "pred", "gt", F.explode(F.array(*made)).alias("s")).select("id", "scene", "class", "role", "pred", "gt", "s.*")
 
 
-def level_grid(cal: DataFrame, modes: DataFrame, by: list[str]) -> DataFrame:
+def level_grid(cal: DataFrame, modes: DataFrame, by: list[str], kinds: tuple[str, ...] = MODES) -> DataFrame:
     """by, mode, i, qs: the thresholds of all LEVELS for the coordinate i of d, largest first; +inf where no value reaches.
 
-    ``cal``: by, scene, mult, i, d, value; ``modes``: score, mode (``by`` holds score). With d coordinates the levels of
+    ``cal``: by, scene, mult, i, d, value; ``modes``: score, mode (``by`` holds score), of ``kinds`` only. With d coordinates the levels of
     'hcp' and 'object' are divided by d; 'linear' interpolates between objects and never divides.
     """
     keys = [*by, "i", "d"]
@@ -64,9 +64,10 @@ def level_grid(cal: DataFrame, modes: DataFrame, by: list[str]) -> DataFrame:
     mass = cal.join(sizes.select(*by, "scene", "m"), [*by, "scene"]).groupBy(*keys, "value").agg(F.sum("mult").alias("c"), F.round(F.sum(F.col("mult") / F.col("m")), 12).alias("share"))
     seen = running(mass, keys, "value", objects_seen="c", shares_seen="share").join(totals, by)
     first = lambda reached: F.coalesce(F.min(F.when(reached, F.col("value"))), F.lit(INF))
+    seen = stored(seen, "running") if len(kinds) > 1 else seen
     parts = F.lit(LEVEL_PARTS) * F.col("d")
     out = None
-    for mode in MODES:
+    for mode in kinds:
         own = seen.join(F.broadcast(modes.where(F.col("mode") == mode).select("score")), "score", "left_semi")
         if mode == "hcp":
             qs = [first(F.col("shares_seen") >= (F.col("scenes") + 1) * (parts - a) / parts - SLACK) for a in LEVELS]
@@ -100,6 +101,7 @@ class Cell:
         table = table or arms()
         self.roster = roster.select("class")
         self.names = sorted({score for _, score, _ in table})
+        self.kinds = tuple(m for m in MODES if any(mode == m for _, _, mode in table))
         self.fixed = stored(scored(pairs, self.names, digits), "cell_scores")
         wrapped = B.wrapped_residuals(F.col("pred"), F.col("gt"))
         self.residuals = stored(pairs.select("id", "scene", "class", "role", "pred", "gt", *[_digits(wrapped[c], digits).alias(c) for c in COORDS]), "residuals")
@@ -128,7 +130,7 @@ class Cell:
     def _grid(self, every: DataFrame, ids: DataFrame) -> DataFrame:
         """draw, arm, score, class, grid: an array of level thresholds for every coordinate."""
         cal = every.where("role = 'cal'").select("draw", "score", "class", "scene", "mult", "d", F.posexplode("v").alias("i", "value"))
-        found = level_grid(cal, self.arms, ["draw", "score", "class"]).groupBy("draw", "score", "mode", "class").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "qs"))), lambda x: x["qs"]).alias("grid"))
+        found = level_grid(cal, self.arms, ["draw", "score", "class"], self.kinds).groupBy("draw", "score", "mode", "class").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "qs"))), lambda x: x["qs"]).alias("grid"))
         cells = ids.crossJoin(F.broadcast(self.arms)).crossJoin(F.broadcast(self.roster))  # a row for each threshold asked for
         sizes = F.lit(1)
         for name, f in VECTORS.items():
