@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..sources.scratch import stored
-from .functional import COORDS, FIXED, LEVEL_PARTS, LEVELS, RANK, _digits, level_grid, scored
+from .functional import COORDS, LEVEL_PARTS, LEVELS, RANK, _digits, level_grid, scored
 from .thresholds import max_rank, max_rank_bounds
 
 #: Evaluation boxes that are sized in each split: the feature, a seeded sample.

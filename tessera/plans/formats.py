@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import arrow as AR
 from ..functions import boxes as B
 from ..functions import names as N
 from ..operators import audit as A
