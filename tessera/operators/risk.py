@@ -216,6 +216,8 @@ def tolerance_rank(n: int, coverage: float, delta: float) -> int | None:
 
     p, d = Fraction(repr(coverage)), Fraction(repr(delta))
     a, b = p.numerator, p.denominator
+    if n > EXACT_TRIALS and 0 < p < 1 and 0 < d < 1 and (k := _tolerance_rank(n, p, 1 - d)) is not None:
+        return k if k <= n else None
     total, bound = 0, (1 - d) * b**n
     for k in range(n + 1):  # P(X <= k - 1) >= 1 - delta, X ~ Bin(n, coverage)
         if total >= bound:
@@ -224,6 +226,41 @@ def tolerance_rank(n: int, coverage: float, delta: float) -> int | None:
     return None
 
 
+#: Trials from which on a rank is sought in fixed point, and the bits behind the point.
+EXACT_TRIALS, RANK_BITS = 500, 320
+
+
+def _tolerance_rank(n: int, p, level) -> int | None:
+    """``tolerance_rank`` (n + 1: there is none) from probabilities in units of that of the mode, some 21 standard deviations to either side.
+
+    Terms fall away from the mode and each step floors one, so a term lacks no more units than it is steps away; so do the
+    up to n terms behind the last whole unit. A comparison within the sum of all that is not decided here: None.
+    """
+    a, c = p.numerator, p.denominator - p.numerator
+    mode = min(n, int((n + 1) * p))
+    one = 1 << RANK_BITS
+    down, w, k = [], one, mode
+    while k > 0 and w:
+        w = w * k * c // ((n - k + 1) * a)
+        k -= 1
+        down.append(w)
+    up, w, k = [one], one, mode
+    while k < n and w:
+        w = w * (n - k) * a // ((k + 1) * c)
+        k += 1
+        up.append(w)
+    off = 2 * (n + 1) * (len(down) + len(up))
+    total, seen, first = sum(down) + sum(up), 0, mode - len(down)
+    num, den = level.numerator, level.denominator
+    for i, w in enumerate([*reversed(down), *up]):
+        seen += w  # P(X <= first + i)
+        if seen * den >= (total + off) * num:
+            return first + i + 1
+        if (seen + off) * den >= total * num:
+            return None
+    return None
+
+
 def sign_test(wins: int, losses: int) -> float:
     """Exact two-sided sign test; ties are dropped before."""
     n = wins + losses

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxes import box, overlap_area
+from ..sources.scratch import stored
 from .ranks import numbered, running
 from .risk import binomial_cdf, tolerance_rank
 
@@ -82,7 +83,7 @@ def representatives(scores: DataFrame, by: list[str], seed: int, miss: float = 0
     keys = [f"key{i}" for i in range(len(by))]
     sets = scores.where("mult > 0").groupBy(*by, "scene").agg(F.array_sort(F.collect_list("score")).alias("scores"), F.first("mult").alias("mult"))
     kinds = ", ".join(f"`{k}` {scores.schema[k].dataType.simpleString()}" for k in by)
-    drawn = sets.select(*[F.col(k).alias(n) for k, n in zip(by, keys)], "scene", "scores", "mult").mapInPandas(draw, f"{kinds}, score double")
+    drawn = stored(sets.select(*[F.col(k).alias(n) for k, n in zip(by, keys)], "scene", "scores", "mult").mapInPandas(draw, f"{kinds}, score double"), "representatives")
     counts = drawn.groupBy(*by).agg(F.count("*").alias("n"))
     ranks = {r.n: tolerance_rank(r.n, 1 - miss, delta) for r in counts.select("n").distinct().collect()}
     table = scores.sparkSession.createDataFrame([(n, k) for n, k in ranks.items()] or [(0, None)], "n long, rank long")
