@@ -20,3 +20,17 @@ def test_tolerance_rank_of_many_trials(monkeypatch):
         found[least] = [risk.tolerance_rank(*c) for c in cases]
     risk.tolerance_rank.cache_clear()
     assert found[0] == found[10**9] and None in found[0]
+
+
+def test_samples_of_any_number_of_scenes(spark, monkeypatch):
+    from tessera.operators import splits
+    from tessera.plans import catalog
+
+    monkeypatch.setattr(splits, "MOST_SCENES", 10)
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey").distinct().count()
+    cal, match = splits.sizes(n)
+    got = {(r["repeat"], r.role): r.scenes for r in catalog.repeated_splits(spark, sf).collect()}
+    assert got == {(k, role): c for k in range(5) for role, c in zip(splits.ROLES, (cal, match, n - cal - match))}
+    drawn = catalog.resampled_scenes(spark, sf).collect()
+    assert len(drawn) == 10 and all(r.copies == n and 0.55 * n < r.scenes < 0.72 * n for r in drawn)
