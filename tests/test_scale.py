@@ -34,3 +34,48 @@ def test_samples_of_any_number_of_scenes(spark, monkeypatch):
     assert got == {(k, role): c for k in range(5) for role, c in zip(splits.ROLES, (cal, match, n - cal - match))}
     drawn = catalog.resampled_scenes(spark, sf).collect()
     assert len(drawn) == 10 and all(r.copies == n and 0.55 * n < r.scenes < 0.72 * n for r in drawn)
+
+
+def _links(names, linked):
+    """name -> (links, smallest name reachable) by looking at all pairs."""
+    near = {a: {b for b in names if a != b and linked(a, b)} for a in names}
+    out = {}
+    for a in names:
+        seen, todo = {a}, [a]
+        while todo:
+            todo += [b for b in near[todo.pop()] if b not in seen and not seen.add(b)]
+        out[a] = (len(near[a]), min(seen))
+    return out
+
+
+def test_links_of_centroids(spark):
+    import random
+
+    from tessera.operators import audit
+
+    r = random.Random(4)
+    rows = {f"i{k:03}": (r.choice([3.0, r.uniform(-200, 200)]), r.choice([9.0, r.uniform(-200, 200)]), r.randint(4, 9)) for k in range(150)}
+    cell = lambda v: v // 16
+    like = lambda a, b: min(a[2], b[2]) >= 0.8 * max(a[2], b[2])
+    want = _links(rows, lambda a, b: all(abs(cell(rows[a][k]) - cell(rows[b][k])) <= 1 for k in (0, 1)) and like(rows[a], rows[b]))
+    images = spark.createDataFrame([(k, *v) for k, v in rows.items()], "image_id string, x double, y double, n long")
+    assert {x.image_id: (x.n_links, x.component) for x in audit.centroid_links(images).collect()} == want
+    pairs = audit.centroid_neighbours(images).collect()
+    assert 2 * len(pairs) == sum(n for n, _ in want.values())
+
+
+def test_links_of_windows(spark):
+    import random
+
+    from tessera.operators import audit
+
+    r = random.Random(5)
+    rows = {}
+    for k in range(160):
+        x, y, w = r.choice([10.0, r.uniform(-900, 900)]), r.choice([10.0, r.uniform(-900, 900)]), r.choice([0.0, 30.0, 90.0, 90.0, 90.0])
+        rows[k] = (k % 2, x, y, x + w, y + w / 2)
+    hit = lambda a, b: a[0] == b[0] and a[1] < b[3] and b[1] < a[3] and a[2] < b[4] and b[2] < a[4]
+    want = _links(rows, lambda a, b: hit(rows[a], rows[b]))
+    chips = spark.createDataFrame([(p, k, *v) for k, (p, *v) in rows.items()] + [(None, 999, 1.0, 1.0, 2.0, 2.0)], "panorama long, chip long, x0 double, y0 double, x1 double, y1 double")
+    got = {x.chip: (x.n_links, x.component) for x in audit.overlapping_windows(chips).collect()}
+    assert got.pop(999) == (0, 999) and got == want
