@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def covered(scores: DataFrame, thresholds: DataFrame, by: list[str]) -> DataFrame:
     """``scores`` with q and covered; null where the key has no threshold (out of support)."""
-    return scores.join(thresholds.select(*by, "q"), by, "left").withColumn("covered", F.when(F.col("q").isNotNull(), F.col("score") <= F.col("q")))
+    return scores.join(F.broadcast(thresholds.select(*by, "q")), by, "left").withColumn("covered", F.when(F.col("q").isNotNull(), F.col("score") <= F.col("q")))
 
 
 def _scene_means(rows: DataFrame, by: list[str]) -> DataFrame:

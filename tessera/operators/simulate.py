@@ -123,12 +123,12 @@ def matched_level(residuals: DataFrame, target: float | DataFrame, coords: list[
     by, c = list(by), len(coords)
     cal, ev = residuals.where("role = 'cal'"), residuals.where("role = 'eval'").withColumn("_id", F.monotonically_increasing_id())
     size = cal.groupBy(*by).agg(F.count("*").alias("n"))
-    need = max_rank(cal, ev.select("_id", *by, *coords), coords, ["_id"], by).join(size, by)
+    need = max_rank(cal, ev.select("_id", *by, *coords), coords, ["_id"], by).join(F.broadcast(size), by)
     need = need.select(*by, (F.round(F.col("score") * F.col("n")) + 1).cast("long").alias("need"))
     seen = running(need.groupBy(*by, "need").agg(F.count("*").alias("c")), by, "need", seen="c")
     total = ev.groupBy(*by).agg(F.count("*").alias("rows")).join(size, by)
     goal = total.withColumn("target", F.lit(float(target))) if not isinstance(target, DataFrame) else total.join(target.select(*by, "target"), by)
-    rows = seen.select(*by, "need", "seen").join(goal, by)
+    rows = seen.select(*by, "need", "seen").join(F.broadcast(goal), by)
     rank = lambda a: (F.col("n") + 1) - F.floor((F.col("n") + 1) * a / c)
     share = F.col("seen") / F.col("rows")
     at = lambda k: F.when(k > F.col("n"), F.lit(1.0)).otherwise(F.coalesce(F.max(F.when((F.col("need") <= k) & (F.col("need") <= F.col("n")), share)), F.lit(0.0)))
@@ -140,7 +140,7 @@ def matched_level(residuals: DataFrame, target: float | DataFrame, coords: list[
     # the rank just below the supremum is k
     chosen = F.when(F.col("cov_low") <= F.col("target"), rank(F.lit(least))).when(F.col("cov_high") >= F.col("target"), rank(F.lit(1 - least))).otherwise(k)
     best = best.select(*by, alpha.alias("alpha"), chosen.alias("_rank"))
-    out = rows.join(best, by).groupBy(*by, "n", "alpha", "_rank").agg(at(F.col("_rank")).alias("coverage"))
+    out = rows.join(F.broadcast(best), by).groupBy(*by, "n", "alpha", "_rank").agg(at(F.col("_rank")).alias("coverage"))
     return out.select(*by, "alpha", "coverage", "n")
 
 
