@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
-from ..operators.ranks import numbered
+from ..operators.ranks import numbered, running
 
 
 def _told(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
@@ -79,7 +79,11 @@ def convention_gate(boxes: DataFrame, floor: float = 0.9) -> DataFrame:
     t = F.greatest(F.lit(0.0), F.least(y1, F.col("y1")) - F.greatest(y0, F.col("y0")))
     both = (x1 - x0) * (y1 - y0) + (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) - w * t
     rows = boxes.where("x0 is not null and y0 is not null and x1 is not null and y1 is not null").select(F.coalesce(F.try_divide(w * t, both), F.lit(0.0)).alias("iou"))
-    out = rows.agg(F.coalesce(F.percentile("iou", F.lit(0.5)), F.lit(0.0)).alias("median_iou"), F.count("*").alias("n"))
+    seen = running(rows.groupBy("iou").agg(F.count("*").alias("c")), [], "iou", seen="c").select("iou", "seen")
+    n = rows.agg(F.count("*").alias("n"))
+    at = lambda rank: F.min(F.when(F.col("seen") >= rank, F.col("iou")))
+    middle = seen.crossJoin(F.broadcast(n)).agg(at(F.floor((F.col("n") + 1) / 2)).alias("low"), at(F.floor(F.col("n") / 2) + 1).alias("high"))
+    out = n.crossJoin(F.broadcast(middle)).select(F.coalesce(0.5 * F.col("low") + 0.5 * F.col("high"), F.lit(0.0)).alias("median_iou"), "n")
     return out.withColumn("passes", F.col("median_iou") >= floor)
 
 

@@ -79,3 +79,15 @@ def test_links_of_windows(spark):
     chips = spark.createDataFrame([(p, k, *v) for k, (p, *v) in rows.items()] + [(None, 999, 1.0, 1.0, 2.0, 2.0)], "panorama long, chip long, x0 double, y0 double, x1 double, y1 double")
     got = {x.chip: (x.n_links, x.component) for x in audit.overlapping_windows(chips).collect()}
     assert got.pop(999) == (0, 999) and got == want
+
+
+def test_median_of_any_number_of_boxes(spark):
+    from tessera.functions.boxes import BOX
+    from tessera.sources import exports
+
+    for n, want in ((4, 0.5 * 0.2 + 0.5 * 0.3), (5, 0.3), (0, 0.0)):
+        rows = [((0.5, 0.5, 1.0, 1.0, 0.0), 0.0, 0.0, (k + 1) / 10, 1.0) for k in range(n)]
+        out = exports.convention_gate(spark.createDataFrame(rows, f"obb {BOX}, x0 double, y0 double, x1 double, y1 double"))
+        assert "percentile(" not in out._jdf.queryExecution().optimizedPlan().toString()
+        r = out.first()
+        assert abs(r.median_iou - want) < 1e-12 and r.n == n
