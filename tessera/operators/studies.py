@@ -127,6 +127,7 @@ def interval_report(draws: DataFrame, by: list[str], level: float = 0.95, value:
     """
     tail = (1 - level) / 2
     n = F.count("*")
+    draws = stored(draws.select(*by, "draw", value), "values")
     sizes = [r[0] for r in draws.groupBy(*by).agg(n.alias("n")).select("n").distinct().collect()]
     table = draws.sparkSession.createDataFrame([(s, *order_ranks(s, tail), *order_ranks(s, 1 - tail)) for s in sizes] or [(0, 0, 0, 0, 0)], "n long, l1 long, u1 long, l2 long, u2 long")
     bad = F.count_if(F.col(value).isNull() | F.isnan(value))

@@ -81,6 +81,17 @@ def test_links_of_windows(spark):
     assert got.pop(999) == (0, 999) and got == want
 
 
+def test_ratios_of_hashed_draws(spark):
+    from tessera.operators import splits
+
+    rows = [("ab"[k % 2], f"s{k // 2}", k % 5, 5) for k in range(80)]
+    units = spark.createDataFrame(rows, "k string, scene string, hits long, n long")
+    weights = splits.hash_weights(units.select("scene").distinct(), 30, "p", "scene")
+    want = {(r.k, r.draw): r.value for r in splits.blocked_ratio(units, weights, "scene", "hits", "n", ["k"]).collect()}
+    got = {(r.k, r.draw): r.value for r in splits.hashed_ratio(units, 30, "p", "scene", "hits", "n", ["k"]).collect()}
+    assert got == want and len(got) == 60
+
+
 def test_median_of_any_number_of_boxes(spark):
     from tessera.functions.boxes import BOX
     from tessera.sources import exports
