@@ -24,10 +24,10 @@ def acceleration(units: DataFrame, top: str, bottom: str, by: list[str] = ()) ->
     by = list(by)
     total = units.groupBy(*by).agg(F.sum(top).alias("_t"), F.sum(bottom).alias("_b"), F.count("*").alias("n"))
     own = units.select(*by, F.col(top).alias("_top"), F.col(bottom).alias("_bottom"))
-    both = own.join(total, by) if by else own.crossJoin(F.broadcast(total))
+    both = own.join(F.broadcast(total), by) if by else own.crossJoin(F.broadcast(total))
     left = both.withColumn("_left", F.try_divide(F.col("_t") - F.col("_top"), F.col("_b") - F.col("_bottom")))
     mean = left.groupBy(*by).agg(F.avg("_left").alias("_mean"))
-    far = left.join(mean, by) if by else left.crossJoin(F.broadcast(mean))
+    far = left.join(F.broadcast(mean), by) if by else left.crossJoin(F.broadcast(mean))
     d = F.col("_mean") - F.col("_left")
     out = far.groupBy(*by).agg(F.first(F.try_divide("_t", "_b")).alias("theta"), F.first("n").alias("n"), F.sum(d * d * d).alias("_cube"), F.sum(d * d).alias("_square"))
     a = F.when(F.col("n") > 1, F.coalesce(F.try_divide("_cube", 6 * F.pow("_square", F.lit(1.5))), F.lit(0.0)))
@@ -83,8 +83,14 @@ def accelerated_interval(units: DataFrame, weights: DataFrame, key: str, top: st
     any weight has no value and is left out of ``draws``. Bounds are null where a group has fewer than two units.
     """
     by = list(by)
+    return interval_of_draws(units, blocked_ratio(units, weights, key, top, bottom, by), top, bottom, by, level)
+
+
+def interval_of_draws(units: DataFrame, values: DataFrame, top: str, bottom: str, by: list[str] = (), level: float = 0.95) -> DataFrame:
+    """``accelerated_interval`` from the draws' ``values`` (by, draw, value)."""
+    by = list(by)
     point = stored(acceleration(units, top, bottom, by), "points")
-    draws = stored(blocked_ratio(units, weights, key, top, bottom, by).where("value is not null").select(*by, "value"), "values")
+    draws = stored(values.where("value is not null").select(*by, "value"), "values")
     rows = point.join(shares_below(draws, point, by), by) if by else point.crossJoin(F.broadcast(shares_below(draws, point)))
     rows = stored(adjusted_levels(rows, level), "adjusted")
     q = quantiles_at(draws, rows, by, ["low_level", "high_level"])
