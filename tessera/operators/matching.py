@@ -7,10 +7,11 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.boxes import envelopes_meet, hull_iou, rotated_iou
+from ..functions.boxes import envelope, envelopes_meet, hull_iou, rotated_iou
 from .ranks import highest_so_far, ranged, running
 
 
@@ -27,6 +28,19 @@ def candidates(det: DataFrame, gt: DataFrame, tau: float, iou: Callable[[Column,
     return near.withColumn("iou", iou(F.col("d_obb"), F.col("g_obb"))).where(F.col("iou") >= tau).select(*keys, "det_idx", "score", "gt_idx", "iou")
 
 
+def _meeting(d: DataFrame, g: DataFrame, keys: list[str]) -> DataFrame:
+    """``d`` joined with ``g`` where the envelopes of d_obb and g_obb meet.
+
+    Each side reckons its envelopes once a box; within the join's condition they would be reckoned once a pair, and their
+    common parts again and again.
+    """
+    sides = ("x0", "y0", "x1", "y1")
+    sided = lambda t, s: t.withColumn(f"_{s}", F.struct(*[v.alias(k) for k, v in zip(sides, envelope(F.col(f"{s}_obb")))]))
+    p, q = F.col("_d"), F.col("_g")
+    meet = (p["x0"] < q["x1"]) & (q["x0"] < p["x1"]) & (p["y0"] < q["y1"]) & (q["y0"] < p["y1"])
+    return sided(d, "d").join(sided(g, "g"), keys).where(meet).drop("_d", "_g")
+
+
 def _folded(taus: list[float]):
     """Greedy choice over candidates that come sorted by group, falling score, detection and falling overlap.
 
@@ -134,23 +148,62 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
 def hungarian(det: DataFrame, gt: DataFrame, least_score: float = 0.5, least_iou: float = 0.5, iou: Callable[[Column, Column], Column] = rotated_iou) -> DataFrame:
     """image_id, det_idx, gt_idx, iou, same_class: class-agnostic assignment of least total 1 - IoU.
 
-    Only detections above least_score take part and only pairs above least_iou are kept. Boxes whose envelopes are apart
-    have an overlap of 0 and are not overlapped; the solver sees one image at a time.
+    Only detections above least_score take part and only pairs above least_iou, at least 0, are kept. Pairs without an
+    overlap neither lower the cost nor are kept, so only overlapping pairs are looked at. Where no box of an image overlaps
+    two others all its pairs are taken; else the solver sees the boxes of that image that overlap.
     """
     d = det.where(F.col("score") > least_score).select("image_id", F.col("idx").alias("det_idx"), F.col("class").alias("d_class"), F.col("obb").alias("d_obb"))
     g = gt.select("image_id", F.col("idx").alias("gt_idx"), F.col("class").alias("g_class"), F.col("obb").alias("g_obb"))
-    near = d.join(g, "image_id").where(envelopes_meet(F.col("d_obb"), F.col("g_obb")))
-    near = near.select("image_id", "det_idx", "gt_idx", iou(F.col("d_obb"), F.col("g_obb")).alias("near_iou"))
-    ids = d.select("image_id", "det_idx", "d_class").join(g.select("image_id", "gt_idx", "g_class"), "image_id").join(near, ["image_id", "det_idx", "gt_idx"], "left")
-    every = ids.select("image_id", "det_idx", "gt_idx", F.coalesce("near_iou", F.lit(0.0)).alias("iou"), (F.col("d_class") == F.col("g_class")).alias("same_class"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot(index="det_idx", columns="gt_idx", values="iou").sort_index().sort_index(axis=1)
-        rows = assignment(1 - table.to_numpy())
-        pick = pd.DataFrame([(table.index[i], table.columns[j]) for i, j in rows], columns=["det_idx", "gt_idx"])
-        return pdf.merge(pick, on=["det_idx", "gt_idx"])[lambda x: x.iou > least_iou]
-
-    return every.groupBy("image_id").applyInPandas(solve, "image_id string, det_idx long, gt_idx long, iou double, same_class boolean")
+    near = _meeting(d, g, ["image_id"])
+    near = near.select("image_id", "det_idx", "gt_idx", iou(F.col("d_obb"), F.col("g_obb")).alias("iou"), (F.col("d_class") == F.col("g_class")).alias("same_class")).where("iou > 0")
+    dealt = near.repartition("image_id").sortWithinPartitions("image_id", "det_idx", "gt_idx")
+    return dealt.mapInArrow(_assigned(max(0.0, least_iou)), "image_id string, det_idx long, gt_idx long, iou double, same_class boolean")
+
+
+def _assigned(least: float):
+    """Least-cost pairs above ``least`` of rows that come sorted by image; images may run on over batches."""
+
+    def taken(det: list, gt: list, iou: list) -> list[int]:
+        rows, cols = {x: i for i, x in enumerate(sorted(set(det)))}, {x: i for i, x in enumerate(sorted(set(gt)))}
+        if len(rows) == len(det) and len(cols) == len(gt):
+            return [i for i, v in enumerate(iou) if v > least]
+        cost, place = np.ones((len(rows), len(cols))), {}
+        for i, (x, y, v) in enumerate(zip(det, gt, iou)):
+            cost[rows[x], cols[y]] = 1 - v
+            place[rows[x], cols[y]] = i
+        return [i for pair in assignment(cost) if (i := place.get(pair)) is not None and iou[i] > least]
+
+    def chosen(t: pa.Table):
+        image = t.column("image_id").combine_chunks()
+        n = t.num_rows
+        first = np.ones(n, bool)
+        first[1:] = pc.not_equal(image.slice(1), image.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        begin = np.flatnonzero(first)
+        size = np.diff(np.append(begin, n))
+        iou = t.column("iou").to_numpy()
+        at = begin[(size == 1) & (iou[begin] > least)].tolist()
+        many = size > 1
+        det, gt = t.column("det_idx").to_numpy(), t.column("gt_idx").to_numpy()
+        for i, k in zip(begin[many].tolist(), size[many].tolist()):
+            at += [i + j for j in taken(det[i : i + k].tolist(), gt[i : i + k].tolist(), iou[i : i + k].tolist())]
+        return t.take(pa.array(at, pa.int64())).combine_chunks().to_batches()
+
+    def solve(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            image = t.column("image_id")
+            last = pc.index(image, image[-1]).as_py()  # rows are sorted: the last image, which may go on, begins here
+            if last:
+                yield from chosen(t.slice(0, last))
+            held = t.slice(last)
+        if held is not None:
+            yield from chosen(held)
+
+    return solve
 
 
 def maximum_matching(edges: DataFrame, by: str, left: str, right: str) -> DataFrame:

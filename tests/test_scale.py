@@ -102,3 +102,22 @@ def test_median_of_any_number_of_boxes(spark):
         assert "percentile(" not in out._jdf.queryExecution().optimizedPlan().toString()
         r = out.first()
         assert abs(r.median_iou - want) < 1e-12 and r.n == n
+
+
+def test_assignment_across_batches(spark):
+    from tessera.functions.boxes import BOX
+    from tessera.operators import matching
+
+    box = lambda x: (float(x), 0.0, 10.0, 4.0, 0.0)
+    images = [f"i{k:03}" for k in range(60)]
+    det = [(i, 2 * k, "a", 0.9, box(x)) for i in images for k, x in enumerate((0, 3, 500))]
+    gt = [(i, 3 * k, "ab"[k % 2], box(x)) for i in images for k, x in enumerate((1, 4, 900, 500))]
+    d, g = spark.createDataFrame(det, f"image_id string, idx long, class string, score double, obb {BOX}"), spark.createDataFrame(gt, f"image_id string, idx long, class string, obb {BOX}")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = matching.hungarian(d, g, 0.5, 0.3)
+        got = [(r.image_id, r.det_idx, r.gt_idx, r.same_class) for r in out.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got) == sorted((i, *x) for i in images for x in ((0, 0, True), (2, 3, False), (4, 9, False)))
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
