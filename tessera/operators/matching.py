@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.boxes import envelope, envelopes_meet, hull_iou, rotated_iou
+from ..functions.boxes import envelope, hull_iou, rotated_iou
 from .ranks import highest_so_far, ranged, running
 
 
@@ -22,9 +22,7 @@ def candidates(det: DataFrame, gt: DataFrame, tau: float, iou: Callable[[Column,
     """
     d = det.select(*keys, F.col("idx").alias("det_idx"), "score", F.col("obb").alias("d_obb"))
     g = gt.select(*keys, F.col("idx").alias("gt_idx"), F.col("obb").alias("g_obb"))
-    near = d.join(g, list(keys))
-    if tau > 0:
-        near = near.where(envelopes_meet(F.col("d_obb"), F.col("g_obb")))
+    near = _meeting(d, g, list(keys)) if tau > 0 else d.join(g, list(keys))
     return near.withColumn("iou", iou(F.col("d_obb"), F.col("g_obb"))).where(F.col("iou") >= tau).select(*keys, "det_idx", "score", "gt_idx", "iou")
 
 

@@ -121,3 +121,15 @@ def test_assignment_across_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(got) == sorted((i, *x) for i in images for x in ((0, 0, True), (2, 3, False), (4, 9, False)))
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_geometry_is_compiled_and_reckoned_once_a_box(spark):
+    from tessera.operators import matching
+    from tessera.plans import fixtures
+
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", 65535)
+    det, gt = (f(spark, "/root/testdata/sf0.001") for f in (fixtures.detections, fixtures.ground_truth))
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"  # larger methods are not compiled by the JVM
+    plan = matching.candidates(det, gt, 0.3)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join" in x]
+    assert joins and not any("COS(" in x.upper() for x in joins)
