@@ -48,8 +48,11 @@ def scored(pairs: DataFrame, names: list[str], digits: int | None = None) -> Dat
     """A row per pair (id, scene, class, role, pred, gt) and fixed score of ``names``: score, model and the values v."""
     a, b = F.col("pred"), F.col("gt")
     every = {k: [SCALARS[k](a, b)] if k in SCALARS else list(VECTORS[k](a, b).values()) for k in names if k != RANK}
-    made = [F.struct(F.lit(k).alias("score"), F.lit(FIXED).cast("long").alias("model"), F.array(*[_digits(x, digits) for x in v]).alias("v")) for k, v in every.items()]
-    return pairs.select("id", "scene", "class", "role", "pred", "gt", F.explode(F.array(*made)).alias("s")).select("id", "scene", "class", "role", "pred", "gt", "s.*")
+    # columns first: a projection reckons what scores share once, an explode would reckon it at every use
+    keep = ["id", "scene", "class", "role", "pred", "gt"]
+    wide = pairs.select(*keep, *[_digits(x, digits).alias(f"_{k}_{i}") for k, v in every.items() for i, x in enumerate(v)])
+    made = [F.struct(F.lit(k).alias("score"), F.lit(FIXED).cast("long").alias("model"), F.array(*[F.col(f"_{k}_{i}") for i in range(len(v))]).alias("v")) for k, v in every.items()]
+    return wide.select(*keep, F.explode(F.array(*made)).alias("s")).select(*keep, "s.*")
 
 
 def level_grid(cal: DataFrame, modes: DataFrame, by: list[str], kinds: tuple[str, ...] = MODES) -> DataFrame:

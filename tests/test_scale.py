@@ -133,3 +133,13 @@ def test_geometry_is_compiled_and_reckoned_once_a_box(spark):
     plan = matching.candidates(det, gt, 0.3)._jdf.queryExecution().optimizedPlan().toString()
     joins = [x for x in plan.split("\n") if "Join" in x]
     assert joins and not any("COS(" in x.upper() for x in joins)
+
+
+def test_scores_are_reckoned_below_the_explode(spark):
+    from tessera.operators import functional
+    from tessera.plans import fixtures
+
+    pairs = fixtures.pairs(spark, "/root/testdata/sf0.001").withColumnRenamed("idx", "id").withColumnRenamed("scene_id", "scene")
+    plan = functional.scored(pairs, ["gwd", "kld", "naive"])._jdf.queryExecution().optimizedPlan().toString()
+    rows = [x for x in plan.split("\n") if "Generate explode" in x]
+    assert rows and not any("COS(" in x.upper() for x in rows)  # an explode shares nothing between its elements
