@@ -158,3 +158,18 @@ def test_splits_share_scores_and_ranks(spark, monkeypatch):
     efficiency.efficiency(p, splits, ["gwd", "max_rank"], sample=5)
     n = p.count()
     assert n and kept["scores"].count() == n and kept["below"].count() <= 5 * n and kept["split_scores"].count() == 6 * n
+
+
+def test_grids_of_sides_are_shared():
+    import numpy as np
+
+    from tessera.functions import arrow
+
+    arrow.KNOWN_SIDES.clear()
+    r = np.random.default_rng(5)
+    w, h, t, q = r.choice([8.0, 20.0], 300), r.choice([3.0, 20.0], 300), r.uniform(-2, 2, 300), r.choice([0.0, 1.0, 9.0], 300)
+    together = arrow.shapes_extents(w, h, t, q)
+    assert len(arrow.KNOWN_SIDES) <= 2 * 2 * 3  # a grid for each pair of sides and threshold, not for each box
+    for i in range(0, 300, 17):
+        assert together[i] == arrow.shape_extents(w[i], h[i], t[i], q[i])
+    assert {x[-1] for x in together} == {"sampled_feasible_extrema", "insufficient_grid_resolution"} and any(x[6] for x in together)
