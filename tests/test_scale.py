@@ -173,3 +173,11 @@ def test_grids_of_sides_are_shared():
     for i in range(0, 300, 17):
         assert together[i] == arrow.shape_extents(w[i], h[i], t[i], q[i])
     assert {x[-1] for x in together} == {"sampled_feasible_extrema", "insufficient_grid_resolution"} and any(x[6] for x in together)
+
+
+def test_every_image_has_a_centroid(spark):
+    from tessera.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    images = catalog.ground_truth(spark, sf).select("image_id").distinct().count()
+    assert catalog.centroid_neighbours(spark, sf).count() == images
