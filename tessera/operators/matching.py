@@ -11,14 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.boxes import envelope, hull_iou, rotated_iou
+from ..functions.boxes import hull_iou, rotated_iou
 from .ranks import highest_so_far, ranged, running
 
 
 def candidates(det: DataFrame, gt: DataFrame, tau: float, iou: Callable[[Column, Column], Column] = rotated_iou, keys: tuple[str, ...] = ("image_id", "class")) -> DataFrame:
     """keys, det_idx, score, gt_idx, iou of the pairs of IoU tau or more.
 
-    An equi-join on the keys whose envelopes must overlap, which a positive IoU implies.
+    An equi-join on the keys; squares round the boxes must overlap, which a positive IoU, of boxes or of envelopes, implies.
     """
     d = det.select(*keys, F.col("idx").alias("det_idx"), "score", F.col("obb").alias("d_obb"))
     g = gt.select(*keys, F.col("idx").alias("gt_idx"), F.col("obb").alias("g_obb"))
@@ -27,16 +27,14 @@ def candidates(det: DataFrame, gt: DataFrame, tau: float, iou: Callable[[Column,
 
 
 def _meeting(d: DataFrame, g: DataFrame, keys: list[str]) -> DataFrame:
-    """``d`` joined with ``g`` where the envelopes of d_obb and g_obb meet.
+    """``d`` joined with ``g`` where the upright squares round the circles of d_obb and g_obb meet; they hold the envelopes, too.
 
-    Each side reckons its envelopes once a box; within the join's condition they would be reckoned once a pair, and their
-    common parts again and again.
+    Squares follow from centres and sides, so neither angles are reckoned once a pair nor envelopes shuffled with the boxes.
     """
-    sides = ("x0", "y0", "x1", "y1")
-    sided = lambda t, s: t.withColumn(f"_{s}", F.struct(*[v.alias(k) for k, v in zip(sides, envelope(F.col(f"{s}_obb")))]))
-    p, q = F.col("_d"), F.col("_g")
-    meet = (p["x0"] < q["x1"]) & (q["x0"] < p["x1"]) & (p["y0"] < q["y1"]) & (q["y0"] < p["y1"])
-    return sided(d, "d").join(sided(g, "g"), keys).where(meet).drop("_d", "_g")
+    d_, g_ = F.col("d_obb"), F.col("g_obb")
+    across = lambda b: F.sqrt(b["w"] * b["w"] + b["h"] * b["h"])
+    reach = (across(d_) + across(g_)) * (0.5 + 1e-9)
+    return d.join(g, keys).where((F.abs(d_["cx"] - g_["cx"]) < reach) & (F.abs(d_["cy"] - g_["cy"]) < reach))
 
 
 def _folded(taus: list[float]):

@@ -180,8 +180,10 @@ def set_size_contrast(sizes: DataFrame, primary: str, baseline: str, block: str,
 def cell_tables(matched: DataFrame) -> dict[str, DataFrame]:
     """The columnar cell of match records: tp, fn and fp with scene and class codes, and the dictionaries.
 
-    Codes follow the sorted names; scenes carry their number of images.
+    Codes follow the sorted names; scenes carry their number of images. The records are written once, as dictionaries and parts
+    each read them; boxes, scores and overlaps may be left out of them, and are then of the parts, too.
     """
+    matched = stored(matched, "matched")
 
     def dictionary(column: str, code: str, *more):
         names = matched.groupBy(column).agg(F.countDistinct("image_id").alias("n_tiles"))
@@ -190,5 +192,6 @@ def cell_tables(matched: DataFrame) -> dict[str, DataFrame]:
 
     scenes, classes = dictionary("scene_id", "scene_code", "n_tiles"), dictionary("class", "class_code")
     rows = matched.join(scenes.select("scene_code", "scene_id"), "scene_id").join(F.broadcast(classes), "class")
-    part = lambda t, *c: rows.where(F.col("match_type") == t).select("scene_code", "class_code", *c)
-    return {"tp": part("tp", "pred_obb", "gt_obb", F.col("pred_score").alias("conf"), "iou"), "fn": part("fn"), "fp": part("fp", F.col("pred_score").alias("conf")), "scenes": scenes, "classes": classes}
+    names = {"pred_obb": "pred_obb", "gt_obb": "gt_obb", "pred_score": "conf", "iou": "iou"}
+    part = lambda t, *c: rows.where(F.col("match_type") == t).select("scene_code", "class_code", *[F.col(x).alias(names[x]) for x in c if x in matched.columns])
+    return {"tp": part("tp", *names), "fn": part("fn"), "fp": part("fp", "pred_score"), "scenes": scenes, "classes": classes}

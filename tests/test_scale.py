@@ -181,3 +181,25 @@ def test_every_image_has_a_centroid(spark):
     sf = "/root/testdata/sf0.001"
     images = catalog.ground_truth(spark, sf).select("image_id").distinct().count()
     assert catalog.centroid_neighbours(spark, sf).count() == images
+
+
+def test_match_records_are_written_once_and_narrow(spark):
+    from tessera.operators import matching, studies
+    from tessera.plans import fixtures
+
+    det, gt = (f(spark, "/root/testdata/sf0.001") for f in (fixtures.detections, fixtures.ground_truth))
+    c = studies.cell_tables(matching.matched(det, gt, 0.3).select("image_id", "scene_id", "class", "match_type"))
+    for t in c.values():
+        assert not any(x in t._jdf.queryExecution().optimizedPlan().toString() for x in ("MapInArrow", "ArrowEvalPython"))  # matched by none of them
+    joined = matching.candidates(det, gt, 0.3)._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]
+    assert "COS(" not in joined.upper()  # no envelopes below the join
+
+
+def test_envelopes_meet_beyond_circles(spark):
+    from tessera.functions.boxes import BOX
+    from tessera.operators import matching
+
+    far = [("i", "a", k, 0.5, (x, x, 10.0, 10.0, 0.785398)) for k, x in enumerate((0.0, 13.0))]  # turned squares: apart, but not their envelopes
+    rows = spark.createDataFrame(far, f"image_id string, class string, idx long, score double, obb {BOX}")
+    found = lambda *iou: matching.candidates(rows.where("idx = 0"), rows.where("idx = 1"), 0.001, *iou).count()
+    assert found(matching.hull_iou) == 1 and found() == 0
