@@ -163,3 +163,57 @@ def test_conditions_share_geometry(spark):
     c = conditions.contrasted(means, conditions.contrasts_of(spark, [0, 1, 2]), ["draw", "method"]).where("draw = 0 and method = 'pooled' and contrast = 'drop 2'").first()
     left, right = (means.where(f"draw = 0 and method = 'pooled' and arm = '{a}'").first() for a in ("0:2", "0:0"))
     assert c.coverage_scene == left.coverage_scene - right.coverage_scene
+
+
+def test_only_pairs_and_different_values_are_written(spark, monkeypatch):
+    rows = cell_pairs(5, 30)
+    pairs = spark.createDataFrame(rows, f"id int, scene string, class string, role string, pred {BOX}, gt {BOX}")
+    roster = spark.createDataFrame([("a",), ("b",)], "class string")
+    draws = spark.createDataFrame([(d, f"s{s}", 1 + (s + d) % 3 // 2) for d in range(3) for s in range(30)], "draw int, scene string, mult int")
+    table = [("gwd", "gwd", "hcp"), ("wrapped", "wrapped", "object"), ("max_rank", "max_rank", "hcp")]
+    kept, stored = {}, functional.stored
+    monkeypatch.setattr(functional, "stored", lambda df, name: kept.setdefault(name, stored(df, name)))
+    own = functional.Cell(pairs, roster, table, 6).run(draws)
+    assert {k: v.count() for k, v in kept.items() if k == "cell_pairs"} == {"cell_pairs": len(rows)}
+    assert all(v.count() <= 5 * len(rows) for v in kept.values())  # neither scores nor draws multiply rows
+    # ranks by joins, where different values are too many to send, are the same
+    monkeypatch.setattr(functional, "MOST_VALUES", 0)
+    monkeypatch.setattr(functional, "stored", stored)
+    joined = functional.Cell(pairs, roster, table, 6).run(draws)
+    by = lambda df: sorted(df.drop("q").fillna(-1.0).collect(), key=str)
+    for x, y in zip(by(own), by(joined)):
+        assert x[:4] == y[:4] and np.allclose(x[4:], y[4:], equal_nan=True), (x, y)
+
+
+def test_arrays_equal_columns(spark):
+    from tessera.functions import arrays
+    from tessera.operators import readouts
+
+    rows = cell_pairs(8, 12) + [(999, "s0", "a", "eval", (1.0, 2.0, 5.0, 5.0, 0.3), (1.0, 2.0, 5.0, 5.0, 0.3))]
+    df = spark.createDataFrame(rows, f"id int, scene string, class string, role string, pred {BOX}, gt {BOX}").coalesce(1).sort("id")
+    p = arrays.Pairs(*(np.array([r[i] for r in sorted(rows)], float).T for i in (4, 5)))
+    names = [*sorted(functional.SCALARS), *sorted(functional.VECTORS)]
+    want = {(r.id, r.score): r.v for r in functional.scored(df, names, 6).collect()}
+    for name in names:
+        got = [arrays.rounded(x, 6) for x in arrays.SCORES[name](p)]
+        for i, r in enumerate(sorted(rows)):
+            assert np.allclose([x[i] for x in got], want[r[0], name], atol=2e-6), name
+    for name, q in (("gwd", [2.5]), ("gwd", [math.inf]), ("naive", [1.0, 2.0, 9.0, 9.0, 0.2]), ("doubled", [1.0, 2.0, 9.0, 9.0, 0.4, 0.3]), ("max_rank", [0.9, 1.0, 2.0, 3.0, 4.0, 0.2]), ("expansion_margin", [1.5]), ("hellinger", [0.3])):
+        covered = np.arange(len(rows)) % 2 == 0
+        made = readouts.geometry_endpoints(df.withColumn("covered", (F.monotonically_increasing_id() % 2) == 0), name, [F.lit(v) for v in q]).sort("id").collect()
+        got = arrays.readout(name, p, q, covered)
+        for k in readouts.METRICS:
+            for i, r in enumerate(made):
+                x = got.get(k)
+                x = None if x is None else float(x if np.ndim(x) == 0 else x[i])
+                assert (x is None) == (r[k] is None) and (x is None or np.isclose(x, r[k])), (name, k, x, r[k])
+
+
+def test_halves_round_as_columns_do(spark):
+    from tessera.functions import arrays
+
+    values = [0.5, 1.5, 2.675, 1.0000005, 0.1234565, 0.1234575, 2.5e-7, 5e-7, 1e300, math.inf, 0.0, 33.3333335]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    for digits in (2, 6):
+        want = [r.x for r in df.select("i", F.round("v", digits).alias("x")).sort("i").collect()]
+        assert arrays.rounded(np.array(values), digits).tolist() == want
