@@ -20,7 +20,6 @@ from ..functions import boxes as B
 from ..functions.arrow import single_precision_margin
 from ..sources.scratch import stored
 from .levels import blobs, cuts_of, found, summed
-from .ranks import running
 from .readouts import METRICS, STRATA, THRESHOLDS
 from .thresholds import INF, SLACK, max_rank, max_rank_bounds
 
@@ -63,37 +62,6 @@ def scored(pairs: DataFrame, names: list[str], digits: int | None = None) -> Dat
     return wide.select(*keep, F.explode(F.array(*made)).alias("s")).select(*keep, "s.*")
 
 
-def level_grid(cal: DataFrame, modes: DataFrame, by: list[str], kinds: tuple[str, ...] = MODES) -> DataFrame:
-    """by, mode, i, qs: the thresholds of all LEVELS for the coordinate i of d, largest first; +inf where no value reaches.
-
-    ``cal``: by, scene, mult, i, d, value; ``modes``: score, mode (``by`` holds score), of ``kinds`` only. With d coordinates the levels of
-    'hcp' and 'object' are divided by d; 'linear' interpolates between objects and never divides.
-    """
-    keys = [*by, "i", "d"]
-    sizes = cal.groupBy(*by, "scene").agg(F.count_if(F.col("i") == 0).alias("m"), F.first("mult").alias("mult"))
-    totals = sizes.groupBy(*by).agg(F.sum("mult").alias("scenes"), F.sum(F.col("mult") * F.col("m")).alias("objects"))
-    mass = cal.join(sizes.select(*by, "scene", "m"), [*by, "scene"]).groupBy(*keys, "value").agg(F.sum("mult").alias("c"), F.round(F.sum(F.col("mult") / F.col("m")), 12).alias("share"))
-    seen = running(mass, keys, "value", objects_seen="c", shares_seen="share").join(totals, by)
-    first = lambda reached: F.coalesce(F.min(F.when(reached, F.col("value"))), F.lit(INF))
-    seen = stored(seen, "running") if len(kinds) > 1 else seen
-    parts = F.lit(LEVEL_PARTS) * F.col("d")
-    out = None
-    for mode in kinds:
-        own = seen.join(F.broadcast(modes.where(F.col("mode") == mode).select("score")), "score", "left_semi")
-        if mode == "hcp":
-            qs = [first(F.col("shares_seen") >= (F.col("scenes") + 1) * (parts - a) / parts - SLACK) for a in LEVELS]
-        elif mode == "object":
-            qs = [first(F.col("objects_seen") >= F.col("objects") + 1 - F.floor((F.col("objects") + 1) * a / parts)) for a in LEVELS]
-        else:
-            at = lambda a: (LEVEL_PARTS - a) * (F.col("objects") - 1)
-            low = lambda a: first(F.col("objects_seen") >= F.floor(at(a) / LEVEL_PARTS) + 1)
-            high = lambda a: first(F.col("objects_seen") >= F.least(F.floor(at(a) / LEVEL_PARTS) + 2, F.col("objects")))
-            qs = [low(a) + (high(a) - low(a)) * (F.first(at(a) % LEVEL_PARTS) / LEVEL_PARTS) for a in LEVELS]
-        made = own.groupBy(*keys).agg(F.array(*qs).alias("qs")).withColumn("mode", F.lit(mode))
-        out = made if out is None else out.unionByName(made)
-    return out.select(*by, "mode", "i", "qs")
-
-
 class Cell:
     """``pairs``: id, scene, class, role ('cal', 'design', 'eval'), pred, gt; ``roster``: class.
 
@@ -129,7 +97,7 @@ class Cell:
         rows = self._rows(draws, ids)
         study = _Arrays(self, ids)
         if RANK in self.names:
-            rows = self._ranked(rows, study)
+            rows = self._ranked(rows, study, stored(self._design(rows.where("r = 1"), study), "design_values"))
         cal, design, ev = (rows.where(F.col("r") == i) for i in range(3))
         grids = self._grids(cal, study)
         levels = self._levels(design, study, grids)
@@ -167,12 +135,13 @@ class Cell:
         wrapped = B.wrapped_residuals(a, b)
         return rows.select("id", "r", "mult", *[_digits(wrapped[k], self.digits).alias(k) for k in COORDS])
 
-    def _ranked(self, rows: DataFrame, study: _Arrays) -> DataFrame:
-        """Design weights by value go to the tasks where they are few; else ``rows`` get their ranks by joins (column ranks)."""
-        residuals = self._residuals(rows)
-        design = residuals.where("r = 1").unpivot(["mult"], COORDS, "coord", "value")
+    def _design(self, rows: DataFrame, study: _Arrays) -> DataFrame:
+        """coord, value and the weight of the design rows with that residual in every draw."""
         sums = [F.sum(F.col("mult")[k]).alias(f"w{k}") for k in range(study.draws)]
-        counts = stored(design.groupBy("coord", "value").agg(*sums), "design_values")
+        return self._residuals(rows).unpivot(["mult"], COORDS, "coord", "value").groupBy("coord", "value").agg(*sums)
+
+    def _ranked(self, rows: DataFrame, study: _Arrays, counts: DataFrame, design: str = "r = 1", asked: str = "copies > 0") -> DataFrame:
+        """``counts`` go to the tasks where they are few; else ``rows`` get their ranks by joins (column ranks)."""
         if counts.count() <= MOST_VALUES:
             study.steps = [[] for _ in COORDS]
             held = counts.toPandas().sort_values("value")
@@ -180,8 +149,8 @@ class Cell:
                 own = held[held["coord"] == k]
                 study.steps[i] = (own["value"].to_numpy(float), np.cumsum(own[[f"w{j}" for j in range(study.draws)]].to_numpy(float), axis=0))
             return rows
-        long = residuals.select("id", "r", *COORDS, F.posexplode("mult").alias("draw", "copies"))
-        score = max_rank(long.where("r = 1").select("draw", "copies", *COORDS), long.where("copies > 0").select("draw", "id", *COORDS), COORDS, ["id"], ["draw"], "copies")
+        long = self._residuals(rows).select("id", "r", *COORDS, F.posexplode("mult").alias("draw", "copies"))
+        score = max_rank(long.where(design).select("draw", "copies", *COORDS), long.where(asked).select("draw", "id", *COORDS), COORDS, ["id"], ["draw"], "copies")
         by_id = score.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("draw", "score"))).alias("by"))
         ranks = F.array(*[F.col("by")[k] for k in range(study.draws)])
         return stored(rows.join(by_id, "id", "left").withColumn("ranks", ranks).drop("by"), "ranked")
@@ -217,6 +186,7 @@ class Cell:
             return wants(g, scenes, n_objects)
 
         got = found(cal, study.parts(), lambda g: cuts[g % (n * width)], noted)
+        study.present = {(g // width // n, owner[g % width], g // width % n) for g in got}
         out = {}
         for arm, score, mode in self.table:
             first, d = self.place[score]
@@ -287,17 +257,19 @@ class _Arrays:
         self.draws, self.classes, self.names, self.place, self.width, self.table, self.digits = len(ids), len(cell.classes), cell.names, cell.place, cell.width, cell.table, cell.digits
         self.steps: list | None = None
         self.limits: dict = {}
+        self.present: set = set()  # (draw, score, class) that calibration pairs exist of
 
     def read(self, b: pa.RecordBatch):
-        """For every class: (number, pairs, pairs of the scene, multiplicities (row, draw), ranks (row, draw) or None, rows of the batch)."""
+        """For every class: (number, pairs, pairs of the scene, multiplicities (row, draw), ranks (row, draw), rows of the batch); None for what a batch lacks."""
         get = lambda name: b.column(name).to_numpy(zero_copy_only=False)
-        mult = b.column("mult").flatten().to_numpy().reshape(b.num_rows, self.draws).astype(float)
+        wide = lambda name: b.column(name).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, self.draws) if name in b.schema.names else None
+        mult, ranks, m = wide("mult"), wide("ranks"), get("m") if "m" in b.schema.names else None
+        cut = lambda x, at: None if x is None else x[at]
         boxes = [np.stack([get(f"{s}_{k}") for k in COORDS]) for s in "pg"]
-        ranks = b.column("ranks").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, self.draws) if "ranks" in b.schema.names else None
         code = get("c")
         for c in np.unique(code).tolist():
             at = np.flatnonzero(code == c)
-            yield c, A.Pairs(*(x[:, at] for x in boxes)), get("m")[at], mult[at], None if ranks is None else ranks[at], at
+            yield c, A.Pairs(*(x[:, at] for x in boxes)), cut(m, at), cut(mult, at), cut(ranks, at), at
 
     def ranked(self, p, ranks):
         """Ranks (row, draw); NaN where a draw has no design pair."""
