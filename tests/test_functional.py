@@ -217,3 +217,22 @@ def test_halves_round_as_columns_do(spark):
     for digits in (2, 6):
         want = [r.x for r in df.select("i", F.round("v", digits).alias("x")).sort("i").collect()]
         assert arrays.rounded(np.array(values), digits).tolist() == want
+
+
+def test_sources_carry_hits_and_draws(spark):
+    rows = cell_pairs(3, 14)
+    o = spark.createDataFrame([(*r, c) for r in rows for c in range(2)], f"id int, scene string, class string, role string, pred {BOX}, gt {BOX}, condition int").withColumn("score", F.col("id") * 0.1)
+    o = o.withColumn("has_gt", F.lit(True)).withColumn("has_det", (F.col("id") + F.col("condition")) % 4 != 0)
+    tp = o.where("has_det")
+    draws = spark.createDataFrame([(d, f"s{s}", "cal" if s % 3 == 0 else "eval", s * d % 3) for d in range(1, 4) for s in range(14)], "draw int, scene string, role string, mult int")
+    roster = spark.createDataFrame([("a",), ("b",), ("never",)], "class string")
+    study = conditions.Study(tp, tp.withColumnRenamed("pred", "obb"), endpoints.source_counts(o, tp, ["condition", "class"]), draws, conditions.arms_of(spark, [0, 1]), roster)
+    plan = study._drawn(geometry=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Join" in x and "draw#" in x for x in plan.split("\n"))  # draws do not multiply what is shuffled
+    by = ["draw", "arm", "method", "class"]
+    few = study.endpoints(geometry=False)
+    order = lambda df: df.select(few.columns).sort(by).collect()
+    every = order(study.endpoints())
+    assert len(every) == 2 * 3 * 2 * 3  # the third draw has no scene
+    for x, y in zip(order(few), every):
+        assert all(u == v or math.isclose(u, v, rel_tol=1e-12) for u, v in zip(x, y)), (x, y)
